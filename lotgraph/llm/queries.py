@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import exact_dedup, secrets, toxicity
+from lotgraph.llm import exact_dedup, ngram_join, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,15 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES = {

@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 0.2
-REPS = 20
+REPS = 14
 SAMPLES = 3
+SPAN = 1.5  # sampled places lie in so many lengths of the embedding; the walk has mostly ended after two
 BLOCK_WORDS = 2_000_000
 FOUND = "array<struct<item_id:long,start:int,words:int,distance:int>>"
 
@@ -65,28 +66,28 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
     return out * _N
 
 
-def embed(windows: np.ndarray, rep: int) -> np.ndarray:
-    """CGK embedding of equally long rows of words: 3 L columns, zeros after a row's end."""
+def embed(windows: np.ndarray, rep: int, steps: int) -> np.ndarray:
+    """The first steps of the CGK embedding of equally long rows of words, a row per step; zeros after a row's end."""
     count, length = windows.shape
     padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1).ravel()
     base = np.arange(count) * (length + 1)
     at = np.zeros(count, np.int64)
-    rng = np.random.default_rng(rep)
-    mix = rng.integers(0, 1 << 63, 3 * length, np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.empty((3 * length, count), np.uint64)
-    for j in range(3 * length):
+    mix = np.random.default_rng(rep).integers(0, 1 << 63, 3 * length, np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((steps, count), np.uint64)
+    for j in range(steps):
         word = padded[base + at]
         out[j] = word
-        bit = ((word ^ (word >> np.uint64(29))) * mix[j]) >> np.uint64(63)
-        at = np.minimum(at + bit.astype(np.int64), length)
+        at += (((word ^ (word >> np.uint64(29))) * mix[j]) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, length, out=at)
     return out
 
 
 def keys(windows: np.ndarray, rep: int, samples: int = SAMPLES) -> np.ndarray:
     """Bit-sampling LSH keys of one repetition."""
     length = windows.shape[1]
-    rows = embed(windows, rep)
-    chosen = np.sort(np.random.default_rng([rep, length]).choice(3 * length, min(samples, 3 * length), replace=False))
+    places = max(1, int(SPAN * length))
+    chosen = np.sort(np.random.default_rng([rep, length]).choice(places, min(samples, places), replace=False))
+    rows = embed(windows, rep, int(chosen[-1]) + 1)
     key = np.full(windows.shape[0], rep * 1000 + length, np.uint64)
     for j in chosen:
         key = (key ^ (key >> np.uint64(31))) * _M + rows[j]

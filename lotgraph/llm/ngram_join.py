@@ -14,7 +14,8 @@ threshold are formed:
 
 Blocks: a column's documents are first multiplied with one document of the column, chosen by hash, which joins most
 of a large group of near copies in time that is linear in the column; after that only pairs whose documents are not
-yet in one component are formed, so no group is expanded into all its pairs, and no link between components is lost.
+yet in one component are formed, each in its first common column (as far as its rows' first ``HEADS`` shared columns
+tell), so no group is expanded into all its pairs, and no link between components is lost.
 
 Defined cases: null or empty texts, or texts without words, have an empty set and are linked with nothing; a text with
 fewer words than n has its whole word sequence as its only n-gram; null doc_ids sort last, so a component's id is null
@@ -36,6 +37,7 @@ from lotgraph.llm.components import components
 from lotgraph.llm.scratch import stored
 
 BUCKETS = 128
+HEADS = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -150,8 +152,10 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     kept = stored(kept, "prefixes")
     met = kept.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min_by("row", F.xxhash64("row", "h")).alias("pivot")).where("k > 1")
     lists = kept.join(met.select("h", "pivot"), "h")
-    near = lists.select("row").distinct()
-    lists = stored(lists.join(found.select("row", "counts").join(near, "row", "left_semi"), "row"), "lists")
+    # the first shared columns of each row, by which a pair is formed in its first common column only
+    firsts = F.slice(F.array_sort(F.collect_list(F.struct("at", "h"))), 1, HEADS)
+    near = stored(lists.groupBy("row").agg(firsts.alias("firsts")).select("row", F.col("firsts.h").alias("heads")), "heads")
+    lists = stored(lists.join(found.select("row", "counts").join(near, "row"), "row"), "lists")
 
     # whole rows of the matrix for the documents that are left
     names = found.select("row", "id", "digest").join(near, "row", "left_semi")
@@ -175,7 +179,8 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     tagged = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
     open_lists = stored(tagged.join(mixed, "h", "left_semi"), "open")
-    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.row") != F.col("x.pivot")) & (F.col("y.row") != F.col("y.pivot"))
+    first = F.try_element_at(F.array_intersect("x.heads", "y.heads"), F.lit(1))
+    apart = (F.coalesce(first, F.col("x.h")) == F.col("x.h")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.row") != F.col("x.pivot")) & (F.col("y.row") != F.col("y.pivot"))
     more = stored(verified(open_lists.alias("x").join(open_lists.alias("y"), apart & _in_bounds("x", "y", num, den)).select(*pair)), "edges")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import decontaminate, exact_dedup, ngram_join, packing, secrets, toxicity
+from lotgraph.llm import decontaminate, exact_dedup, ngram_join, packing, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_warc": op5_warc,
     "op7_packing": op7_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
@@ -46,5 +51,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op9_secret_scan": secrets.oracle(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import decontaminate, exact_dedup, ngram_join, packing, secrets, toxicity, warc
+from lotgraph.llm import decontaminate, exact_dedup, idfiles, ngram_join, packing, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.report(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_warc": op5_warc,
     "op7_packing": op7_packing,
+    "op8_id_files": op8_id_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import decontaminate, exact_dedup, idfiles, ngram_join, packing, secrets, toxicity, warc
+from lotgraph.llm import decontaminate, exact_dedup, idfiles, line_dedup, ngram_join, packing, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_warc": op5_warc,
+    "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_id_files": op8_id_files,
     "op9_secret_scan": op9_secret_scan,
@@ -57,5 +62,6 @@ QUERIES = {
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op9_secret_scan": secrets.oracle(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import decontaminate, exact_dedup, idfiles, line_dedup, ngram_join, packing, secrets, toxicity, warc
+from lotgraph.llm import decontaminate, exact_dedup, idfiles, line_dedup, ngram_join, packing, quotes, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.report(table(spark, sf_dir, "conversations"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quotation_links": op4_quotation_links,
     "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
@@ -61,6 +66,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op4_quotation_links": quotes.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op9_secret_scan": secrets.oracle(),

@@ -47,7 +47,7 @@ def allocation_check(orders: DataFrame, allocated: DataFrame, tolerance: int = 5
 def bom_explode(lots: DataFrame, bom: DataFrame, material: DataFrame) -> DataFrame:
     """lot_id, component, mat_lot, qty: each component from its oldest material lot (which is never used up)."""
     oldest = first_per_key(material, ["component"], [F.asc("received"), F.asc("mat_lot")]).select("component", "mat_lot")
-    return lots.join(bom, "product").join(oldest, "component").select("lot_id", "component", "mat_lot", (F.col("qty") * F.col("per_unit") * F.col("scrap")).alias("qty"))
+    return lots.select("lot_id", "product", "qty").join(bom, "product").join(oldest, "component").select("lot_id", "component", "mat_lot", (F.col("qty") * F.col("per_unit") * F.col("scrap")).alias("qty"))
 
 
 def fill_missing_lots(lots: DataFrame, edges: DataFrame) -> DataFrame:

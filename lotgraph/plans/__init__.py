@@ -1,7 +1,7 @@
 """Queries over the driver tables and their SQL."""
 
-from lotgraph.plans import basic
+from lotgraph.plans import basic, signals
 
-_MODULES = (basic,)
+_MODULES = (basic, signals)
 QUERIES = {name: f for m in _MODULES for name, f in m.Q.items()}
 ORACLES = {name: s for m in _MODULES for name, s in m.SQL.items()}

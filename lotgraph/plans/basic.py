@@ -188,9 +188,9 @@ def upsert_merge(spark, sf):
     return mapping.upsert(c.where("c_custkey % 3 != 0"), new, "c_custkey")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an') OR contains(n_nationkey::VARCHAR, 'an')")
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'n_1')")
 def text_filter(spark, sf):
-    return dashboard.text_filter(table(spark, sf, "nation").select("n_nationkey", "n_name").withColumnsRenamed({"n_nationkey": "k", "n_name": "v"}), "an").withColumnsRenamed({"k": "n_nationkey", "v": "n_name"})
+    return dashboard.text_filter(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), "N_1").toDF("n_nationkey", "n_name")
 
 
 @query("SELECT 'both' AS op, k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'only', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotgraph.llm.scratch import stored
+
 BITS = 18
 MAX_TRAIN = 16_000  # expected size of the training sample, however many labels there are
 SHARDS = 1
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int =
             yield pd.DataFrame({"at": at, "w": w[at], "n": float(len(found))})
 
     dealt = rows.repartition(1) if shards == 1 else rows.repartition(shards, F.xxhash64("doc_id", F.lit("shard")))
-    parts = dealt.mapInPandas(fit, "at long, w double, n double")
+    parts = stored(dealt.mapInPandas(fit, "at long, w double, n double"), "weights")
     rows_of = parts.where(F.col("at") == 1 << bits).agg(F.sum("n").alias("total"))
     summed = parts.groupBy("at").agg(F.sum(F.col("w") * F.col("n")).alias("w")).crossJoin(F.broadcast(rows_of))  # one row
     got = summed.select("at", (F.col("w") / F.col("total")).alias("w")).collect()  # at most 2**bits + 1 pairs

@@ -7,9 +7,9 @@ of (doc_id, place in the text); blank lines stay, and lines under ``least`` char
 1. Equal lines form one class with its earliest place (two 64-bit hashes, combined before the shuffle).
 2. A line within one edit of another shares the first or the last half with it.  Only lines that do so go on, so the
    neighbourhoods of ordinary prose are never formed; nothing is lost by it.
-3. Such a line emits its variants with one character left out, as hashed keys: keyed by place for replacements, and
-   against whole lines for insertions.  Lines of equal keys meet; a key passes on only the earliest place, so the rows
-   grow with the lines and not with their pairs.
+3. Such a line emits itself and its variants with one character left out, as hashed keys; lines of equal keys meet.
+   With the same place left out one character is replaced, and a variant that is a whole line has one more; of each the
+   earliest place is passed on, so rows grow with the lines and not with their pairs.
 4. The pairs are verified by edit distance, and each line takes the earliest place it found.
 
 Defined cases: null and empty texts have one blank line, which stays; null doc_ids come last; rows that repeat a doc_id
@@ -18,12 +18,13 @@ and its text are taken as one and lose the same lines; an empty table gives an e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgraph.llm.scratch import stored
 
 LEAST = 20
+BROADCAST_ROWS = 2_000_000
 EDGES = " \t\r\x0b\x0c"
 
 
@@ -46,30 +47,41 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("no").alias("no"))
 
 
-def near(found: DataFrame, firsts: DataFrame, least: int = LEAST) -> DataFrame:
-    """ha, hb, near: lines within one edit of another line and the earliest place of such a line."""
-    long_lines = found.where(F.length("line") >= least).select(*_hashes(F.col("line")), "line", F.length("line").alias("n"))
-    # halves: a pair whose shorter line has m characters shares the first m // 2 or the last m - m // 2 of them
-    halves = [F.xxhash64(F.lit(side), m, half(m)) for m in (F.col("n"), F.col("n") - 1) for side, half in (("first", lambda m: F.left(F.col("line"), F.floor(m / 2).cast("int"))), ("last", lambda m: F.right(F.col("line"), (m - F.floor(m / 2)).cast("int"))))]
-    keyed = long_lines.select("ha", "hb", F.explode(F.array(*halves)).alias("half"))
+def _halves(n: Column) -> Column:
+    """Keys of halves: a pair whose shorter line has m characters shares the first m // 2 or the last m - m // 2."""
+    def both(m: Column) -> list[Column]:
+        cut = F.floor(m / 2).cast("int")
+        return [F.xxhash64(F.lit("first"), m, F.left(F.col("line"), cut)), F.xxhash64(F.lit("last"), m, F.right(F.col("line"), m - cut))]
+
+    return F.array(*both(n), *both(n - 1))
+
+
+def near(docs: DataFrame, firsts: DataFrame, least: int = LEAST, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """ha, hb, near: lines within one edit of an earlier line and the place of the earliest such line.
+
+    firsts: ha, hb, first, halves of each class of equal lines.
+    """
+    keyed = firsts.select("ha", "hb", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.min("ha").alias("lo"), F.max("ha").alias("hi")).where("lo != hi").select("half")
-    asked = keyed.join(shared, "half", "left_semi").select("ha", "hb").distinct()
-    kept = long_lines.join(asked, ["ha", "hb"], "left_semi").groupBy("ha", "hb").agg(F.first("line").alias("line"))
+    asked = stored(keyed.join(shared, "half", "left_semi").select("ha", "hb").distinct(), "asked")
+    found = lines(docs).where(F.length("line") >= least).select(*_hashes(F.col("line")), "line")
+    # up to most_broadcast pairs of numbers are sent to all tasks, so the texts need no shuffle; more are joined by key
+    sent = F.broadcast(asked) if asked.count() <= most_broadcast else asked
+    kept = found.join(sent, ["ha", "hb"], "left_semi").groupBy("ha", "hb").agg(F.first("line").alias("line"))
     kept = stored(kept.join(firsts.select("ha", "hb", "first"), ["ha", "hb"]), "candidates")
 
     n = F.length("line")
-    left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n)).alias("v")))
-    every = kept.select("ha", "hb", "line", "first", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("at"), F.col("line").alias("v"))), left_out)).alias("x"))
-    place, variant = F.col("x.at"), F.col("x.v")
-    # kind 0: a whole line, 1: a variant that may equal a whole line; at > 0: a variant by its place, for replacements
-    roles = F.explode(F.when(place == 0, F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("at")))).otherwise(F.array(F.struct(F.lit(1).alias("kind"), F.lit(0).alias("at")), F.struct(F.lit(1).alias("kind"), place.alias("at"))))).alias("role")
-    rows = every.select("ha", "hb", "first", "line", F.xxhash64(variant).alias("va"), F.xxhash64(variant, F.lit(1)).alias("vb"), roles)
-    rows = rows.select("ha", "hb", "first", "va", "vb", "role.kind", "role.at").distinct()
-    met = F.struct("first", "ha", "hb")
-    best = rows.groupBy("va", "vb", "at").agg(F.min(F.when(F.col("kind") == 0, met)).alias("whole"), F.min(F.when(F.col("kind") == 1, met)).alias("variant"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    other = F.when((F.col("at") == 0) & (F.col("kind") == 1), F.col("whole")).otherwise(F.col("variant"))
-    pairs = rows.join(best, ["va", "vb", "at"]).select("ha", "hb", "first", other.alias("o")).where("o is not null and o.first < first and (o.ha != ha or o.hb != hb)")
-    pairs = pairs.select("ha", "hb", F.col("o.ha").alias("oa"), F.col("o.hb").alias("ob"), F.col("o.first").alias("near")).distinct()
+    left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))))
+    rows = kept.select("ha", "hb", F.posexplode(F.concat(F.array(F.xxhash64("line")), left_out)).alias("at", "v"))  # at 0: the line itself
+    meet = Window.partitionBy("v")  # lines that are equal but for one character
+    met = rows.withColumns({"lo": F.min("ha").over(meet), "hi": F.max("ha").over(meet)}).where("lo != hi").select("v", "at", "ha", "hb")
+    met = stored(met.join(kept.select("ha", "hb", "first"), ["ha", "hb"]), "met")
+    line = F.struct("first", "ha", "hb")
+    # one character replaced: the same variant by the same place; one put in or left out: a variant that is a whole line
+    same = met.where("at > 0").groupBy("v", "at").agg(F.min(line).alias("o"))
+    whole = met.groupBy("v").agg(F.min(F.when(F.col("at") == 0, line)).alias("whole"), F.min(F.when(F.col("at") > 0, line)).alias("variant"))
+    pairs = met.join(same, ["v", "at"]).select("ha", "hb", "first", "o").unionByName(met.join(whole, "v").select("ha", "hb", "first", F.when(F.col("at") == 0, F.col("variant")).otherwise(F.col("whole")).alias("o")))
+    pairs = pairs.where("o is not null and o.first < first").select("ha", "hb", F.col("o.ha").alias("oa"), F.col("o.hb").alias("ob"), F.col("o.first").alias("near")).distinct()
     text = kept.select("ha", "hb", "line")
     verified = pairs.join(text, ["ha", "hb"]).join(text.toDF("oa", "ob", "other"), ["oa", "ob"]).where(F.levenshtein("line", "other", 1) >= 0)
     return verified.groupBy("ha", "hb").agg(F.min("near").alias("near"))
@@ -77,10 +89,11 @@ def near(found: DataFrame, firsts: DataFrame, least: int = LEAST) -> DataFrame:
 
 def removed(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """id, th, lost: the places of the lines that go, per document."""
-    found = lines(docs)
-    places = stored(found.select("id", "th", "no", *_hashes(F.col("line"))), "lines")
-    firsts = stored(places.groupBy("ha", "hb").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("k")), "firsts")
-    linked = near(found, firsts, least)
+    n = F.length("line")
+    places = stored(lines(docs).select("id", "th", "no", *_hashes(F.col("line")), F.when(n >= least, _halves(n)).alias("halves")), "lines")
+    firsts = places.groupBy("ha", "hb").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("k"), F.min("halves").alias("halves"))
+    firsts = stored(firsts, "firsts")
+    linked = near(docs, firsts, least)
     best = firsts.join(linked, ["ha", "hb"], "left").where("k > 1 or near is not null").select("ha", "hb", F.least("first", F.coalesce("near", "first")).alias("best"))
     gone = places.join(best, ["ha", "hb"]).where(~(F.col("best") == _place()))
     return gone.groupBy("id", "th").agg(F.collect_set("no").alias("lost"))  # at most the lines of one text

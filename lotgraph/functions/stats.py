@@ -61,6 +61,14 @@ def triangular_cdf(x: Column, a: float = 0.75, m: float = 1.0, b: float = 1.5) -
     return F.when(x <= a, 0.0).when(x >= b, 1.0).when(x < m, rise).otherwise(fall)
 
 
+def triangular_excess(c: Column, a: float = 0.75, m: float = 1.0, b: float = 1.5) -> Column:
+    """E[max(0, T - c)]."""
+    mean = (a + m + b) / 3
+    left = c - a
+    rest = b - c
+    return F.when(c <= a, mean - c).when(c >= b, 0.0).when(c < m, mean - c + left * left * left / (3 * (b - a) * (m - a))).otherwise(rest * rest * rest / (3 * (b - a) * (b - m)))
+
+
 def triangular_quantile(u: Column, a: float = 0.75, m: float = 1.0, b: float = 1.5) -> Column:
     cut = (m - a) / (b - a)
     return F.when(u < cut, a + F.sqrt(u * ((b - a) * (m - a)))).otherwise(b - F.sqrt((1 - u) * ((b - a) * (b - m))))

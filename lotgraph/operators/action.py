@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotgraph.functions import stats
 from lotgraph.operators.forward import RATE, late_probability
 
-# Option, action, share of the base recovered, overtime hours, changeovers, expedited trucks, hours it takes.
+# Option, action, share of the base recovered, overtime hours, changeovers, expedited trucks.
 OPTIONS = (
     ("A", "wait", 0.0, 0.0, 0, 0),
-    ("B", "overtime 2 h", 0.30, 2.0, 0, 0),
-    ("C", "overtime 4 h", 0.90, 4.0, 0, 0),
-    ("D", "resequence", 0.31, 0.0, 1, 0),
-    ("E", "resequence and overtime 2 h", 0.71, 2.0, 1, 0),
-    ("F", "alternative line", 0.60, 0.0, 0, 0),
-    ("G", "expedite", 0.50, 0.0, 0, 3),
+    ("B", "overtime 2 h", 0.865, 2.0, 0, 0),
+    ("C", "overtime 4 h", 1.177, 4.0, 0, 0),
+    ("D", "resequence", 0.868, 0.0, 1, 0),
+    ("E", "resequence and overtime 2 h", 1.113, 2.0, 1, 0),
+    ("F", "alternative line", 0.30, 0.0, 0, 0),
+    ("G", "expedite", 0.0, 0.0, 0, 1),
 )
 # Costs.
-COSTS = {"overtime_rate": 80_000.0, "overtime_factor": 1.5, "crew": 5.0, "overhead_h": 500_000.0, "changeover": 1_500_000.0, "truck": 5_000_000.0, "penalty_day": 2_000_000.0}
+COSTS = {"overtime_rate": 80_000.0, "overtime_factor": 1.5, "crew": 5.0, "energy_h": 500_000.0, "changeover": 1_500_000.0, "truck": 5_000_000.0, "expedite_factor": 3.0, "penalty_h": 2_000_000.0}
 
 
 def options(spark: SparkSession, alternative_line: bool = True) -> DataFrame:
@@ -27,20 +28,20 @@ def options(spark: SparkSession, alternative_line: bool = True) -> DataFrame:
 
 
 def cost(p_late: Column, delay_h: Column, overtime: float | Column = COSTS["overtime_rate"], changeover: float | Column = COSTS["changeover"]) -> Column:
-    """Overtime, changeovers, trucks if the order may be late, and a penalty by days if it is likely late."""
-    hours = F.col("overtime_h") * (F.lit(1.0) * overtime * COSTS["overtime_factor"] * COSTS["crew"] + COSTS["overhead_h"])
-    trucks = F.when(p_late > 0, F.col("trucks") * COSTS["truck"]).otherwise(0.0)
-    penalty = F.when(p_late >= 0.5, delay_h / 24 * COSTS["penalty_day"]).otherwise(0.0)
+    """Overtime, changeovers, expedited trucks if the order may be late, and a penalty by the hour if it is likely late."""
+    hours = F.col("overtime_h") * (F.lit(1.0) * overtime * COSTS["overtime_factor"] * COSTS["crew"] + COSTS["energy_h"])
+    trucks = F.when(p_late > 0, F.col("trucks") * COSTS["truck"] * COSTS["expedite_factor"]).otherwise(0.0)
+    penalty = F.when(p_late >= 0.5, delay_h * COSTS["penalty_h"]).otherwise(0.0)
     return hours + F.col("changeovers") * changeover + trucks + penalty
 
 
 def simulate(cases: DataFrame, opts: DataFrame, rate: float = RATE) -> DataFrame:
-    """case_id, option, recovered, p_late, delay_h, completion_h; cases: case_id, base, hours.  opts has seven rows."""
+    """case_id, option, recovered, p_late, shortfall (expected), delay_h, completion_h; cases: case_id, base, hours.  opts has seven rows."""
     out = cases.join(F.broadcast(opts), F.lit(True))
     recovered = F.col("base") * F.col("effect")
     out = out.withColumns({"recovered": recovered, "p_late": late_probability(F.col("base"), recovered)})
-    mean = F.greatest(F.lit(0.0), F.col("base") * (0.75 + 1.0 + 1.5) / 3 - F.col("recovered"))
-    return out.withColumns({"shortfall": mean, "delay_h": mean / rate, "completion_h": F.col("hours") + F.col("recovered") / rate})
+    mean = F.when(F.col("base") > 0, F.col("base") * stats.triangular_excess(F.try_divide("recovered", "base"))).otherwise(0.0)
+    return out.withColumns({"shortfall": mean, "delay_h": F.round(mean / rate, 2), "completion_h": F.col("hours") + F.col("recovered") / rate})
 
 
 def scored(simulated: DataFrame) -> DataFrame:

@@ -204,10 +204,11 @@ def _pl(x: str) -> str:
 
 
 def _cost(ot: str = "1", co: str = "1") -> str:
-    return f"overtime_h * (80000.0 * {ot} * 1.5 * 5 + 500000) + changeovers * 1500000.0 * {co} + CASE WHEN p_late > 0 THEN trucks * 5000000.0 ELSE 0 END + CASE WHEN p_late >= 0.5 THEN delay_h / 24 * 2000000.0 ELSE 0 END"
+    return f"overtime_h * (80000.0 * {ot} * 1.5 * 5 + 500000) + changeovers * 1500000.0 * {co} + CASE WHEN p_late > 0 THEN trucks * 5000000.0 * 3 ELSE 0 END + CASE WHEN p_late >= 0.5 THEN delay_h * 2000000.0 ELSE 0 END"
 
 
-_SIM = f""", {_CASES}, s AS (SELECT case_id, base, hours, v.*, base * effect AS recovered, {_pl("((base * effect + 10) / nullif(base, 0))")} AS p_late, greatest(0, base * 3.25 / 3 - base * effect) / 92 AS delay_h FROM c, {_EFFECT}),
+_EXCESS = "CASE WHEN effect <= 0.75 THEN 3.25 / 3 - effect WHEN effect >= 1.5 THEN 0 WHEN effect < 1 THEN 3.25 / 3 - effect + (effect - 0.75) * (effect - 0.75) * (effect - 0.75) / 0.5625 ELSE (1.5 - effect) * (1.5 - effect) * (1.5 - effect) / 1.125 END"
+_SIM = f""", {_CASES}, s AS (SELECT case_id, base, hours, v.*, base * effect AS recovered, {_pl("((base * effect + 10) / nullif(base, 0))")} AS p_late, round(CASE WHEN base <= 0 THEN 0 ELSE base * ({_EXCESS}) END / 92, 2) AS delay_h FROM c, {_EFFECT}),
 w AS (SELECT *, {_cost()} AS cost FROM s)
 """
 _PICK = "row_number() OVER (PARTITION BY {keys} ORDER BY p_late <= {p} DESC, CASE WHEN p_late <= {p} THEN cost ELSE p_late END, option)"

@@ -157,15 +157,13 @@ def _packed(path: str, end_id: int, window: int, block_tokens: int):
         held = 0
         for batch in batches:
             texts, owners = batch.column("text"), batch.column("doc_id").to_pylist()
-            for cut in range(0, len(texts), 2000):
-                got = encode(texts.slice(cut, 2000).to_pylist())
-                for name, b in zip(owners[cut : cut + 2000], got, strict=True):
-                    ids.append(b + tail)
-                    names.append(name)
-                    held += len(b) // 4 + 1
-                    if held >= block_tokens:
-                        yield flush()
-                        held = 0
+            for name, b in zip(owners, encode(texts), strict=True):
+                ids.append(b + tail)
+                names.append(name)
+                held += len(b) // 4 + 1
+                if held >= block_tokens:
+                    yield flush()
+                    held = 0
         if ids:
             yield flush()
 

@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, one chunk between white space at a time.
 
 The tokenizer's own rules never join characters across white space, so the ids of a text are the ids of its chunks in
-order.  Each task keeps a bounded table of chunk → ids and asks the library only for chunks that it has not seen.
-Words of Latin-1 letters go to the file's BPE model without the normaliser and the regex, which leave such words as
-they are; all other chunks go through the whole tokenizer.
+order.  Of each bounded batch of texts only the distinct chunks are encoded.  Words of Latin-1 letters go to the file's
+BPE model without the normaliser and the regex, which leave such words as they are but for their case; all other chunks
+go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNKS = 600_000
-_BREAKS = str.maketrans("\t\n\r", "   ")
+BATCH_BYTES = 24 << 20
+ODD = 200_000
+LETTERS = "[a-zÀ-ÖØ-öø-ÿ]+"  # after A-Z are in lower case; the tokenizer takes all of them for letters
 _BYTES = str.maketrans({c: "".join(map(chr, chr(c).encode())) for c in range(0xC0, 0x100)})  # letters beyond ASCII as their bytes
 _SHIFT = str.maketrans({b: 289 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 323})  # byte-level alphabet: bytes that do not print
 
@@ -25,16 +28,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 class Encoder:
-    """Encodes batches of texts to little-endian 32-bit ids."""
+    """Encodes arrays of texts to little-endian 32-bit ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,49 +41,90 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(chunks, got, strict=True))
-
-    def _learn_words(self, words: list[str]) -> None:
-        for cut in range(0, len(words), 2000):
-            own = words[cut : cut + 2000]
-            joined = " ".join(own)
-            if not joined.isascii():
+        self.odd: dict[str, np.ndarray] = {}
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """flat ids, and the start and number of ids of each word of letters."""
+        plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        ids, split = [np.empty(0, np.uint32)], int(plain.sum())
+        for cut in [*range(0, split, 4000), *range(split, len(order), 4000)]:
+            stop = min(cut + 4000, split if cut < split else len(order))
+            joined = " ".join(words.take(pa.array(order[cut:stop])).to_pylist())
+            if cut >= split:
                 joined = joined.translate(_BYTES).translate(_SHIFT)
-            got = self.words.encode_batch_fast([joined], add_special_tokens=False)[0]
-            got = np.array(got.ids, "<u4")
-            ids, start = got.tobytes(), 0
-            for word, end in zip(own, (4 * np.flatnonzero(self.ends[got]) + 4).tolist(), strict=True):
-                self.known[word] = ids[start:end]
-                start = end
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CHUNKS:
-            self.known = {"": b""}
-        known, rows, new, odd = self.known, [], set(), set()
-        for text in texts:
-            text = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            plain = text.isascii() or _latin(text)
-            row = (text.lower() if plain else text).split(" ")
-            rows.append(row)
-            (new if plain else odd).update(row)
-        new.difference_update(known)
-        odd.difference_update(known)
-        # a word and one mark after it are two pieces to the tokenizer as well
-        marked = [c for c in new if c[-1] in ",." and c[:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(c[:-1] for c in marked if c[:-1] not in known)
-        new.update(c for c in ",." if c not in known)
-        letters = [c for c in new if c.isalpha() and "ª" not in c and "º" not in c and "µ" not in c]
-        odd |= new.difference(letters)
-        self._learn_words([c for c in letters if c.isascii()])
-        self._learn_words([c for c in letters if not c.isascii()])
-        self._learn(list(odd))
-        known.update((c, known[c[:-1]] + known[c[-1]]) for c in marked)
-        return [b"".join(map(known.__getitem__, row)) for row in rows]
+            ids.append(np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32))
+        flat = np.concatenate(ids)
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        sizes[order] = np.diff(np.r_[0, ends])
+        starts[order] = np.r_[0, ends[:-1]] if len(ends) else ends
+        return flat, starts, sizes
+
+    def _others(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any chunks, by the whole tokenizer."""
+        if len(self.odd) > ODD:
+            self.odd.clear()
+        new = [c for c in chunks if c not in self.odd]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.odd[c] = np.array(e.ids, np.uint32)
+        got = [self.odd[c] for c in chunks]
+        return np.concatenate([np.empty(0, np.uint32), *got]), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """flat ids, and the start and number of ids of each distinct chunk."""
+        word = pc.match_substring_regex(chunks, f"^{LETTERS}$")
+        marked = pc.match_substring_regex(chunks, f"^{LETTERS}[,.]$")  # two pieces to the tokenizer as well
+        is_marked = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        is_word = np.flatnonzero(word.to_numpy(zero_copy_only=False))
+        is_other = np.flatnonzero(pc.invert(pc.or_(word, marked)).to_numpy(zero_copy_only=False))
+        both = chunks.take(pa.array(is_marked))
+        stems = pa.concat_arrays([chunks.take(pa.array(is_word)), pc.utf8_slice_codeunits(both, 0, -1)])
+        coded = pc.utf8_lower(stems).dictionary_encode()
+        flat, starts, sizes = self._words(coded.dictionary)
+        stem = coded.indices.to_numpy()
+        # a marked word is its stem's ids and the mark's id
+        comma, point = self._others([",", "."])[0].tolist()
+        own, base = stem[: len(is_word)], stem[len(is_word) :]
+        size = sizes[base] + 1
+        ends = np.cumsum(size)
+        extra = flat[np.minimum(np.repeat(starts[base] - ends + size, size) + np.arange(size.sum()), len(flat) - 1)] if len(base) else np.empty(0, np.uint32)
+        extra[ends - 1] = np.where(pc.ends_with(both, ",").to_numpy(zero_copy_only=False), comma, point)
+        rest, counts = self._others(chunks.take(pa.array(is_other)).to_pylist())
+        start, count = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        start[is_word], count[is_word] = starts[own], sizes[own]
+        start[is_marked], count[is_marked] = len(flat) + ends - size, size
+        start[is_other], count[is_other] = len(flat) + len(extra) + np.cumsum(counts) - counts, counts
+        return np.concatenate([flat, extra, rest]), start, count
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; Arrow tells the chunks apart, and only distinct ones of a batch are encoded."""
+        out: list[bytes] = []
+        texts = pc.fill_null(texts, "")
+        filled = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = filled[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(filled, before + BATCH_BYTES, side="right")))
+            out += self._batch(texts.slice(at, stop - at))
+            at = stop
+        return out
+
+    def _batch(self, texts: pa.Array) -> list[bytes]:
+        part = pc.ascii_lower(texts)
+        for mark in "\n\t\r":
+            part = pc.replace_substring(part, mark, " ")
+        rows = pc.split_pattern(part, " ")
+        coded = rows.flatten().dictionary_encode()
+        flat, starts, sizes = self._chunks(coded.dictionary)
+        word = coded.indices.to_numpy()
+        size = sizes[word]
+        ends = np.cumsum(size)
+        place = np.repeat((starts[word] - ends + size).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat.astype("<u4")[place].tobytes()
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False))]] * 4
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)

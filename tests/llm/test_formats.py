@@ -1,0 +1,235 @@
+"""WARC, packing, id files, quotation links, pipeline: round trips and brute force."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lotgraph.llm import idcoder, idfiles, packing, quotes, tokens, warc
+from lotgraph.llm.scratch import new_path
+
+SCHEMA = "doc_id long, text string, lang string, start int, n_tokens int"
+TEXTS = [
+    (4, "Hello, hello world. It's 3,5!! ..."), (1, None), (2, ""), (7, "<|endoftext|> ça va ÉTÉ naïve ½ µ ªº x<|endoftext|>y"), (3, "ΑΣ İstanbul é́ x\x1cb\x85c,"), (5, "word " * 9000), (5, "word " * 9000), (None, "a.b,c. d,"), (6, "\t\n \r x"), (8, "日本語 テスト"),
+]
+
+
+def frame(spark, pairs):
+    return spark.createDataFrame([(i, t, "en", 1, 2) for i, t in pairs], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
+def encoded(tokenizer, text, end):
+    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+def test_chunked_encoding_equals_the_library(tokenizer):
+    encode = tokens.Encoder(tokens.tokenizer_path())
+    got = encode(pa.array([t for _, t in TEXTS], pa.string()))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [encoded(tokenizer, t, 0)[:-1].tolist() for _, t in TEXTS]
+    assert encode(pa.array([], pa.string())) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZé,.'!s \n\t3ßÀ́½'<|>"), max_size=40), max_size=4))
+def test_any_text_is_encoded_as_by_the_library(texts):
+    tok = Tokenizer.from_file(tokens.tokenizer_path()) if not hasattr(test_any_text_is_encoded_as_by_the_library, "tok") else test_any_text_is_encoded_as_by_the_library.tok
+    test_any_text_is_encoded_as_by_the_library.tok = tok
+    got = tokens.encoder(tokens.tokenizer_path())(pa.array(texts, pa.string()))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 65_535), max_size=300), st.sampled_from([1, 7, 64, 512]))
+def test_range_coder_round_trip(ids, block):
+    ids = np.array(ids + ids[: len(ids) // 2], np.uint32)
+    assert idcoder.decode(idcoder.encode(ids, block), len(ids), block).tolist() == ids.tolist()
+
+
+def test_range_coder_compresses_repetition_and_checks_blocks():
+    rng = np.random.default_rng(0)
+    ids = np.tile(rng.integers(0, 40_000, 40), 100).astype(np.uint32)
+    data = idcoder.pack_file(3, 1, np.array([5]), np.array([len(ids)]), ids)
+    assert len(data) < len(ids)
+    shard, part, names, lengths, back = idcoder.unpack_file(data + b"\n")
+    assert (shard, part, names.tolist(), lengths.tolist()) == (3, 1, [5], [len(ids)]) and (back == ids).all()
+    broken = bytearray(data)
+    broken[-30] ^= 255
+    with pytest.raises(ValueError):
+        idcoder.unpack_file(bytes(broken))
+    with pytest.raises(ValueError):
+        idcoder.encode(np.array([70_000], np.uint32))
+
+
+def test_id_files_round_trip(spark, tokenizer):
+    path = new_path(spark, "ids")
+    idfiles.write(frame(spark, TEXTS), path, file_ids=3000)
+    assert spark.read.format("binaryFile").load(path).count() > 2
+    got = idfiles.read(spark, path).orderBy("start").collect()
+    order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0))
+    start = 0
+    for r, (i, text) in zip(got, order, strict=True):
+        ids = encoded(tokenizer, text, 1)
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert idfiles.report(frame(spark, [])).count() == 0
+
+
+def checked(rows, ids, window=4096):
+    """Each id lies in one piece, sequences have no gap; returns the padding."""
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    padding = 0
+    for seq in sequences.values():
+        at = 0
+        for offset, length in sorted(seq):
+            assert offset == at
+            at += length
+        assert at <= window
+        padding += 0 if at & (at - 1) == 0 else window - at
+    for r in rows:
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes())
+    return padding
+
+
+def test_packing_loses_no_id(spark, tokenizer):
+    ids = {i: encoded(tokenizer, t, 2) for i, t in TEXTS}
+    for block in (10, 20_000, 4_000_000):
+        rows = packing.pack(frame(spark, TEXTS), block_tokens=block).collect()
+        assert checked(rows, ids) == 0
+        assert sum(r.length for r in rows) == sum(len(ids[i]) for i, _ in TEXTS)
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_packing_plan_uses_exact_combinations():
+    rng = np.random.default_rng(0)
+    lengths = np.concatenate([np.full(200, 1000), np.full(200, 3096), np.full(90, 2048), rng.integers(1, 9000, 300)])
+    plan = packing.plan(lengths)
+    cover = [np.zeros(n, int) for n in lengths]
+    for seq in plan:
+        assert sum(n for _, _, n in seq) <= 4096
+        for d, s, n in seq:
+            cover[d][s : s + n] += 1
+    assert all((c == 1).all() for c in cover)
+    whole = sum(len(seq) == 2 and {n for _, _, n in seq} == {1000, 3096} for seq in plan)
+    assert whole >= 150
+    hist = np.bincount([10, 10, 4086], minlength=4096).astype(float)
+    x = packing.repeat_counts(hist, packing.combinations(hist))
+    assert x.min() >= 0 and abs(x[0] - 1.5) < 0.01  # least squares of (2, 1) with one pair
+
+
+PAGES = [(1, "http://a", "x" * 150), (2, "http://b\r\nX: y", "x" * 150), (3, None, None), (4, "u", "é" * 20_000), (5, "u", "short"), (6, "u", "short"), (None, "u", "x" * 150), (8, "u", "a\r\n0\r\n\r\nWARC/1.1\r\n" * 20), (9, "u", "x" * 99), (10, "u", "x" * 99)]
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
+
+
+def test_warc_round_trip(spark):
+    got = {r.page_id: r for r in warc.round_trip(pages(spark, PAGES)).collect()}
+    assert len(got) == len(PAGES)
+    for i, _, html in PAGES:
+        data = (html or "").encode()
+        r = got[i]
+        assert (r.payload_bytes, r.payload_digest, r.problem) == (len(data), hashlib.sha256(data).hexdigest(), None)
+        assert (r.record_type, r.refers_to) == (("revisit", 1) if i in (2, None) else ("response", None))
+    assert warc.round_trip(pages(spark, [])).count() == 0
+    assert warc.round_trip(pages(spark, [PAGES[0], PAGES[0]])).where("record_type = 'response'").count() == 2
+
+
+def test_warc_names_broken_records(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write(pages(spark, [PAGES[3]]), path)
+    lines = spark.read.format("binaryFile").load(path).where("length > 30").first().content
+    data = zlib.decompress(bytes(lines), 31)
+    records = [b"WARC/1.1" + x for x in data.split(b"WARC/1.1")[1:]]
+    assert len(records) > 2
+    (tmp_path / "lost").mkdir()
+    (tmp_path / "lost/part-0").write_bytes(b"".join(reversed(records[:1] + records[2:])))
+    assert warc.read(spark, str(tmp_path / "lost")).first().problem == "segments are missing or repeated"
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed/part-0").write_bytes(b"".join(reversed(records)))
+    r = warc.read(spark, str(tmp_path / "mixed")).first()
+    assert r.problem is None and r.payload.decode() == PAGES[3][2]
+    assert warc.unchunked(warc.chunked(b"abc" * 5000)) == b"abc" * 5000
+    with pytest.raises(ValueError):
+        warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+CHAT = [
+    (1, 0, "user", "Where is the  train?"), (1, 1, "bot", "At platform two.\nIt leaves soon."), (1, 2, "user", "> where is the train?\nStill waiting."), (1, 3, "bot", "> At platform two.\n> It leaves soon.\nNo, it left."),
+    (1, 4, "user", "> > At platform two.\n> > It leaves soon.\n> No, it left.\nOh."), (1, 5, "user", "> It leaves soon.\nWhen?"), (1, 6, "user", "> nobody said this\n"), (2, 0, "user", "> Where is the train?"), (2, 1, "bot", None),
+    (None, 0, "user", "hi"), (None, 1, "bot", ">hi\nhello"), (3, None, "user", "> hi"), (3, 2, "user", ""), (3, 2, "user", ""), (4, 0, "user", "x\n" * 20_000),
+]
+
+
+def chat(spark, rows):
+    return spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, depth int")
+
+
+def test_quotation_links(spark):
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(chat(spark, CHAT)).collect()}
+    links = {k: r.reply_to for k, r in got.items() if r.reply_to is not None}
+    assert links == {(1, 2): 0, (1, 3): 1, (1, 4): 3, (1, 5): 1, (None, 1): 0}
+    assert (got[1, 4].root_turn, got[1, 4].depth, got[1, 4].content) == (1, 2, "Oh.")
+    assert [r.turn for r in sorted((r for k, r in got.items() if k[0] == 1), key=lambda r: r.position)] == [0, 2, 1, 3, 4, 5, 6]
+    assert got[2, 0].content == "" and got[2, 1].content == ""
+    out = quotes.conversations(chat(spark, CHAT))
+    assert out.count() == len(CHAT)
+    assert sorted(r.position for r in out.where("conv_id = 3").collect()) == [1, 2, 3]
+    assert quotes.conversations(chat(spark, [])).count() == 0
+
+
+def test_quotation_links_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("conversations", pa.Table.from_pylist([{"conv_id": c, "turn": t, "role": r, "text": x} for c, t, r, x in CHAT]))
+    want = con.execute(quotes.ORACLE).fetchall()
+    names = [d[0] for d in con.description]
+    got = [tuple(r[n] for n in names) for r in quotes.report(chat(spark, CHAT)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_long_conversations_are_numbered_without_gaps(spark):
+    rows = [(1, k, "user", f"m{k}" if k % 7 else f"> m{k - 1}\nm{k}") for k in range(1, 1500)]
+    got = quotes.conversations(chat(spark, rows)).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 1500))
+    assert all(a.root_turn <= b.root_turn for a, b in zip(got, got[1:], strict=False))
+
+
+def test_pipeline_stages_keep_columns_and_catch_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(0)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    item = words(30)
+    docs = [(i, words(120)) for i in range(200)]
+    docs += [(300, docs[3][1]), (301, docs[4][1] + " tail"), (302, words(40) + " " + item + " " + words(40)), (303, None), (304, "")]
+    sf = str(tmp_path)
+    frame(spark, docs).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(100)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    left, gone = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, left, sf)
+        assert out.columns == left.columns
+        out.write.parquet(f"{sf}/s{k}")
+        new = spark.read.parquet(f"{sf}/s{k}")
+        gone.append({r.doc_id for r in left.select("doc_id").subtract(new.select("doc_id")).collect()})
+        left = new
+    assert gone == [set(), {300, 304}, {301}, {302}]
+    assert corpus_pipeline.run(spark, sf).agg(F.count_distinct("doc_id")).first()[0] == left.count()

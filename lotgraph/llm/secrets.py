@@ -6,8 +6,8 @@ than three characters asks for nothing.  ``postings`` is the inverted index of t
 ``candidates`` intersects posting lists per conjunction and unites them per rule, and ``scan`` verifies candidate
 texts with the regex itself.  A rule without mandatory trigrams scans every text.
 
-Posting lists hold a 64-bit hash of the text: copies share one entry, and a collision only adds a candidate, which
-the regex then refuses.  Trigrams are compared in lower case, which can only add candidates too.
+Posting lists hold a 64-bit hash of doc_id and text, so copies are spread; rows that repeat both share one entry, and a
+collision only adds a candidate, which the regex then refuses.  Trigrams are compared in lower case, which can only add candidates too.
 
 Defined cases: null text counts as empty and has no spans; a null doc_id keeps its row; repeated rows each give a row;
 an empty table gives an empty result; extra columns play no part.  Offsets are code points, ends exclusive.
@@ -106,10 +106,14 @@ def _text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
+def _key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], _text(docs))
+
+
 def postings(docs: DataFrame, rules=RULES) -> DataFrame:
     """The inverted index: one row (trigram, key) per trigram that a rule asks for and text that has it."""
     asked = sorted({g for r in rules for term in trigram_query(r.regex) for g in term})
-    low = docs.select(F.xxhash64(_text(docs)).alias("key"), F.lower(_text(docs)).alias("low"))
+    low = docs.select(_key(docs).alias("key"), F.lower(_text(docs)).alias("low"))
     has = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in asked])) if asked else F.array().cast("array<string>")
     return low.select("key", F.explode(has).alias("trigram"))
 
@@ -156,7 +160,7 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs with __spans: their verified spans by start, then kind as listed."""
-    keyed = docs.withColumns({"__text": _text(docs), "__key": F.xxhash64(_text(docs))})
+    keyed = docs.withColumns({"__text": _text(docs), "__key": _key(docs)})
     kinds = candidates(postings(docs, rules), rules).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
     joined = keyed.join(kinds, "__key", "left")
     none = F.array().cast(SPAN)

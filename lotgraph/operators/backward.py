@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgraph.functions import stats
+from lotgraph.functions.values import seconds
 from lotgraph.operators import graph
 
 BAD = ("NG", "FAIL", "NOT OK")
@@ -16,31 +17,40 @@ def ng_lots(qc: DataFrame) -> DataFrame:
     return qc.where(F.col("result").isin(*BAD)).select("lot_id").distinct()
 
 
-def candidates(cases: DataFrame, edges: DataFrame, events: DataFrame, consumption: DataFrame, lots: DataFrame, scope: str = "all") -> DataFrame:
-    """case_id, kind, candidate, lot_id: what the case's lot and its ancestors went through, with the related lots.
+def members(edges: DataFrame, events: DataFrame, consumption: DataFrame, lots: DataFrame) -> DataFrame:
+    """kind, candidate, lot_id: the lots that each machine, material lot, batch or shift (if lots has it) touched."""
+    def of(df: DataFrame, column: str, kind: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("candidate"), "lot_id").where("candidate is not null")
 
-    scope: all lots on that machine or material, or (as in the reference) only the ancestor lots.
-    """
-    seeds = cases.select(F.col("lot_id").alias("seed")).distinct()
-    up = graph.reach(edges, seeds, max_depth=None, include_seed=True).select("seed", "node")
-    line = cases.join(up, F.col("lot_id") == F.col("seed")).select("case_id", "node").distinct()
+    batch = graph.simple(edges).select(F.lit("BATCH").alias("kind"), F.col("parent").cast("string").alias("candidate"), F.col("child").alias("lot_id")).where(F.col("candidate").startswith("BATCH"))
+    out = of(events, "station_id", "MACHINE").union(of(consumption, "mat_lot", "MATERIAL")).union(batch)
+    return (out.union(of(lots, "shift", "SHIFT")) if "shift" in lots.columns else out).distinct()
+
+
+def lineage(cases: DataFrame, edges: DataFrame) -> DataFrame:
+    """case_id, node: each case's lot and its ancestors."""
+    up = graph.reach(edges, cases.select(F.col("lot_id").alias("seed")).distinct(), max_depth=None, include_seed=True)
+    return cases.join(up, F.col("lot_id") == F.col("seed")).select("case_id", "node").distinct()
 
-    def of(df: DataFrame, column: str, kind: str) -> DataFrame:
-        own = df.select(F.col("lot_id").alias("l"), F.col(column).cast("string").alias("candidate")).where("candidate is not null").distinct()
-        mine = line.join(own, F.col("node") == F.col("l")).select("case_id", "candidate", F.col("l").alias("lot_id")).distinct()
-        if scope == "all":
-            mine = mine.select("case_id", "candidate").distinct().join(own.withColumnRenamed("l", "lot_id"), "candidate")
-        return mine.select("case_id", F.lit(kind).alias("kind"), "candidate", "lot_id")
 
-    batch = line.join(graph.simple(edges).withColumnRenamed("parent", "node"), "node").where(F.col("node").cast("string").startswith("BATCH"))
-    out = of(events, "station_id", "MACHINE").union(of(consumption, "mat_lot", "MATERIAL")).union(batch.select("case_id", F.lit("BATCH").alias("kind"), F.col("node").cast("string").alias("candidate"), F.col("child").alias("lot_id")))
-    return out.union(of(lots, "shift", "SHIFT")).distinct() if "shift" in lots.columns else out.distinct()
+def candidates(line: DataFrame, touched: DataFrame) -> DataFrame:
+    """case_id, kind, candidate: what the nodes of a case's lineage went through, and its batches themselves."""
+    own = line.join(touched, F.col("node") == F.col("lot_id")).where("kind != 'BATCH'").select("case_id", "kind", "candidate")
+    batches = touched.where("kind = 'BATCH'").select("kind", "candidate").distinct()
+    return own.union(line.withColumn("candidate", F.col("node").cast("string")).join(batches, "candidate").select("case_id", "kind", "candidate")).distinct()
+
+
+def ancestor_members(line: DataFrame, touched: DataFrame) -> DataFrame:
+    """case_id, kind, candidate, lot_id as in the reference: of machines and materials only the lineage's own lots."""
+    own = line.join(touched, F.col("node") == F.col("lot_id")).where("kind != 'BATCH'").select("case_id", "kind", "candidate", "lot_id")
+    return own.union(candidates(line, touched).where("kind = 'BATCH'").join(touched, ["kind", "candidate"]).select("case_id", "kind", "candidate", "lot_id")).distinct()
 
 
 def contingency(related: DataFrame, lots: DataFrame) -> DataFrame:
     """keys of related, a, b, c, d: bad and good lots with and without the candidate; lots: lot_id, is_ng.
 
-    Only the related lots are joined; the rest comes from the totals of one row.
+    A candidate's table does not depend on the case, so it is made once for all cases.  Only the related lots are
+    joined; the rest comes from the totals of one row.
     """
     keys = [c for c in related.columns if c != "lot_id"]
     total = lots.agg(F.count_if("is_ng").alias("ng"), F.count(F.lit(1)).alias("n"))
@@ -77,25 +87,40 @@ def insufficient(best: DataFrame) -> DataFrame:
     return best.where("rank = 1").select("case_id", (~F.col("significant") & (F.col("score") < 0.3)).alias("insufficient"))
 
 
-def containment(best: DataFrame, related: DataFrame, events: DataFrame) -> DataFrame:
+def containment(best: DataFrame, touched: DataFrame, events: DataFrame) -> DataFrame:
     """case_id, candidate, n_isolated, n_baseline, reduction.
 
-    A machine isolates its lots within 12 hours of the bad lot's first event, other kinds all related lots; the
-    baseline is all lots with an event on the bad lot's day.  best: case_id, lot_id, kind, candidate.
+    A machine isolates its lots within 12 hours of the bad lot's first event (found by half-day windows), other kinds
+    all lots they touched, which are counted once per candidate; the bad lot itself always counts.  The baseline is all
+    lots with an event on the bad lot's day.  best: case_id, lot_id, kind, candidate.
     """
+    half = 12 * 3600
     first = events.groupBy("lot_id").agg(F.min("ts").alias("t0"))
     base = best.join(first, "lot_id")
-    near = events.select(F.col("station_id").cast("string").alias("candidate"), F.col("lot_id").alias("l"), "ts")
-    half_day = F.abs(F.timestamp_diff("SECOND", F.col("t0"), F.col("ts"))) <= 12 * 3600
-    machine = base.where("kind = 'MACHINE'").join(near, "candidate").where(half_day).select("case_id", "candidate", "l")
-    other = base.where("kind != 'MACHINE'").select("case_id", "kind", "candidate").join(related.withColumnRenamed("lot_id", "l"), ["case_id", "kind", "candidate"]).select("case_id", "candidate", "l")
-    own = base.select("case_id", "candidate", F.col("lot_id").alias("l"))
-    isolated = machine.union(other).union(own).distinct().groupBy("case_id", "candidate").agg(F.count(F.lit(1)).alias("n_isolated"))
+    probe = base.where("kind = 'MACHINE'").select("case_id", "candidate", "t0", F.col("lot_id").alias("own"), F.explode(F.array(*[F.floor(seconds(F.col("t0")) / half) + k for k in (-1, 0, 1)])).alias("_w"))
+    seen = events.select(F.col("station_id").cast("string").alias("candidate"), F.col("lot_id").alias("l"), "ts", F.floor(seconds(F.col("ts")) / half).alias("_w"))
+    near = probe.join(seen, ["candidate", "_w"]).where(F.abs(seconds(F.col("ts")) - seconds(F.col("t0"))) <= half).select("case_id", "candidate", "l")
+    near = near.union(base.where("kind = 'MACHINE'").select("case_id", "candidate", "lot_id")).distinct()
+    machine = near.groupBy("case_id", "candidate").agg(F.count(F.lit(1)).alias("n_isolated"))
+    sizes = touched.groupBy("kind", "candidate").agg(F.count(F.lit(1)).alias("k"))
+    inside = touched.withColumn("inside", F.lit(1))
+    other = base.where("kind != 'MACHINE'").join(sizes, ["kind", "candidate"]).join(inside, ["kind", "candidate", "lot_id"], "left")
+    other = other.select("case_id", "candidate", (F.col("k") + 1 - F.coalesce("inside", F.lit(0))).alias("n_isolated"))
     per_day = events.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("lot_id").alias("n_baseline"))
-    out = base.select("case_id", "candidate", F.to_date("t0").alias("day")).distinct().join(per_day, "day").join(isolated, ["case_id", "candidate"])
+    out = base.select("case_id", "candidate", F.to_date("t0").alias("day")).distinct().join(per_day, "day").join(machine.union(other), ["case_id", "candidate"])
     return out.select("case_id", "candidate", "n_isolated", "n_baseline", (1 - F.col("n_isolated") / F.col("n_baseline")).alias("reduction"))
 
 
+def diagnose(cases: DataFrame, edges: DataFrame, events: DataFrame, consumption: DataFrame, lots: DataFrame, top: int = 3) -> DataFrame:
+    """The whole ranking: candidates, tests, score and containment of the top causes of each case; lots has is_ng."""
+    touched = members(edges, events, consumption, lots)
+    found = candidates(lineage(cases, edges), touched)
+    tests = found.join(tested(contingency(touched.join(found.select("kind", "candidate").distinct(), ["kind", "candidate"], "left_semi"), lots)), ["kind", "candidate"])
+    best = ranked(tests, top=top)
+    kept = containment(best.select("case_id", "kind", "candidate").join(cases, "case_id"), touched, events)
+    return best.join(kept, ["case_id", "candidate"], "left")
+
+
 def accuracy(rows: DataFrame, expected: str, ranked_list: str) -> DataFrame:
     """n, top1, top3 of ranked candidate lists."""
     hit = lambda k: F.avg(F.array_contains(F.slice(ranked_list, 1, k), F.col(expected)).cast("double"))

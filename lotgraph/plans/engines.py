@@ -83,12 +83,12 @@ def material_check(spark, sf):
     return forward.material_check(need, bom, have).withColumn("required", F.round("required", 4))
 
 
-_CASES = "c AS (SELECT case_id, CASE WHEN case_id % 5 = 0 THEN 0.0 ELSE 5.0 + case_id % 300 END AS base, hours FROM inc WHERE case_id % 40 = 0)"
+_CASES = "c AS (SELECT case_id, CASE WHEN case_id % 5 = 0 THEN 0.0 ELSE 5.0 + case_id % 300 END AS base, hours FROM inc)"
 
 
 def _cases(spark, sf):
     k = F.col("case_id")
-    return incidents(spark, sf).where("case_id % 40 = 0").select("case_id", F.when(k % 5 == 0, 0.0).otherwise(5.0 + k % 300).alias("base"), "hours", "start_ts")
+    return incidents(spark, sf).select("case_id", F.when(k % 5 == 0, 0.0).otherwise(5.0 + k % 300).alias("base"), "hours", "start_ts")
 
 
 @query(sql("inc", f""", {_CASES}, x AS (SELECT case_id, base * CASE WHEN u < 0.25 / 0.75 THEN 0.75 + sqrt(u * 0.1875) ELSE 1.5 - sqrt((1 - u) * 0.375) END AS x FROM c, (SELECT (i + 0.5) / 2000 AS u FROM range(0, 2000) t(i)))
@@ -126,72 +126,91 @@ def sched_overlap(spark, sf):
 
 
 def _bad_cases(spark, sf):
-    bad = lots(spark, sf).where("is_ng and jt_id % 50 = 0")
+    bad = lots(spark, sf).where("is_ng")
     return bad.groupBy("jt_id").agg(F.min("lot_id").alias("lot_id")).select(F.col("jt_id").alias("case_id"), "lot_id")
 
 
-def _candidates(spark, sf, scope="all"):
+def _inputs(spark, sf):
     own = lots(spark, sf)
     edges = own.select(F.concat(F.lit("BATCH-"), F.col("jt_id")).alias("parent"), F.col("lot_id").alias("child"))
     events = own.select("lot_id", F.col("station").alias("station_id"), F.col("created").alias("ts"))
-    return backward.candidates(_bad_cases(spark, sf), edges, events, own.select("lot_id", "mat_lot"), own.select("lot_id"), scope)
+    return edges, events, own.select("lot_id", "mat_lot"), own.select("lot_id", "is_ng")
 
 
-_CAND = """, bad AS (SELECT jt_id AS case_id, min(lot_id) AS lot_id FROM lots WHERE is_ng AND jt_id % 50 = 0 GROUP BY jt_id),
-cand AS (SELECT DISTINCT case_id, 'MACHINE' AS kind, l.station::VARCHAR AS candidate, r.lot_id FROM bad JOIN lots l ON l.lot_id = bad.lot_id JOIN lots r ON r.station = l.station
-  UNION ALL SELECT DISTINCT case_id, 'MATERIAL', l.mat_lot::VARCHAR, r.lot_id FROM bad JOIN lots l ON l.lot_id = bad.lot_id JOIN lots r ON r.mat_lot = l.mat_lot
-  UNION ALL SELECT DISTINCT case_id, 'BATCH', 'BATCH-' || l.jt_id, r.lot_id FROM bad JOIN lots l ON l.lot_id = bad.lot_id JOIN lots r ON r.jt_id = l.jt_id)
+def _candidates(spark, sf):
+    """(case candidates, lots touched by each candidate)."""
+    edges, events, used, own = _inputs(spark, sf)
+    touched = backward.members(edges, events, used, own)
+    return backward.candidates(backward.lineage(_bad_cases(spark, sf), edges), touched), touched
+
+
+_CAND = """, bad AS (SELECT jt_id AS case_id, min(lot_id) AS lot_id FROM lots WHERE is_ng GROUP BY jt_id),
+mem AS (SELECT 'MACHINE' AS kind, station::VARCHAR AS candidate, lot_id FROM lots UNION ALL SELECT 'MATERIAL', mat_lot::VARCHAR, lot_id FROM lots UNION ALL SELECT 'BATCH', 'BATCH-' || jt_id, lot_id FROM lots),
+cand AS (SELECT case_id, kind, candidate FROM bad JOIN mem USING (lot_id))
 """
 _TABLE = """, tot AS (SELECT count(*) FILTER (is_ng) AS ng, count(*) AS n FROM lots),
-tab AS (SELECT case_id, kind, candidate, count(*) FILTER (is_ng) AS a, count(*) FILTER (NOT is_ng) AS b FROM cand JOIN lots USING (lot_id) GROUP BY ALL),
+tab AS (SELECT kind, candidate, count(*) FILTER (is_ng) AS a, count(*) FILTER (NOT is_ng) AS b FROM mem JOIN lots USING (lot_id) GROUP BY ALL),
 t AS (SELECT tab.*, ng - a AS c, n - ng - b AS d FROM tab, tot)
 """
 _FISHER = """, k AS (SELECT t.*, unnest(range(greatest(0, (a + c) - (c + d)), least(a + b, a + c) + 1)) AS k FROM t),
 pm AS (SELECT *, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) AS p,
   exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1)) AS p0 FROM k),
-fi AS (SELECT case_id, kind, candidate, a, b, c, d, least(1.0, sum(p) FILTER (p <= p0 * (1 + 1e-7))) AS p, (a / (a + b)) / ((a + c) / (a + b + c + d)) AS lift FROM pm GROUP BY ALL)
+fi AS (SELECT kind, candidate, a, b, c, d, least(1.0, sum(p) FILTER (p <= p0 * (1 + 1e-7))) AS p, (a / (a + b)) / ((a + c) / (a + b + c + d)) AS lift FROM pm GROUP BY ALL)
 """
 
 
-def _tested(spark, sf):
-    return backward.tested(backward.contingency(_candidates(spark, sf), lots(spark, sf)))
-
-
-@query(sql("lots", f"{_CAND} SELECT case_id, kind, candidate, count(*) AS n FROM cand GROUP BY ALL"))
+@query(sql("lots", f"{_CAND} SELECT * FROM cand"))
 def candidates(spark, sf):
-    return _candidates(spark, sf).groupBy("case_id", "kind", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    return _candidates(spark, sf)[0]
 
 
 @query(sql("lots", f"{_CAND}{_TABLE} SELECT * FROM t"))
 def contingency(spark, sf):
-    return backward.contingency(_candidates(spark, sf), lots(spark, sf))
+    edges, events, used, own = _inputs(spark, sf)
+    return backward.contingency(backward.members(edges, events, used, own), own)
 
 
-@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER} SELECT case_id, kind, candidate, round(p, 5) AS p, round(lift, 5) AS lift FROM fi"))
+@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER} SELECT kind, candidate, round(p, 5) AS p, round(lift, 5) AS lift FROM fi"))
 def fisher_lift(spark, sf):
-    return _tested(spark, sf).select("case_id", "kind", "candidate", F.round("p", 5).alias("p"), F.round("lift", 5).alias("lift"))
+    edges, events, used, own = _inputs(spark, sf)
+    tests = backward.tested(backward.contingency(backward.members(edges, events, used, own), own))
+    return tests.select("kind", "candidate", F.round("p", 5).alias("p"), F.round("lift", 5).alias("lift"))
 
 
-@query(sql("lots", f"""{_CAND}{_TABLE}{_FISHER}, q AS (SELECT *, -log10(greatest(round(p, 6), 1e-10)) AS l FROM fi),
+@query(sql("lots", f"""{_CAND}{_TABLE}{_FISHER}, q AS (SELECT case_id, fi.*, -log10(greatest(round(p, 6), 1e-10)) AS l FROM cand JOIN fi USING (kind, candidate)),
 sc AS (SELECT *, round(0.5 * CASE WHEN max(l) OVER w - min(l) OVER w < 1e-9 THEN 0.5 ELSE (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w) END
-  + 0.3 * CASE WHEN max(lift) OVER w - min(lift) OVER w < 1e-9 THEN 0.5 ELSE (lift - min(lift) OVER w) / (max(lift) OVER w - min(lift) OVER w) END + 0.2 * 0.5, 4) AS score FROM q WINDOW w AS (PARTITION BY case_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, CASE kind WHEN 'MACHINE' THEN 1 WHEN 'MATERIAL' THEN 2 ELSE 3 END, candidate) AS rank FROM sc)
-SELECT case_id, rank, kind, candidate, score FROM r WHERE rank <= 3"""))
+  + 0.3 * CASE WHEN max(lift) OVER w - min(lift) OVER w < 1e-9 THEN 0.5 ELSE (lift - min(lift) OVER w) / (max(lift) OVER w - min(lift) OVER w) END + 0.2 * 0.5, 4) AS score FROM q WINDOW w AS (PARTITION BY case_id))
+SELECT case_id, count(*) AS n, round(max(score), 4) AS best, round(min(score), 4) AS least FROM sc GROUP BY case_id"""))
 def score_topk(spark, sf):
-    tests = _tested(spark, sf).withColumn("p", F.round("p", 6))
-    return backward.ranked(tests).select("case_id", F.col("rank").cast("long").alias("rank"), "kind", "candidate", F.round("score", 4).alias("score"))
+    found, touched = _candidates(spark, sf)
+    tests = found.join(backward.tested(backward.contingency(touched, _inputs(spark, sf)[3])), ["kind", "candidate"]).withColumn("p", F.round("p", 6))
+    best = backward.ranked(tests)
+    return best.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.min("score"), 4).alias("least"))
 
 
-@query(sql("lots", f"""{_CAND}, f AS (SELECT bad.*, created AS t0 FROM bad JOIN lots USING (lot_id)), b AS (SELECT created::DATE AS day, count(*) AS n FROM lots GROUP BY 1),
-i AS (SELECT f.case_id, l.station::VARCHAR AS candidate, r.lot_id FROM f JOIN lots l ON l.lot_id = f.lot_id JOIN lots r ON r.station = l.station AND abs(epoch(r.created) - epoch(f.t0)) <= 43200
-  UNION SELECT case_id, candidate, lot_id FROM cand WHERE kind <> 'MACHINE' UNION SELECT DISTINCT case_id, candidate, bad.lot_id FROM cand JOIN bad USING (case_id)),
-c AS (SELECT case_id, candidate, count(DISTINCT lot_id) AS n_isolated FROM i GROUP BY 1, 2)
+@query(sql("lots", f"""{_CAND}, f AS (SELECT bad.*, station, created AS t0 FROM bad JOIN lots USING (lot_id)), b AS (SELECT created::DATE AS day, count(*) AS n FROM lots GROUP BY 1),
+c AS (SELECT f.case_id, f.station::VARCHAR AS candidate, count(DISTINCT r.lot_id) AS n_isolated FROM f JOIN lots r ON r.station = f.station AND abs(floor(epoch(r.created)) - floor(epoch(f.t0))) <= 43200 GROUP BY 1, 2
+  UNION ALL SELECT case_id, candidate, n FROM cand JOIN (SELECT kind, candidate, count(*) AS n FROM mem GROUP BY 1, 2) USING (kind, candidate) WHERE kind <> 'MACHINE')
 SELECT c.case_id, candidate, n_isolated, b.n AS n_baseline, round(1 - n_isolated / b.n, 4) AS reduction FROM c JOIN f ON f.case_id = c.case_id JOIN b ON b.day = f.t0::DATE"""))
 def containment(spark, sf):
-    related = _candidates(spark, sf)
-    best = related.select("case_id", "kind", "candidate").distinct().join(_bad_cases(spark, sf), "case_id")
-    events = lots(spark, sf).select("lot_id", F.col("station").alias("station_id"), F.col("created").alias("ts"))
-    return backward.containment(best, related, events).withColumn("reduction", F.round("reduction", 4))
+    found, touched = _candidates(spark, sf)
+    best = found.join(_bad_cases(spark, sf), "case_id")
+    return backward.containment(best, touched, _inputs(spark, sf)[1]).withColumn("reduction", F.round("reduction", 4))
+
+
+@query()
+def forward_predict(spark, sf):
+    e = _events(spark, sf)
+    own = e.select("lot_id", (F.col("station_id") % 4).cast("string").alias("product"), (F.col("lot_id") % 90).alias("qty"), F.col("ts").alias("created"))
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("string").alias("product"), F.col("o_orderkey").alias("jt_id"), (20 + F.col("o_orderkey") % 50).alias("qty"), F.timestamp_add("YEAR", F.lit(28), F.col("o_orderdate")).alias("due"), (F.col("o_orderstatus") == "F").alias("fulfilled"))
+    return forward.predict(incidents(spark, sf), own, e, o)
+
+
+@query()
+def backward_diagnose(spark, sf):
+    edges, events, used, own = _inputs(spark, sf)
+    out = backward.diagnose(_bad_cases(spark, sf), edges, events, used, own)
+    return out.select("case_id", "rank", "kind", "candidate", "a", "b", "c", "d", "p", "lift", "score", "significant", "n_isolated", "n_baseline", "reduction")
 
 
 # action
@@ -302,14 +321,14 @@ def latest_snapshot(spark, sf):
     return dashboard.latest_before(facts, e.where("event_type = 'error'").select("event_id", "user_id", "ts"), ["user_id"], "ts", "ts", "value").select("event_id", "latest_value")
 
 
-_LINK = """i AS (SELECT event_id AS incident_id, user_id % 20 AS line, ts AS start_ts, ts + to_hours((1 + event_id % 12)::INT) AS end_ts FROM events WHERE event_type = 'error' AND event_id % 20 = 0),
+_LINK = """i AS (SELECT event_id AS incident_id, user_id % 20 AS line, ts AS start_ts, ts + to_hours((1 + event_id % 12)::INT) AS end_ts FROM events WHERE event_type = 'error'),
 o AS (SELECT o_orderkey AS jt_id, o_custkey % 20 AS line, o_orderdate + INTERVAL 28 YEAR AS due FROM orders WHERE o_orderstatus = 'O'),
 c AS (SELECT DISTINCT incident_id, incident_id % 100 AS jt_id FROM i WHERE incident_id % 40 = 0),
 l AS (SELECT *, 'confirmed' AS link FROM c UNION ALL SELECT *, 'inferred' FROM (SELECT DISTINCT incident_id, jt_id FROM i JOIN o USING (line) WHERE due >= start_ts AND due <= end_ts + INTERVAL 72 HOUR EXCEPT SELECT * FROM c))"""
 
 
 def _links(spark, sf):
-    i = table(spark, sf, "events").where("event_type = 'error' and event_id % 20 = 0").select(F.col("event_id").alias("incident_id"), (F.col("user_id") % 20).alias("line"), F.col("ts").alias("start_ts"), F.timestamp_add("HOUR", (1 + F.col("event_id") % 12).cast("int"), F.col("ts")).alias("end_ts"))
+    i = table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").alias("incident_id"), (F.col("user_id") % 20).alias("line"), F.col("ts").alias("start_ts"), F.timestamp_add("HOUR", (1 + F.col("event_id") % 12).cast("int"), F.col("ts")).alias("end_ts"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("jt_id"), (F.col("o_custkey") % 20).alias("line"), F.timestamp_add("YEAR", F.lit(28), F.col("o_orderdate")).alias("due"), F.when(F.col("o_orderstatus") == "O", "OPEN").otherwise("X").alias("status"))
     confirmed = i.where("incident_id % 40 = 0").select("incident_id", (F.col("incident_id") % 100).alias("jt_id"))
     return dashboard.link_rule(i, o, confirmed)
@@ -346,22 +365,22 @@ def incident_status(spark, sf):
     return incidents(spark, sf).select("case_id", dashboard.incident_status(end, F.when(F.col("case_id") % 50 == 0, "closed by hand"), "2024-01-20 12:00:00").alias("status"))
 
 
-@query(sql("lots", """, a AS (SELECT jt_id AS incident_id, lot_id, mat_lot % 9 AS mat_lot, is_ng FROM lots WHERE jt_id % 100 = 0), z AS (SELECT incident_id, count(DISTINCT lot_id) AS lots FROM a GROUP BY 1)
+@query(sql("lots", """, a AS (SELECT jt_id AS incident_id, lot_id, mat_lot % 9 AS mat_lot, is_ng FROM lots), z AS (SELECT incident_id, count(DISTINCT lot_id) AS lots FROM a GROUP BY 1)
 SELECT incident_id, 'material' AS kind, mat_lot::VARCHAR AS subject, count(DISTINCT lot_id) AS n, round(count(DISTINCT lot_id) / any_value(lots), 6) AS share FROM a JOIN z USING (incident_id) GROUP BY incident_id, mat_lot
 UNION ALL SELECT incident_id, 'qc', 'NG', count(*) FILTER (is_ng), round(count(*) FILTER (is_ng) / count(*), 6) FROM a GROUP BY incident_id"""))
 def cause_evidence(spark, sf):
-    own = lots(spark, sf).where("jt_id % 100 = 0")
+    own = lots(spark, sf)
     qc = own.select("lot_id", F.when(F.col("is_ng"), "NG").otherwise("OK").alias("result"))
     out = dashboard.evidence(own.select(F.col("jt_id").alias("incident_id"), "lot_id"), qc, own.select("lot_id", (F.col("mat_lot") % 9).alias("mat_lot")))
     return out.withColumn("share", F.round("share", 6))
 
 
-@query(sql("lots", """, a AS (SELECT * FROM lots WHERE jt_id % 100 = 0) SELECT DISTINCT 'I' || jt_id AS src, station::VARCHAR AS dst, 'station' AS kind, 'direct' AS link FROM a
+@query(sql("lots", """, a AS (SELECT * FROM lots) SELECT DISTINCT 'I' || jt_id AS src, station::VARCHAR AS dst, 'station' AS kind, 'direct' AS link FROM a
 UNION ALL SELECT DISTINCT station::VARCHAR, lot_id, 'lot', 'direct' FROM a UNION ALL SELECT DISTINCT lot_id, mat_lot::VARCHAR, 'material', 'direct' FROM a
 UNION ALL SELECT DISTINCT lot_id, jt_id::VARCHAR, 'order', 'inferred' FROM a UNION ALL SELECT DISTINCT jt_id::VARCHAR, 'S' || jt_id, 'shipment', 'unverified' FROM a"""))
 def propagation_graph(spark, sf):
     own = lots(spark, sf)
-    hit = own.where("jt_id % 100 = 0").select(F.concat(F.lit("I"), F.col("jt_id")).alias("incident_id"), F.col("station").alias("station_id"), "lot_id")
+    hit = own.select(F.concat(F.lit("I"), F.col("jt_id")).alias("incident_id"), F.col("station").alias("station_id"), "lot_id")
     none = own.select(F.concat(F.lit("B"), F.col("jt_id")).alias("parent"), F.col("lot_id").alias("child"))
     ships = table(spark, sf, "orders").select(F.col("o_orderkey").alias("jt_id"), F.concat(F.lit("S"), F.col("o_orderkey")).alias("shipment_id"))
     return graph.propagation(hit, none, own.select("lot_id", "mat_lot"), own.select("lot_id", "jt_id"), ships)

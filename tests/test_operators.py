@@ -87,17 +87,31 @@ def test_candidates_contingency_and_rank(spark):
     events = spark.createDataFrame([("L0", "M1", dt.datetime(2026, 1, 1, 8)), ("L1", "M1", dt.datetime(2026, 1, 1, 9)), ("L9", "M1", dt.datetime(2026, 1, 3, 9))], "lot_id string, station_id string, ts timestamp_ntz")
     used = spark.createDataFrame([("L0", "A")], "lot_id string, mat_lot string")
     case = spark.createDataFrame([("R01", "L0")], "case_id string, lot_id string")
-    related = backward.candidates(case, edges, events, used, lots.select("lot_id"))
-    table = backward.contingency(related, lots)
+    touched = backward.members(edges, events, used, lots)
+    found = backward.candidates(backward.lineage(case, edges), touched)
+    assert rows(found.select("kind", "candidate"), "kind") == [("BATCH", "BATCH-HT-B07"), ("MACHINE", "M1"), ("MATERIAL", "A")]
+    table = backward.contingency(touched, lots)
     got = {r.kind: (r.a, r.b, r.c, r.d) for r in table.collect()}
     assert got == {"BATCH": (2, 3, 0, 406), "MACHINE": (2, 1, 0, 408), "MATERIAL": (1, 0, 1, 409)}
-    best = backward.ranked(backward.tested(table))
-    assert [r.rank for r in best.orderBy("rank").collect()] == [1, 2, 3]
-    assert best.where("rank = 1").first().kind == "MACHINE"
-    narrow = backward.candidates(case, edges, events, used, lots.select("lot_id"), scope="ancestors")
-    assert {r.kind: r.a for r in backward.contingency(narrow, lots).collect()}["MACHINE"] == 1
-    kept = {r.candidate: (r.n_isolated, r.n_baseline) for r in backward.containment(related.select("case_id", "kind", "candidate").distinct().join(case, "case_id"), related, events).collect()}
-    assert kept["M1"] == (2, 2) and kept["BATCH-HT-B07"][0] == 5
+    best = backward.diagnose(case, edges, events, used, lots)
+    assert [(r.rank, r.kind) for r in best.orderBy("rank").collect()][0] == (1, "MACHINE") and best.count() == 3
+    kept = {r.candidate: (r.n_isolated, r.n_baseline) for r in best.collect()}
+    assert kept == {"M1": (2, 2), "BATCH-HT-B07": (5, 2), "A": (1, 2)}
+    narrow = backward.ancestor_members(backward.lineage(case, edges), touched)
+    assert {r.kind: (r.a, r.b) for r in backward.contingency(narrow, lots).collect()} == {"MACHINE": (1, 0), "MATERIAL": (1, 0), "BATCH": (2, 3)}
+    assert [r.insufficient for r in backward.insufficient(best).collect()] == [False]
+
+
+def test_forward_prediction(spark):
+    t = dt.datetime(2026, 1, 1, 8)
+    cases = spark.createDataFrame([("F", "M2", t, 8), ("none", "M9", t, 1)], "case_id string, station_id string, start_ts timestamp_ntz, hours int")
+    lots = spark.createDataFrame([("L1", "P1", 900, t), ("L2", "P1", 700, t + dt.timedelta(days=1))], "lot_id string, product string, qty long, created timestamp_ntz")
+    events = spark.createDataFrame([("M2", "L1", t + dt.timedelta(hours=1))], "station_id string, lot_id string, ts timestamp_ntz")
+    orders = spark.createDataFrame([("P1", "J1", 500, t, False), ("P1", "J2", 5000, t + dt.timedelta(days=2), False), ("P1", "J3", 1, t - dt.timedelta(days=1), False)], "product string, jt_id string, qty long, due timestamp_ntz, fulfilled boolean")
+    got = forward.predict(cases, lots, events, orders).collect()
+    assert len(got) == 1
+    # 20 + max(0, 800 - 736) = 84 on the first day: 416 short; then two days of 800
+    assert (got[0].loss, got[0].n_affected, got[0].product, got[0].n_late, got[0].shortfall, got[0].action) == (736.0, 1, "P1", 2, 416.0 + 3400.0, "resequencing + OT2")
 
 
 def test_alignment_of_a_shifted_clock(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def _base(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("series")
     out = df.where("value is not null and not isnan(value)").select("series", "ord", "value", F.avg("value").over(w).alias("mean"), F.stddev_samp("value").over(w).alias("std"), F.count("value").over(w).alias("n"))
-    return out.where("n >= 3").withColumn("i", F.row_number().over(Window.partitionBy("series").orderBy("ord")) - 1)
+    return out.where("n >= 3").withColumn("i", F.row_number().over(Window.partitionBy("series").orderBy("ord")).cast("long") - 1)
 
 
 def _next(last: int):

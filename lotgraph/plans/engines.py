@@ -352,7 +352,7 @@ def priority_score(spark, sf):
     return best.select("jt_id", "incident_id", "score", dashboard.risk_label(F.col("short"), F.col("qty")).alias("risk"))
 
 
-@query("WITH s AS (SELECT l_suppkey % 30 AS component, arg_max(l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity)) AS qty FROM lineitem GROUP BY 1) SELECT component, qty, 10.0 + component AS safety, qty < 10.0 + component AS low FROM s")
+@query("WITH s AS (SELECT l_suppkey % 30 AS component, arg_max(l_quantity, row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity)) AS qty FROM lineitem GROUP BY 1) SELECT component, qty, (10.0 + component)::DOUBLE AS safety, qty < 10.0 + component AS low FROM s")
 def stock_vs_safety(spark, sf):
     li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 30).alias("component"), F.col("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("tie"), F.col("l_quantity").alias("qty"))
     safety = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 30).alias("component")).distinct().withColumn("safety", 10.0 + F.col("component"))

@@ -189,7 +189,7 @@ def alloc_overlay(spark, sf):
 
 @query(sql("lots", """, b AS (SELECT DISTINCT product, 'C' || (length(product) % 3 + k) AS component, 1.0 + k AS per_unit FROM lots, range(0, 2) t(k)),
 m AS (SELECT 'C' || (l_suppkey % 5) AS component, arg_min(l_partkey, row(l_shipdate, l_partkey)) AS mat_lot FROM lineitem GROUP BY 1)
-SELECT lot_id, component, m.mat_lot, round(qty * per_unit * 1.002, 4) AS qty FROM lots JOIN b USING (product) JOIN m USING (component)"""))
+SELECT lot_id, component, m.mat_lot, round((qty * per_unit * 1.002)::DOUBLE, 4) AS qty FROM lots JOIN b USING (product) JOIN m USING (component)"""))
 def bom_explode(spark, sf):
     own = lots(spark, sf)
     bom = own.select("product").distinct().select("product", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("product", F.concat(F.lit("C"), F.length("product") % 3 + F.col("k")).alias("component"), (1.0 + F.col("k")).alias("per_unit"), F.lit(1.002).alias("scrap"))
@@ -205,7 +205,7 @@ def conservation(spark, sf):
     return reconstruct.conservation(edges, own).select("parent", "parent_qty", "child_qty", "n_children", "diff")
 
 
-@query("SELECT c_custkey::VARCHAR AS lot_id, 1.0 AS confidence FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey::VARCHAR, 0.5 FROM orders WHERE o_custkey % 3 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT c_custkey::VARCHAR AS lot_id, 1.0::DOUBLE AS confidence FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey::VARCHAR, 0.5 FROM orders WHERE o_custkey % 3 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def fill_missing_lots(spark, sf):
     own = table(spark, sf, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").cast("string").alias("lot_id"), F.lit(1.0).alias("confidence"))
     edges = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("parent"), F.lit(None).cast("string").alias("child"))

@@ -95,6 +95,7 @@ def removed(docs: DataFrame, least: int = LEAST) -> DataFrame:
     firsts = stored(firsts, "firsts")
     linked = near(docs, firsts, least)
     best = firsts.join(linked, ["ha", "hb"], "left").where("k > 1 or near is not null").select("ha", "hb", F.least("first", F.coalesce("near", "first")).alias("best"))
+    best = stored(best, "best")  # a plain join follows, whose hot lines Spark can split
     gone = places.join(best, ["ha", "hb"]).where(~(F.col("best") == _place()))
     return gone.groupBy("id", "th").agg(F.collect_set("no").alias("lost"))  # at most the lines of one text
 

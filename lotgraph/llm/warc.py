@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotgraph.llm.scratch import new_path
+from lotgraph.llm.scratch import new_path, stored
 
 LEAST = 100
 CHUNK = 4096
@@ -195,6 +195,7 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
         page("refers").cast("long").alias("refers_to"),
         "problem",
     )
+    found = stored(found, "records")  # a row of numbers per record, so the archives are read once
     # a revisit's size is that of the response it refers to
     sizes = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("bytes").alias("theirs"))
     again = found.where("record_type = 'revisit'").join(sizes, ["refers_to", "payload_digest"], "left")

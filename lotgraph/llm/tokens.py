@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 24 << 20
-ODD = 200_000
+BATCH_BYTES = 18 << 20
+ODD = 50_000
 LETTERS = "[a-zÀ-ÖØ-öø-ÿ]+"  # after A-Z are in lower case; the tokenizer takes all of them for letters
 _BYTES = str.maketrans({c: "".join(map(chr, chr(c).encode())) for c in range(0xC0, 0x100)})  # letters beyond ASCII as their bytes
 _SHIFT = str.maketrans({b: 289 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 323})  # byte-level alphabet: bytes that do not print
@@ -107,6 +107,7 @@ class Encoder:
             before = filled[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(filled, before + BATCH_BYTES, side="right")))
             out += self._batch(texts.slice(at, stop - at))
+            pa.default_memory_pool().release_unused()
             at = stop
         return out
 
@@ -115,16 +116,22 @@ class Encoder:
         for mark in "\n\t\r":
             part = pc.replace_substring(part, mark, " ")
         rows = pc.split_pattern(part, " ")
+        counts = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
         coded = rows.flatten().dictionary_encode()
+        del part, rows
         flat, starts, sizes = self._chunks(coded.dictionary)
         word = coded.indices.to_numpy()
-        size = sizes[word]
-        ends = np.cumsum(size)
-        place = np.repeat((starts[word] - ends + size).astype(np.int32), size)
+        size = sizes.astype(np.int32)[word]  # a batch has far fewer ids than 2**31
+        ends = np.cumsum(size, dtype=np.int32)
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        place = starts.astype(np.int32)[word]
+        place -= ends
+        place += size
+        place = np.repeat(place, size)
+        del word, size, ends, coded
         place += np.arange(len(place), dtype=np.int32)
-        ids = flat.astype("<u4")[place].tobytes()
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False))]] * 4
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        ids = flat.astype("<u4")[place]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @lru_cache(2)

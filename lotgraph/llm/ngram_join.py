@@ -34,10 +34,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgraph.llm.components import components
-from lotgraph.llm.scratch import stored
+from lotgraph.llm.scratch import discard, settle, stored
 
 BUCKETS = 128
 HEADS = 64
+BROADCAST_ROWS = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -45,7 +46,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -75,6 +76,13 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def prefix(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
@@ -85,7 +93,7 @@ def _features(n: int, num: int, den: int, part: int):
     bound = np.uint64((1 << 64) // part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, firsts, digests, sent, counts = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), n)
@@ -107,7 +115,7 @@ def _sets(n: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingles(t.as_py(), n) for t in batch.column("text")]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             values = pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))
@@ -131,16 +139,21 @@ def _in_bounds(x: str, y: str, num: int, den: int) -> Column:
 
 def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, ids): rows has id, row, n, digest per document; ids has digest, component_id per class of equal sets."""
-    part = part or (4 if num * 100 >= den * 88 else 2)
+    part = part or (4 if num * 100 >= den * 88 else 3)
     source = docs.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
     found = stored(source.mapInArrow(_features(n, num, den, part), "id long, row long, n int, first int, digest binary, columns array<long>, counts array<short>"), "features")
+    base = stored(found.drop("columns"), "base")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("m")
-    reps = stored(found.where("n > 0").groupBy("digest").agg(least).select("digest", F.col("m.id").alias("id"), F.col("m.row").alias("row")), "classes")
+    reps = stored(base.where("n > 0").groupBy("digest").agg(least).select("digest", F.col("m.id").alias("id"), F.col("m.row").alias("row")), "classes")
 
-    # document frequency of the columns sent, combined before the shuffle; columns of one row can't meet another
-    mine = stored(found.select("row", "n", "first", "columns").join(reps.select("row"), "row", "left_semi"), "incidence")
+    # up to BROADCAST_ROWS numbers of rows without a class of their own are sent to all tasks; more are joined by key
+    others = base.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti")
+    sent = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    mine = found.where("n > 0").select("row", "n", "first", "columns").join(sent, "row", "left_anti")
     cells = mine.select("row", "n", "first", F.explode("columns").alias("h"))
-    often = cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # document frequency of the columns sent, combined before the shuffle; columns of one row can't meet another
+    often = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
+    settle(docs.sparkSession)
     # place of a column in its row: frequent ones last, the share of the hash space first
     late = F.when(F.shiftrightunsigned("h", 1) >= F.lit((1 << 63) // part), 1).otherwise(0)
     shared = cells.join(often, "h").withColumn("late", late)
@@ -150,19 +163,24 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     length = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
     kept = shared.withColumns({"at": (place + alone).cast("int"), "p": length}).where("at < p").select("h", "row", "n", "at")
     kept = stored(kept, "prefixes")
+    del shared, cells, mine
+    discard(found)
+    settle(docs.sparkSession)
     met = kept.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min_by("row", F.xxhash64("row", "h")).alias("pivot")).where("k > 1")
     lists = kept.join(met.select("h", "pivot"), "h")
     # the first shared columns of each row, by which a pair is formed in its first common column only
     firsts = F.slice(F.array_sort(F.collect_list(F.struct("at", "h"))), 1, HEADS)
     near = stored(lists.groupBy("row").agg(firsts.alias("firsts")).select("row", F.col("firsts.h").alias("heads")), "heads")
-    lists = stored(lists.join(found.select("row", "counts").join(near, "row"), "row"), "lists")
+    lists = stored(lists.join(base.select("row", "counts").join(near.select("row"), "row", "left_semi"), "row"), "lists")
+    settle(docs.sparkSession)
 
     # whole rows of the matrix for the documents that are left
-    names = found.select("row", "id", "digest").join(near, "row", "left_semi")
+    names = base.select("row", "id", "digest").join(near, "row", "left_semi")
     texts = docs.select("doc_id", "text").join(names.where("id is not null").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
     whole = texts.select("text").mapInArrow(_sets(n), "digest binary, set array<long>")
     whole = stored(names.join(whole.dropDuplicates(["digest"]), "digest").select("row", "set"), "sets")
+    settle(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = whole.select(F.col("row").alias("a"), F.col("set").alias("sa")), whole.select(F.col("row").alias("b"), F.col("set").alias("sb"))
@@ -173,12 +191,13 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     star = lists.alias("x").join(pivots.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.row") != F.col("y.row")) & _in_bounds("x", "y", num, den))
     pair = [F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")]
     edges = stored(verified(star.select(*pair)), "edges")
+    settle(docs.sparkSession)
     labels = components(edges)
 
     # pairs of one column whose documents are still apart
     tagged = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-    open_lists = stored(tagged.join(mixed, "h", "left_semi"), "open")
+    open_lists = stored(tagged.join(mixed, "h", "left_semi").join(near, "row"), "open")
     first = F.try_element_at(F.array_intersect("x.heads", "y.heads"), F.lit(1))
     apart = (F.coalesce(first, F.col("x.h")) == F.col("x.h")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.row") != F.col("x.pivot")) & (F.col("y.row") != F.col("y.pivot"))
     more = stored(verified(open_lists.alias("x").join(open_lists.alias("y"), apart & _in_bounds("x", "y", num, den)).select(*pair)), "edges")
@@ -187,7 +206,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
 
     own = reps.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     ids = own.groupBy("label").agg(F.min("id").alias("component_id"))
-    return found.select("id", "row", "n", "digest"), stored(own.join(ids, "label").select("digest", "component_id"), "components")
+    return base.select("id", "row", "n", "digest"), stored(own.join(ids, "label").select("digest", "component_id"), "components")
 
 
 def report(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return the written table."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that no later step reads."""
+    drop_path(df.sparkSession, df._scratch_path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps, which it does when their frames are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -16,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_BYTES = 18 << 20
-ODD = 50_000
+ODD = 120_000
+WORDS = 1_000_000  # words whose ids a worker keeps from one batch to the next, some 40 MB
 LETTERS = "[a-zÀ-ÖØ-öø-ÿ]+"  # after A-Z are in lower case; the tokenizer takes all of them for letters
 _BYTES = str.maketrans({c: "".join(map(chr, chr(c).encode())) for c in range(0xC0, 0x100)})  # letters beyond ASCII as their bytes
 _SHIFT = str.maketrans({b: 289 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 323})  # byte-level alphabet: bytes that do not print
@@ -42,9 +43,29 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.odd: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """flat ids, and the start and number of ids of each word of letters."""
+        """flat ids, and the start and number of ids of each distinct word of letters; only new words are encoded."""
+        place = pc.index_in(words, value_set=self.known)
+        if len(self.known) + place.null_count > WORDS:
+            self._forget()
+            place = pc.index_in(words, value_set=self.known)
+        at = place.fill_null(-1).to_numpy().astype(np.int64)
+        new = at < 0
+        if new.any():
+            at[new] = len(self.known) + np.arange(int(new.sum()))
+            fresh = words.filter(pa.array(new))
+            flat, starts, sizes = self._new_words(fresh)
+            self.starts, self.sizes = np.r_[self.starts, starts + len(self.flat)], np.r_[self.sizes, sizes]
+            self.flat, self.known = np.r_[self.flat, flat], pa.concat_arrays([self.known, fresh])
+        return self.flat, self.starts[at], self.sizes[at]
+
+    def _new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
         order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
         ids, split = [np.empty(0, np.uint32)], int(plain.sum())

@@ -3,13 +3,17 @@
 Texts and benchmark items become lower-cased words.  A passage of a document leaks an item if its word edit distance
 to the item is at most ``share`` (0.2) of the item's words.  Search, in one pass over the documents without a shuffle:
 
-1. A hit is a run of q words that an item has too; q (1 to 3) is small enough that, by the pigeonhole principle, any
-   passage within the bound has a hit.  Each hit places an item-sized window on its diagonal.
+1. Items are cut into equal pieces of at most ``piece`` words, as the walk below loses step in long rows.  A passage
+   within the bound is within it for one piece at least (pigeonhole principle), whatever the item's length.
+   A hit is a run of q words that a piece has too; q (1 to 3) is so small that a piece within its bound has a hit.
+   Each hit places a piece-sized window on its diagonal.
 2. Each window is embedded by the CGK random walk of ``reps`` independent random functions: step j writes the word
    under the pointer and moves on or stays by a random bit of (j, word).  Edit distance becomes Hamming distance.
-3. Bit sampling: ``samples`` positions of each embedding form a key; windows that share a key with an item in any
-   repetition are candidates.  Repetitions are set for a recall of 0.9 at the bound (tests measure it).
-4. Candidates are verified by exact edit distance against the window, widened by the bound on either side.
+3. Bit sampling: ``samples`` positions of each embedding form a key; windows that share a key with a piece in any
+   repetition are candidates.  Repetitions are set for a recall of 0.9 at the bound (tests measure it per item length
+   and kind of edit).
+4. Candidates are verified by exact edit distance against the window, widened by the bound on either side: first the
+   piece, then the whole item on the same diagonal.
 
 The benchmark is broadcast in blocks of at most ``block_words`` words, however large it is; each block is one pass.
 
@@ -28,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARE = 0.2
-REPS = 14
+REPS = 20
 SAMPLES = 3
+PIECE = 14  # words: two edits at most
 SPAN = 1.5  # sampled places lie in so many lengths of the embedding; the walk has mostly ended after two
 BLOCK_WORDS = 2_000_000
 FOUND = "array<struct<item_id:long,start:int,words:int,distance:int>>"
@@ -114,32 +119,39 @@ class Benchmark:
         rows = [(i, words(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
         self.ids, self.rows = [i for i, w in rows if len(w)], [w for _, w in rows if len(w)]
         self.lengths = np.array([len(w) for w in self.rows], np.int64)
-        self.bounds = np.floor(self.lengths * share + 1e-9).astype(np.int64)
+        cuts = [np.linspace(0, n, -(-n // PIECE) + 1).astype(np.int64) for n in self.lengths.tolist()]
+        self.item = np.repeat(np.arange(len(cuts)), [len(c) - 1 for c in cuts])
+        self.first = np.concatenate([c[:-1] for c in cuts] or [np.zeros(0, np.int64)])
+        self.pieces = [self.rows[i][a:b] for i, c in enumerate(cuts) for a, b in zip(c[:-1], c[1:], strict=True)]
+        self.sizes = np.array([len(w) for w in self.pieces], np.int64)
         self.places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        q = np.clip(self.lengths // (self.bounds + 1), 1, 3)
+        q = np.clip(self.sizes // (self._bound(self.sizes) + 1), 1, 3)
         for k in sorted(set(q.tolist())):
             mine = np.flatnonzero(q == k)
-            g = [grams(self.rows[i], k) for i in mine]
+            g = [grams(self.pieces[i], k) for i in mine]
             gram = np.concatenate(g)
-            item = np.repeat(mine, [len(x) for x in g])
+            piece = np.repeat(mine, [len(x) for x in g])
             offset = np.concatenate([np.arange(len(x)) for x in g])
             order = np.argsort(gram, kind="stable")
             mark = np.zeros(1 << 22, bool)
             mark[(gram >> np.uint64(42)).astype(np.int64)] = True
-            self.places[k] = (gram[order], item[order], offset[order], mark)
+            self.places[k] = (gram[order], piece[order], offset[order], mark)
         self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for length in sorted(set(self.lengths.tolist())):
-            mine = np.flatnonzero(self.lengths == length)
-            rows_of = np.stack([self.rows[i] for i in mine])
+        for size in sorted(set(self.sizes.tolist())):
+            mine = np.flatnonzero(self.sizes == size)
+            rows_of = np.stack([self.pieces[i] for i in mine])
             for rep in range(reps):
                 key = keys(rows_of, rep, samples)
                 order = np.argsort(key, kind="stable")
-                self.tables[length, rep] = (key[order], mine[order])
+                self.tables[size, rep] = (key[order], mine[order])
+
+    def _bound(self, words):
+        return np.floor(words * self.share + 1e-9).astype(np.int64)
 
     def windows(self, text: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of item-sized windows on the diagonals of hits, by length."""
+        """Starts of piece-sized windows on the diagonals of hits, by length."""
         out: dict[int, list[np.ndarray]] = {}
-        for q, (gram, item, offset, mark) in self.places.items():
+        for q, (gram, piece, offset, mark) in self.places.items():
             g = grams(text, q)
             at = np.flatnonzero(mark[(g >> np.uint64(42)).astype(np.int64)])
             if not len(at):
@@ -148,7 +160,7 @@ class Benchmark:
             n = hi - lo
             at = np.repeat(at, n)
             slot = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            length, start = self.lengths[item[slot]], at - offset[slot]
+            length, start = self.sizes[piece[slot]], at - offset[slot]
             for size in np.unique(length):
                 out.setdefault(int(size), []).append(start[length == size])
         return {size: np.unique(np.concatenate(x)) for size, x in out.items()}
@@ -177,23 +189,35 @@ class Benchmark:
             return out
 
         rows = np.stack([cut(k, s, size) for k, s in zip(own, at, strict=True)])
-        pairs = set()
+        pairs = []
         for rep in range(self.reps):
-            table, items = self.tables[size, rep]
+            table, pieces = self.tables[size, rep]
             key = keys(rows, rep, self.samples)
             lo, hi = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
-            for r in np.flatnonzero(hi > lo):
-                pairs.update((int(r), int(i)) for i in items[lo[r] : hi[r]])
-        if not pairs:
-            return
-        found = np.array(sorted(pairs))
-        bound = int(size * self.share + 1e-9)
-        wide = np.stack([cut(own[r], at[r] - bound, size + 2 * bound) for r in found[:, 0]])
-        dist, _ = distances(np.stack([self.rows[i] for i in found[:, 1]]), wide)
-        for (r, i), d in zip(found, dist, strict=True):
-            if d <= bound:
-                known, here = best[own[r]], (int(d), int(max(0, at[r])))
-                known[int(i)] = min(known.get(int(i), here), here)
+            n = hi - lo
+            slot = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pairs.append(np.unique(np.repeat(np.arange(len(key)), n) * len(self.pieces) + pieces[slot]))
+        found = np.unique(np.concatenate(pairs))
+        r, p = found // len(self.pieces), found % len(self.pieces)
+
+        def nearest(of: list[np.ndarray], docs: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+            bound, out = int(self._bound(length)), [np.zeros(0, np.int64)]
+            step = max(1, 4_000_000 // (length + 2 * bound))
+            for k in range(0, len(of), step):
+                wide = np.stack([cut(d, s - bound, length + 2 * bound) for d, s in zip(docs[k : k + step], starts[k : k + step], strict=True)])
+                out.append(distances(np.stack(of[k : k + step]), wide)[0])
+            return np.concatenate(out)
+
+        near = nearest([self.pieces[i] for i in p], own[r], at[r], size) <= self._bound(size)
+        r, p = r[near], p[near]
+        # pieces of an item on one diagonal ask once
+        asked = np.unique(np.stack([own[r], self.item[p], at[r] - self.first[p]], axis=1), axis=0)
+        for length in np.unique(self.lengths[asked[:, 1]]):
+            k, i, start = asked[self.lengths[asked[:, 1]] == length].T
+            dist = nearest([self.rows[x] for x in i], k, start, int(length))
+            for x in np.flatnonzero(dist <= self._bound(length)):
+                known, here = best[k[x]], (int(dist[x]), int(max(0, start[x])))
+                known[int(i[x])] = min(known.get(int(i[x]), here), here)
 
 
 @lru_cache(2)

@@ -137,23 +137,36 @@ def scheduled_hours(start: Column, end: Column, opens: int = 6, closes: int = 22
     return F.when(end > start, F.aggregate(F.transform(days, inside), F.lit(0.0), lambda s, h: s + h)).otherwise(0.0)
 
 
-def predict(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0) -> DataFrame:
+def case_product(station: Column, majority: Column) -> Column:
+    """The rule for the reference's stations; any other station has the majority of its lots, if there are any."""
+    station = station.cast("string")
+    fixed = station_product(station, majority)
+    return F.when(station.startswith("STN-"), fixed).otherwise(F.coalesce(majority, fixed))
+
+
+def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0, fallback: float = 900.0) -> DataFrame:
     """case_id, loss, hours_to_starve, n_affected, product, n_late, shortfall, p_late, action for every case.
 
-    The product of a case is the majority of its affected lots; its orders within the horizon meet the product's daily
-    production, less the loss on the first day.  cases: case_id, station_id, start_ts, hours; lots: lot_id, product,
-    qty, created; orders: product, jt_id, qty, due, fulfilled.
+    The product of a case comes from its station or affected lots, of which there may be none; its orders within the
+    horizon meet the product's daily production, less the loss on the first day.  cases: case_id, station_id, start_ts,
+    hours; lots: lot_id, product, qty, created; orders: product, jt_id, qty, due, fulfilled.
     """
     hit = affected_lots(cases, events)
-    made = majority_product(hit, lots).join(daily_production(lots), "product")
-    own = cases.join(made, "case_id").withColumn("loss", qty_loss(F.col("hours")))
+    size = hit.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_affected"))
+    major = majority_product(hit, lots).withColumnRenamed("product", "majority")
+    own = cases.join(size, "case_id", "left").join(major, "case_id", "left").withColumns({"n_affected": F.coalesce("n_affected", F.lit(0)), "product": case_product(F.col("station_id"), F.col("majority"))})
+    own = own.join(daily_production(lots, fallback), "product", "left").withColumns({"daily": F.coalesce("daily", F.lit(fallback)), "loss": qty_loss(F.col("hours"))})
     first = F.greatest(F.lit(0.0), F.col("daily") - F.col("loss"))
     supply = own.select("case_id", F.lit(opening).alias("opening"), F.concat(F.array(first), F.array_repeat(F.col("daily"), HORIZON)).alias("made"))
     # orders by product and day bucket of the horizon, so a product's other orders are not paired
     spans = own.select("case_id", "product", "start_ts", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(to_date(start_ts), due_idx)"))
     due = spans.join(orders.withColumn("day", F.to_date("due")), ["product", "day"]).select("case_id", "jt_id", "qty", "due_idx", "fulfilled")
     late = atp_waterfall(due, supply).groupBy("case_id").agg(F.count_if(F.col("short") > 0).alias("n_late"), F.sum("short").alias("shortfall"))
-    size = hit.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_affected"))
-    out = own.join(size, "case_id").join(late, "case_id", "left").withColumns({"n_late": F.coalesce("n_late", F.lit(0)), "shortfall": F.coalesce("shortfall", F.lit(0.0))})
+    out = own.join(late, "case_id", "left").withColumns({"n_late": F.coalesce("n_late", F.lit(0)), "shortfall": F.coalesce("shortfall", F.lit(0.0))})
     p = late_probability(F.col("shortfall"), F.lit(0.0))
     return out.select("case_id", "loss", time_to_starve(F.lit(80)).alias("hours_to_starve"), "n_affected", "product", "n_late", F.round("shortfall", 4).alias("shortfall"), F.round(p, 6).alias("p_late"), recommendation(p, F.col("shortfall")).alias("action"))
+
+
+def predict(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0) -> DataFrame:
+    """The rows of impact() whose cases have affected lots; impact() answers every case."""
+    return impact(cases, lots, events, orders, opening).where("n_affected > 0")

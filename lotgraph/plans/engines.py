@@ -203,7 +203,7 @@ def forward_predict(spark, sf):
     e = _events(spark, sf)
     own = e.select("lot_id", (F.col("station_id") % 4).cast("string").alias("product"), (F.col("lot_id") % 90).alias("qty"), F.col("ts").alias("created"))
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("string").alias("product"), F.col("o_orderkey").alias("jt_id"), (20 + F.col("o_orderkey") % 50).alias("qty"), F.timestamp_add("YEAR", F.lit(28), F.col("o_orderdate")).alias("due"), (F.col("o_orderstatus") == "F").alias("fulfilled"))
-    return forward.predict(incidents(spark, sf), own, e, o)
+    return forward.impact(incidents(spark, sf), own, e, o)
 
 
 @query()

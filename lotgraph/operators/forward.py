@@ -144,12 +144,18 @@ def case_product(station: Column, majority: Column) -> Column:
     return F.when(station.startswith("STN-"), fixed).otherwise(F.coalesce(majority, fixed))
 
 
-def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0, fallback: float = 900.0) -> DataFrame:
-    """case_id, loss, hours_to_starve, n_affected, product, n_late, shortfall, p_late, action for every case.
+def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, bom: DataFrame | None = None, available: DataFrame | None = None, faithful: bool = False) -> DataFrame:
+    """The whole cascade, a row for every case.
 
     The product of a case comes from its station or affected lots, of which there may be none; its orders within the
-    horizon meet the product's daily production, less the loss on the first day.  cases: case_id, station_id, start_ts,
-    hours; lots: lot_id, product, qty, created; orders: product, jt_id, qty, due, fulfilled.
+    horizon meet the product's daily production, less the loss on the first day, once netted by day (net_short) and
+    once order by order (shortfall).  n_late counts the orders that are short (n_qty), miss their truck (n_time) or
+    both; open orders of the horizon are held against their trucks.  base is the shortfall, else the netted one, else
+    the loss where an order misses its truck or, as in the reference, faithful=True; p_late, expected, p50 and p90 are
+    the Monte-Carlo step on it in closed form.  material: no_bom, ok or shortage of what makes up net_short or the loss.
+
+    cases: case_id, station_id, start_ts, hours; lots: lot_id, product, qty, created; orders: product, jt_id, qty, due,
+    fulfilled; shipments: jt_id, truck_time; bom: product, component, per_unit, scrap; available: component, available.
     """
     hit = affected_lots(cases, events)
     size = hit.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_affected"))
@@ -159,12 +165,35 @@ def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFra
     first = F.greatest(F.lit(0.0), F.col("daily") - F.col("loss"))
     supply = own.select("case_id", F.lit(opening).alias("opening"), F.concat(F.array(first), F.array_repeat(F.col("daily"), HORIZON)).alias("made"))
     # orders by product and day bucket of the horizon, so a product's other orders are not paired
-    spans = own.select("case_id", "product", "start_ts", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(to_date(start_ts), due_idx)"))
-    due = spans.join(orders.withColumn("day", F.to_date("due")), ["product", "day"]).select("case_id", "jt_id", "qty", "due_idx", "fulfilled")
-    late = atp_waterfall(due, supply).groupBy("case_id").agg(F.count_if(F.col("short") > 0).alias("n_late"), F.sum("short").alias("shortfall"))
-    out = own.join(late, "case_id", "left").withColumns({"n_late": F.coalesce("n_late", F.lit(0)), "shortfall": F.coalesce("shortfall", F.lit(0.0))})
-    p = late_probability(F.col("shortfall"), F.lit(0.0))
-    return out.select("case_id", "loss", time_to_starve(F.lit(80)).alias("hours_to_starve"), "n_affected", "product", "n_late", F.round("shortfall", 4).alias("shortfall"), F.round(p, 6).alias("p_late"), recommendation(p, F.col("shortfall")).alias("action"))
+    spans = own.select("case_id", "product", "start_ts", "hours", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(to_date(start_ts), due_idx)"))
+    due = spans.join(orders.withColumn("day", F.to_date("due")), ["product", "day"]).select("case_id", "jt_id", "qty", "due_idx", "fulfilled", "start_ts", "hours")
+    # netting goes by case: a case is what its product is there
+    wanted = due.groupBy("case_id", F.col("due_idx").alias("day_idx")).agg(F.sum("qty").alias("qty"))
+    days = spans.where(F.col("due_idx") < HORIZON).select("case_id", F.col("due_idx").alias("day_idx")).join(wanted, ["case_id", "day_idx"], "left").select(F.col("case_id").alias("product"), "day_idx", F.coalesce("qty", F.lit(0)).alias("qty"))
+    stock = own.select(F.col("case_id").alias("product"), F.lit(opening).alias("opening"), "loss")
+    net = netting(days, stock, own.select(F.col("case_id").alias("product"), "daily"), F.col("loss"))
+    net = net.groupBy(F.col("product").alias("case_id")).agg(F.round(F.sum(F.when(F.col("is_short"), -F.col("incident")).otherwise(0.0)), 1).alias("net_short"))
+    status = atp_waterfall(due, supply).select("case_id", "jt_id", "short")
+    if shipments is None:
+        status = status.withColumn("status", F.lit("no_shipment"))
+    else:
+        trucks = cutoff(due.where(~F.coalesce("fulfilled", F.lit(False))).select("case_id", F.col("jt_id").cast("string").alias("jt_id"), "start_ts", "hours"), shipments.select(F.col("jt_id").cast("string").alias("jt_id"), "truck_time"), 80 / RATE)
+        status = status.join(trucks, ["case_id", "jt_id"], "left")
+    by = late_by(F.col("short"), F.coalesce("status", F.lit("PASS")))
+    late = status.withColumn("by", by).groupBy("case_id").agg(F.count("by").alias("n_late"), F.count_if(F.col("by").startswith("qty")).alias("n_qty"), F.count_if(F.col("by").endswith("time")).alias("n_time"), F.sum("short").alias("shortfall"))
+    out = own.join(late, "case_id", "left").join(net, "case_id", "left").fillna(0, ["n_late", "n_qty", "n_time", "shortfall", "net_short"])
+    if bom is None:
+        out = out.withColumn("material", F.lit("no_bom"))
+    else:
+        have = available if available is not None else bom.select("component", F.lit(0.0).alias("available")).distinct()
+        need = out.select("case_id", "product", F.when(F.col("net_short") > 0, F.col("net_short")).otherwise(F.col("loss")).alias("qty"))
+        enough = material_check(need, bom, have).groupBy("case_id").agg(F.bool_and("sufficient").alias("enough"))
+        out = out.join(enough, "case_id", "left").withColumn("material", F.when(F.col("enough").isNull(), "no_bom").when(F.col("enough"), "ok").otherwise("shortage"))
+    hurt = F.lit(True) if faithful else F.col("n_time") > 0
+    out = out.withColumn("base", F.when(F.col("shortfall") > 0, F.col("shortfall")).when(F.col("net_short") > 0, F.col("net_short")).when(hurt, F.col("loss")).otherwise(0.0))
+    p = late_probability(F.col("base"), F.lit(0.0))
+    monte = {"expected": stats.triangular_excess(F.lit(0.0)), "p50": stats.triangular_quantile(F.lit(0.5)), "p90": stats.triangular_quantile(F.lit(0.9))}
+    return out.select("case_id", "loss", time_to_starve(F.lit(80)).alias("hours_to_starve"), "n_affected", "product", "n_late", "n_qty", "n_time", F.round("shortfall", 4).alias("shortfall"), "net_short", "material", F.round("base", 4).alias("base"), *[F.round(F.col("base") * c, 4).alias(k) for k, c in monte.items()], F.round(p, 6).alias("p_late"), recommendation(p, F.col("shortfall")).alias("action"))
 
 
 def predict(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0) -> DataFrame:

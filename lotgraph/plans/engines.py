@@ -203,7 +203,10 @@ def forward_predict(spark, sf):
     e = _events(spark, sf)
     own = e.select("lot_id", (F.col("station_id") % 4).cast("string").alias("product"), (F.col("lot_id") % 90).alias("qty"), F.col("ts").alias("created"))
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("string").alias("product"), F.col("o_orderkey").alias("jt_id"), (20 + F.col("o_orderkey") % 50).alias("qty"), F.timestamp_add("YEAR", F.lit(28), F.col("o_orderdate")).alias("due"), (F.col("o_orderstatus") == "F").alias("fulfilled"))
-    return forward.impact(incidents(spark, sf), own, e, o)
+    ships = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("jt_id"), F.timestamp_add("YEAR", F.lit(28), F.col("l_shipdate")).alias("truck_time"))
+    bom = spark.createDataFrame([(str(k), f"C{c}", 1.0 + c, None if c == 0 else 1.01) for k in range(4) for c in range(3)], "product string, component string, per_unit double, scrap double")
+    have = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("C"), F.col("l_suppkey") % 2).alias("component")).agg(F.floor(F.sum("l_quantity") / 1000).cast("double").alias("available"))
+    return forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
 
 
 @query()

@@ -31,3 +31,30 @@ def test_rows_out_equal_cases_in(spark, sf):
     cases = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'").select("event_id")
     got = plans.QUERIES["forward_predict"](spark, sf).select("case_id")
     assert got.count() == cases.count() and got.exceptAll(cases).count() == 0
+
+
+def test_the_whole_cascade_is_chained(spark):
+    cases = spark.createDataFrame([("short", "A", T, 8), ("truck", "B", T, 8), ("net", "C", T, 8), ("calm", "D", T, 8)], "case_id string, station_id string, start_ts timestamp_ntz, hours int")
+    events = spark.createDataFrame([(s, f"L{s}", T) for s in "ABCD"], "station_id string, lot_id string, ts timestamp_ntz")
+    lots = spark.createDataFrame([(f"L{s}", f"P{s}", 800, T) for s in "ABCD"], "lot_id string, product string, qty long, created timestamp_ntz")
+    orders = spark.createDataFrame(
+        [("PA", "a", 100, T, False), ("PB", "b", 10, T, False), ("PB", "gone", 1, T, True), ("PC", "c", 100, T, True), ("PD", "d", 10, T, False)],
+        "product string, jt_id string, qty long, due timestamp_ntz, fulfilled boolean",
+    )
+    # the outage ends at 16:00, with 80 / 92 hours to starve at 16:52
+    trucks = {"a": 16, "b": 16, "gone": 9, "c": 9, "d": 17}
+    ships = spark.createDataFrame([(k, T.replace(hour=h)) for k, h in trucks.items()], "jt_id string, truck_time timestamp_ntz")
+    bom = spark.createDataFrame([("PA", "x", 2.0, None), ("PB", "x", 2.0, 1.0)], "product string, component string, per_unit double, scrap double")
+    have = spark.createDataFrame([("x", 100.0)], "component string, available double")
+    ask = lambda **more: {r.case_id: r for r in forward.impact(cases, lots, events, orders, shipments=ships, bom=bom, available=have, **more).collect()}
+    got = ask()
+    # 20 + 800 - 736 = 84 on day 0
+    assert {k: (r.n_late, r.n_qty, r.n_time, r.shortfall, r.net_short, r.base) for k, r in got.items()} == {
+        "short": (1, 1, 1, 16.0, 16.0, 16.0), "truck": (1, 0, 1, 0.0, 0.0, 736.0), "net": (0, 0, 0, 0.0, 16.0, 16.0), "calm": (0, 0, 0, 0.0, 0.0, 0.0),
+    }
+    assert {k: r.material for k, r in got.items()} == {"short": "ok", "truck": "shortage", "net": "no_bom", "calm": "no_bom"}
+    assert {k: r.action for k, r in got.items()} == {"short": "resequencing + OT2", "truck": "resequencing + OT2", "net": "resequencing + OT2", "calm": "no_action_needed"}
+    assert ask(faithful=True)["calm"].action == "resequencing + OT2"
+    grid = {r.case_id: r for r in forward.shortfall_distribution(spark.createDataFrame([(k, r.base) for k, r in got.items()], "case_id string, base double")).collect()}
+    for k, r in got.items():
+        assert (r.expected, r.p50, r.p90, r.p_late) == pytest.approx((grid[k].mean, grid[k].p50, grid[k].p90, grid[k].p_late), rel=1e-3, abs=1e-3)

@@ -14,27 +14,71 @@ def log_gamma_sum(n: Column) -> Column:
     return F.when(n <= 20, small).otherwise(series)
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _first(lo: Column, hi: Column, holds) -> Column:
+    """The first whole number in lo..hi that holds, hi + 1 if none does; it holds for all that follow."""
+    def halve(acc: Column, _: Column) -> Column:
+        def cut(mid: Column) -> Column:
+            return F.when(acc["lo"] >= acc["hi"], acc).when(holds(mid), F.struct(acc["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+
+        return _let(F.floor((acc["lo"] + acc["hi"]) / 2), cut)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(hi - lo + 2, F.lit(2)).cast("double"))).cast("int") + 1)
+    return F.aggregate(steps, F.struct(lo.alias("lo"), (hi + 1).alias("hi")), halve, lambda acc: acc["lo"])
+
+
+TAIL = 42.0  # terms below exp(-42) of a tail's first one add nothing to a double
+
+
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided p of the table (a, b, c, d): the sum of all probabilities that are not above the observed one.
 
-    The tables of equal margins are walked by their ratio, so each costs one multiplication.  A zero margin gives 1.
+    The probabilities rise to the mode and fall behind it, so they form two tails: from the observed table outwards, and
+    from the first table on the other side of the mode that is not above it, found by bisection of the logarithms.  Each
+    tail is summed relative to its first term, by the ratio of neighbouring tables, so nothing underflows.  The second
+    difference of the logarithms bounds how far a tail reaches above TAIL: some standard deviations, not the margin.
+    A zero margin gives 1.
     """
-    r1, r2, c1 = (a + b).cast("long"), (c + d).cast("long"), (a + c).cast("long")
-    n = r1 + r2
-    lo, hi = F.greatest(F.lit(0), c1 - r2).cast("long"), F.least(r1, c1).cast("long")
-    lf = log_gamma_sum
-    base = lf(r1) + lf(r2) + lf(c1) + lf(n - c1) - lf(n)
-    log_p = lambda k: base - lf(k) - lf(r1 - k) - lf(c1 - k) - lf(r2 - c1 + k)
-    seen = F.exp(log_p(a.cast("long")))
-    first = F.struct(F.exp(log_p(lo)).alias("p"), F.lit(0.0).alias("sum"))
-
-    def step(acc: Column, k: Column) -> Column:
-        kept = F.when(acc["p"] <= seen * (1 + 1e-7), acc["p"]).otherwise(0.0)
-        ratio = ((r1 - k) * (c1 - k)).cast("double") / ((k + 1) * (r2 - c1 + k + 1)).cast("double")
-        return F.struct((acc["p"] * ratio).alias("p"), (acc["sum"] + kept).alias("sum"))
-
-    total = F.aggregate(F.sequence(lo, hi), first, step, lambda acc: F.least(F.lit(1.0), acc["sum"]))
-    return F.when((r1 == 0) | (r2 == 0) | (c1 == 0) | (n - c1 == 0), F.lit(1.0)).otherwise(total)
+    a, b, c, d = (x.cast("long") for x in (a, b, c, d))
+    lf, zero = log_gamma_sum, F.lit(0).cast("long")
+    # mirrored, if need be, so that the observed table lies at or below the mode
+    below = a <= F.floor((a + b + 1) * ((a + c + 1) / (a + b + c + d + 2)))
+    table = F.struct(F.when(below, a).otherwise(b).alias("a"), (a + b).alias("r1"), (c + d).alias("r2"), F.when(below, a + c).otherwise(b + d).alias("c1"))
+
+    def summed(t: Column, g: Column) -> Column:
+        k, r1, r2, c1 = t["a"], t["r1"], t["r2"], t["c1"]
+        log_p = lambda x: g["base"] - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(r2 - c1 + x)
+
+        def tail(most: Column, bend: Column, ratio) -> Column:
+            count = F.least(most, F.ceil(F.sqrt(F.lit(2 * TAIL) / bend)) + 1)
+            step = lambda acc, j: F.struct((acc["term"] * ratio(j)).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+            return F.aggregate(F.sequence(zero, count - 1), F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
+
+        over = lambda *sizes: sum(((1.0 / F.greatest(x, F.lit(1))) for x in sizes[1:]), 1.0 / F.greatest(sizes[0], F.lit(1)))
+        own = tail(k - g["lo"] + 1, over(k, r2 - c1 + k, r1, c1), lambda j: ((k - j) * (r2 - c1 + k - j)).cast("double") / ((r1 - k + j + 1) * (c1 - k + j + 1)).cast("double"))
+
+        def other(x: Column) -> Column:
+            far = tail(g["hi"] - x + 1, over(r1 - x, c1 - x, g["hi"], r2 - c1 + g["hi"]), lambda j: ((r1 - x - j) * (c1 - x - j)).cast("double") / ((x + j + 1) * (r2 - c1 + x + j + 1)).cast("double"))
+            return F.when(x <= g["hi"], F.exp(log_p(x)) * far).otherwise(0.0)
+
+        def both(s: Column) -> Column:
+            behind = _first(F.least(g["hi"] + 1, F.greatest(g["mode"], k + 1)), g["hi"], lambda x: log_p(x) <= s + 1e-7)
+            return F.exp(s) * own + _let(behind, other)
+
+        return F.least(F.lit(1.0), _let(log_p(k), both))
+
+    def bounds(t: Column) -> Column:
+        n, hi = t["r1"] + t["r2"], F.least(t["r1"], t["c1"])
+        lo = F.greatest(zero, t["c1"] - t["r2"])
+        mode = F.least(hi, F.floor((t["r1"] + 1) * ((t["c1"] + 1) / (n + 2))))
+        base = lf(t["r1"]) + lf(t["r2"]) + lf(t["c1"]) + lf(n - t["c1"]) - lf(n)
+        return _let(F.struct(lo.alias("lo"), hi.alias("hi"), mode.alias("mode"), base.alias("base")), lambda g: summed(t, g))
+
+    return F.when((a + b == 0) | (c + d == 0) | (a + c == 0) | (b + d == 0), F.lit(1.0)).otherwise(_let(table, bounds))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 from pytest import approx
 
@@ -43,6 +45,23 @@ def test_fisher_matches_saved_values(spark):
     assert one(spark, stats.lift(*cells), rows, "a long, b long, c long, d long")[1] == approx(82.2)
 
 
+def brute_fisher(a, b, c, d):
+    r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
+    if 0 in (r1, r2, c1, n - c1):
+        return 1.0
+    lf = lambda x: math.lgamma(x + 1)
+    logs = {k: lf(r1) + lf(r2) + lf(c1) + lf(n - c1) - lf(n) - lf(k) - lf(r1 - k) - lf(c1 - k) - lf(r2 - c1 + k) for k in range(max(0, c1 - r2), min(r1, c1) + 1)}
+    return min(1.0, sum(math.exp(x) for x in logs.values() if x <= logs[a] + 1e-7))
+
+
+def test_fisher_of_large_tables(spark):
+    rows = [(1250, 3750, 123750, 371250), (1300, 3700, 123700, 371300), (3750, 1250, 371250, 123750), (100, 900, 90_000, 910_000), (0, 1000, 500_000, 400_000), (900, 100, 20_000, 980_000)]
+    rows += [(3, 3, 3, 3), (5, 0, 0, 5), (0, 5, 5, 0), (40, 2, 1, 0), (0, 0, 0, 0), (1, 1, 1, 1), (20, 21, 21, 20), (123_456, 654_321, 234_567, 987_654)]
+    got = one(spark, stats.fisher_exact(*[F.col(c) for c in "abcd"]), rows, "a long, b long, c long, d long")
+    assert got[0] == approx(1.0)
+    assert got == [approx(brute_fisher(*r), rel=1e-5, abs=1e-300) for r in rows]
+
+
 def test_mapping_takes_each_rows_first_value(spark):
     df = spark.createDataFrame([("a", None, "k"), (None, "b", "k")], "x string, y string, other string")
     names = {"t": ("x", "y"), "missing": ("z",)}

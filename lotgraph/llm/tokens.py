@@ -2,8 +2,11 @@
 
 The tokenizer's own rules never join characters across white space, so the ids of a text are the ids of its chunks in
 order.  Of each bounded batch of texts only the distinct chunks are encoded.  Words of Latin-1 letters go to the file's
-BPE model without the normaliser and the regex, which leave such words as they are but for their case; all other chunks
-go through the whole tokenizer.
+BPE model in lower case, without the normaliser and the regex, which leave such words as they are but for their case;
+all other chunks go through the whole tokenizer as they stand, since special tokens are told apart by case.
+
+Defined cases: null and empty texts have no ids; a text of any length is one batch if it is longer than BATCH_BYTES, so
+a worker holds some multiples of its longest text; texts are taken in their order, and repeated ones get equal ids.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow.compute as pc
 BATCH_BYTES = 18 << 20
 ODD = 120_000
 WORDS = 1_000_000  # words whose ids a worker keeps from one batch to the next, some 40 MB
-LETTERS = "[a-zÀ-ÖØ-öø-ÿ]+"  # after A-Z are in lower case; the tokenizer takes all of them for letters
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"  # the tokenizer takes all of them for letters and puts them in lower case
 _BYTES = str.maketrans({c: "".join(map(chr, chr(c).encode())) for c in range(0xC0, 0x100)})  # letters beyond ASCII as their bytes
 _SHIFT = str.maketrans({b: 289 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 323})  # byte-level alphabet: bytes that do not print
 
@@ -133,7 +136,7 @@ class Encoder:
         return out
 
     def _batch(self, texts: pa.Array) -> list[bytes]:
-        part = pc.ascii_lower(texts)
+        part = texts  # in their own case: special tokens are told apart by it
         for mark in "\n\t\r":
             part = pc.replace_substring(part, mark, " ")
         rows = pc.split_pattern(part, " ")

@@ -40,8 +40,11 @@ def test_chunked_encoding_equals_the_library(tokenizer):
     assert encode(pa.array([], pa.string())) == []
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("aZé,.'!s \n\t3ßÀ́½'<|>"), max_size=40), max_size=4))
+PARTS = st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", " ", "a", "B,", "<|", "endoftext", "|>", "É", "\n"]), max_size=9).map("".join)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet=st.sampled_from("aZé,.'!s \n\t3ßÀ́½'<|>"), max_size=40), PARTS), max_size=4))
 def test_any_text_is_encoded_as_by_the_library(texts):
     tok = Tokenizer.from_file(tokens.tokenizer_path()) if not hasattr(test_any_text_is_encoded_as_by_the_library, "tok") else test_any_text_is_encoded_as_by_the_library.tok
     test_any_text_is_encoded_as_by_the_library.tok = tok
@@ -71,6 +74,12 @@ def test_range_coder_compresses_repetition_and_checks_blocks():
         idcoder.encode(np.array([70_000], np.uint32))
 
 
+def test_special_tokens_are_told_apart_by_case(tokenizer):
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> b", "<|endoftext|>", "x<|STARTOFTEXT|>y <|startoftext|>", "Hello HELLO hello, HELLO."]
+    got = tokens.encoder(tokens.tokenizer_path())(pa.array(texts))
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_id_files_round_trip(spark, tokenizer):
     path = new_path(spark, "ids")
     idfiles.write(frame(spark, TEXTS), path, file_ids=3000)

@@ -2,12 +2,14 @@
 
 A Misra-Gries summary of the digests (Spark's ``approx_top_k``) names at most ``heavy_k`` candidates.  One exact
 pass counts them and finds the row that stays; these verified winners are broadcast, so rows of frequent texts are
-settled where they are read.  All other digests meet in one ordinary shuffle, whose groups are bounded by the
-summary's threshold.
+settled where they are read.  All other digests, none of which has more than a ``heavy_k``-th of the rows, take the
+ordinary shuffle: counts and first rows are combined before it, and so are the rows that stay (the window keeps the
+first row per digest and task before it shuffles), so a group adds a row per task at most.
 
 Defined cases: null text counts as empty; of equal texts the row with the smallest doc_id stays, a null doc_id comes
-last, and of rows that repeat the same doc_id exactly one stays.  An empty table gives an empty result.  Extra columns
-play no part; working columns carry a ``__`` prefix so that they cannot clash.
+last, and of rows that repeat the same doc_id exactly one stays.  An empty table gives an empty result.  A text of any
+length is hashed whole and only its digest is compared.  Extra columns play no part and come back as they were,
+whatever their names: a caller's row travels in one struct.
 """
 
 from __future__ import annotations
@@ -27,47 +29,47 @@ def normalised(text: Column) -> Column:
 
 
 def _order() -> Column:
-    return F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    return F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
 
 
 def winners(rows: DataFrame, heavy_k: int = HEAVY_K, tracked: int = TRACKED) -> DataFrame:
-    """Digests that the Misra-Gries summary names, with their exact row counts and first rows.
+    """Digests that the Misra-Gries summary names, with their exact row counts (size) and first rows (first).
 
-    rows: __key (64 bits of the digest), __digest, __id, __row.  At most heavy_k keys come back, so the result may be
+    rows: key (64 bits of the digest), digest, id, row.  At most heavy_k keys come back, so the result may be
     broadcast at any input size.
     """
-    named = rows.select(F.expr(f"approx_top_k(__key, {heavy_k}, {tracked})").alias("top"))  # one row for all rows
-    named = named.where(F.col("top").isNotNull()).select(F.explode("top").alias("hit")).where("hit.count > 1").select(F.col("hit.item").alias("__key"))
-    found = rows.join(F.broadcast(named), "__key", "left_semi").groupBy("__digest").agg(F.min(_order()).alias("__first"), F.count(F.lit(1)).alias("__size"))
-    return found.where("__size > 1")
+    named = rows.select(F.expr(f"approx_top_k(key, {heavy_k}, {tracked})").alias("top"))  # one row for all rows
+    named = named.where(F.col("top").isNotNull()).select(F.explode("top").alias("hit")).where("hit.count > 1").select(F.col("hit.item").alias("key"))
+    found = rows.join(F.broadcast(named), "key", "left_semi").groupBy("digest").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("size"))
+    return found.where("size > 1")
 
 
 def duplicates(docs: DataFrame, heavy_k: int = HEAVY_K, tracked: int = TRACKED) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digest = F.sha2(normalised(F.col("text")), 256)
-    rows = stored(docs.select(F.col("doc_id").alias("__id"), F.unhex(digest).alias("__digest"), F.monotonically_increasing_id().alias("__row")).withColumn("__key", F.xxhash64("__digest")), "digests")
+    rows = docs.select(F.col("doc_id").alias("id"), F.unhex(digest).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(rows.withColumn("key", F.xxhash64("digest")), "digests")
     heavy = stored(winners(rows, heavy_k, tracked), "winners")
-    settled = rows.join(F.broadcast(heavy), "__digest", "inner").select("__id", "__row", "__digest", "__first", "__size")
-    group = Window.partitionBy("__digest")
-    rest = rows.join(F.broadcast(heavy.select("__digest")), "__digest", "left_anti").select("__id", "__row", "__digest", F.min(_order()).over(group).alias("__first"), F.count(F.lit(1)).over(group).alias("__size"))
-    return settled.unionByName(rest).select(
-        F.col("__id").alias("doc_id"),
-        F.col("__first.id").alias("keep_id"),
-        F.col("__size").alias("group_size"),
-        (F.col("__row") == F.col("__first.row")).alias("kept"),
-        F.lower(F.hex("__digest")).alias("text_sha256"),
+    settled = rows.join(F.broadcast(heavy), "digest").select("id", "row", "digest", "first", "size")
+    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("size"))
+    return settled.unionByName(rest.join(groups, "digest").select("id", "row", "digest", "first", "size")).select(
+        F.col("id").alias("doc_id"),
+        F.col("first.id").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        (F.col("row") == F.col("first.row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame, heavy_k: int = HEAVY_K, tracked: int = TRACKED) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    columns = docs.columns
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__digest": F.unhex(F.sha2(normalised(F.col("text")), 256)), "__row": F.lit(0).cast("long")})
-    heavy = stored(winners(keyed.select("__id", "__digest", "__row", F.xxhash64("__digest").alias("__key")), heavy_k, tracked), "winners")
+    keyed = docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc.doc_id").alias("id"), F.unhex(F.sha2(normalised(F.col("doc.text")), 256)).alias("digest"), F.lit(0).cast("long").alias("row"))
+    heavy = stored(winners(keyed.select("id", "digest", "row", F.xxhash64("digest").alias("key")), heavy_k, tracked), "winners")
     # copies of frequent texts go before any text is shuffled
-    left = keyed.join(F.broadcast(heavy.select("__digest", "__first")), "__digest", "left").where(F.col("__first").isNull() | F.col("__id").eqNullSafe(F.col("__first.id")))
-    order = Window.partitionBy("__digest").orderBy(F.col("__id").asc_nulls_last())
-    return left.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
+    left = keyed.join(F.broadcast(heavy.select("digest", "first")), "digest", "left").where(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first.id")))
+    order = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last())
+    return left.withColumn("place", F.row_number().over(order)).where("place = 1").select("doc.*")
 
 
 ORACLE = r"""

@@ -220,8 +220,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """The rows of docs that stay: of each group the one with the smallest doc_id; documents without words stay.
 
     doc_id is taken as the key: rows that repeat the doc_id that stays, stay with it."""
-    columns = docs.columns
     rows, ids = classes(docs, n, num, den)
     out = rows.join(ids, "digest", "left").where(F.col("n").eqNullSafe(0) | F.col("id").eqNullSafe(F.col("component_id")))
-    keep = out.select(F.col("id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").select(*columns)
+    boxed = docs.select(F.struct("*").alias("doc"), F.struct("doc_id").alias("key"))  # a null id is a key as well
+    return boxed.join(out.select(F.struct(F.col("id").alias("doc_id")).alias("key")).distinct(), "key", "left_semi").select("doc.*")

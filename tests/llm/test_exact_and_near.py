@@ -45,6 +45,26 @@ def test_exact_dedup_with_and_without_heavy_hitters(spark):
         assert kept.where("doc_id = 100").count() == 1
 
 
+CLASH = "__n int, __row string, __id long, __digest string, first string, size int, place int, digest string, row string, id string, doc string, __keep int, key int"
+
+
+def clashing(spark, pairs):
+    """Documents with columns named like those that operators work with, and the values they must come back with."""
+    values = (7, "x", 5, "d", "f", 3, 9, "g", "r", "i", "o", 2, 4)
+    return spark.createDataFrame([(i, t, *values) for i, t in pairs], "doc_id long, text string, " + CLASH), values
+
+
+def test_stages_leave_clashing_columns_as_they_were(spark):
+    docs, values = clashing(spark, [(1, "a b"), (2, "a  b"), (3, None), (None, "c"), (4, "w " * 3000)])
+    for out, ids in ((exact_dedup.keep_first(docs), {1, 3, None, 4}), (ngram_join.keep_one(docs), {1, 3, None, 4})):
+        rows = out.collect()
+        assert out.columns == docs.columns
+        assert {r.doc_id for r in rows} == ids
+        assert all(tuple(r)[2:] == values for r in rows)
+    assert exact_dedup.duplicates(docs).count() == 5
+    assert ngram_join.report(docs).count() == 5
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.duplicates(frame(spark, [])).count() == 0
     assert exact_dedup.keep_first(frame(spark, [])).count() == 0

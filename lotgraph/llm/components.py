@@ -1,28 +1,5 @@
-"""Connected components of an edge table by min-label spreading with pointer jumping."""
+"""Connected components of an edge table."""
 
-from __future__ import annotations
+from lotgraph.llm.spread import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lotgraph.llm.scratch import stored
-
-
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node, label (the smallest node of its component) for every node of edges (a long, b long).
-
-    Each round takes the smallest label among neighbours and then the label's own label, so chains halve at least;
-    lineage is cut after each round.  Labels of busy nodes are combined before the shuffle.
-    """
-    links = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("a", "b").distinct(), "links")
-    labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stored(step.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        changed = new.where("old != label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+__all__ = ["components"]

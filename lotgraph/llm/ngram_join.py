@@ -2,25 +2,33 @@
 
 The incidence matrix has a row per document and a column per word n-gram (a 64-bit hash).  Documents with the same
 row fall into one class first.  Of the product of the matrix with its transpose only entries that can reach the
-threshold are formed:
+threshold t are formed:
 
 * Columns come in one global order: a fixed share of the hash space first (``1 / part``), by document frequency in it,
-  then the rest.  If two rows reach the threshold, their first ``n - ceil(t * n) + 1`` columns in that order share one,
-  so only these columns are multiplied, and frequent n-grams fall out of them.
+  then the rest.  If two rows reach the threshold, the first ``n - ceil(t * n) + 1`` columns of the longer one and the
+  first ``n - ceil(2 t / (1 + t) * n) + 1`` of the shorter one share one, so only these are multiplied, and frequent
+  n-grams fall out of them.
 * A pair needs sizes within the threshold, enough columns left behind the shared one, and enough in the sum of the
-  least bucket counts of both rows (an upper bound of the overlap).  Pairs below these size-derived bounds go before
-  they become rows.
-* The overlaps of the pairs that are left are counted exactly over the whole rows.
+  least bucket counts of both rows (an upper bound of the overlap).  Pairs below these size-derived bounds are dropped.
+* The overlaps of the pairs that are left are accumulated exactly over the whole rows.
 
-Blocks: a column's documents are first multiplied with one document of the column, chosen by hash, which joins most
-of a large group of near copies in time that is linear in the column; after that only pairs whose documents are not
-yet in one component are formed, each in its first common column (as far as its rows' first ``HEADS`` shared columns
-tell), so no group is expanded into all its pairs, and no link between components is lost.
+A group of near copies is not expanded into its pairs:
+
+1. Star rounds.  Each column names one pivot by a rank of the row alone, so the columns of a group agree on it.  Each
+   row takes the pivot that most of its columns name, one pair per row and round; pairs that reach the threshold link
+   the row to the pivot, its centre, at a known Jaccard distance.  Linked rows are contracted to components, and later
+   rounds look at columns with several components only, under other ranks.
+2. Blocks.  Rows around one centre form a block.  In columns with several components left, blocks meet, not rows, in
+   tiles of ``TILE`` blocks so that a column of many blocks is spread.  Jaccard distance is a metric: where the centres
+   are further apart than ``1 - t`` and both radii, no pair of the blocks can link; where they reach t, they link.
+3. Pairs of rows of different components are formed only inside block pairs that are neither, under all bounds and the
+   distances to the centres, and are verified.  So no link between components is lost.
 
 Defined cases: null or empty texts, or texts without words, have an empty set and are linked with nothing; a text with
 fewer words than n has its whole word sequence as its only n-gram; null doc_ids sort last, so a component's id is null
-only if all its ids are; repeated rows belong to one class; an empty table gives an empty result; extra columns play
-no part.
+only if all its ids are; repeated rows belong to one class; ties of rank go by row number and do not change components;
+a text of any length is one row, of which a task holds the n-grams; an empty table gives an empty result; extra columns
+play no part.
 """
 
 from __future__ import annotations
@@ -33,11 +41,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotgraph.llm.components import components
-from lotgraph.llm.scratch import discard, settle, stored
+from lotgraph.llm.scratch import stored
+from lotgraph.llm.spread import components, spread_join
 
 BUCKETS = 128
-HEADS = 64
+ROUNDS = 3  # star rounds; what they leave open is settled exactly
+TILE = 256
 BROADCAST_ROWS = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -83,43 +92,22 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
         pa.default_memory_pool().release_unused()
 
 
-def prefix(n: int, num: int, den: int) -> int:
-    return n - -(-n * num // den) + 1
-
-
-def _features(n: int, num: int, den: int, part: int):
+def _features(n: int, part: int):
     import xxhash
 
     bound = np.uint64((1 << 64) // part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sizes, firsts, digests, sent, counts = [], [], [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py(), n)
-                first = int(np.searchsorted(s, bound))
-                sizes.append(len(s))
-                firsts.append(first)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sent.append(s if first < prefix(len(s), num, den) else s[:first])
-                counts.append(np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 32767).astype(np.int16))
-            ends = np.cumsum([0, *map(len, sent)]).astype(np.int32)
-            columns = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *sent]).view(np.int64)))
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS * len(sizes) + 1, BUCKETS, dtype=np.int32)), pa.array(np.concatenate([np.empty(0, np.int16), *counts])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32()), pa.array(digests, pa.binary()), columns, rows], names=["id", "row", "n", "first", "digest", "columns", "counts"])
-
-    return run
-
-
-def _sets(n: int):
-    import xxhash
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            found = [shingles(t.as_py(), n) for t in batch.column("text")]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["digest", "set"])
+            sets = [shingles(text.as_py(), n) for text in batch.column("text")]
+            firsts = [int(np.searchsorted(s, bound)) for s in sets]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            counts = [np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32) for s in sets]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            columns = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS * len(sets) + 1, BUCKETS, dtype=np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *counts])))
+            sizes = [pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *sizes, pa.array(digests, pa.binary()), columns, rows], names=["id", "row", "n", "first", "digest", "columns", "counts"])
 
     return run
 
@@ -128,85 +116,171 @@ def _reaches(overlap: Column, a: Column, b: Column, num: int, den: int) -> Colum
     return overlap * (den + num) >= (a + b) * num
 
 
-def _in_bounds(x: str, y: str, num: int, den: int) -> Column:
-    """What a pair that shares a column must meet before it becomes a row."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    left = F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at"))
-    most = F.aggregate(F.zip_with(c(x, "counts"), c(y, "counts"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-    sizes = F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num
-    return sizes & _reaches(left, c(x, "n"), c(y, "n"), num, den) & _reaches(most, c(x, "n"), c(y, "n"), num, den)
+def _most(a: str, b: str) -> Column:
+    """Upper bound of the overlap of two rows by their bucket counts."""
+    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+
+
+def _sized(a: Column, b: Column, num: int, den: int) -> Column:
+    return F.least(a, b).cast("long") * den >= F.greatest(a, b).cast("long") * num
+
+
+class _Join:
+    """The rows of one matrix and what is known of their product; see the module's text."""
+
+    def __init__(self, found: DataFrame, num: int, den: int):
+        self.found, self.num, self.den = found, num, den
+        self.gap = 1 - num / den  # largest distance of a link
+
+    def overlaps(self, pairs: DataFrame, floor: Column | None = None) -> DataFrame:
+        """a, b, distance of pairs (a, b) that the bucket counts leave possible; floor: least similarity asked for.
+
+        The rows of b come to those of a, in parts if b has many pairs.
+        """
+        pairs = stored(pairs.withColumn("floor", F.lit(self.num / self.den) if floor is None else floor), "pairs")
+        degree = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")), "degrees")
+        keyed = spread_join(pairs, degree, "b").select("a", "b", "floor", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("s"))
+
+        def meet(keyed: DataFrame, column: str) -> DataFrame:
+            keys = degree.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
+            # up to BROADCAST_ROWS pairs of numbers are sent to all tasks, more are joined by key
+            put = F.broadcast if keyed.count() <= BROADCAST_ROWS else lambda x: x
+            x = self.found.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa")).join(put(keyed), "a")
+            y = self.found.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb")).join(put(keys), "b")
+            return x.join(y, ["b", "s"])
+
+        total = (F.col("na") + F.col("nb")).cast("double")
+        enough = F.col("floor") / (1 + F.col("floor")) * total - 1e-6
+        left = stored(meet(stored(keyed, "pairs"), "counts").where(_most("xa", "xb") >= enough).select("a", "b", "floor", "s"), "pairs")
+        both = F.size(F.array_intersect("xa", "xb"))
+        return stored(meet(left, "columns").select("a", "b", (1 - both / (total - both)).alias("distance"), _reaches(both.cast("long"), F.col("na"), F.col("nb"), self.num, self.den).alias("linked")), "overlaps")
+
+    def labelled(self, cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return cells.withColumn("label", F.col("row"))
+        return cells.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+    def mixed(self, cells: DataFrame) -> DataFrame:
+        """h of columns with several labels and with a cell of a shorter row's prefix."""
+        return cells.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short")).where("lo != hi and short").select("h")
+
+    def stars(self, cells: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+        """row, pivot: for each row the pivot of another component that most of its columns name, if any."""
+        rank = F.col("rank") if turn == 0 else F.xxhash64("row", F.lit(turn))
+        known = stored(self.labelled(cells, labels).withColumn("rank", rank.cast("double")), "cells") if labels is not None else cells.withColumn("label", F.col("row"))
+        pivot = F.min(F.struct("rank", "row", "n", "at", "label")).alias("p")
+        named = known.groupBy("h").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short")).where("lo != hi and short").select("h", "p")
+        votes = spread_join(known, named, "h").where("label != p.label")
+        votes = votes.where(_sized(F.col("n"), F.col("p.n"), self.num, self.den) & _reaches(F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")), F.col("n"), F.col("p.n"), self.num, self.den))
+        counted = votes.groupBy("row", F.col("p.row").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
+        return counted.groupBy("row").agg(F.max_by("pivot", F.struct("k", F.xxhash64("pivot"))).alias("pivot"))
+
+    def blocks(self, open_cells: DataFrame) -> DataFrame:
+        """c, o: pairs of centres of blocks of different components that meet in a column, under the blocks' bounds."""
+        num, den, t = self.num, self.den, self.num / self.den
+        block = open_cells.groupBy("h", "c").agg(F.first("label").alias("label"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("d").alias("r"), F.max(F.col("n") - F.col("at")).alias("left"), F.bool_or("short").alias("short"))
+        counts = self.found.select(F.col("row").alias("c"), F.col("n").alias("nc"), "counts")
+        block = stored(block.join(counts, "c").withColumn("s", F.xxhash64("c")), "blocks")
+        tiles = block.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+        block = spread_join(block, tiles, "h").withColumn("tile", F.pmod("s", "tiles").cast("int"))
+        others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        block = block.withColumn("other", others).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+        block = stored(block.drop("tiles", "other", "s"), "tiles")
+        x, y = block.alias("x"), block.alias("y")
+        col = F.col
+        sizes = (col("x.hi").cast("long") * den >= col("y.lo").cast("long") * num) & (col("y.hi").cast("long") * den >= col("x.lo").cast("long") * num)
+        room = _reaches(F.least("x.left", "y.left"), col("x.lo"), col("y.lo"), num, den)
+        least = F.greatest(F.lit(0.0), t - col("x.r") - col("y.r") - 1e-9)
+        bound = _most("x.counts", "y.counts") >= least / (1 + least) * (col("x.nc") + col("y.nc")) - 1e-6
+        # a pair of one tile meets under (i, i), one of two tiles under (i, j) from either side once
+        side = F.when(col("x.i") == col("x.j"), col("x.c") < col("y.c")).otherwise((col("x.tile") == col("x.i")) & (col("y.tile") == col("y.j")))
+        met = x.join(y, (col("x.h") == col("y.h")) & (col("x.i") == col("y.i")) & (col("x.j") == col("y.j")) & side & (col("x.label") != col("y.label")) & (col("x.short") | col("y.short")) & sizes & room & bound)
+        return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"), F.when(col("x.c") < col("y.c"), col("x.r")).otherwise(col("y.r")).alias("ra"), F.when(col("x.c") < col("y.c"), col("y.r")).otherwise(col("x.r")).alias("rb")).groupBy("a", "b").agg(F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+
+    def rows_between(self, open_cells: DataFrame, close: DataFrame) -> DataFrame:
+        """a, b: pairs of rows inside close pairs of blocks, under all bounds."""
+        num, den, col = self.num, self.den, F.col
+        x = open_cells.select("h", "row", "n", "at", "d", "c", "short").alias("x")
+        y = open_cells.select("h", "row", "n", "at", "d", "c", "short").alias("y")
+        both = close.join(x, col("ca") == col("x.c")).join(y, (col("cb") == col("y.c")) & (col("x.h") == col("y.h")))
+        room = _reaches(F.least(col("x.n") - col("x.at"), col("y.n") - col("y.at")), col("x.n"), col("y.n"), num, den)
+        apart = col("distance") - col("x.d") - col("y.d") <= self.gap + 1e-9
+        return both.where(_sized(col("x.n"), col("y.n"), num, den) & room & apart & (col("x.short") | col("y.short"))).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, ids): rows has id, row, n, digest per document; ids has digest, component_id per class of equal sets."""
     part = part or (4 if num * 100 >= den * 88 else 3)
     source = docs.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
-    found = stored(source.mapInArrow(_features(n, num, den, part), "id long, row long, n int, first int, digest binary, columns array<long>, counts array<short>"), "features")
-    base = stored(found.drop("columns"), "base")
+    found = stored(source.mapInArrow(_features(n, part), "id long, row long, n int, first int, digest binary, columns array<long>, counts array<int>"), "features")
+    base = found.select("id", "row", "n", "digest")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("m")
     reps = stored(base.where("n > 0").groupBy("digest").agg(least).select("digest", F.col("m.id").alias("id"), F.col("m.row").alias("row")), "classes")
+    kept = prefixes(found, reps, num, den, part)
+
+    join, links, labels = _Join(found, num, den), None, None
+    for turn in range(ROUNDS):
+        pairs = join.stars(kept, labels, turn)
+        got = join.overlaps(pairs.select(F.col("row").alias("a"), F.col("pivot").alias("b"))).where("linked").select("a", "b", "distance")
+        if not got.limit(1).count():
+            break
+        links = got if links is None else links.unionByName(got)
+        labels = components(links)
+
+    # what is open: columns with several components, whose rows are blocks around the first pivot they were linked to
+    cells = stored(join.labelled(kept, labels), "cells")
+    open_cells = spread_join(cells, join.mixed(cells), "h")
+    if links is None:
+        centred = open_cells.withColumns({"c": F.col("row"), "d": F.lit(0.0)})
+    else:
+        centre = links.groupBy(F.col("a").alias("row")).agg(F.min_by("b", "distance").alias("c"), F.min("distance").alias("d"))
+        centred = open_cells.join(centre, "row", "left").withColumns({"c": F.coalesce("c", "row"), "d": F.coalesce("d", F.lit(0.0))})
+    open_cells = stored(centred, "open")
+    near = stored(join.blocks(open_cells), "block_pairs")
+    floor = F.greatest(F.lit(0.0), F.lit(num / den) - F.col("ra") - F.col("rb") - 1e-9)
+    met = join.overlaps(near.select("a", "b", floor.alias("floor")), F.col("floor")).join(near, ["a", "b"])
+    more = met.where("linked").select("a", "b", "distance")
+    close = stored(met.where(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("distance") <= join.gap + F.col("ra") + F.col("rb") + 1e-9)).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "distance"), "close")
+    if close.limit(1).count():
+        pairs = join.rows_between(open_cells, close)
+        more = more.unionByName(join.overlaps(pairs).where("linked").select("a", "b", "distance"))
+    more = stored(more, "edges")
+    if more.limit(1).count():
+        labels = components(more if links is None else links.unionByName(more))
+
+    own = stored(join.labelled(reps, labels), "members")
+    ids = own.groupBy("label").agg(F.min("id").alias("component_id"))
+    return base, stored(spread_join(own, ids, "label").select("digest", "component_id"), "components")
+
 
-    # up to BROADCAST_ROWS numbers of rows without a class of their own are sent to all tasks; more are joined by key
-    others = base.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti")
+def prefixes(found: DataFrame, reps: DataFrame, num: int, den: int, part: int) -> DataFrame:
+    """h, row, n, at, short, rank: the cells of the rows' prefixes in the global order, of columns with several rows.
+
+    at: the column's place in its row; short: it lies in the prefix that the row has as the shorter one of a pair; rank:
+    rows most of whose columns others have too come first.
+    """
+    others = found.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti")
+    # up to BROADCAST_ROWS numbers of rows without a class of their own are sent to all tasks, more are joined by key
     sent = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
-    mine = found.where("n > 0").select("row", "n", "first", "columns").join(sent, "row", "left_anti")
-    cells = mine.select("row", "n", "first", F.explode("columns").alias("h"))
-    # document frequency of the columns sent, combined before the shuffle; columns of one row can't meet another
+    length = F.col("n") - F.ceil(F.col("n").cast("long") * num / F.lit(den)) + 1
+    share = F.when(F.col("first") < length, F.col("columns")).otherwise(F.slice("columns", F.lit(1), F.col("first")))
+    mine = found.where("n > 0").select("row", "n", "first", share.alias("share")).join(sent, "row", "left_anti")
+    cells = mine.select("row", "n", "first", F.explode("share").alias("h"))
+    # document frequency, combined before the shuffle; a column of one row can't meet another
     often = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
-    settle(docs.sparkSession)
-    # place of a column in its row: frequent ones last, the share of the hash space first
+    # columns of more than a share of all cells, so fewer than HOT of them, are settled where the cells are made
+    hot_df = max(64, (often.agg(F.sum("df")).first()[0] or 0) // 50_000)
+    hot = F.broadcast(often.where(F.col("df") > hot_df))
+    marked = cells.join(hot, "h", "left")
+    shared = marked.where("df is not null").unionByName(marked.where("df is null").drop("df").join(often.where(F.col("df") <= hot_df), "h"))
     late = F.when(F.shiftrightunsigned("h", 1) >= F.lit((1 << 63) // part), 1).otherwise(0)
-    shared = cells.join(often, "h").withColumn("late", late)
-    tier = Window.partitionBy("row", "late")
+    whole, tier = Window.partitionBy("row"), Window.partitionBy("row", "late")
+    placed = shared.withColumns({"late": late, "rank": -F.count(F.lit(1)).over(whole) / F.col("n")})
     place = F.row_number().over(tier.orderBy("df", "h")) - 1
     alone = F.when(F.col("late") == 0, F.col("first") - F.count(F.lit(1)).over(tier)).otherwise(F.col("n") - F.count(F.lit(1)).over(tier))
-    length = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
-    kept = shared.withColumns({"at": (place + alone).cast("int"), "p": length}).where("at < p").select("h", "row", "n", "at")
-    kept = stored(kept, "prefixes")
-    del shared, cells, mine
-    discard(found)
-    settle(docs.sparkSession)
-    met = kept.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min_by("row", F.xxhash64("row", "h")).alias("pivot")).where("k > 1")
-    lists = kept.join(met.select("h", "pivot"), "h")
-    # the first shared columns of each row, by which a pair is formed in its first common column only
-    firsts = F.slice(F.array_sort(F.collect_list(F.struct("at", "h"))), 1, HEADS)
-    near = stored(lists.groupBy("row").agg(firsts.alias("firsts")).select("row", F.col("firsts.h").alias("heads")), "heads")
-    lists = stored(lists.join(base.select("row", "counts").join(near.select("row"), "row", "left_semi"), "row"), "lists")
-    settle(docs.sparkSession)
-
-    # whole rows of the matrix for the documents that are left
-    names = base.select("row", "id", "digest").join(near, "row", "left_semi")
-    texts = docs.select("doc_id", "text").join(names.where("id is not null").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
-    whole = texts.select("text").mapInArrow(_sets(n), "digest binary, set array<long>")
-    whole = stored(names.join(whole.dropDuplicates(["digest"]), "digest").select("row", "set"), "sets")
-    settle(docs.sparkSession)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = whole.select(F.col("row").alias("a"), F.col("set").alias("sa")), whole.select(F.col("row").alias("b"), F.col("set").alias("sb"))
-        both = pairs.distinct().join(a, "a").join(b, "b")
-        return both.where(_reaches(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), num, den)).select("a", "b")
-
-    pivots = lists.where("row = pivot")
-    star = lists.alias("x").join(pivots.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.row") != F.col("y.row")) & _in_bounds("x", "y", num, den))
-    pair = [F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")]
-    edges = stored(verified(star.select(*pair)), "edges")
-    settle(docs.sparkSession)
-    labels = components(edges)
-
-    # pairs of one column whose documents are still apart
-    tagged = lists.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-    open_lists = stored(tagged.join(mixed, "h", "left_semi").join(near, "row"), "open")
-    first = F.try_element_at(F.array_intersect("x.heads", "y.heads"), F.lit(1))
-    apart = (F.coalesce(first, F.col("x.h")) == F.col("x.h")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.row") != F.col("x.pivot")) & (F.col("y.row") != F.col("y.pivot"))
-    more = stored(verified(open_lists.alias("x").join(open_lists.alias("y"), apart & _in_bounds("x", "y", num, den)).select(*pair)), "edges")
-    if more.limit(1).count():
-        labels = components(edges.unionByName(more))
-
-    own = reps.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    ids = own.groupBy("label").agg(F.min("id").alias("component_id"))
-    return base.select("id", "row", "n", "digest"), stored(own.join(ids, "label").select("digest", "component_id"), "components")
+    short = F.col("n") - F.ceil(F.col("n").cast("long") * (2 * num) / F.lit(den + num)) + 1
+    cells = placed.withColumn("at", (place + alone).cast("int")).where(F.col("at") < length)
+    return stored(cells.select("h", "row", "n", "at", (F.col("at") < short).alias("short"), "rank"), "prefixes")
 
 
 def report(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:

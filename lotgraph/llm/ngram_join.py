@@ -5,7 +5,7 @@ row fall into one class first.  Of the product of the matrix with its transpose
 threshold t are formed:
 
 * Columns come in one global order: a fixed share of the hash space first (``1 / part``), by document frequency in it,
-  then the rest.  If two rows reach the threshold, the first ``n - ceil(t * n) + 1`` columns of the longer one and the
+  then the rest, and last the hot columns of the share.  If two rows reach the threshold, the first ``n - ceil(t * n) + 1`` columns of the longer one and the
   first ``n - ceil(2 t / (1 + t) * n) + 1`` of the shorter one share one, so only these are multiplied, and frequent
   n-grams fall out of them.
 * A pair needs sizes within the threshold, enough columns left behind the shared one, and enough in the sum of the
@@ -15,9 +15,9 @@ threshold t are formed:
 A group of near copies is not expanded into its pairs:
 
 1. Star rounds.  Each column names one pivot by a rank of the row alone, so the columns of a group agree on it.  Each
-   row takes the pivot that most of its columns name, one pair per row and round; pairs that reach the threshold link
-   the row to the pivot, its centre, at a known Jaccard distance.  Linked rows are contracted to components, and later
-   rounds look at columns with several components only, under other ranks.
+   row takes the pivot that most of its columns name, one pair per row; pairs that reach the threshold link the row to
+   the pivot, its centre, at a known Jaccard distance.  Linked rows are contracted to components, and later rounds look
+   at columns with several components only, under ``PIVOTS`` other ranks each, as long as they still link.
 2. Blocks.  Rows around one centre form a block.  In columns with several components left, blocks meet, not rows, in
    tiles of ``TILE`` blocks so that a column of many blocks is spread.  Jaccard distance is a metric: where the centres
    are further apart than ``1 - t`` and both radii, no pair of the blocks can link; where they reach t, they link.
@@ -42,10 +42,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgraph.llm.scratch import stored
-from lotgraph.llm.spread import components, spread_join
+from lotgraph.llm.spread import HOT_KEYS, components, spread_join
 
 BUCKETS = 128
-ROUNDS = 3  # star rounds; what they leave open is settled exactly
+ROUNDS, PIVOTS = 6, 4  # most star rounds, and pairs of a row in each but the first; what they leave open is settled exactly
 TILE = 256
 BROADCAST_ROWS = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,7 +113,7 @@ def _features(n: int, part: int):
 
 
 def _reaches(overlap: Column, a: Column, b: Column, num: int, den: int) -> Column:
-    return overlap * (den + num) >= (a + b) * num
+    return overlap.cast("long") * (den + num) >= (a.cast("long") + b.cast("long")) * num
 
 
 def _most(a: str, b: str) -> Column:
@@ -165,15 +165,18 @@ class _Join:
         return cells.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short")).where("lo != hi and short").select("h")
 
     def stars(self, cells: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-        """row, pivot: for each row the pivot of another component that most of its columns name, if any."""
-        rank = F.col("rank") if turn == 0 else F.xxhash64("row", F.lit(turn))
-        known = stored(self.labelled(cells, labels).withColumn("rank", rank.cast("double")), "cells") if labels is not None else cells.withColumn("label", F.col("row"))
-        pivot = F.min(F.struct("rank", "row", "n", "at", "label")).alias("p")
-        named = known.groupBy("h").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short")).where("lo != hi and short").select("h", "p")
-        votes = spread_join(known, named, "h").where("label != p.label")
+        """a, b: for each row the pivots of other components that most of its columns name, if any."""
+        ranks = [F.col("rank")] if turn == 0 else [F.xxhash64("row", F.lit(PIVOTS * turn + k)).cast("double") for k in range(PIVOTS)]
+        known = self.labelled(cells, labels)
+        known = stored(known, "cells") if labels is not None else known
+        pivots = [F.min(F.struct(r.alias("rank"), "row", "n", "at", "label")).alias(f"p{k}") for k, r in enumerate(ranks)]
+        named = known.groupBy("h").agg(*pivots, F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short")).where("lo != hi and short")
+        named = named.select("h", F.array_distinct(F.array(*[f"p{k}" for k in range(len(ranks))])).alias("ps"))
+        votes = spread_join(known, named, "h").select("row", "n", "at", "label", F.explode("ps").alias("p")).where("label != p.label")
         votes = votes.where(_sized(F.col("n"), F.col("p.n"), self.num, self.den) & _reaches(F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")), F.col("n"), F.col("p.n"), self.num, self.den))
         counted = votes.groupBy("row", F.col("p.row").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
-        return counted.groupBy("row").agg(F.max_by("pivot", F.struct("k", F.xxhash64("pivot"))).alias("pivot"))
+        best = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), F.xxhash64("pivot").alias("tie"), "pivot")))  # at most PIVOTS for each cell of a row
+        return counted.groupBy("row").agg(best.alias("best")).select(F.col("row").alias("a"), F.explode(F.slice("best", 1, len(ranks))).alias("b")).select("a", "b.pivot").toDF("a", "b")
 
     def blocks(self, open_cells: DataFrame) -> DataFrame:
         """c, o: pairs of centres of blocks of different components that meet in a column, under the blocks' bounds."""
@@ -200,12 +203,15 @@ class _Join:
     def rows_between(self, open_cells: DataFrame, close: DataFrame) -> DataFrame:
         """a, b: pairs of rows inside close pairs of blocks, under all bounds."""
         num, den, col = self.num, self.den, F.col
-        x = open_cells.select("h", "row", "n", "at", "d", "c", "short").alias("x")
-        y = open_cells.select("h", "row", "n", "at", "d", "c", "short").alias("y")
-        both = close.join(x, col("ca") == col("x.c")).join(y, (col("cb") == col("y.c")) & (col("x.h") == col("y.h")))
+        ends = stored(close.select(col("ca").alias("c")).union(close.select("cb")).distinct(), "ends")
+        mine = open_cells.join(ends, "c", "left_semi").join(self.found.select("row", "counts"), "row")
+        mine = stored(mine.select("h", "row", "n", "at", "d", "c", "short", "counts"), "rows")
+        x, y = mine.alias("x"), mine.alias("y")
         room = _reaches(F.least(col("x.n") - col("x.at"), col("y.n") - col("y.at")), col("x.n"), col("y.n"), num, den)
         apart = col("distance") - col("x.d") - col("y.d") <= self.gap + 1e-9
-        return both.where(_sized(col("x.n"), col("y.n"), num, den) & room & apart & (col("x.short") | col("y.short"))).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+        bound = _reaches(_most("x.counts", "y.counts"), col("x.n"), col("y.n"), num, den)
+        both = close.join(x, col("ca") == col("x.c")).join(y, (col("cb") == col("y.c")) & (col("x.h") == col("y.h")) & (col("x.short") | col("y.short")) & _sized(col("x.n"), col("y.n"), num, den) & room & apart & bound)
+        return both.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -220,12 +226,14 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
 
     join, links, labels = _Join(found, num, den), None, None
     for turn in range(ROUNDS):
-        pairs = join.stars(kept, labels, turn)
-        got = join.overlaps(pairs.select(F.col("row").alias("a"), F.col("pivot").alias("b"))).where("linked").select("a", "b", "distance")
-        if not got.limit(1).count():
+        pairs = stored(join.stars(kept, labels, turn), "stars")
+        got = join.overlaps(pairs).where("linked").select("a", "b", "distance")
+        linked = got.count()
+        if linked:
+            links = got if links is None else links.unionByName(got)
+            labels = components(links)
+        if linked * 20 <= pairs.count():
             break
-        links = got if links is None else links.unionByName(got)
-        labels = components(links)
 
     # what is open: columns with several components, whose rows are blocks around the first pivot they were linked to
     cells = stored(join.labelled(kept, labels), "cells")
@@ -257,29 +265,44 @@ def prefixes(found: DataFrame, reps: DataFrame, num: int, den: int, part: int) -
     """h, row, n, at, short, rank: the cells of the rows' prefixes in the global order, of columns with several rows.
 
     at: the column's place in its row; short: it lies in the prefix that the row has as the shorter one of a pair; rank:
-    rows most of whose columns others have too come first.
+    rows most of whose columns others have too come first.  Only rows whose prefix is not filled by the share of the hash
+    space, its hot columns aside, send their other columns.
     """
     others = found.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti")
     # up to BROADCAST_ROWS numbers of rows without a class of their own are sent to all tasks, more are joined by key
     sent = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    mine = found.where("n > 0").select("row", "n", "first", "columns").join(sent, "row", "left_anti")
     length = F.col("n") - F.ceil(F.col("n").cast("long") * num / F.lit(den)) + 1
-    share = F.when(F.col("first") < length, F.col("columns")).otherwise(F.slice("columns", F.lit(1), F.col("first")))
-    mine = found.where("n > 0").select("row", "n", "first", share.alias("share")).join(sent, "row", "left_anti")
-    cells = mine.select("row", "n", "first", F.explode("share").alias("h"))
-    # document frequency, combined before the shuffle; a column of one row can't meet another
-    often = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
-    # columns of more than a share of all cells, so fewer than HOT of them, are settled where the cells are made
-    hot_df = max(64, (often.agg(F.sum("df")).first()[0] or 0) // 50_000)
-    hot = F.broadcast(often.where(F.col("df") > hot_df))
-    marked = cells.join(hot, "h", "left")
-    shared = marked.where("df is not null").unionByName(marked.where("df is null").drop("df").join(often.where(F.col("df") <= hot_df), "h"))
-    late = F.when(F.shiftrightunsigned("h", 1) >= F.lit((1 << 63) // part), 1).otherwise(0)
-    whole, tier = Window.partitionBy("row"), Window.partitionBy("row", "late")
-    placed = shared.withColumns({"late": late, "rank": -F.count(F.lit(1)).over(whole) / F.col("n")})
-    place = F.row_number().over(tier.orderBy("df", "h")) - 1
-    alone = F.when(F.col("late") == 0, F.col("first") - F.count(F.lit(1)).over(tier)).otherwise(F.col("n") - F.count(F.lit(1)).over(tier))
     short = F.col("n") - F.ceil(F.col("n").cast("long") * (2 * num) / F.lit(den + num)) + 1
-    cells = placed.withColumn("at", (place + alone).cast("int")).where(F.col("at") < length)
+
+    def frequent(cells: DataFrame) -> DataFrame:
+        """h, df of columns that several rows have, combined before the shuffle; a column of one row can't meet another."""
+        return stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
+
+    def joined(cells: DataFrame, often: DataFrame, hot_df: int) -> DataFrame:
+        """cells with df; hot columns are settled where the cells are made."""
+        marked = cells.join(F.broadcast(often.where(F.col("df") > hot_df)), "h", "left")
+        return marked.where("df is not null").unionByName(marked.where("df is null").drop("df").join(often.where(F.col("df") <= hot_df), "h"))
+
+    # a column with more than a HOT_KEYS-th of the cells is hot, so there are fewer than HOT_KEYS
+    limit = lambda often: max(256, (often.agg(F.sum("df")).first()[0] or 0) // HOT_KEYS)
+    early = mine.select("row", "n", "first", F.explode(F.slice("columns", F.lit(1), F.col("first"))).alias("h"))
+    often = frequent(early)
+    hot_df = limit(often)
+    hot = early.select("row", "h").join(F.broadcast(often.where(F.col("df") > hot_df).select("h")), "h", "left_semi")
+    hot = stored(hot.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("hot")), "hot")
+    needy = mine.join(hot, "row", "left").where(F.col("first") - F.coalesce("hot", F.lit(0)) < length)
+    rest = needy.select("row", "n", "first", F.explode(F.slice("columns", F.col("first") + 1, F.greatest(F.col("n") - F.col("first"), F.lit(0)))).alias("h"))
+    later = frequent(rest)
+    tier = F.when(F.col("df") > hot_df, 2).otherwise(0)
+    shared = joined(early, often, hot_df).withColumn("tier", tier).unionByName(joined(rest, later, limit(later)).withColumn("tier", F.lit(1)))
+    whole, within = Window.partitionBy("row"), Window.partitionBy("row", "tier")
+    count = F.count(F.lit(1))
+    placed = shared.withColumns({"rank": -count.over(whole) / F.col("n"), "hot": F.sum(F.when(F.col("tier") == 2, 1).otherwise(0)).over(whole).cast("int")})
+    placed = placed.withColumns({"own": count.over(within), "place": F.row_number().over(within.orderBy("df", "h")) - 1})
+    # columns that nobody else has come before the shared ones of their tier
+    at = F.when(F.col("tier") == 0, F.col("first") - F.col("hot") - F.col("own")).when(F.col("tier") == 1, F.col("n") - F.col("hot") - F.col("own")).otherwise(F.col("n") - F.col("hot"))
+    cells = placed.withColumn("at", (at + F.col("place")).cast("int")).where(F.col("at") < length)
     return stored(cells.select("h", "row", "n", "at", (F.col("at") < short).alias("short"), "rank"), "prefixes")
 
 

@@ -1,12 +1,15 @@
 """Adaptive context-mixing range coder for token ids, over many blocks at once.
 
-A stream of ids is cut into blocks of ``block`` ids.  Each block starts from a fresh model and has its own checksum, so
-any block can be decoded alone.  Per id the model has three predictions: the id that last followed the two ids before
-(order 2), the one that last followed the id before (order 1), each with a confidence that grows with every hit, and
-adaptive counts of id classes (order 0).  Their evidence is mixed into one frequency table of ten symbols: hit of
-order 2, hit of order 1, or one of eight classes.  A carrying range coder of 48 bits codes the symbols; a class's
-remaining bits, which the model holds for uniform, are stored behind its code.  All blocks of a stream take the same
-step together, as numpy vectors; every number stays below 2**53, so doubles are exact.
+A stream of ids is cut into blocks of ``block`` ids.  Ids are coded as ranks in the stream's table, which holds each
+distinct id and its count, the most frequent first.  Each block starts from the same model, that of the table, and has
+its own checksum, so any block can be decoded alone.  Per id the model has three predictions: the id that last followed
+the two ids before (order 2), the one that last followed the id before (order 1), each with a confidence that grows with
+every hit, and the ids' own frequencies (order 0), cut into bands of equal weight whose shares adapt to the block.  Their
+evidence is mixed into one frequency table of ten symbols: hit of order 2, hit of order 1, or one of eight bands.  A
+carrying range coder of 48 bits codes the symbol and, in a band, the id by its frequency there.  All blocks of a stream
+take the same step together, as numpy vectors; every number stays below 2**53, so doubles are exact.
+
+Defined cases: ids may be any below 2**32; an empty stream has no blocks; a damaged or cut file raises ValueError.
 """
 
 from __future__ import annotations
@@ -16,36 +19,80 @@ import zlib
 
 import numpy as np
 
-BLOCK = 512
-SLOTS = 8  # bits of a context table
-#: Fixed values of the format: first id and bits of each class.
-CLASS_BASE = np.array([0, 512, 1024, 2048, 4096, 8192, 16384, 32768], np.uint32)
-CLASS_BITS = np.array([9, 9, 10, 11, 12, 13, 14, 15], np.uint32)
+BLOCK = 4096
+SLOTS = 12  # bits of a context table
+BANDS = 8
+#: Fixed values of the format.
 EVIDENCE = np.array([4.0, 60, 160, 320, 520, 760, 1000, 1300, 1600, 1900, 2200, 2500, 2800, 3000, 3200, 3400])
 STEP, LIMIT = 24.0, 16_384.0
 LOW, CARRY = float(1 << 32), 65536.0
-_BASE = np.r_[np.zeros(2, np.uint32), CLASS_BASE]
-_BITS = np.r_[np.zeros(2, np.int64), CLASS_BITS.astype(np.int64)]
-_CLASS = np.zeros(1 << 16, np.int64)
-for _k, _b in enumerate(CLASS_BASE.tolist()):
-    _CLASS[_b:] = _k + 2
 _M1, _M2, _M3, _M4, _CUT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F), np.uint32(32 - SLOTS)
-_EIGHT, _CONF, _ONE = np.uint32(8), np.uint32(255), np.uint32(1)
+
+
+class Table:
+    """The distinct ids of a stream by falling count, and their bands of nearly equal weight."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((ids, -counts.astype(np.int64)))
+        self.ids, self.counts = ids[order].astype(np.uint32), counts[order].astype(np.int64)
+        self.ends = np.cumsum(self.counts)
+        total = int(self.ends[-1]) if len(order) else 0
+        self.total = total
+        # a band ends with the first rank that reaches its share of the weight
+        marks = np.searchsorted(self.ends, total * np.arange(1, BANDS) / BANDS) + 1
+        cuts = np.concatenate([[0], np.minimum(marks, len(order)), [len(order)]])
+        self.band = np.repeat(np.arange(BANDS), np.diff(cuts))
+        before = np.concatenate([[0], self.ends])
+        self.base, self.weight = before[cuts[:-1]].astype(float), np.diff(before[cuts]).astype(float)
+        self.start = (self.ends - self.counts).astype(float) - self.base[self.band]
+        self.freq = self.counts.astype(float)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Table, np.ndarray]:
+        """The table of a stream and the ranks of its ids."""
+        if len(ids) and int(ids.max()) < 1 << 22:
+            counts = np.bincount(ids)
+            found = np.flatnonzero(counts)
+            table = cls(found, counts[found])
+            rank = np.empty(len(counts), np.uint32)
+            rank[table.ids] = np.arange(len(table.ids), dtype=np.uint32)
+            return table, rank[ids]
+        found, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        table = cls(found, counts)
+        rank = np.empty(len(found), np.uint32)
+        rank[np.searchsorted(found, table.ids)] = np.arange(len(found), dtype=np.uint32)
+        return table, rank[place]
+
+    def pack(self) -> bytes:
+        order = np.argsort(self.ids)
+        ids = self.ids[order].astype(np.int64)
+        steps = np.diff(ids, prepend=0)
+        return struct.pack("<I", len(ids)) + zlib.compress(steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + self.counts[order].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Table:
+        (n,) = struct.unpack_from("<I", data)
+        raw = np.frombuffer(zlib.decompress(data[4:]), np.uint8).reshape(2, 4, n)
+        steps, counts = (np.ascontiguousarray(x.T).view("<u4").ravel().astype(np.int64) for x in raw)
+        return cls(np.cumsum(steps), counts)
 
 
 class Model:
     """The mixed predictions of n blocks.  Counts and ends are whole numbers held as doubles, which numpy divides fast."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, table: Table):
         self.lane = np.arange(n)
         self.base = self.lane << SLOTS
-        self.one = np.full(n << SLOTS, 0xFFFF00, np.uint32)
-        self.two = np.full(n << SLOTS, 0xFFFF00, np.uint32)
-        self.counts = np.full((10, n), 16.0)
+        kind = np.uint32 if len(table.ids) < (1 << 24) - 1 else np.uint64  # a rank and four bits of confidence
+        self.kind, self.conf, self.shift, self.unit = kind, kind(255), kind(8), kind(1)
+        none = np.iinfo(kind).max - 255
+        self.one, self.two = np.full(n << SLOTS, none, kind), np.full(n << SLOTS, none, kind)
+        shares = np.floor(128 * table.weight / max(1, table.total)) + (table.weight > 0)
+        self.counts = np.repeat(np.concatenate([[16.0, 16.0], shares])[:, None], n, axis=1)
         self.flat_counts = self.counts.ravel()
-        self.total = np.full(n, 160.0)
+        self.total = self.counts.sum(axis=0)
         self.prev, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        self.ends = np.zeros((11, n))
+        self.ends = np.zeros((BANDS + 3, n))
         self.flat_ends = self.ends.ravel()
 
     def predict(self) -> np.ndarray:
@@ -53,23 +100,23 @@ class Model:
         self.at1 = self.base + ((self.prev * _M1) >> _CUT)
         self.at2 = self.base + ((((self.prev * _M2) ^ (self.before * _M3)) * _M4) >> _CUT)
         self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.q1, self.q2 = self.e1 >> _EIGHT, self.e2 >> _EIGHT
+        self.q1, self.q2 = self.e1 >> self.shift, self.e2 >> self.shift
         ends, counts = self.ends, self.counts
-        np.add(counts[0], EVIDENCE.take(self.e2 & _CONF), out=ends[1])
-        np.add(counts[1], EVIDENCE.take(self.e1 & _CONF), out=ends[2])
+        np.add(counts[0], EVIDENCE.take(self.e2 & self.conf), out=ends[1])
+        np.add(counts[1], EVIDENCE.take(self.e1 & self.conf), out=ends[2])
         ends[2] += ends[1]
-        for k in range(2, 10):
+        for k in range(2, BANDS + 2):
             np.add(ends[k], counts[k], out=ends[k + 1])
-        return ends[10]
+        return ends[BANDS + 2]
 
-    def update(self, flat: np.ndarray, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+    def update(self, flat: np.ndarray, ranks: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         self.flat_counts[flat] += STEP
         self.total += STEP
-        fresh = ids << _EIGHT
-        most = fresh + np.uint32(15)
-        self.one[self.at1] = np.where(hit1, np.minimum(self.e1 + _ONE, most), fresh)
-        self.two[self.at2] = np.where(hit2, np.minimum(self.e2 + _ONE, most), fresh)
-        self.before, self.prev = self.prev, ids
+        fresh = ranks.astype(self.kind) << self.shift
+        most = fresh + self.kind(15)
+        self.one[self.at1] = np.where(hit1, np.minimum(self.e1 + self.unit, most), fresh)
+        self.two[self.at2] = np.where(hit2, np.minimum(self.e2 + self.unit, most), fresh)
+        self.before, self.prev = self.prev, ranks
         if self.total.max() > LIMIT:
             over = np.flatnonzero(self.total > LIMIT)
             half = np.floor(self.counts[:, over] / 2) + 1
@@ -77,154 +124,160 @@ class Model:
             self.total[over] = half.sum(axis=0)
 
 
-def _pack_bits(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Per row, the values of the given bit sizes one after another, in 16-bit words."""
-    n, steps = values.shape
-    ends = np.cumsum(sizes, axis=1)
-    width = int(ends[:, -1].max()) // 16 + 2
-    at = ends - sizes
-    word = (at >> 4) + (np.arange(n) * width)[:, None]
-    wide = values.astype(np.int64) << (32 - (at & 15) - sizes)  # over two words
-    both = np.bincount(word.ravel(), (wide >> 16).ravel().astype(float), n * width + 1) + np.bincount(word.ravel() + 1, (wide & 0xFFFF).ravel().astype(float), n * width + 1)
-    words = both[:-1].reshape(n, width).astype("<u2")
-    return [words[k, : -(-int(ends[k, -1]) // 16)].tobytes() for k in range(n)]
+class _Out:
+    """The range coder's end of n blocks: low, range, and the words that have left."""
+
+    def __init__(self, n: int, steps: int):
+        self.low, self.rng = np.zeros(n), np.full(n, float((1 << 48) - 1))
+        self.words, self.used = np.zeros((n, 3 * steps + 8), np.int32), np.zeros(n, np.int64)
+
+    def put(self, total: np.ndarray, start: np.ndarray, width: np.ndarray, who=slice(None)) -> None:
+        unit = np.floor(self.rng[who] / total)
+        self.low[who] += unit * start
+        self.rng[who] = unit * width
+        while len(short := np.flatnonzero(self.rng < LOW)):
+            at, have = self.used[short], self.low[short]
+            top = np.floor(have / LOW)
+            self.words[short, at] = top
+            self.used[short] = at + 1
+            self.low[short] = (have - top * LOW) * CARRY
+            self.rng[short] *= CARRY
+
+    def finish(self) -> list[bytes]:
+        lane = np.arange(len(self.low))
+        for k in range(3):
+            top = np.floor(self.low / LOW)
+            self.words[lane, self.used + k] = top
+            self.low = (self.low - top * LOW) * CARRY
+        words = self.words[:, : int(self.used.max()) + 3]
+        while (over := words >> 16).any():  # carries
+            words &= 0xFFFF
+            words[:, :-1] += over[:, 1:]
+        out = words.astype("<u2")
+        return [out[k, : u + 3].tobytes() for k, u in enumerate(self.used.tolist())]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded blocks of a stream of ids below 65,536: length of the code, code, class bits."""
+    """The stream's table and its coded blocks; nothing for an empty stream."""
     if not len(ids):
         return []
-    if ids.max() >= 1 << 16:
-        raise ValueError("ids of 65,536 and more are not supported")
-    n = -(-len(ids) // block)
-    steps = min(block, len(ids))
-    grid = np.full(n * block, ids[-1], np.uint32)
-    grid[: len(ids)] = ids
+    table, ranks = Table.of(np.asarray(ids, np.uint32))
+    n, steps = -(-len(ids) // block), min(block, len(ids))
+    grid = np.full(n * block, ranks[-1], np.uint32)
+    grid[: len(ids)] = ranks
     grid = np.ascontiguousarray(grid.reshape(n, block).T[:steps])
-    symbols = np.empty(grid.shape, np.uint8)
-    model, low, rng = Model(n), np.zeros(n), np.full(n, float((1 << 48) - 1))
-    out, used = np.zeros((n, steps + 8), np.int32), np.zeros(n, np.int64)
-    for row, kept in zip(grid, symbols, strict=True):
+    model, out = Model(n, table), _Out(n, steps)
+    for row in grid:
         total = model.predict()
-        symbol = _CLASS.take(row)
+        symbol = table.band.take(row) + 2
         hit1, hit2 = row == model.q1, row == model.q2
         np.copyto(symbol, 1, where=hit1)
         np.copyto(symbol, 0, where=hit2)
-        kept[:] = symbol
         flat = symbol * n + model.lane
         start = model.flat_ends.take(flat)
-        unit = np.floor(rng / total)
-        low += unit * start
-        rng = unit * (model.flat_ends.take(flat + n) - start)
-        short = np.flatnonzero(rng < LOW)
-        if len(short):
-            at, have = used[short], low[short]
-            top = np.floor(have / LOW)
-            out[short, at] = top
-            used[short] = at + 1
-            low[short] = (have - top * LOW) * CARRY
-            rng[short] *= CARRY
+        out.put(total, start, model.flat_ends.take(flat + n) - start)
+        rest = np.flatnonzero(symbol > 1)
+        if len(rest):
+            mine = row[rest]
+            out.put(table.weight.take(symbol[rest] - 2), table.start.take(mine), table.freq.take(mine), rest)
         model.update(flat, row, hit1, hit2)
-    for k in range(3):
-        top = np.floor(low / LOW)
-        out[model.lane, used + k] = top
-        low = (low - top * LOW) * CARRY
-    used += 3
-    while (over := out >> 16).any():  # carries
-        out &= 0xFFFF
-        out[:, :-1] += over[:, 1:]
-    words = out.astype("<u2")
-    rest: list[bytes] = []
-    for k in range(0, n, 128):
-        kinds = np.ascontiguousarray(symbols[:, k : k + 128].T)
-        sizes = _BITS[kinds]
-        rest += _pack_bits(np.where(sizes > 0, grid[:, k : k + 128].T - _BASE[kinds], 0), sizes)
-    return [struct.pack("<I", 2 * int(used[k])) + words[k, : used[k]].tobytes() + rest[k] for k in range(n)]
-
-
-def _words(parts: list[bytes], spare: int) -> np.ndarray:
-    out = np.zeros((len(parts), max(map(len, parts)) // 2 + spare), np.int64)
-    for k, b in enumerate(parts):
-        out[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-    return out
+    return [table.pack(), *out.finish()]
 
 
 def decode(blocks: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarray:
-    """The ids of a whole stream of coded blocks."""
-    n = len(blocks)
-    if not n:
+    """The ids of a whole stream, or of any of its blocks, from the table and the coded blocks."""
+    n = len(blocks) - 1
+    if n < 1:
         return np.empty(0, np.uint32)
-    steps = min(block, total_ids)
-    cuts = [4 + struct.unpack_from("<I", b)[0] for b in blocks]
-    words = _words([b[4:c] for b, c in zip(blocks, cuts, strict=True)], 4)
-    raw = _words([b[c:] for b, c in zip(blocks, cuts, strict=True)], 3)
-    pairs = ((raw[:, :-1] << 16) | raw[:, 1:]).ravel()  # 32 bits from each word on
-    first, last = np.arange(n) * (raw.shape[1] - 1), raw.shape[1] - 2
-    model, rng = Model(n), np.full(n, float((1 << 48) - 1))
+    table, steps = Table.unpack(blocks[0]), min(block, total_ids)
+    words = np.zeros((n, max(map(len, blocks[1:])) // 2 + 4), np.int64)
+    for k, b in enumerate(blocks[1:]):
+        words[k, : len(b) // 2] = np.frombuffer(b, "<u2", len(b) // 2)
+    model, rng = Model(n, table), np.full(n, float((1 << 48) - 1))
     code = words[:, 0] * LOW + words[:, 1] * CARRY + words[:, 2]
-    used, place = np.full(n, 3), np.zeros(n, np.int64)
+    used, last = np.full(n, 3), words.shape[1] - 1
     grid = np.empty((steps, n), np.uint32)
-    value, over, symbol = np.empty(n), np.empty((9, n), bool), np.empty(n, np.int64)
+    value, over, symbol = np.empty(n), np.empty((BANDS + 1, n), bool), np.empty(n, np.int64)
+
+    def renew() -> None:
+        while len(short := np.flatnonzero(rng < LOW)):
+            at = used[short]
+            code[short] = code[short] * CARRY + words[short, np.minimum(at, last)]
+            used[short] = at + 1
+            rng[short] *= CARRY
+
     for row in grid:
         total = model.predict()
         unit = np.floor(rng / total)
         np.floor(code / unit, out=value)
-        np.greater_equal(value, model.ends[1:10], out=over)
+        np.greater_equal(value, model.ends[1 : BANDS + 2], out=over)
         np.add.reduce(over, axis=0, dtype=np.int64, out=symbol)
         flat = symbol * n + model.lane
         start = model.flat_ends.take(flat)
         code -= unit * start
-        rng = unit * (model.flat_ends.take(flat + n) - start)
-        short = np.flatnonzero(rng < LOW)
-        if len(short):
-            at = used[short]
-            code[short] = code[short] * CARRY + words[short, np.minimum(at, words.shape[1] - 1)]
-            used[short] = at + 1
-            rng[short] *= CARRY
-        bits = _BITS.take(symbol)
-        rest = (pairs.take(first + np.minimum(place >> 4, last)) >> (32 - (place & 15) - bits)) & ((1 << bits) - 1)
-        place += bits
-        np.add(_BASE.take(symbol), rest.astype(np.uint32), out=row)
-        np.copyto(row, model.q1, where=symbol == 1)
-        np.copyto(row, model.q2, where=symbol == 0)
+        rng[:] = unit * (model.flat_ends.take(flat + n) - start)
+        renew()
+        np.copyto(row, model.q1, where=symbol == 1, casting="unsafe")
+        np.copyto(row, model.q2, where=symbol == 0, casting="unsafe")
+        rest = np.flatnonzero(symbol > 1)
+        if len(rest):
+            band = symbol[rest] - 2
+            weight = table.weight.take(band)
+            unit = np.floor(rng[rest] / weight)
+            at = np.clip(np.floor(code[rest] / unit), 0, weight - 1)
+            mine = np.minimum(np.searchsorted(table.ends, table.base.take(band) + at, side="right"), len(table.ids) - 1)
+            row[rest] = mine
+            code[rest] -= unit * table.start.take(mine)
+            rng[rest] = unit * table.freq.take(mine)
+            renew()
         model.update(flat, row, row == model.q1, row == model.q2)
     full = np.zeros((n, block), np.uint32)
-    full[:, :steps] = grid.T
+    full[:, :steps] = table.ids.take(np.minimum(grid, len(table.ids) - 1)).T
     return full.ravel()[:total_ids]
 
 
 #: Fixed values of the file format.
-MAGIC = b"LGIDS1\r\n"
+MAGIC = b"LGIDS2\r\n"
 HEAD = struct.Struct("<8sIIIIQ")  # magic, shard, part, documents, block ids, ids
 
 
 def pack_file(shard: int, part: int, names: np.ndarray, lengths: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One file: head, document table (doc_id, ids), then per block its size, checksum of its ids and code."""
-    table = zlib.compress(names.astype("<i8").tobytes() + lengths.astype("<i8").tobytes(), 1)
-    out = [HEAD.pack(MAGIC, shard, part, len(names), block, len(ids)), struct.pack("<I", len(table)), table]
-    for k, code in enumerate(encode(ids, block)):
+    """One file: head, document table (doc_id, ids), id table, then per block its size, checksum of its ids and code."""
+    documents = zlib.compress(names.astype("<i8").tobytes() + lengths.astype("<i8").tobytes(), 1)
+    table, *codes = encode(ids, block) or [b""]
+    out = [HEAD.pack(MAGIC, shard, part, len(names), block, len(ids))]
+    for data in (documents, table):
+        out += [struct.pack("<II", len(data), zlib.crc32(data)), data]
+    for k, code in enumerate(codes):
         own = ids[k * block : (k + 1) * block].astype("<u4").tobytes()
         out += [struct.pack("<II", len(code), zlib.crc32(own)), code]
     return b"".join(out)
 
 
 def unpack_file(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """shard, part, doc_ids, lengths and ids of one file; raises ValueError if a checksum fails."""
-    magic, shard, part, docs, block, count = HEAD.unpack_from(data)
-    if magic != MAGIC:
-        raise ValueError("not an id file")
+    """shard, part, doc_ids, lengths and ids of one file; raises ValueError if it is cut or a checksum fails."""
     at = HEAD.size
-    (size,) = struct.unpack_from("<I", data, at)
-    table = zlib.decompress(data[at + 4 : at + 4 + size])
-    at += 4 + size
-    blocks, sums = [], []
-    for _ in range(-(-count // block)):
+
+    def piece() -> tuple[bytes, int]:
+        nonlocal at
+        if len(data) < at + 8:
+            raise ValueError("id file is cut off")
         size, crc = struct.unpack_from("<II", data, at)
-        blocks.append(data[at + 8 : at + 8 + size])
-        sums.append(crc)
         at += 8 + size
-    ids = decode(blocks, count, block)
-    for k, crc in enumerate(sums):
+        if len(data) < at:
+            raise ValueError("id file is cut off")
+        return data[at - size : at], crc
+
+    if len(data) < at or data[:8] != MAGIC:
+        raise ValueError("not an id file")
+    _, shard, part, docs, block, count = HEAD.unpack_from(data)
+    (documents, crc), (table, own) = piece(), piece()
+    if zlib.crc32(documents) != crc or zlib.crc32(table) != own:
+        raise ValueError(f"a table of shard {shard} does not match its checksum")
+    documents = zlib.decompress(documents)
+    found = [piece() for _ in range(-(-count // block))]
+    ids = decode([table, *(code for code, _ in found)], count, block)
+    for k, (_, crc) in enumerate(found):
         if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {k} of shard {shard} does not match its checksum")
-    return shard, part, np.frombuffer(table, "<i8", docs), np.frombuffer(table, "<i8", docs, 8 * docs), ids
+    return shard, part, np.frombuffer(documents, "<i8", docs), np.frombuffer(documents, "<i8", docs, 8 * docs), ids

@@ -1,13 +1,16 @@
 """Token-id files: written in ascending doc_id order by the range coder and read back (operator 8).
 
-Documents are range-partitioned and sorted by doc_id; each task encodes its texts with the tokenizers library, appends
-the end id, and packs files of at most about ``file_ids`` ids (``idcoder.pack_file``: document table and independently
-reset, checksummed blocks).  Spark's text writer stores each file's bytes in the shared folder, one file per row; its
+Documents are range-partitioned and sorted by doc_id (and, where many rows repeat one, by a hash of the text and the
+row's number, so no doc_id has to fit one task); each task encodes its texts with the tokenizers library, appends the end
+id, and packs files of at most about ``file_ids`` ids (``idcoder.pack_file``: document table, id table and
+independently reset, checksummed blocks).  Spark's text writer stores each file's bytes in the shared folder, one file per row; its
 closing line feed lies behind the last block and is not read.  Reading decodes each file in a task of its own, checks
 every block, and adds the ids of all files before it, known from the files' heads, to each document's start.
 
 Defined cases: null and empty texts have only the end id; null doc_ids come first; rows that repeat a doc_id lie next
-to each other in the order of their texts; an empty table gives an empty result; extra columns play no part.
+to each other in the order of their texts' hashes; a document is never cut, so a file has at most ``file_ids`` ids more
+than its last document; an empty table gives an empty result, and a task without documents an empty file; any other file
+that is cut or damaged raises an error; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -60,8 +63,9 @@ def _files(path: str, end_id: int, file_ids: int):
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, file_ids: int = FILE_IDS) -> None:
     """Write the ids of all documents to files under path."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = rows.mapInArrow(_files(tokenizer or tokenizer_path(), end_id, file_ids), "file binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "hash", "row"]
+    files = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_files(tokenizer or tokenizer_path(), end_id, file_ids), "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -69,7 +73,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file in batch.column("content"):
             data = file.as_buffer().to_pybytes()
-            if len(data) < 40:
+            if not data:
                 continue  # a task without documents
             shard, part, names, lengths, ids = unpack_file(data)
             ends = np.cumsum(lengths)
@@ -84,10 +88,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files under path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     found = stored(files.mapInArrow(_documents, "shard long, part long, doc_id long, start long, n_tokens long, ids_crc32 long"), "ids")
-    # one row per file in the window
-    sizes = found.groupBy("shard", "part").agg(F.sum("n_tokens").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    return found.join(before.select("shard", "part", "before"), ["shard", "part"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    # ids of the files before: by shard, then of the shards before, of which there are as many as tasks wrote files
+    files = found.groupBy("shard", "part").agg(F.sum("n_tokens").alias("size"))
+    shards = files.groupBy("shard").agg(F.sum("size").alias("size"))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shards = shards.select("shard", (F.sum("size").over(up_to(Window.orderBy("shard"))) - F.col("size")).alias("base"))
+    files = files.withColumn("before", F.sum("size").over(up_to(Window.partitionBy("shard").orderBy("part"))) - F.col("size"))
+    before = files.join(shards, "shard").select("shard", "part", (F.col("base") + F.col("before")).alias("before"))
+    return found.join(before, ["shard", "part"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def report(docs: DataFrame) -> DataFrame:

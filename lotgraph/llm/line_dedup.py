@@ -9,11 +9,18 @@ of (doc_id, place in the text); blank lines stay, and lines under ``least`` char
    neighbourhoods of ordinary prose are never formed; nothing is lost by it.
 3. Such a line emits itself and its variants with one character left out, as hashed keys; lines of equal keys meet.
    With the same place left out one character is replaced, and a variant that is a whole line has one more; of each the
-   earliest place is passed on, so rows grow with the lines and not with their pairs.
+   earliest place is passed on, so rows grow with the lines and not with their pairs.  A line is cut into pieces of about
+   the root of its length; a key is the hash of what stands before the piece, the piece's variant, and the hash of what
+   stands behind it, so all keys of a line of n characters take about n ** 1.5 steps, and a long line costs no square.
 4. The pairs are verified by edit distance, and each line takes the earliest place it found.
 
+The lines that meet under one key are equal but for one character at one place, so a key has no more lines than there
+are characters; equal lines are one class before.
+
 Defined cases: null and empty texts have one blank line, which stays; null doc_ids come last; rows that repeat a doc_id
-and its text are taken as one and lose the same lines; an empty table gives an empty result; extra columns stay.
+and its text are taken as one and lose the same lines; of equal places none goes before another; lines of any length
+take part whole, and one text's lost lines are one list; an empty table gives an empty result; extra columns come back
+as they were, and where a caller has a column named as one that is added, the added one gets one more underscore.
 """
 
 from __future__ import annotations
@@ -56,6 +63,30 @@ def _halves(n: Column) -> Column:
     return F.array(*both(n), *both(n - 1))
 
 
+def _width(short: Column) -> Column:
+    """The pieces' width by the length of the shorter line of a pair: a power of two about its root."""
+    return F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(short, F.lit(1)).cast("double")) / 2)).cast("int"))
+
+
+def _keys(line: Column, short: Column, whole: bool) -> Column:
+    """(at, v) of a line: keys of its variants with the character at a place (from 1) left out, or, as at = 0, of itself
+    as another line's variant, piece by piece."""
+    n, width = F.length(line), _width(short)
+    size = width - 1 if whole else width
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n if whole else n - 1) / width).cast("int")))
+    own = lambda k: F.substring(line, k * width + 1, size)
+    around = lambda k: F.xxhash64(width, k, F.substring(line, F.lit(1), k * width), F.lit("|"), F.substring(line, k * width + 1 + size, n))
+    pieces = F.transform(numbers, lambda k: F.struct((k * width).alias("start"), own(k).alias("own"), around(k).alias("around")))
+    if whole:
+        return F.transform(pieces, lambda p: F.struct(F.lit(0).alias("at"), F.xxhash64(p["around"], p["own"]).alias("v")))
+
+    def variants(p: Column) -> Column:
+        left_out = lambda i: F.concat(F.substring(p["own"], F.lit(1), i - 1), F.substring(p["own"], i + 1, n))
+        return F.transform(F.sequence(F.lit(1), F.length(p["own"])), lambda i: F.struct((p["start"] + i).alias("at"), F.xxhash64(p["around"], left_out(i)).alias("v")))
+
+    return F.flatten(F.transform(pieces, variants))
+
+
 def near(docs: DataFrame, firsts: DataFrame, least: int = LEAST, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """ha, hb, near: lines within one edit of an earlier line and the place of the earliest such line.
 
@@ -70,9 +101,13 @@ def near(docs: DataFrame, firsts: DataFrame, least: int = LEAST, most_broadcast:
     kept = found.join(sent, ["ha", "hb"], "left_semi").groupBy("ha", "hb").agg(F.first("line").alias("line"))
     kept = stored(kept.join(firsts.select("ha", "hb", "first"), ["ha", "hb"]), "candidates")
 
-    n = F.length("line")
-    left_out = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))))
-    rows = kept.select("ha", "hb", F.posexplode(F.concat(F.array(F.xxhash64("line")), left_out)).alias("at", "v"))  # at 0: the line itself
+    # few rows may have many keys: they are dealt to all tasks first
+    dealt = kept.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ha", "hb")
+    line, n = F.col("line"), F.length("line")
+    # keys as the shorter or equal line of a pair, and as the longer one where that cuts other pieces
+    longer = F.when(_width(n - 1) != _width(n), _keys(line, n - 1, False)).otherwise(F.array().cast("array<struct<at:int,v:long>>"))
+    keys = F.explode(F.concat(_keys(line, n, True), _keys(line, n, False), longer)).alias("key")
+    rows = dealt.select("ha", "hb", keys).select("ha", "hb", "key.at", "key.v")  # at 0: the line itself
     meet = Window.partitionBy("v")  # lines that are equal but for one character
     met = rows.withColumns({"lo": F.min("ha").over(meet), "hi": F.max("ha").over(meet)}).where("lo != hi").select("v", "at", "ha", "hb")
     met = stored(met.join(kept.select("ha", "hb", "first"), ["ha", "hb"]), "met")
@@ -102,13 +137,16 @@ def removed(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with __clean (the text without the lines that go), __lines and __removed."""
-    lost = removed(docs, least).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lost").alias("__lost"))
-    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
-    joined = joined.withColumns({"__raw": _raw(joined), "__gone": F.coalesce(F.col("__lost"), F.array().cast("array<int>"))})
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__raw") - 1), "__gone")
-    clean = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__raw", i)), "\n"))
-    return joined.withColumns({"__clean": clean, "__lines": F.size("__raw").cast("long"), "__removed": F.size("__gone").cast("long")}).drop("__id", "__th", "__lost", "__hash", "__raw", "__gone")
+    def free(name: str) -> str:
+        return free("_" + name) if name in docs.columns else name
+
+    lost = removed(docs, least)
+    boxed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), _raw(docs).alias("raw"))
+    joined = boxed.join(lost, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")), "left")
+    joined = joined.withColumn("gone", F.coalesce("lost", F.array().cast("array<int>")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), "gone")
+    clean = F.when(F.size("gone") == 0, F.col("doc.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("raw", i)), "\n"))
+    return joined.select("doc.*", clean.alias(free("__clean")), F.size("raw").cast("long").alias(free("__lines")), F.size("gone").cast("long").alias(free("__removed")))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -2,15 +2,20 @@
 
 ``trigram_query`` derives from each rule's regex a Boolean trigram query in disjunctive form: literal runs and small
 alternatives are enumerated, each gives a conjunction of its trigrams, and a part that can be arbitrary or shorter
-than three characters asks for nothing.  ``postings`` is the inverted index of the trigrams that the rules ask for,
-``candidates`` intersects posting lists per conjunction and unites them per rule, and ``scan`` verifies candidate
-texts with the regex itself.  A rule without mandatory trigrams scans every text.
+than three characters asks for nothing.  ``index`` is the inverted index of the trigrams that the rules ask for: sorted
+posting lists by trigram, cut into blocks of about ``BLOCK`` documents so that no list is unbounded.  ``candidates``
+intersects a block's lists by conjunction and unites them by rule; only the documents' keys go on, and ``scan`` verifies
+the candidates' texts, where they are read, with the regex itself.  A rule without mandatory trigrams scans every text.
 
 Posting lists hold a 64-bit hash of doc_id and text, so copies are spread; rows that repeat both share one entry, and a
-collision only adds a candidate, which the regex then refuses.  Trigrams are compared in lower case, which can only add candidates too.
+collision only adds a candidate, which the regex then refuses.  Trigrams are compared in lower case, which can only add
+candidates too.
 
 Defined cases: null text counts as empty and has no spans; a null doc_id keeps its row; repeated rows each give a row;
-an empty table gives an empty result; extra columns play no part.  Offsets are code points, ends exclusive.
+spans of one start go by the kinds' order; a text of any length is scanned whole, its offsets summed in chunks of
+``CHUNK`` matches, so many matches cost no square; an empty table gives an empty result; extra columns come back as they
+were, and where a caller has a column ``__spans``, the added one gets one more underscore.  Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -22,7 +27,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotgraph.llm.scratch import stored
+
 ENUMERATED = 64
+BLOCK = 4096  # documents of a posting list
+CHUNK = 64  # matches
+BROADCAST_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -118,19 +128,37 @@ def postings(docs: DataFrame, rules=RULES) -> DataFrame:
     return low.select("key", F.explode(has).alias("trigram"))
 
 
-def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """key, kinds: posting lists intersected by each conjunction and united by rule."""
-    found = index.groupBy("key").agg(F.collect_set("trigram").alias("has"))
-    kinds = []
-    for r in rules:
-        query = trigram_query(r.regex)
-        if frozenset() not in query:
-            terms = [F.size(F.array_intersect("has", F.array(*map(F.lit, sorted(t))))) == len(t) for t in sorted(query, key=sorted)]
-            holds = terms[0]
-            for t in terms[1:]:
-                holds = holds | t
-            kinds.append(F.when(holds, F.lit(r.kind)))
-    return found.select("key", F.array_compact(F.array(*kinds)).alias("kinds") if kinds else F.array().cast("array<string>").alias("kinds")).where(F.size("kinds") > 0)
+def index(docs: DataFrame, rules=RULES, block: int = BLOCK) -> DataFrame:
+    """trigram, block, keys: sorted posting lists, cut by the keys' remainder; combined before the shuffle."""
+    count = max(1, -(-docs.count() // block))
+    found = postings(docs, rules).withColumn("block", F.pmod("key", F.lit(count)))
+    return found.groupBy("trigram", "block").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def candidates(lists: DataFrame, rules=RULES) -> DataFrame:
+    """key, kinds: posting lists intersected by each conjunction and united by rule, block by block."""
+    queries = {r.kind: trigram_query(r.regex) for r in rules}
+    asked = sorted({g for q in queries.values() for term in q for g in term})
+    none = F.array().cast("array<long>")
+    # a block has one list per asked trigram
+    row = lists.groupBy("block").agg(*[F.coalesce(F.first(F.when(F.col("trigram") == g, F.col("keys")), ignorenulls=True), none).alias(f"g{k}") for k, g in enumerate(asked)])
+    column = {g: F.col(f"g{k}") for k, g in enumerate(asked)}
+    found = None
+    for kind, query in queries.items():
+        if frozenset() in query:
+            continue
+        united = none
+        for term in sorted(query, key=sorted):
+            first, *more = sorted(term)
+            own = column[first]
+            for g in more:
+                own = F.array_intersect(own, column[g])
+            united = F.array_union(united, own)
+        one = row.select(F.explode(united).alias("key"), F.lit(kind).alias("kind"))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return row.select(F.lit(0).cast("long").alias("key"), F.array().cast("array<string>").alias("kinds")).where("false")
+    return found.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -140,7 +168,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of all leftmost non-overlapping matches: the pieces between matches give the offsets."""
     hits = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     pieces = F.split(text, rule.regex, -1)
-    start = F.lit(0).cast("int")
+    zero = F.lit(0).cast("int")
 
     def step(acc: Column, pair: Column) -> Column:
         at = acc["pos"] + F.length(pair["piece"])
@@ -149,26 +177,41 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         good = F.length(F.regexp_extract(pair["hit"], rule.regex, rule.group)) >= rule.least if rule.least else F.lit(True)
         return F.struct(end.alias("pos"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).cast(SPAN).alias("out"))
 
+    def chunked(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, CHUNK))
+        first = F.struct(zero.alias("pos"), F.array().cast(SPAN).alias("out"))
+        return F.transform(chunks, lambda c: F.aggregate(c, first, step))
+
+    def moved(parts: Column) -> Column:
+        before = lambda k: F.aggregate(F.slice(parts, F.lit(1), k), zero, lambda s, x: s + x["pos"])
+        bases = F.zip_with(parts, F.transform(parts, lambda x, k: before(k)), lambda x, base: F.struct(x["out"].alias("out"), base.alias("base")))
+        move = lambda s, base: F.struct((s["start"] + base).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + base).alias("end"))
+        return F.flatten(F.transform(bases, lambda x: F.transform(x["out"], lambda s: move(s, x["base"]))))
+
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     pairs = F.zip_with(hits, F.slice(pieces, F.lit(1), F.size(hits)), lambda h, p: F.struct(h.alias("hit"), p.alias("piece")))
-    first = F.struct(start.alias("pos"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+    return let(pairs, lambda own: F.when(F.size(own) == 0, F.array().cast(SPAN)).otherwise(let(chunked(own), moved)))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, rules=RULES, block: int = BLOCK, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs with __spans: their verified spans by start, then kind as listed."""
-    keyed = docs.withColumns({"__text": _text(docs), "__key": _key(docs)})
-    kinds = candidates(postings(docs, rules), rules).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-    joined = keyed.join(kinds, "__key", "left")
+    name = "__spans"
+    while name in docs.columns:
+        name = "_" + name
+    keyed = docs.select(F.struct("*").alias("doc"), _text(docs).alias("whole"), _key(docs).alias("key"))
+    found = stored(candidates(index(docs, rules, block), rules), "candidates")
+    # up to most_broadcast keys are sent to the texts, which then need no shuffle; more are joined by key
+    joined = keyed.join(F.broadcast(found) if found.count() <= most_broadcast else found, "key", "left")
     none = F.array().cast(SPAN)
-    found = []
+    spans = []
     for rank, r in enumerate(rules):
-        asked = F.array_contains("__kinds", r.kind) if frozenset() not in trigram_query(r.regex) else F.col("__text").rlike(r.regex)
-        found.append(F.when(asked, _spans(F.col("__text"), r, rank)).otherwise(none))
-    return joined.withColumn("__spans", F.array_sort(F.concat(*found))).drop("__key", "__kinds", "__text")
+        asked = F.array_contains("kinds", r.kind) if frozenset() not in trigram_query(r.regex) else F.col("whole").rlike(r.regex)
+        spans.append(F.when(asked, _spans(F.col("whole"), r, rank)).otherwise(none))
+    return joined.select("doc.*", F.array_sort(F.concat(*spans)).alias(name))
 
 
 def report(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:

@@ -7,13 +7,17 @@ level 1, or else of the deepest level's nearest, the longest passage and then th
 answered.  Following these links gives each message its thread; a conversation is ordered by thread and turn, so every
 reply stands after what it answers, and carries own texts only.
 
-Only hashes that somebody quotes take part in the join, each probe takes the last earlier original by a running
-maximum (no pair of equal lines becomes a row), and positions are counted in buckets of ``BUCKET`` root turns whose
-sizes are then summed, so a conversation that holds a third of all rows is spread over many tasks.
+Only hashes that somebody quotes take part in the join.  Each probe takes the last earlier original by a running maximum
+(no pair of equal lines becomes a row), inside spans of ``SPAN`` turns, to which the maximum of the spans before is
+carried, so a passage that all of a long conversation quote is spread.  Positions are counted in three steps: in buckets
+of ``BUCKET`` turns of one thread, over the buckets of ``BUCKET`` roots, and over those; so neither a conversation that
+holds a third of all rows nor one thread that holds all of a conversation meets in one task.
 
 Defined cases: null text counts as empty; text that is quoted only has an empty own text; a quote without an original
-links nothing; null conv_ids form one conversation, null turns come last and are never linked; repeated rows each get a
-position; an empty table gives an empty result; extra columns play no part.
+links nothing; of equal originals the latest earlier one is answered; null conv_ids form one conversation, null turns
+come last, in the order of role and text, and are never linked; repeated rows each get a position; a text of any length
+is parsed whole, a long line is a passage like any other; an empty table gives an empty result; extra columns play no
+part.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from lotgraph.llm.scratch import stored
 
 PREFIX = r"^[ \t]*((?:>[ \t]?)+)"
 BUCKET = 256
+SPAN = 1024
 
 
 def normalised(text: Column) -> Column:
@@ -59,8 +64,15 @@ def links(messages: DataFrame) -> DataFrame:
     originals = originals.join(asked, F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("x")), "left_semi").distinct()
     none = F.lit(None)
     both = originals.select("conv", "h", "turn", none.cast("int").alias("level"), none.cast("int").alias("size")).unionByName(probes)
-    before = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("to", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level is not null and to is not null")
+    both = stored(both.withColumn("span", F.floor(F.col("turn") / SPAN)), "both")
+    original = F.when(F.col("level").isNull(), F.col("turn"))
+    ahead = Window.partitionBy("conv", "h").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = both.groupBy("conv", "h", "span").agg(F.max(original).alias("last")).withColumn("carried", F.max("last").over(ahead))
+    before = Window.partitionBy("conv", "h", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    here = both.withColumn("here", F.max(original).over(before)).where("level is not null")
+    carried = spans.where("carried is not null").select(F.col("conv").alias("c"), F.col("h").alias("x"), F.col("span").alias("s"), "carried")
+    found = here.join(carried, F.col("conv").eqNullSafe(F.col("c")) & (F.col("h") == F.col("x")) & (F.col("span") == F.col("s")), "left")
+    found = found.withColumn("to", F.coalesce("here", "carried")).where("to is not null")
     best = F.max_by("to", F.struct(-F.col("level"), F.col("size"), F.col("to")))
     return found.groupBy("conv", "turn").agg(best.alias("reply_to"))
 
@@ -85,14 +97,19 @@ def conversations(messages: DataFrame) -> DataFrame:
     rows = found.select("conv_id", "turn", "role", F.col("__own").alias("content"))
     rows = rows.join(linked, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("turn") == F.col("t")), "left")
     rows = rows.select("conv_id", "turn", "role", "reply_to", F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "content")
-    rows = rows.withColumn("__bucket", F.floor(F.col("root_turn") / BUCKET))
+    # roots by BUCKET, then one thread's turns by BUCKET; rows without a turn by what they are ordered by
+    loose = F.when(F.col("turn").isNull(), F.struct(F.col("role").isNull().alias("no_role"), "role", F.left("content", F.lit(4)).alias("begin")))
+    rows = rows.withColumns({"roots": F.floor(F.col("root_turn") / BUCKET), "part": F.struct(F.col("root_turn").alias("root"), F.floor(F.col("turn") / BUCKET).alias("turns"), loose.alias("loose"))})
     order = [F.asc_nulls_last("root_turn"), F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc("content")]
-    placed = rows.withColumn("__at", F.row_number().over(Window.partitionBy("conv_id", "__bucket").orderBy(*order)))
-    sizes = rows.groupBy(F.col("conv_id").alias("c"), F.col("__bucket").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    before = Window.partitionBy("c").orderBy(F.asc_nulls_last("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sizes.withColumn("before", F.sum("k").over(before) - F.col("k")).drop("k")
-    out = placed.join(sizes, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("__bucket").eqNullSafe(F.col("b")))
-    return out.select("conv_id", (F.col("__at") + F.col("before")).alias("position"), "turn", "role", "reply_to", "root_turn", "depth", "content")
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "roots", "part").orderBy(*order)))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = rows.groupBy("conv_id", "roots", "part").agg(F.count(F.lit(1)).alias("k"))
+    many = parts.groupBy("conv_id", "roots").agg(F.sum("k").alias("k"))
+    many = many.select(F.col("conv_id").alias("c"), F.col("roots").alias("r"), (F.sum("k").over(up_to(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("roots")))) - F.col("k")).alias("base"))
+    inside = F.sum("k").over(up_to(Window.partitionBy("conv_id", "roots").orderBy("part"))) - F.col("k")
+    parts = parts.withColumn("inside", inside).join(many, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("roots").eqNullSafe(F.col("r"))).select("c", "r", F.col("part").alias("p"), (F.col("base") + F.col("inside")).alias("before"))
+    out = placed.join(parts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("roots").eqNullSafe(F.col("r")) & F.col("part").eqNullSafe(F.col("p")))
+    return out.select("conv_id", (F.col("at") + F.col("before")).alias("position"), "turn", "role", "reply_to", "root_turn", "depth", "content")
 
 
 def report(messages: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """Toxicity score: FTRL-proximal logistic regression over hashed word n-grams and skip-grams (operator 1).
 
 Features are the distinct unigrams, bigrams and one-gap skip-grams of the lower-cased words, hashed to 2**bits
-columns.  Training rows are a bounded, hash-chosen sample of the labelled rows (``max_train`` in expectation, so one
-task holds them); FTRL-proximal makes ``epochs`` passes with per-coordinate rates and an L1 term that grows with the
+columns; all tasks make them.  Training rows are a bounded, hash-chosen sample of the labelled rows (``max_train`` in
+expectation, so one task holds their features); FTRL-proximal makes ``epochs`` passes with per-coordinate rates and an L1 term that grows with the
 root of the sample, which leaves a few hundred weights.  With more than one shard, each shard trains by itself and the
-weights are averaged by feature.  The weights that are not zero are broadcast (at most 2**bits pairs), and scoring is
-one pass without a shuffle over all rows and whole texts.
+weights are averaged by feature.  Only the weights that are not zero are broadcast, as pairs (at most 2**bits), and
+scoring is one pass without a shuffle over all rows and whole texts.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; null labels are not used;
-repeated rows count as often as they occur; without any usable label every score is 0.5 less a hair, so nothing is
-rejected; a null doc_id is scored and is never a training row.  Extra columns play no part in the score.
+repeated rows count as often as they occur; of labels that contradict each other the toxic one holds; a score of exactly
+0.5 is predicted 1; without any usable label every score is 0.5 less a hair, so nothing is rejected; a null doc_id is
+scored and is never a training row; a text of any length has at most 2**bits features; an empty table gives an empty
+result.  Extra columns play no part in the score and come back as they were.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,6 @@ EPOCHS = 6
 ALPHA, BETA, L2 = 2.0, 1.0, 0.0
 L1_LEAST, L1_SHARE = 8.0, 1 / 9  # L1 = max(least, share * sqrt(rows))
 TOXIC_WEIGHT = 3  # toxic rows are rare and count so many times
-FLOOR = 0.499999
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR, _SKIP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -115,16 +117,25 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int =
     # about max_train pairs of numbers: a proven bound for this broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", F.col("toxic").cast("double").alias("toxic"))), "doc_id")
 
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                found = [features(t.as_py(), bits).astype(np.int32) for t in part.column("text")]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                columns = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), columns], names=["doc_id", "toxic", "columns"])
+
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = []
-        for pdf in frames:
-            found += [(i, y, features(t, bits).astype(np.int32)) for i, t, y in zip(pdf["doc_id"], pdf["text"], pdf["toxic"], strict=True)]
+        found = [row for pdf in frames for row in zip(pdf["doc_id"], pdf["toxic"], pdf["columns"], strict=True)]
         if found:
-            found = [x for x in sorted(found, key=lambda x: (x[0], x[1], len(x[2]))) for _ in range(TOXIC_WEIGHT if x[1] > 0.5 else 1)]  # the same order however the rows arrive
+            # the same order however the rows arrive
+            found = [x for x in sorted(found, key=lambda x: (x[0], x[1], len(x[2]), x[2][:64].tobytes())) for _ in range(TOXIC_WEIGHT if x[1] > 0.5 else 1)]
             w = ftrl([x[2] for x in found], np.array([x[1] for x in found]), bits)
             at = np.flatnonzero(w)
             yield pd.DataFrame({"at": at, "w": w[at], "n": float(len(found))})
 
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(featured, "doc_id long, toxic double, columns array<int>")
     dealt = rows.repartition(1) if shards == 1 else rows.repartition(shards, F.xxhash64("doc_id", F.lit("shard")))
     parts = stored(dealt.mapInPandas(fit, "at long, w double, n double"), "weights")
     rows_of = parts.where(F.col("at") == 1 << bits).agg(F.sum("n").alias("total"))
@@ -133,21 +144,23 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int =
     return [(r["at"], r["w"]) for r in got]
 
 
+@lru_cache(2)
+def _table(at: bytes, w: bytes, bits: int) -> np.ndarray:
+    table = np.zeros((1 << bits) + 1)
+    table[np.frombuffer(at, np.int32)] = np.frombuffer(w)
+    return table
+
+
 def score(docs: DataFrame, weights: list[tuple[int, float]], bits: int = BITS) -> DataFrame:
     """docs (doc_id, text) with score double and predicted int."""
-    spark = docs.sparkSession
-    table = np.zeros((1 << bits) + 1)
-    for at, w in weights:
-        table[at] = w
-    if not weights:
-        table[-1] = -4e-6
-    sent = spark.sparkContext.broadcast(table.astype(np.float32))
+    pairs = sorted(weights) or [(1 << bits, -4e-6)]
+    # the weights that are not zero; a task lays them out once
+    sent = docs.sparkSession.sparkContext.broadcast((np.array([k for k, _ in pairs], np.int32).tobytes(), np.array([w for _, w in pairs]).tobytes()))
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        w = sent.value
-        bias = float(w[-1])
-        margin = np.array([float(w[features(t, bits)].sum()) + bias for t in texts], np.float64)
+        w = _table(*sent.value, bits)
+        margin = np.array([w[features(t, bits)].sum() + w[-1] for t in texts], np.float64)
         return pd.Series(1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35))))
 
     out = docs.withColumn("score", scored(F.col("text")))
@@ -163,8 +176,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their own columns."""
-    columns = docs.columns
-    plain = docs.withColumn("__text", F.col("text"))
     weights = train(docs, labels)
-    found = score(plain.select(F.struct(*columns).alias("__doc"), F.col("__text").alias("text")), weights)
-    return found.where("predicted = 0").select("__doc.*")
+    found = score(docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc.text").alias("text")), weights)
+    return found.where("predicted = 0").select("doc.*")

@@ -18,7 +18,9 @@ to the item is at most ``share`` (0.2) of the item's words.  Search, in one pass
 The benchmark is broadcast in blocks of at most ``block_words`` words, however large it is; each block is one pass.
 
 Defined cases: null or empty texts and items match nothing; a null item_id is reported as null; repeated documents each
-report their leaks, repeated items each are found; empty tables give an empty result; extra columns play no part.
+report their leaks, repeated items each are found; of passages at the same distance the first is reported; texts of any
+length are searched whole, their windows in slices; empty tables give an empty result; extra columns play no part and
+come back as they were.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ SAMPLES = 3
 PIECE = 14  # words: two edits at most
 SPAN = 1.5  # sampled places lie in so many lengths of the embedding; the walk has mostly ended after two
 BLOCK_WORDS = 2_000_000
+HITS = 2_000_000  # held at once
 FOUND = "array<struct<item_id:long,start:int,words:int,distance:int>>"
 
 _WORD = re.compile(r"[^\W_]+")
@@ -157,12 +160,16 @@ class Benchmark:
             if not len(at):
                 continue
             lo, hi = np.searchsorted(gram, g[at], "left"), np.searchsorted(gram, g[at], "right")
-            n = hi - lo
-            at = np.repeat(at, n)
-            slot = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            length, start = self.sizes[piece[slot]], at - offset[slot]
-            for size in np.unique(length):
-                out.setdefault(int(size), []).append(start[length == size])
+            ends = np.cumsum(hi - lo)
+            cut = 0
+            while cut < len(at):  # a run that many items have gives many hits: so many are held at once
+                stop = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + HITS, side="right")))
+                n = (hi - lo)[cut:stop]
+                slot = np.repeat(lo[cut:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                length, start = self.sizes[piece[slot]], np.repeat(at[cut:stop], n) - offset[slot]
+                for size in np.unique(length):
+                    out.setdefault(int(size), []).append(np.unique(start[length == size]))
+                cut = stop
         return {size: np.unique(np.concatenate(x)) for size, x in out.items()}
 
     def search(self, texts: list[np.ndarray]) -> list[list[tuple]]:
@@ -261,7 +268,7 @@ def report(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs that leak no item."""
-    columns = docs.columns
+    out = docs.select(F.struct("*").alias("doc"))
     for items in blocks(benchmark, block_words):
-        docs = docs.withColumn("__leaks", leaks(F.col("text"), items, docs.sparkSession)).where(F.size("__leaks") == 0).select(*columns)
-    return docs
+        out = out.withColumn("leaks", leaks(F.col("doc.text"), items, docs.sparkSession)).where(F.size("leaks") == 0).select("doc")
+    return out.select("doc.*")

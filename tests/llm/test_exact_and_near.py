@@ -1,6 +1,7 @@
 """Exact dedup, n-gram Jaccard join, line dedup against brute force; nulls, empties, ties, repeats, clashing columns."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -169,6 +170,24 @@ def test_line_dedup_is_exact(spark):
     assert [c for c in again.columns if not c.startswith("__") or c == "__n"] == ["doc_id", "text", "lang", "__n", "row"]
 
 
+def test_line_dedup_of_long_lines_and_lengths_at_a_new_width(spark):
+    rng = random.Random(3)
+    pairs = []
+    for k, n in enumerate([21, 63, 64, 65, 255, 256, 257, 258, 1023, 1024, 1025, 30_000]):
+        line = "".join(rng.choice("abcdeé ") for _ in range(n - 2)).join("xx")
+        at = rng.randrange(1, n - 1)
+        pairs += [(10 * k, line), (10 * k + 1, line[:at] + line[at + 1 :]), (10 * k + 2, line[:at] + "Z" + line[at:]), (10 * k + 3, line[:at] + "Y" + line[at + 1 :]), (10 * k + 4, line[: at - 1] + "QQ" + line[at + 1 :])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(frame(spark, pairs)).collect()}
+    assert got == {i: int(i % 10 in (1, 2, 3)) for i, _ in pairs}
+
+
+def test_line_dedup_leaves_clashing_columns_as_they_were(spark):
+    docs = spark.createDataFrame([(1, "a line that stands here twice", "h", 1, "r", 2), (2, "a line that stands here twice", "h", 1, "r", 2)], "doc_id long, text string, __hash string, __raw int, __clean string, id int")
+    out = line_dedup.dedup(docs)
+    assert out.columns == [*docs.columns, "___clean", "__lines", "__removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a line that stands here twice", "h", 1, "r", 2, "a line that stands here twice", 1, 0), (2, "a line that stands here twice", "h", 1, "r", 2, "", 1, 1)]
+
+
 def test_line_dedup_of_repeats_and_nothing(spark):
     same = [(1, "a line that stands here twice\nx")] * 2
     assert {(r.n_removed) for r in line_dedup.report(frame(spark, same)).collect()} == {0}

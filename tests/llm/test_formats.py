@@ -71,7 +71,29 @@ def test_range_coder_compresses_repetition_and_checks_blocks():
     with pytest.raises(ValueError):
         idcoder.unpack_file(bytes(broken))
     with pytest.raises(ValueError):
-        idcoder.encode(np.array([70_000], np.uint32))
+        idcoder.unpack_file(data[: len(data) // 2])
+    with pytest.raises(ValueError):
+        idcoder.unpack_file(b"x" * 39)
+
+
+def test_range_coder_takes_any_ids():
+    for ids in ([70_000], [0, (1 << 32) - 1, 1 << 31, 1 << 16], list(range(0, 1 << 32, 12_345_678)) * 2):
+        ids = np.array(ids, np.uint32)
+        assert idcoder.decode(idcoder.encode(ids, 64), len(ids), 64).tolist() == ids.tolist()
+    coded = idcoder.encode(np.arange(1000, dtype=np.uint32) % 7, 256)
+    assert idcoder.decode([coded[0], coded[3]], 256, 256).tolist() == [k % 7 for k in range(512, 768)]  # one block alone
+
+
+def test_range_coder_is_below_zlib_and_near_the_entropy_of_its_ids(tokenizer):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids = np.frombuffer(b"".join(tokens.encoder(tokens.tokenizer_path())(texts)), "<u4")
+    coded = sum(map(len, idcoder.encode(ids)))
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    assert coded < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    assert coded < 1.05 * len(ids) * -(share * np.log2(share)).sum() / 8
 
 
 def test_special_tokens_are_told_apart_by_case(tokenizer):
@@ -140,6 +162,36 @@ def test_packing_plan_uses_exact_combinations():
     assert x.min() >= 0 and abs(x[0] - 1.5) < 0.01  # least squares of (2, 1) with one pair
 
 
+def test_most_ids_are_packed_by_solved_combinations():
+    rng = np.random.default_rng(2)
+    hist = np.bincount(rng.gamma(1.2, 500, 20_000).astype(int) % 4096, minlength=4096)
+    used, left = packing.solve(hist)
+    weight = np.arange(4096)
+    again = left.copy()
+    again[0] = 0
+    for parts, repeats in used:
+        assert sum(n * k for n, k in parts) == 4096
+        for n, k in parts:
+            again[n] += k * repeats
+    assert (again[1:] == hist[1:]).all() and left.min() >= 0
+    assert (left * weight).sum() < 0.05 * (hist * weight).sum()
+
+
+def test_few_sequences_are_short_and_tasks_make_no_difference(spark, tokenizer):
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, rng.integers(0, 900)))) for i in range(1200)]
+    ids = {i: encoded(tokenizer, t, 2) for i, t in docs}
+    total = sum(map(len, ids.values()))
+    for parts in (1, 7):
+        rows = packing.pack(frame(spark, docs).repartition(parts)).collect()
+        assert checked(rows, ids) == 0 and sum(r.length for r in rows) == total
+        sizes = {}
+        for r in rows:
+            sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+        assert len(sizes) <= -(-total // 4096) + 12 and sum(n < 4096 for n in sizes.values()) <= 12
+        assert sum(r.length for r in rows if r.sequence_id < packing.REST) > 0.7 * total  # by solved combinations
+
+
 PAGES = [(1, "http://a", "x" * 150), (2, "http://b\r\nX: y", "x" * 150), (3, None, None), (4, "u", "é" * 20_000), (5, "u", "short"), (6, "u", "short"), (None, "u", "x" * 150), (8, "u", "a\r\n0\r\n\r\nWARC/1.1\r\n" * 20), (9, "u", "x" * 99), (10, "u", "x" * 99)]
 
 
@@ -178,6 +230,34 @@ def test_warc_names_broken_records(spark, tmp_path):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_warc_reads_all_members_and_names_what_is_damaged(spark, tmp_path):
+    import gzip
+
+    page = lambda i, text: warc.records(f"urn:page:{i}:0", f"http://{i}", text.encode(), hashlib.sha256(text.encode()).hexdigest(), None)[0] + b"\n"
+    one, two, three = page(1, "first"), page(2, "second " * 2000), page(3, "third")
+    files = {
+        "members": gzip.compress(one) + gzip.compress(two) + gzip.compress(three),
+        "padded": gzip.compress(one) + b"\0" * 9 + gzip.compress(two + three) + b"\n",
+        "plain": one + two + three,
+        "cut": gzip.compress(one) + gzip.compress(two) + gzip.compress(three)[:-20],
+        "junk": one + b"no record\r\n\r\n" + three,
+        "short": one + three[:-30],
+        "unsized": one + two.replace(b"Content-Length: ", b"Content-Length: x", 1) + three,
+    }
+    got = {}
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_bytes(data)
+        rows = warc.read(spark, str(tmp_path / name)).collect()
+        got[name] = {r.id: bytes(r.payload).decode() for r in rows if r.problem is None}, {r.problem for r in rows} - {None}
+    whole = {"urn:page:1:0": "first", "urn:page:2:0": "second " * 2000, "urn:page:3:0": "third"}
+    assert got["members"] == got["padded"] == got["plain"] == (whole, set())
+    assert {k: v for k, v in whole.items() if k != "urn:page:3:0"}.items() <= got["cut"][0].items() and got["cut"][1]
+    assert got["junk"] == ({k: v for k, v in whole.items() if k != "urn:page:2:0"}, {"no WARC record"})
+    assert got["short"] == ({"urn:page:1:0": "first"}, {"record is cut off"})
+    assert got["unsized"] == ({k: v for k, v in whole.items() if k != "urn:page:2:0"}, {"no content length"})
+
+
 CHAT = [
     (1, 0, "user", "Where is the  train?"), (1, 1, "bot", "At platform two.\nIt leaves soon."), (1, 2, "user", "> where is the train?\nStill waiting."), (1, 3, "bot", "> At platform two.\n> It leaves soon.\nNo, it left."),
     (1, 4, "user", "> > At platform two.\n> > It leaves soon.\n> No, it left.\nOh."), (1, 5, "user", "> It leaves soon.\nWhen?"), (1, 6, "user", "> nobody said this\n"), (2, 0, "user", "> Where is the train?"), (2, 1, "bot", None),
@@ -220,6 +300,18 @@ def test_long_conversations_are_numbered_without_gaps(spark):
     assert all(a.root_turn <= b.root_turn for a, b in zip(got, got[1:], strict=False))
 
 
+def test_one_long_thread_and_one_passage_that_all_quote(spark):
+    thread = [(1, k, "user", f"> m{k - 1}\nm{k}" if k else "m0") for k in range(700)]
+    quoted = [(2, k, "user", "x" if k % 1300 == 0 else "> x\nme too") for k in range(2900)]
+    loose = [(3, None, r, t) for r in ("b", None, "a") for t in ("zz", "é", "", "aaaa2", "aaaa1", "aaaa1")]
+    got = quotes.conversations(chat(spark, thread + quoted + loose)).orderBy("conv_id", "position").collect()
+    one, two, three = ([r for r in got if r.conv_id == k] for k in (1, 2, 3))
+    assert [(r.position, r.turn, r.reply_to, r.root_turn, r.depth) for r in one] == [(k + 1, k, k - 1 if k else None, 0, k) for k in range(700)]
+    assert all(r.reply_to == (None if r.turn % 1300 == 0 else r.turn - r.turn % 1300) for r in two)
+    assert [r.position for r in two] == list(range(1, 2901)) and [r.turn for r in two] == list(range(2900))
+    assert [(r.position, r.role, r.content) for r in three] == [(k + 1, *x) for k, x in enumerate((r, t) for r in ("a", "b", None) for t in ("", "aaaa1", "aaaa1", "aaaa2", "zz", "é"))]
+
+
 def test_pipeline_stages_keep_columns_and_catch_cases(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,6 +1,7 @@
 """Toxicity, decontamination, secrets."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -65,6 +66,60 @@ def test_scores_come_from_the_text_alone(spark):
     assert a == b
 
 
+def scalar_ftrl(rows, labels, l1, epochs=toxicity.EPOCHS, alpha=toxicity.ALPHA, beta=toxicity.BETA, bias=1 << toxicity.BITS):
+    """FTRL-proximal, one coordinate after another, in dictionaries."""
+    z, n = {}, {}
+
+    def weight(k):
+        own = z.get(k, 0.0)
+        penalty = 0.0 if k == bias else l1
+        return 0.0 if abs(own) <= penalty else -math.copysign(abs(own) - penalty, own) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha)
+
+    for epoch in range(epochs):
+        for r in np.random.default_rng(epoch).permutation(len(rows)):
+            columns = [*rows[r].tolist(), bias]
+            w = {k: weight(k) for k in columns}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - labels[r]
+            for k in columns:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[k]
+                n[k] = old + g * g
+    return {k: w for k in z if (w := weight(k))}
+
+
+def test_query_equals_a_scalar_model(spark, tmp_path):
+    from lotgraph.llm import queries
+
+    docs, labels = corpus(400, seed=5)
+    frame(spark, [*docs, (9000, None), (9001, "scum")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (8, 0), (8, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows, ys = [], []
+    for (i, text), (_, y) in zip(docs, labels, strict=True):
+        if zlib.crc32(str(i).encode()) % 5:
+            for _ in range(toxicity.TOXIC_WEIGHT if y or i == 8 else 1):
+                rows.append(toxicity.features(text))
+                ys.append(int(y or i == 8))
+    model = scalar_ftrl(rows, ys, max(toxicity.L1_LEAST, toxicity.L1_SHARE * len(rows) ** 0.5))
+    texts = {**dict(docs), 9000: None, 9001: "scum"}
+    for r in queries.op1_toxicity(spark, str(tmp_path)).collect():
+        margin = sum(model.get(int(k), 0.0) for k in toxicity.features(texts[r.doc_id])) + model.get(1 << toxicity.BITS, 0.0)
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-9
+        assert r.predicted == int(r.score >= 0.5)
+
+
+def test_stages_leave_clashing_columns_as_they_were(spark):
+    docs, labels = corpus(120)
+    names = "score double, predicted int, columns string, doc string, leaks int, __leaks int, __text string, toxic int"
+    values = (0.25, 7, "c", "d", 4, 5, "t", 6)
+    own = spark.createDataFrame([(i, t, *values) for i, t in [*docs, (None, None), (500, "")]], f"doc_id long, text string, {names}")
+    kept = toxicity.reject(own, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = decontaminate.keep_clean(own, spark.createDataFrame([(1, docs[5][1])], "item_id long, text string"))
+    for out in (kept, clean):
+        assert out.columns == own.columns and all(tuple(r)[2:] == values for r in out.collect())
+        assert {None, 500} <= {r.doc_id for r in out.collect()}
+    assert clean.count() == 121 and clean.where("doc_id = 5").count() == 0
+
+
 def brute_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(item, 1):
@@ -164,6 +219,27 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.report(frame(spark, [])).count() == 0
 
 
+def test_posting_lists_are_intersected_by_trigram(spark):
+    docs = frame(spark, [*SECRETS, *[(100 + k, f"token = {'x' * 6}{k}" if k % 3 else "to ken toke oken") for k in range(90)]])
+    lists = secrets.index(docs, block=20).collect()
+    assert len({r.block for r in lists}) > 1 and all(list(r["keys"]) == sorted(set(r["keys"])) for r in lists)
+    kinds = {r.key: set(r.kinds) for r in secrets.candidates(secrets.index(docs, block=20)).collect()}
+    queries = {r.kind: secrets.trigram_query(r.regex) for r in secrets.RULES}
+    for r in docs.select(secrets._key(docs).alias("key"), F.coalesce("text", F.lit("")).alias("text")).collect():
+        want = {k for k, q in queries.items() if frozenset() not in q and any(all(g in r.text.lower() for g in term) for term in q)}
+        assert kinds.get(r.key, set()) == want
+    one, other = secrets.scan(docs), secrets.scan(docs, block=7, most_broadcast=0)
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
+def test_many_matches_and_clashing_columns(spark):
+    text = " ".join(f"é {'ab' * 12}{k:04x} token=abc{k:05d}" for k in range(700))
+    docs = spark.createDataFrame([(1, text, "s", 2, 3)], "doc_id long, text string, __spans string, key int, whole int")
+    r = secrets.scan(docs).first()
+    assert (r["__spans"], r["key"], r["whole"]) == ("s", 2, 3)
+    assert [(s.start, s.rank, s.kind, s.end) for s in r["___spans"]] == brute_secrets(text)
+
+
 def test_trigram_queries_lose_nothing(spark):
     assert secrets.trigram_query("abcd") == frozenset([frozenset(["abc", "bcd"])])
     assert secrets.trigram_query("(abc|xyz)+q") == frozenset([frozenset()])

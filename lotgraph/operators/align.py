@@ -48,7 +48,13 @@ def anchor_audit(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def apply_offset(events: DataFrame, offsets: DataFrame, key: str, faithful: bool = False) -> DataFrame:
-    """events (key, ts) with ts_aligned = ts + offset (faithful: minus, which doubles the error); raw without an offset."""
-    sign = -1 if faithful else 1
-    shift = F.make_dt_interval(secs=F.coalesce(F.col("offset"), F.lit(0.0)) * sign)
-    return events.join(offsets.select(key, "offset"), key, "left").withColumn("ts_aligned", F.col("ts") + shift)
+    """events (key, ts) with ts_aligned = ts + offset + drift * days since base; raw without an offset.
+
+    offsets: key, offset and, if the clocks drift, drift (seconds a day) and base (the first day).  faithful: minus,
+    which doubles the error.
+    """
+    drifts = "drift" in offsets.columns
+    days = F.datediff(F.to_date("ts"), F.col("base")) if drifts else F.lit(0)
+    total = F.coalesce(F.col("offset") + (F.coalesce("drift", F.lit(0.0)) if drifts else F.lit(0.0)) * days, F.lit(0.0))
+    shift = F.make_dt_interval(secs=total * (-1 if faithful else 1))
+    return events.join(offsets.select(key, "offset", *(["drift", "base"] if drifts else [])), key, "left").withColumn("ts_aligned", F.col("ts") + shift)

@@ -54,6 +54,8 @@ RULES: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "due_raw": ("due_norm", values.timestamp),
     "start_raw": ("start_norm", values.timestamp),
     "end_raw": ("end_norm", values.timestamp),
+    "truck_raw": ("truck_norm", values.timestamp),
+    "cutoff_raw": ("cutoff_norm", values.timestamp),
 }
 
 

@@ -92,7 +92,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
         pa.default_memory_pool().release_unused()
 
 
-def _features(n: int, part: int):
+def prefix(n: int, num: int, den: int) -> int:
+    return n - -(-n * num // den) + 1
+
+
+def _features(n: int, num: int, den: int, part: int):
     import xxhash
 
     bound = np.uint64((1 << 64) // part)
@@ -103,8 +107,10 @@ def _features(n: int, part: int):
             firsts = [int(np.searchsorted(s, bound)) for s in sets]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             counts = [np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32) for s in sets]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            columns = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
+            # the share of the hash space; where it can't fill the prefix, all columns
+            kept = [s if k < prefix(len(s), num, den) else s[:k] for s, k in zip(sets, firsts, strict=True)]
+            ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+            columns = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *kept]).view(np.int64)))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS * len(sets) + 1, BUCKETS, dtype=np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *counts])))
             sizes = [pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *sizes, pa.array(digests, pa.binary()), columns, rows], names=["id", "row", "n", "first", "digest", "columns", "counts"])
@@ -112,6 +118,24 @@ def _features(n: int, part: int):
     return run
 
 
+def _sets(n: int):
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = [shingles(t.as_py(), n) for t in batch.column("text")]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            values = pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["digest", "set"])
+
+    return run
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Up to BROADCAST_ROWS rows of numbers are sent to all tasks, more are joined by key."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _reaches(overlap: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return overlap.cast("long") * (den + num) >= (a.cast("long") + b.cast("long")) * num
 
@@ -128,10 +152,20 @@ def _sized(a: Column, b: Column, num: int, den: int) -> Column:
 class _Join:
     """The rows of one matrix and what is known of their product; see the module's text."""
 
-    def __init__(self, found: DataFrame, num: int, den: int):
-        self.found, self.num, self.den = found, num, den
+    def __init__(self, docs: DataFrame, found: DataFrame, n: int, num: int, den: int):
+        self.docs, self.found, self.n, self.num, self.den = docs, found, n, num, den
         self.gap = 1 - num / den  # largest distance of a link
 
+    def whole(self, rows: DataFrame) -> DataFrame:
+        """row, n, set of the rows asked for (row): their whole sets, made again from their texts."""
+        names = stored(self.found.select("row", "id", "digest", "n").join(_few(stored(rows.distinct(), "asked")), "row", "left_semi"), "names")
+        texts = self.docs.select("doc_id", "text")
+        own = texts.join(_few(names.where("id is not null").select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        if names.where("id is null").limit(1).count():
+            own = own.unionByName(texts.where("doc_id is null"))
+        made = own.select("text").mapInArrow(_sets(self.n), "digest binary, set array<long>").join(_few(names.select("digest").distinct()), "digest", "left_semi")
+        return stored(names.join(made.dropDuplicates(["digest"]), "digest").select("row", "n", "set"), "sets")
+
     def overlaps(self, pairs: DataFrame, floor: Column | None = None) -> DataFrame:
         """a, b, distance of pairs (a, b) that the bucket counts leave possible; floor: least similarity asked for.
 
@@ -141,19 +175,18 @@ class _Join:
         degree = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")), "degrees")
         keyed = spread_join(pairs, degree, "b").select("a", "b", "floor", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("s"))
 
-        def meet(keyed: DataFrame, column: str) -> DataFrame:
+        def meet(keyed: DataFrame, rows: DataFrame, column: str) -> DataFrame:
             keys = degree.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
-            # up to BROADCAST_ROWS pairs of numbers are sent to all tasks, more are joined by key
-            put = F.broadcast if keyed.count() <= BROADCAST_ROWS else lambda x: x
-            x = self.found.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa")).join(put(keyed), "a")
-            y = self.found.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb")).join(put(keys), "b")
+            x = rows.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa")).join(_few(keyed), "a")
+            y = rows.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb")).join(_few(keys), "b")
             return x.join(y, ["b", "s"])
 
         total = (F.col("na") + F.col("nb")).cast("double")
         enough = F.col("floor") / (1 + F.col("floor")) * total - 1e-6
-        left = stored(meet(stored(keyed, "pairs"), "counts").where(_most("xa", "xb") >= enough).select("a", "b", "floor", "s"), "pairs")
+        left = stored(meet(stored(keyed, "pairs"), self.found, "counts").where(_most("xa", "xb") >= enough).select("a", "b", "floor", "s"), "pairs")
+        sets = self.whole(left.select(F.col("a").alias("row")).union(left.select("b")))
         both = F.size(F.array_intersect("xa", "xb"))
-        return stored(meet(left, "columns").select("a", "b", (1 - both / (total - both)).alias("distance"), _reaches(both.cast("long"), F.col("na"), F.col("nb"), self.num, self.den).alias("linked")), "overlaps")
+        return stored(meet(left, sets, "set").select("a", "b", (1 - both / (total - both)).alias("distance"), _reaches(both.cast("long"), F.col("na"), F.col("nb"), self.num, self.den).alias("linked")), "overlaps")
 
     def labelled(self, cells: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
@@ -218,13 +251,12 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     """(rows, ids): rows has id, row, n, digest per document; ids has digest, component_id per class of equal sets."""
     part = part or (4 if num * 100 >= den * 88 else 3)
     source = docs.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
-    found = stored(source.mapInArrow(_features(n, part), "id long, row long, n int, first int, digest binary, columns array<long>, counts array<int>"), "features")
+    found = stored(source.mapInArrow(_features(n, num, den, part), "id long, row long, n int, first int, digest binary, columns array<long>, counts array<int>"), "features")
     base = found.select("id", "row", "n", "digest")
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("m")
     reps = stored(base.where("n > 0").groupBy("digest").agg(least).select("digest", F.col("m.id").alias("id"), F.col("m.row").alias("row")), "classes")
-    kept = prefixes(found, reps, num, den, part)
-
-    join, links, labels = _Join(found, num, den), None, None
+    join, links, labels = _Join(docs, found, n, num, den), None, None
+    kept = prefixes(join, reps)
     for turn in range(ROUNDS):
         pairs = stored(join.stars(kept, labels, turn), "stars")
         got = join.overlaps(pairs).where("linked").select("a", "b", "distance")
@@ -261,17 +293,16 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     return base, stored(spread_join(own, ids, "label").select("digest", "component_id"), "components")
 
 
-def prefixes(found: DataFrame, reps: DataFrame, num: int, den: int, part: int) -> DataFrame:
+def prefixes(join: _Join, reps: DataFrame) -> DataFrame:
     """h, row, n, at, short, rank: the cells of the rows' prefixes in the global order, of columns with several rows.
 
     at: the column's place in its row; short: it lies in the prefix that the row has as the shorter one of a pair; rank:
     rows most of whose columns others have too come first.  Only rows whose prefix is not filled by the share of the hash
     space, its hot columns aside, send their other columns.
     """
+    found, num, den = join.found, join.num, join.den
     others = found.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti")
-    # up to BROADCAST_ROWS numbers of rows without a class of their own are sent to all tasks, more are joined by key
-    sent = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
-    mine = found.where("n > 0").select("row", "n", "first", "columns").join(sent, "row", "left_anti")
+    mine = found.where("n > 0").select("row", "n", "first", "columns").join(_few(others), "row", "left_anti")
     length = F.col("n") - F.ceil(F.col("n").cast("long") * num / F.lit(den)) + 1
     short = F.col("n") - F.ceil(F.col("n").cast("long") * (2 * num) / F.lit(den + num)) + 1
 
@@ -291,8 +322,11 @@ def prefixes(found: DataFrame, reps: DataFrame, num: int, den: int, part: int) -
     hot_df = limit(often)
     hot = early.select("row", "h").join(F.broadcast(often.where(F.col("df") > hot_df).select("h")), "h", "left_semi")
     hot = stored(hot.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("hot")), "hot")
-    needy = mine.join(hot, "row", "left").where(F.col("first") - F.coalesce("hot", F.lit(0)) < length)
-    rest = needy.select("row", "n", "first", F.explode(F.slice("columns", F.col("first") + 1, F.greatest(F.col("n") - F.col("first"), F.lit(0)))).alias("h"))
+    behind = lambda column: F.explode(F.slice(column, F.col("first") + 1, F.greatest(F.col("n") - F.col("first"), F.lit(0)))).alias("h")
+    rest = mine.where(F.col("first") < length).select("row", "n", "first", behind("columns"))
+    needy = found.select("row", "n", "first").join(hot, "row").where((F.col("first") >= length) & (F.col("first") - F.col("hot") < length)).select("row", "first")
+    sets = join.whole(needy.select("row")).join(needy, "row")
+    rest = stored(rest.unionByName(sets.select("row", "n", "first", behind("set"))), "rest")
     later = frequent(rest)
     tier = F.when(F.col("df") > hot_df, 2).otherwise(0)
     shared = joined(early, often, hot_df).withColumn("tier", tier).unionByName(joined(rest, later, limit(later)).withColumn("tier", F.lit(1)))

@@ -74,7 +74,7 @@ def ranked(tests: DataFrame, case: str = "case_id", signal: str | None = None, t
     """The top candidates of each case by 0.5 p-strength + 0.3 lift + 0.2 signal, each scaled within the case."""
     rows = tests.withColumns({"_logp": -F.log10(F.greatest("p", F.lit(1e-10))), "_lift": F.coalesce("lift", F.lit(0.0)), "_signal": F.coalesce(F.col(signal), F.lit(0.0)) if signal else F.lit(0.0)})
     score = 0.5 * stats.min_max("_logp", case) + 0.3 * stats.min_max("_lift", case) + 0.2 * stats.min_max("_signal", case)
-    rows = rows.withColumn("score", score)
+    rows = rows.withColumn("score", F.round(score, 9))  # so that ties are ties on any machine
     kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     order = Window.partitionBy(case).orderBy(F.desc("score"), kind, "candidate")
     out = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -111,14 +111,28 @@ def containment(best: DataFrame, touched: DataFrame, events: DataFrame) -> DataF
     return out.select("case_id", "candidate", "n_isolated", "n_baseline", (1 - F.col("n_isolated") / F.col("n_baseline")).alias("reduction"))
 
 
-def diagnose(cases: DataFrame, edges: DataFrame, events: DataFrame, consumption: DataFrame, lots: DataFrame, top: int = 3) -> DataFrame:
-    """The whole ranking: candidates, tests, score and containment of the top causes of each case; lots has is_ng."""
-    touched = members(edges, events, consumption, lots)
+def signals(machine: DataFrame, decline: DataFrame) -> DataFrame:
+    """candidate, signal: the larger of a machine's control-chart and capability signals; both: series, strength."""
+    both = machine.select("series", "strength").union(decline.select("series", "strength"))
+    return both.groupBy(F.col("series").cast("string").alias("candidate")).agg(F.max("strength").alias("signal"))
+
+
+def diagnose(cases: DataFrame, edges: DataFrame, events: DataFrame, consumption: DataFrame, lots: DataFrame, top: int = 3, signal: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """The whole ranking: candidates, tests, score and containment of the top causes of each case; lots has is_ng.
+
+    signal: candidate, signal of machines; other kinds, and machines without one, count 0.  insufficient tells whether
+    the case's first candidate is neither significant nor scores 0.3.  digits: p is rounded before it is scored.
+    """
+    touched = members(edges, events, consumption, lots).checkpoint()
     found = candidates(lineage(cases, edges), touched)
-    tests = found.join(tested(contingency(touched.join(found.select("kind", "candidate").distinct(), ["kind", "candidate"], "left_semi"), lots)), ["kind", "candidate"])
-    best = ranked(tests, top=top)
+    tests = found.join(tested(contingency(touched, lots)), ["kind", "candidate"])
+    if digits is not None:
+        tests = tests.withColumn("p", F.round("p", digits))
+    if signal is not None:
+        tests = tests.join(signal.select(F.lit("MACHINE").alias("kind"), "candidate", "signal"), ["kind", "candidate"], "left")
+    best = ranked(tests, signal="signal" if signal is not None else None, top=top).checkpoint()
     kept = containment(best.select("case_id", "kind", "candidate").join(cases, "case_id"), touched, events)
-    return best.join(kept, ["case_id", "candidate"], "left")
+    return best.join(kept, ["case_id", "candidate"], "left").join(insufficient(best), "case_id", "left")
 
 
 def accuracy(rows: DataFrame, expected: str, ranked_list: str) -> DataFrame:

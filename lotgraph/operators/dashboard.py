@@ -28,9 +28,11 @@ def share(df: DataFrame, key: str, value: str) -> DataFrame:
     return groups.join(F.broadcast(groups.agg(F.sum("total").alias("_all"))), F.lit(True)).select(key, "total", (F.col("total") / F.col("_all")).alias("share"))
 
 
-def per_day(df: DataFrame, ts: str, first: str, last: str) -> DataFrame:
-    """day, n on a spine without gaps."""
-    spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+def per_day(df: DataFrame, ts: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """day, n on a spine without gaps, from the first to the last day that is stated or found."""
+    bounds = df.agg(F.to_date(F.min(ts)).alias("a"), F.to_date(F.max(ts)).alias("b"))  # one row
+    start, end = (F.lit(d).cast("date") if d else F.col(c) for d, c in ((first, "a"), (last, "b")))
+    spine = bounds.where(start.isNotNull() & end.isNotNull()).select(F.explode(F.sequence(start, end)).alias("day"))
     counts = df.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -26,7 +26,8 @@ def simple(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, down: bool = False, max_depth: int | None = 10, keep: Callable[[Column], Column] | None = None, include_seed: bool = False) -> DataFrame:
     """seed, node, depth (least): ancestors of each seed, or descendants; nodes that keep refuses are not entered.
 
-    Each level joins only the nodes that are new; lineage is cut by checkpoint().  seeds: seed.
+    Each level joins only the nodes that are new; each level's frontier is cut off by checkpoint() and they are united
+    at the end.  seeds: seed.
     """
     step = simple(edges).toDF("up", "low")
     src, dst = ("up", "low") if down else ("low", "up")
@@ -40,7 +41,7 @@ def reach(edges: DataFrame, seeds: DataFrame, down: bool = False, max_depth: int
         front = nxt.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "depth").checkpoint()
         if front.isEmpty():
             break
-        found = found.unionByName(front).checkpoint()
+        found = found.unionByName(front)
     return found if include_seed else found.where("depth > 0")
 
 
@@ -58,6 +59,40 @@ def common_ancestors(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return found.join(F.broadcast(total), F.col("k") == F.col("total")).select("node")  # one row
 
 
+def common_ancestors_by(edges: DataFrame, seeds: DataFrame, group: str) -> DataFrame:
+    """group, node: in the ancestors (or being) of every seed of the group that the graph knows, for all groups at once."""
+    known = simple(edges).select(F.col("parent").alias("seed")).union(simple(edges).select("child")).distinct()
+    inside = seeds.join(known, "seed", "left_semi").select(group, "seed").distinct()
+    total = inside.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
+    up = reach(edges, inside.select("seed").distinct(), max_depth=None, include_seed=True)
+    found = inside.join(up, "seed").groupBy(group, "node").agg(F.count(F.lit(1)).alias("k"))
+    return found.join(total, group).where("k = total").select(group, "node")
+
+
+def lot_trace(lots: DataFrame, edges: DataFrame, consumption: DataFrame, allocation: DataFrame, shipments: DataFrame, depth: int = 4) -> DataFrame:
+    """lot_id, direction, kind, via, id, qty: a lot's ancestors and descendants to a depth, and the materials, orders and
+    shipments of every lot visited, itself included.
+
+    lots: lot_id; edges: parent, child, qty; consumption: lot_id, mat_lot, qty; allocation: lot_id, jt_id, qty;
+    shipments: jt_id, shipment_id, qty.
+    """
+    seeds = lots.select(F.col("lot_id").alias("seed")).distinct()
+    pairs = edges.select(F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child"), F.col("qty").cast("double").alias("qty")).where("parent is not null and child is not null")
+    up = reach(edges, seeds, max_depth=depth, include_seed=True)
+    down = reach(edges, seeds, down=True, max_depth=depth, include_seed=True)
+    row = lambda df, direction, kind, via, what: df.select(F.col("seed").cast("string").alias("lot_id"), F.lit(direction).alias("direction"), F.lit(kind).alias("kind"), F.col(via).cast("string").alias("via"), F.col(what).cast("string").alias("id"), F.col("qty").cast("double").alias("qty"))
+    parents = up.where(F.col("depth") < depth).join(pairs, F.col("node").cast("string") == F.col("child"))
+    children = down.where(F.col("depth") < depth).join(pairs, F.col("node").cast("string") == F.col("parent"))
+    out = row(parents, "up", "parent", "child", "parent").unionByName(row(children, "down", "child", "parent", "child"))
+    visited = up.select("seed", "node").union(down.select("seed", "node")).distinct()
+    at = lambda df: visited.join(df, F.col("node") == F.col("lot_id"))
+    orders = at(allocation.select("lot_id", "jt_id", "qty"))
+    ships = orders.select("seed", "jt_id").distinct().join(shipments.select("jt_id", "shipment_id", "qty"), "jt_id")
+    for part in (row(at(consumption), "up", "material", "node", "mat_lot"), row(orders, "down", "order", "node", "jt_id"), row(ships, "down", "shipment", "jt_id", "shipment_id")):
+        out = out.unionByName(part)
+    return out
+
+
 def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
     """source, target, hops, path: the least path in order of ids; pairs: source, target."""
     step = simple(edges)
@@ -69,7 +104,7 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> Da
         front = nxt.join(found.select("source", "node"), ["source", "node"], "left_anti").checkpoint()
         if front.isEmpty():
             break
-        found = found.unionByName(front.withColumn("hops", F.lit(hop))).checkpoint()
+        found = found.unionByName(front.withColumn("hops", F.lit(hop)))
     return pairs.join(found.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "hops", "path")
 
 

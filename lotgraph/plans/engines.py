@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotgraph.functions import stats
@@ -22,10 +23,10 @@ def query(oracle: str | None = None):
 
 
 def _events(spark, sf):
-    return table(spark, sf, "events").where("event_type in ('view', 'click')").select(F.col("user_id").alias("station_id"), F.col("event_id").alias("lot_id"), "ts")
+    return table(spark, sf, "events").where("event_type != 'error'").select(F.col("user_id").alias("station_id"), F.col("event_id").alias("lot_id"), "ts")
 
 
-_AFFECTED = "aff AS (SELECT DISTINCT case_id, event_id AS lot_id FROM inc JOIN events ON station_id = user_id AND event_type IN ('view', 'click') AND ts >= start_ts AND ts <= start_ts + to_hours(hours::INT))"
+_AFFECTED = "aff AS (SELECT DISTINCT case_id, event_id AS lot_id FROM inc JOIN events ON station_id = user_id AND event_type <> 'error' AND ts >= start_ts AND ts <= start_ts + to_hours(hours::INT))"
 
 
 @query(sql("inc", f", {_AFFECTED} SELECT * FROM aff"))
@@ -47,13 +48,15 @@ def qty_loss(spark, sf):
 
 
 def _waterfall(spark, sf):
-    o = orders(spark, sf).select("product", F.col("jt_id"), "qty", F.datediff(F.to_date("due"), F.lit("1996-01-01").cast("date")).alias("due_idx"), (F.col("status") == "F").alias("fulfilled")).withColumnRenamed("product", "case_id")
+    day = F.datediff(F.to_date("due"), F.lit("1990-01-01").cast("date"))
+    case = F.concat_ws("#", "product", F.floor(day / 14))
+    o = orders(spark, sf).select(case.alias("case_id"), "jt_id", "qty", F.pmod(day, F.lit(14)).alias("due_idx"), (F.col("status") == "F").alias("fulfilled"))
     days = F.array(F.lit(6.0), *[F.lit(12.0)] * 14)
     supply = o.select("case_id").distinct().select("case_id", F.lit(20.0).alias("opening"), days.alias("made"))
     return forward.atp_waterfall(o, supply)
 
 
-_ATP = """, o AS (SELECT product AS case_id, jt_id::VARCHAR AS jt_id, jt_id AS k, qty, date_diff('day', DATE '1996-01-01', due::DATE) AS d, status = 'F' AS done FROM jt),
+_ATP = """, o AS (SELECT product || '#' || date_diff('day', DATE '1990-01-01', due::DATE) // 14 AS case_id, jt_id::VARCHAR AS jt_id, jt_id AS k, qty, date_diff('day', DATE '1990-01-01', due::DATE) % 14 AS d, status = 'F' AS done FROM jt),
 s AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY d, k) AS i FROM o WHERE d BETWEEN 0 AND 14),
 f AS (SELECT case_id, 0::BIGINT AS i, NULL::VARCHAR AS jt_id, 0.0::DOUBLE AS available, 0.0::DOUBLE AS short, 20.0::DOUBLE AS rest, -1::BIGINT AS day FROM (SELECT DISTINCT case_id FROM s)
   UNION ALL SELECT case_id, i, jt_id, have, short, CASE WHEN done THEN have - qty WHEN short > 0 THEN 0 ELSE have - qty END, greatest(day, d) FROM (
@@ -98,11 +101,11 @@ def mc_shortfall(spark, sf):
     return out.select("case_id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
 
 
-@query("""WITH s AS (SELECT l_orderkey AS jt_id, min(l_shipdate) AS truck FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), c AS (SELECT o_orderkey AS case_id, o_orderdate AS start_ts, 1 + o_orderkey % 200 AS hours FROM orders)
+@query("""WITH s AS (SELECT l_orderkey AS jt_id, min(l_shipdate) AS truck FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey AS case_id, o_orderdate AS start_ts, 1 + o_orderkey % 200 AS hours FROM orders)
 SELECT case_id, case_id AS jt_id, CASE WHEN truck IS NULL THEN 'no_shipment_for_jt' WHEN start_ts > truck THEN 'PASS' WHEN start_ts + to_minutes((hours * 60)::INT) <= truck THEN 'PASS' ELSE 'LATE' END AS status FROM c LEFT JOIN s ON jt_id = case_id""")
 def cutoff(spark, sf):
     cases = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_orderkey").alias("jt_id"), F.col("o_orderdate").alias("start_ts"), (1 + F.col("o_orderkey") % 200).alias("hours"))
-    ships = table(spark, sf, "lineitem").where("l_orderkey % 3 != 0").select(F.col("l_orderkey").alias("jt_id"), F.col("l_shipdate").alias("truck_time"))
+    ships = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("jt_id"), F.col("l_shipdate").alias("truck_time"))
     return forward.cutoff(cases, ships)
 
 
@@ -125,27 +128,31 @@ def sched_overlap(spark, sf):
 # backward: suppliers are machines, parts material lots; a case is an order's first bad lot
 
 
-def _bad_cases(spark, sf):
-    bad = lots(spark, sf).where("is_ng")
+def _lots(spark, sf):
+    """The lots with their shift, derived once for all branches of a plan."""
+    return lots(spark, sf).withColumn("shift", F.concat(F.lit("CA"), F.dayofmonth("created") % 3)).checkpoint()
+
+
+def _bad_cases(own):
+    bad = own.where("is_ng")
     return bad.groupBy("jt_id").agg(F.min("lot_id").alias("lot_id")).select(F.col("jt_id").alias("case_id"), "lot_id")
 
 
-def _inputs(spark, sf):
-    own = lots(spark, sf)
+def _inputs(own):
     edges = own.select(F.concat(F.lit("BATCH-"), F.col("jt_id")).alias("parent"), F.col("lot_id").alias("child"))
     events = own.select("lot_id", F.col("station").alias("station_id"), F.col("created").alias("ts"))
-    return edges, events, own.select("lot_id", "mat_lot"), own.select("lot_id", "is_ng")
+    return edges, events, own.select("lot_id", "mat_lot"), own.select("lot_id", "is_ng", "shift")
 
 
-def _candidates(spark, sf):
+def _candidates(own):
     """(case candidates, lots touched by each candidate)."""
-    edges, events, used, own = _inputs(spark, sf)
-    touched = backward.members(edges, events, used, own)
-    return backward.candidates(backward.lineage(_bad_cases(spark, sf), edges), touched), touched
+    edges, events, used, flags = _inputs(own)
+    touched = backward.members(edges, events, used, flags).checkpoint()
+    return backward.candidates(backward.lineage(_bad_cases(own), edges), touched), touched
 
 
 _CAND = """, bad AS (SELECT jt_id AS case_id, min(lot_id) AS lot_id FROM lots WHERE is_ng GROUP BY jt_id),
-mem AS (SELECT 'MACHINE' AS kind, station::VARCHAR AS candidate, lot_id FROM lots UNION ALL SELECT 'MATERIAL', mat_lot::VARCHAR, lot_id FROM lots UNION ALL SELECT 'BATCH', 'BATCH-' || jt_id, lot_id FROM lots),
+mem AS (SELECT 'MACHINE' AS kind, station::VARCHAR AS candidate, lot_id FROM lots UNION ALL SELECT 'MATERIAL', mat_lot::VARCHAR, lot_id FROM lots UNION ALL SELECT 'BATCH', 'BATCH-' || jt_id, lot_id FROM lots UNION ALL SELECT 'SHIFT', 'CA' || day(created) % 3, lot_id FROM lots),
 cand AS (SELECT case_id, kind, candidate FROM bad JOIN mem USING (lot_id))
 """
 _TABLE = """, tot AS (SELECT count(*) FILTER (is_ng) AS ng, count(*) AS n FROM lots),
@@ -161,41 +168,50 @@ fi AS (SELECT kind, candidate, a, b, c, d, least(1.0, sum(p) FILTER (p <= p0 * (
 
 @query(sql("lots", f"{_CAND} SELECT * FROM cand"))
 def candidates(spark, sf):
-    return _candidates(spark, sf)[0]
+    return _candidates(_lots(spark, sf))[0]
 
 
 @query(sql("lots", f"{_CAND}{_TABLE} SELECT * FROM t"))
 def contingency(spark, sf):
-    edges, events, used, own = _inputs(spark, sf)
+    edges, events, used, own = _inputs(_lots(spark, sf))
     return backward.contingency(backward.members(edges, events, used, own), own)
 
 
 @query(sql("lots", f"{_CAND}{_TABLE}{_FISHER} SELECT kind, candidate, round(p, 5) AS p, round(lift, 5) AS lift FROM fi"))
 def fisher_lift(spark, sf):
-    edges, events, used, own = _inputs(spark, sf)
+    edges, events, used, own = _inputs(_lots(spark, sf))
     tests = backward.tested(backward.contingency(backward.members(edges, events, used, own), own))
     return tests.select("kind", "candidate", F.round("p", 5).alias("p"), F.round("lift", 5).alias("lift"))
 
 
-@query(sql("lots", f"""{_CAND}{_TABLE}{_FISHER}, q AS (SELECT case_id, fi.*, -log10(greatest(round(p, 6), 1e-10)) AS l FROM cand JOIN fi USING (kind, candidate)),
-sc AS (SELECT *, round(0.5 * CASE WHEN max(l) OVER w - min(l) OVER w < 1e-9 THEN 0.5 ELSE (l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w) END
-  + 0.3 * CASE WHEN max(lift) OVER w - min(lift) OVER w < 1e-9 THEN 0.5 ELSE (lift - min(lift) OVER w) / (max(lift) OVER w - min(lift) OVER w) END + 0.2 * 0.5, 4) AS score FROM q WINDOW w AS (PARTITION BY case_id))
-SELECT case_id, count(*) AS n, round(max(score), 4) AS best, round(min(score), 4) AS least FROM sc GROUP BY case_id"""))
+def _scored_sql(signal: str) -> str:
+    """Candidates with their score in the case; signal: their third part, from 0 to 1, before scaling."""
+    scaled = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-9 THEN 0.5 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
+    return f""", q AS (SELECT case_id, fi.*, {signal} AS sig, -log10(greatest(round(p, 6), 1e-10)) AS l FROM cand JOIN fi USING (kind, candidate)),
+sc AS (SELECT *, round(0.5 * {scaled('l')} + 0.3 * {scaled('lift')} + 0.2 * {scaled('sig')}, 9) AS score FROM q WINDOW w AS (PARTITION BY case_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, list_position(['MACHINE', 'MATERIAL', 'BATCH', 'SHIFT'], kind), candidate) AS rank FROM sc)"""
+
+
+@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER}{_scored_sql('0.0')} SELECT case_id, rank, kind, candidate, round(score, 4) AS score FROM rk WHERE rank <= 3"))
 def score_topk(spark, sf):
-    found, touched = _candidates(spark, sf)
-    tests = found.join(backward.tested(backward.contingency(touched, _inputs(spark, sf)[3])), ["kind", "candidate"]).withColumn("p", F.round("p", 6))
-    best = backward.ranked(tests)
-    return best.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 4).alias("best"), F.round(F.min("score"), 4).alias("least"))
+    own = _lots(spark, sf)
+    found, touched = _candidates(own)
+    tests = found.join(backward.tested(backward.contingency(touched, _inputs(own)[3])), ["kind", "candidate"]).withColumn("p", F.round("p", 6))
+    return backward.ranked(tests).select("case_id", F.col("rank").cast("long").alias("rank"), "kind", "candidate", F.round("score", 4).alias("score"))
 
 
-@query(sql("lots", f"""{_CAND}, f AS (SELECT bad.*, station, created AS t0 FROM bad JOIN lots USING (lot_id)), b AS (SELECT created::DATE AS day, count(*) AS n FROM lots GROUP BY 1),
-c AS (SELECT f.case_id, f.station::VARCHAR AS candidate, count(DISTINCT r.lot_id) AS n_isolated FROM f JOIN lots r ON r.station = f.station AND abs(floor(epoch(r.created)) - floor(epoch(f.t0))) <= 43200 GROUP BY 1, 2
-  UNION ALL SELECT case_id, candidate, n FROM cand JOIN (SELECT kind, candidate, count(*) AS n FROM mem GROUP BY 1, 2) USING (kind, candidate) WHERE kind <> 'MACHINE')
-SELECT c.case_id, candidate, n_isolated, b.n AS n_baseline, round(1 - n_isolated / b.n, 4) AS reduction FROM c JOIN f ON f.case_id = c.case_id JOIN b ON b.day = f.t0::DATE"""))
+_CONTAIN = """, f AS (SELECT bad.*, station, created AS t0 FROM bad JOIN lots USING (lot_id)), b AS (SELECT created::DATE AS day, count(*) AS n FROM lots GROUP BY 1),
+near AS (SELECT f.case_id, f.station::VARCHAR AS candidate, count(DISTINCT r.lot_id) AS n_isolated FROM f JOIN lots r ON r.station = f.station AND abs(floor(epoch(r.created)) - floor(epoch(f.t0))) <= 43200 GROUP BY 1, 2
+  UNION ALL SELECT case_id, candidate, n FROM cand JOIN (SELECT kind, candidate, count(*) AS n FROM mem GROUP BY 1, 2) USING (kind, candidate) WHERE kind <> 'MACHINE'),
+cn AS (SELECT near.case_id, candidate, n_isolated, b.n AS n_baseline, round(1 - n_isolated / b.n, 4) AS reduction FROM near JOIN f ON f.case_id = near.case_id JOIN b ON b.day = f.t0::DATE)"""
+
+
+@query(sql("lots", f"{_CAND}{_CONTAIN} SELECT * FROM cn"))
 def containment(spark, sf):
-    found, touched = _candidates(spark, sf)
-    best = found.join(_bad_cases(spark, sf), "case_id")
-    return backward.containment(best, touched, _inputs(spark, sf)[1]).withColumn("reduction", F.round("reduction", 4))
+    own = _lots(spark, sf)
+    found, touched = _candidates(own)
+    best = found.join(_bad_cases(own), "case_id")
+    return backward.containment(best, touched, _inputs(own)[1]).withColumn("reduction", F.round("reduction", 4))
 
 
 @query()
@@ -209,11 +225,20 @@ def forward_predict(spark, sf):
     return forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
 
 
-@query()
+_SIGNAL = ", sv AS (SELECT station::VARCHAR AS candidate, least(1.0, count(*) FILTER (abs(qty - m) > 2 * s) / 20.0) AS sig FROM (SELECT *, avg(qty) OVER v AS m, stddev_samp(qty) OVER v AS s FROM lots WINDOW v AS (PARTITION BY station)) GROUP BY station)"
+
+
+@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER}{_SIGNAL}{_scored_sql('CASE WHEN kind = $$MACHINE$$ THEN coalesce((SELECT sig FROM sv WHERE sv.candidate = fi.candidate), 0.0) ELSE 0.0 END')}{_CONTAIN}," + """
+sg AS (SELECT *, round(p, 6) < 0.05 AND lift >= 1.5 AS significant FROM rk WHERE rank <= 3), iq AS (SELECT case_id, NOT significant AND score < 0.3 AS insufficient FROM sg WHERE rank = 1)
+SELECT sg.case_id, rank, kind, sg.candidate, a, b, c, d, round(round(p, 6), 5) AS p, round(lift, 5) AS lift, round(score, 4) AS score, significant, n_isolated, n_baseline, reduction, insufficient FROM sg JOIN iq USING (case_id) LEFT JOIN cn ON cn.case_id = sg.case_id AND cn.candidate = sg.candidate"""))
 def backward_diagnose(spark, sf):
-    edges, events, used, own = _inputs(spark, sf)
-    out = backward.diagnose(_bad_cases(spark, sf), edges, events, used, own)
-    return out.select("case_id", "rank", "kind", "candidate", "a", "b", "c", "d", "p", "lift", "score", "significant", "n_isolated", "n_baseline", "reduction")
+    own = _lots(spark, sf)
+    edges, events, used, flags = _inputs(own)
+    spread = Window.partitionBy("station")
+    far = F.abs(F.col("qty") - F.avg("qty").over(spread)) > 2 * F.stddev_samp("qty").over(spread)
+    signal = own.select("station", far.alias("far")).groupBy(F.col("station").cast("string").alias("candidate")).agg(F.least(F.lit(1.0), F.count_if("far") / 20).alias("signal"))
+    out = backward.diagnose(_bad_cases(own), edges, events, used, flags, signal=signal, digits=6)
+    return out.select("case_id", F.col("rank").cast("long").alias("rank"), "kind", "candidate", "a", "b", "c", "d", F.round("p", 5).alias("p"), F.round("lift", 5).alias("lift"), F.round("score", 4).alias("score"), "significant", "n_isolated", "n_baseline", F.round("reduction", 4).alias("reduction"), "insufficient")
 
 
 # action
@@ -311,9 +336,9 @@ def consumption_share(spark, sf):
     return dashboard.share(li, "component", "l_quantity").withColumn("share", F.round("share", 6))
 
 
-@query("SELECT strftime(d, '%Y-%m-%d') AS day, count(event_id) AS n FROM (SELECT unnest(generate_series(DATE '2023-12-30', DATE '2024-02-02', INTERVAL 1 DAY)) AS d) LEFT JOIN events ON ts::DATE = d::DATE AND event_type = 'error' GROUP BY d")
+@query("SELECT strftime(d, '%Y-%m-%d') AS day, count(event_id) AS n FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY)) AS d FROM events WHERE event_type = 'error') LEFT JOIN events ON ts::DATE = d::DATE AND event_type = 'error' GROUP BY d")
 def incidents_per_day(spark, sf):
-    return dashboard.per_day(incidents(spark, sf), "start_ts", "2023-12-30", "2024-02-02").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return dashboard.per_day(incidents(spark, sf), "start_ts").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("""WITH f AS (SELECT user_id, ts, arg_max(value, event_id) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error')

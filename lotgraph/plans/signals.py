@@ -135,14 +135,14 @@ def _resolved(spark, sf):
     k = F.col("user_id")
     alias = F.when(k % 3 == 0, F.format_string("LOT-%04d", k)).when(k % 3 == 1, F.format_string("A%04d", k)).otherwise(F.format_string("odd %d", F.col("event_id")))
     rows = e.select(F.col("event_type").alias("source"), alias.alias("alias"), "ts", F.col("event_id").alias("row_id"))
-    pool = resolve.canonical_pool(spark, 100)
+    pool = e.select(F.format_string("LOT-%04d", k).alias("canonical")).distinct()
     seen = e.where(k % 3 == 0).select(F.col("event_type").alias("source"), F.format_string("LOT-%04d", k).alias("canonical"), "ts")
     return resolve.resolve(resolve.alias_sample(rows), pool, seen)
 
 
 _RESOLVED = """WITH a AS (SELECT event_type AS source, CASE user_id % 3 WHEN 0 THEN printf('LOT-%04d', user_id) WHEN 1 THEN printf('A%04d', user_id) ELSE 'odd ' || event_id END AS alias, ts, event_id FROM events),
 s AS (SELECT source, alias, arg_min(ts, event_id) AS ts FROM a GROUP BY source, alias), seen AS (SELECT event_type AS source, printf('LOT-%04d', user_id) AS c, ts FROM events WHERE user_id % 3 = 0),
-p AS (SELECT printf('LOT-%04d', i) AS c FROM range(1, 101) t(i)),
+p AS (SELECT DISTINCT printf('LOT-%04d', user_id) AS c FROM events),
 m AS (SELECT s.source, s.alias, min(row(abs(floor(epoch(seen.ts))::BIGINT - floor(epoch(s.ts))::BIGINT), seen.c)) AS m FROM s JOIN seen ON s.source <> seen.source AND abs(floor(epoch(seen.ts))::BIGINT - floor(epoch(s.ts))::BIGINT) <= 300 GROUP BY s.source, s.alias),
 r AS (SELECT s.source, s.alias, e.c AS c1, x.c AS c2, m.m[2] AS c3, m.m[1] AS gap FROM s LEFT JOIN p e ON e.c = s.alias
   LEFT JOIN p x ON regexp_matches(s.alias, '[0-9]{3,4}') AND x.c = 'LOT-' || lpad(regexp_extract(s.alias, '([0-9]{3,4})', 1), 4, '0') LEFT JOIN m ON m.source = s.source AND m.alias = s.alias),
@@ -205,11 +205,11 @@ def conservation(spark, sf):
     return reconstruct.conservation(edges, own).select("parent", "parent_qty", "child_qty", "n_children", "diff")
 
 
-@query("SELECT c_custkey::VARCHAR AS lot_id, 1.0::DOUBLE AS confidence FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey::VARCHAR, 0.5 FROM orders WHERE o_custkey % 3 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT 'O' || o_orderkey AS lot_id, 1.0::DOUBLE AS confidence FROM orders UNION ALL SELECT DISTINCT 'C' || o_custkey, 0.5 FROM orders")
 def fill_missing_lots(spark, sf):
-    own = table(spark, sf, "customer").where("c_custkey % 3 != 0").select(F.col("c_custkey").cast("string").alias("lot_id"), F.lit(1.0).alias("confidence"))
-    edges = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("parent"), F.lit(None).cast("string").alias("child"))
-    return reconstruct.fill_missing_lots(own, edges)
+    o = table(spark, sf, "orders")
+    own = o.select(F.concat(F.lit("O"), F.col("o_orderkey")).alias("lot_id"), F.lit(1.0).alias("confidence"))
+    return reconstruct.fill_missing_lots(own, o.select(F.concat(F.lit("C"), F.col("o_custkey")).alias("parent"), F.concat(F.lit("O"), F.col("o_orderkey")).alias("child")))
 
 
 def _edges(spark, sf):
@@ -235,10 +235,10 @@ def upstream(spark, sf):
     return graph.reach(_edges(spark, sf), _seeds(spark, sf))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, u AS (SELECT 'R' || r_regionkey AS seed, 'R' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT seed, child, depth + 1 FROM u JOIN e ON parent = node WHERE depth < 2) SELECT seed, node, min(depth) AS depth FROM u WHERE depth > 0 GROUP BY seed, node")
+@query(f"WITH RECURSIVE {_EDGES}, u AS (SELECT 'R' || r_regionkey AS seed, 'R' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT seed, child, depth + 1 FROM u JOIN e ON parent = node WHERE depth < 10) SELECT seed, node, min(depth) AS depth FROM u WHERE depth > 0 GROUP BY seed, node")
 def downstream(spark, sf):
     seeds = table(spark, sf, "region").select(F.concat(F.lit("R"), F.col("r_regionkey")).alias("seed"))
-    return graph.reach(_edges(spark, sf), seeds, down=True, max_depth=2)
+    return graph.reach(_edges(spark, sf), seeds, down=True)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, u AS (SELECT 'O' || o_orderkey AS seed, 'O' || o_orderkey AS node, 0 AS depth FROM orders UNION SELECT seed, parent, depth + 1 FROM u JOIN e ON child = node WHERE depth < 3 AND NOT starts_with(parent, 'P')) SELECT seed, node, min(depth) AS depth FROM u GROUP BY seed, node")
@@ -254,12 +254,10 @@ def shortest_path(spark, sf):
     return graph.shortest_path(_edges(spark, sf), pairs)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, s AS (SELECT 'O' || o_orderkey AS seed FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ), u AS (SELECT seed, seed AS node FROM s UNION SELECT seed, parent FROM u JOIN e ON child = node) SELECT node FROM u GROUP BY node HAVING count(DISTINCT seed) = (SELECT count(*) FROM s)")
+@query(f"WITH RECURSIVE {_EDGES}, s AS (SELECT o_custkey AS customer, 'O' || o_orderkey AS seed FROM orders), u AS (SELECT seed, seed AS node FROM s UNION SELECT seed, parent FROM u JOIN e ON child = node), t AS (SELECT customer, count(*) AS total FROM s GROUP BY customer) SELECT customer, node FROM s JOIN u USING (seed) JOIN t USING (customer) GROUP BY customer, node, total HAVING count(*) = total")
 def common_ancestors(spark, sf):
-    o = table(spark, sf, "orders")
-    first = o.agg(F.min("o_custkey").alias("first"))
-    seeds = o.join(F.broadcast(first), F.col("o_custkey") == F.col("first")).select(F.concat(F.lit("O"), F.col("o_orderkey")).alias("seed"))
-    return graph.common_ancestors(_edges(spark, sf), seeds)
+    seeds = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.concat(F.lit("O"), F.col("o_orderkey")).alias("seed"))
+    return graph.common_ancestors_by(_edges(spark, sf), seeds, "customer")
 
 
 @query("WITH h AS (SELECT DISTINCT p_brand AS product, l_suppkey % 12 AS src, lead(l_suppkey % 12) OVER (PARTITION BY p_brand ORDER BY l_partkey, l_orderkey, l_linenumber, l_shipdate, l_suppkey) AS dst FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber, l_shipdate, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey) SELECT src, dst, count(*) AS n_products, string_agg(product, ',' ORDER BY product) AS products FROM h WHERE dst IS NOT NULL GROUP BY src, dst")
@@ -269,11 +267,11 @@ def dependency_edges(spark, sf):
     return graph.dependency(rows.select(F.col("p_brand").alias("product"), F.struct("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey").alias("seq"), (F.col("l_suppkey") % 12).alias("station")))
 
 
-@query("SELECT 'C' || c_custkey AS node, 'LOT' AS kind FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT 'C' || o_custkey, 'BATCH' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT 'O' || o_orderkey, 'LOT' FROM orders")
+@query("SELECT DISTINCT 'C' || o_custkey AS node, 'BATCH' AS kind FROM orders UNION ALL SELECT 'O' || o_orderkey, 'LOT' FROM orders")
 def genealogy_nodes(spark, sf):
-    own = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("lot_id"))
-    edges = table(spark, sf, "orders").select(F.concat(F.lit("C"), F.col("o_custkey")).alias("parent"), F.concat(F.lit("O"), F.col("o_orderkey")).alias("child"))
-    return graph.nodes(own, edges)
+    o = table(spark, sf, "orders")
+    own = o.select(F.concat(F.lit("O"), F.col("o_orderkey")).alias("lot_id"))
+    return graph.nodes(own, o.select(F.concat(F.lit("C"), F.col("o_custkey")).alias("parent"), F.concat(F.lit("O"), F.col("o_orderkey")).alias("child")))
 
 
 @query(sql("lots", "SELECT product, round(avg(q), 1) AS daily FROM (SELECT product, created::DATE AS d, sum(qty) AS q FROM lots GROUP BY 1, 2) GROUP BY product"))
@@ -281,18 +279,24 @@ def daily_production(spark, sf):
     return forward.daily_production(lots(spark, sf))
 
 
-_SCHED = ", sp AS (SELECT product, d AS day_idx FROM (SELECT DISTINCT product FROM jt), range(0, 14) t(d)), sc AS (SELECT sp.product, sp.day_idx::BIGINT AS day_idx, coalesce(sum(qty), 0)::BIGINT AS qty FROM sp LEFT JOIN jt ON jt.product = sp.product AND date_diff('day', DATE '1996-01-01', due::DATE) = day_idx GROUP BY 1, 2)"
+_SCHED = ", jf AS (SELECT product || '#' || date_diff('day', DATE '1990-01-01', due::DATE) // 14 AS product, date_diff('day', DATE '1990-01-01', due::DATE) % 14 AS d, qty FROM jt), sp AS (SELECT product, d AS day_idx FROM (SELECT DISTINCT product FROM jf), range(0, 14) t(d)), sc AS (SELECT sp.product, sp.day_idx::BIGINT AS day_idx, coalesce(sum(qty), 0)::BIGINT AS qty FROM sp LEFT JOIN jf ON jf.product = sp.product AND jf.d = day_idx GROUP BY 1, 2)"
+
+
+def _fortnights(spark, sf):
+    """All orders; a product's fortnight stands for a product, its days for the horizon's."""
+    day = F.datediff(F.to_date("due"), F.lit("1990-01-01").cast("date"))
+    return orders(spark, sf).select(F.concat_ws("#", "product", F.floor(day / 14)).alias("product"), "qty", F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(day, F.lit(14)).cast("int")).alias("due"))
 
 
 @query(sql("lots jt", f"{_SCHED} SELECT * FROM sc"))
 def ship_schedule(spark, sf):
-    return forward.ship_schedule(orders(spark, sf), "1996-01-01").withColumn("day_idx", F.col("day_idx").cast("long"))
+    return forward.ship_schedule(_fortnights(spark, sf), "1990-01-01").withColumn("day_idx", F.col("day_idx").cast("long"))
 
 
 @query(sql("lots jt", f"""{_SCHED}, n AS (SELECT product, day_idx, 50 + sum(40 - qty) OVER w AS baseline, 50 + sum(CASE WHEN day_idx = 0 THEN greatest(0, 40 - 73.6) ELSE 40 END - qty) OVER w AS incident FROM sc WINDOW w AS (PARTITION BY product ORDER BY day_idx ROWS UNBOUNDED PRECEDING))
 SELECT product, day_idx, round(baseline, 4)::DOUBLE AS baseline, round(incident, 4)::DOUBLE AS incident, incident < 0 AS is_short FROM n"""))
 def netting(spark, sf):
-    schedule = forward.ship_schedule(orders(spark, sf), "1996-01-01")
+    schedule = forward.ship_schedule(_fortnights(spark, sf), "1990-01-01")
     p = schedule.select("product").distinct()
     out = forward.netting(schedule, p.withColumn("opening", F.lit(50.0)), p.withColumn("daily", F.lit(40.0)), F.lit(73.6))
     return out.select("product", F.col("day_idx").cast("long").alias("day_idx"), F.round("baseline", 4).alias("baseline"), F.round("incident", 4).alias("incident"), "is_short")

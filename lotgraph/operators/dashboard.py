@@ -105,3 +105,77 @@ def evidence(affected: DataFrame, qc: DataFrame, material: DataFrame) -> DataFra
     mats = affected.join(material, "lot_id").groupBy("incident_id", F.col("mat_lot").cast("string").alias("subject")).agg(F.count_distinct("lot_id").alias("n")).join(size, "incident_id").select("incident_id", F.lit("material").alias("kind"), "subject", "n", (F.col("n") / F.col("lots")).alias("share"))
     bad = affected.join(qc, "lot_id").groupBy("incident_id").agg(F.count_if(F.col("result") == "NG").alias("n"), F.count(F.lit(1)).alias("k"))
     return mats.unionByName(bad.select("incident_id", F.lit("qc").alias("kind"), F.lit("NG").alias("subject"), "n", (F.col("n") / F.col("k")).alias("share")))
+
+
+def evidence_rules(incidents: DataFrame, affected: DataFrame, registry: DataFrame, material: DataFrame, anomalies: DataFrame, qc: DataFrame) -> DataFrame:
+    """incident_id, rule, factor, level, n, confidence: five kinds of evidence of an incident's cause.
+
+    The recorded cause; the failure mode of its code; materials that all its lots share (if it has several); physical
+    anomalies on its lots; bad checks of its lots.  incidents: incident_id, root_cause, code; affected: incident_id,
+    lot_id; registry: code, text, rpn; material: lot_id, mat_lot; anomalies: lot_id, anomaly; qc: lot_id, result.
+    """
+    none = F.lit(None).cast("double")
+    row = lambda df, rule, factor, level, n, confidence=none: df.select("incident_id", F.lit(rule).alias("rule"), factor.cast("string").alias("factor"), level.alias("level"), n.cast("long").alias("n"), confidence.cast("double").alias("confidence"))
+    guess, sure = F.lit("hypothesis"), F.lit("confirmed")
+    recorded = row(incidents.where("root_cause is not null and root_cause != 'UNKNOWN'"), "recorded", F.col("root_cause"), sure, F.lit(None))
+    mode = row(incidents.join(registry, "code"), "fmea", F.concat_ws(": ", "code", "text"), guess, F.col("rpn"))
+    size = affected.groupBy("incident_id").agg(F.count_distinct("lot_id").alias("lots"))
+    used = affected.join(material, "lot_id").groupBy("incident_id", "mat_lot").agg(F.count_distinct("lot_id").alias("n")).join(size, "incident_id").where("lots > 1 and n = lots")
+    used = used.join(incidents.select("incident_id", "root_cause"), "incident_id", "left")
+    shared = row(used, "material", F.col("mat_lot"), guess, F.col("n"), F.when(F.col("root_cause") == "MATERIAL", 1.0).otherwise(0.6))
+    odd = affected.join(anomalies, "lot_id").groupBy("incident_id").agg(F.array_join(F.array_sort(F.collect_set("anomaly")), ",").alias("names"), F.count(F.lit(1)).alias("n"))
+    bad = affected.join(qc, "lot_id").groupBy("incident_id").agg(F.count_if(F.col("result") == "NG").alias("n"))
+    out = recorded.unionByName(mode).unionByName(shared).unionByName(row(odd, "process", F.col("names"), guess, F.col("n")))
+    return out.unionByName(row(bad, "qc", F.lit("NG"), F.when(F.col("n") > 0, guess).otherwise(sure), F.col("n")))
+
+
+def incident_filter(incidents: DataFrame, first: str | None = None, last: str | None = None, station: Column | None = None, status: str | None = None, query: str = "") -> DataFrame:
+    """Incidents that start in closed days, of a station (a condition), in a status, with a text; what is not given holds."""
+    out = incidents
+    if first:
+        out = out.where(F.to_date("start_ts") >= F.lit(first).cast("date"))
+    if last:
+        out = out.where(F.to_date("start_ts") <= F.lit(last).cast("date"))
+    if station is not None:
+        out = out.where(station)
+    if status:
+        out = out.where(F.col("status") == status)
+    return text_filter(out, query) if query else out
+
+
+def search_page(df: DataFrame, query: str, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page of the rows with a text, in a stated order, with their place among them."""
+    rows = text_filter(df, query) if query else df
+    top = rows.orderBy(*order).limit((number + 1) * size)  # all that a page needs
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).where(F.col("place") > number * size)
+
+
+def kpis(incidents: DataFrame, lots: DataFrame, rate: float) -> DataFrame:
+    """One row: incidents, hours and quantity lost, stations hit, lots and their share of bad ones."""
+    lost = incidents.agg(F.count(F.lit(1)).alias("n_incidents"), F.sum("hours").cast("double").alias("hours_lost"), F.sum(F.col("hours") * rate).alias("qty_lost"), F.count_distinct("station_id").alias("n_stations"))
+    return lost.crossJoin(lots.agg(F.count(F.lit(1)).alias("n_lots"), F.try_divide(F.count_if("is_ng"), F.count(F.lit(1))).alias("ng_share")))  # one row each
+
+
+def coerced(df: DataFrame, column: str) -> DataFrame:
+    """kind (null, number, date, bool, text) of a raw text, and its value as number, moment or flag."""
+    text = F.trim(F.col(column))
+    number = F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double"))
+    moment = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp_ntz"))
+    flag = F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
+    kind = F.when(text.isNull() | (text == ""), "null").when(number.isNotNull(), "number").when(moment.isNotNull(), "date").when(flag.isNotNull(), "bool").otherwise("text")
+    return df.withColumns({"kind": kind, "number": number, "moment": moment, "flag": flag})
+
+
+def lots_of_order(allocation: DataFrame, jt_ids: list[str]) -> DataFrame:
+    return allocation.where(F.col("jt_id").isin(jt_ids)).select("jt_id", "lot_id").distinct()
+
+
+def orders_of_station(events: DataFrame, allocation: DataFrame, station: str) -> DataFrame:
+    """jt_id: orders with a lot that the station touched."""
+    seen = events.where(F.col("station_id") == station).select("lot_id").distinct()
+    return allocation.join(seen, "lot_id", "left_semi").select("jt_id").distinct()
+
+
+def formatted(df: DataFrame, numbers: dict[str, int], times: list[str]) -> DataFrame:
+    """Numbers with grouped thousands and so many digits, times to the minute, as texts."""
+    return df.withColumns({**{c: F.format_number(c, d) for c, d in numbers.items()}, **{c: F.date_format(c, "dd/MM/yyyy HH:mm") for c in times}})

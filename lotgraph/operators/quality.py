@@ -66,3 +66,62 @@ def validator(checks: dict[str, DataFrame]) -> DataFrame:
         row = df.agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("n_bad")).withColumn("passed", F.col("n_bad") == 0)
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def missing_columns(spark, frames: dict[str, DataFrame], wanted: dict[str, list[str]]) -> DataFrame:
+    """table, missing: a row per wanted column that a table lacks, and one with null for a table that is not there."""
+    rows = []
+    for name, columns in wanted.items():
+        rows += [(name, None)] if name not in frames else [(name, c) for c in columns if c not in frames[name].columns]
+    return spark.createDataFrame(rows, "table string, missing string")
+
+
+def volume(frames: dict[str, DataFrame], targets: dict[str, int], share: float = 0.1) -> DataFrame:
+    """table, n, passed: row counts within a share of their targets."""
+    out = None
+    for name, target in targets.items():
+        row = frames[name].agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n")).withColumn("passed", F.abs(F.col("n") - target) / target <= share)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def rules(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Violations of the validator's rules by name, from the canonical tables.
+
+    t: lot (lot_id, product_id), production (lot_id, station_id, qty_in, qty_out, qty_ng, start_time, end_time), genealogy
+    (parent_lot_id, child_lot_id), consumption (lot_id, consumption_time), qc (lot_id, measured_time), station
+    (station_id), jt (jt_id, product_id, qty), allocation (jt_id, lot_id), shipment (jt_id, qty_planned).
+    """
+    lot, jt, made = t["lot"], t["jt"], t["production"]
+    unknown = lambda df, column, parent, key: df.where(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
+    spans = made.groupBy("lot_id").agg(F.min("start_time").alias("first"), F.max("end_time").alias("last"))
+    repeated = jt.groupBy("jt_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("jt_id", F.explode(F.sequence(F.lit(2).cast("long"), F.col("k"))).alias("copy"))
+    pairs = t["allocation"].join(lot.select("lot_id", F.col("product_id").alias("made")), "lot_id", "left").join(jt.select("jt_id", F.col("product_id").alias("asked")), "jt_id", "left")
+    return {
+        "quantity_balance": made.where("qty_in != qty_out + qty_ng"),
+        "genealogy_parent": unknown(t["genealogy"], "parent_lot_id", lot, "lot_id").where(~F.col("parent_lot_id").startswith("BATCH-")),
+        "genealogy_child": unknown(t["genealogy"], "child_lot_id", lot, "lot_id"),
+        "consumed_after_start": t["consumption"].join(spans, "lot_id").where("consumption_time > first"),
+        "checked_before_end": t["qc"].join(spans, "lot_id").where("measured_time < last"),
+        "production_lot": unknown(made, "lot_id", lot, "lot_id"),
+        "production_station": unknown(made, "station_id", t["station"], "station_id"),
+        "lot_id_form": lot.where(F.col("lot_id").contains("_")),
+        "jt_unique": repeated,
+        "allocation_jt": unknown(t["allocation"], "jt_id", jt, "jt_id"),
+        "allocation_lot": unknown(t["allocation"], "lot_id", lot, "lot_id"),
+        "allocation_product": pairs.where(~F.col("made").eqNullSafe(F.col("asked"))),
+        "shipment_jt": unknown(t["shipment"], "jt_id", jt, "jt_id"),
+        "shipment_qty": t["shipment"].join(jt.select("jt_id", "qty"), "jt_id", "left").where(~F.col("qty_planned").eqNullSafe(F.col("qty"))),
+    }
+
+
+def error_signs(scans: DataFrame, events: DataFrame, labels: DataFrame, values: DataFrame, stock: DataFrame, most_labels: int = 1, missing: float = 0.015) -> DataFrame:
+    """code, found, n: signs of missing scans (D02), labels of several lots (D03), decimal commas (D05) and rounded stock
+    (D06).  labels: key, label and any column that makes a key unique; values: value; stock: qty."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    lost = n(scans, "k").crossJoin(n(events, "m")).select(F.lit("D02").alias("code"), (1 - F.col("k") / F.col("m") >= missing).alias("found"), (F.col("m") - F.col("k")).alias("n"))  # one row each
+    keys = [c for c in labels.columns if c != "label"]
+    shared = n(labels.groupBy(*keys).agg(F.count_distinct("label").alias("k")).where(F.col("k") > most_labels), "n").select(F.lit("D03").alias("code"), (F.col("n") > 0).alias("found"), "n")
+    comma = n(values.where(F.col("value").contains(",")), "n").select(F.lit("D05").alias("code"), (F.col("n") > 0).alias("found"), "n")
+    tens = stock.agg(F.count_if(F.col("qty") % 10 == 0).alias("n"), F.count("qty").alias("m")).select(F.lit("D06").alias("code"), ((F.col("n") > 0) & (F.col("n") == F.col("m"))).alias("found"), "n")
+    return lost.unionByName(shared).unionByName(comma).unionByName(tens)

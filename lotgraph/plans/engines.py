@@ -230,7 +230,7 @@ _SIGNAL = ", sv AS (SELECT station::VARCHAR AS candidate, least(1.0, count(*) FI
 
 @query(sql("lots", f"{_CAND}{_TABLE}{_FISHER}{_SIGNAL}{_scored_sql('CASE WHEN kind = $$MACHINE$$ THEN coalesce((SELECT sig FROM sv WHERE sv.candidate = fi.candidate), 0.0) ELSE 0.0 END')}{_CONTAIN}," + """
 sg AS (SELECT *, round(p, 6) < 0.05 AND lift >= 1.5 AS significant FROM rk WHERE rank <= 3), iq AS (SELECT case_id, NOT significant AND score < 0.3 AS insufficient FROM sg WHERE rank = 1)
-SELECT sg.case_id, rank, kind, sg.candidate, a, b, c, d, round(round(p, 6), 5) AS p, round(lift, 5) AS lift, round(score, 4) AS score, significant, n_isolated, n_baseline, reduction, insufficient FROM sg JOIN iq USING (case_id) LEFT JOIN cn ON cn.case_id = sg.case_id AND cn.candidate = sg.candidate"""))
+SELECT sg.case_id, rank, kind, sg.candidate, a, b, c, d, round(p, 6) AS p, round(lift, 5) AS lift, round(score, 4) AS score, significant, n_isolated, n_baseline, reduction, insufficient FROM sg JOIN iq USING (case_id) LEFT JOIN cn ON cn.case_id = sg.case_id AND cn.candidate = sg.candidate"""))
 def backward_diagnose(spark, sf):
     own = _lots(spark, sf)
     edges, events, used, flags = _inputs(own)
@@ -238,7 +238,7 @@ def backward_diagnose(spark, sf):
     far = F.abs(F.col("qty") - F.avg("qty").over(spread)) > 2 * F.stddev_samp("qty").over(spread)
     signal = own.select("station", far.alias("far")).groupBy(F.col("station").cast("string").alias("candidate")).agg(F.least(F.lit(1.0), F.count_if("far") / 20).alias("signal"))
     out = backward.diagnose(_bad_cases(own), edges, events, used, flags, signal=signal, digits=6)
-    return out.select("case_id", F.col("rank").cast("long").alias("rank"), "kind", "candidate", "a", "b", "c", "d", F.round("p", 5).alias("p"), F.round("lift", 5).alias("lift"), F.round("score", 4).alias("score"), "significant", "n_isolated", "n_baseline", F.round("reduction", 4).alias("reduction"), "insufficient")
+    return out.select("case_id", F.col("rank").cast("long").alias("rank"), "kind", "candidate", "a", "b", "c", "d", "p", F.round("lift", 5).alias("lift"), F.round("score", 4).alias("score"), "significant", "n_isolated", "n_baseline", F.round("reduction", 4).alias("reduction"), "insufficient")
 
 
 # action

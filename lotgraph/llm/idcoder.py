@@ -5,7 +5,7 @@ distinct id and its count, the most frequent first.  Each block starts from the
 its own checksum, so any block can be decoded alone.  Per id the model has three predictions: the id that last followed
 the two ids before (order 2), the one that last followed the id before (order 1), each with a confidence that grows with
 every hit, and the ids' own frequencies (order 0), cut into bands of equal weight whose shares adapt to the block.  Their
-evidence is mixed into one frequency table of ten symbols: hit of order 2, hit of order 1, or one of eight bands.  A
+evidence is mixed into one frequency table of six symbols: hit of order 2, hit of order 1, or one of four bands.  A
 carrying range coder of 48 bits codes the symbol and, in a band, the id by its frequency there.  All blocks of a stream
 take the same step together, as numpy vectors; every number stays below 2**53, so doubles are exact.
 
@@ -19,9 +19,10 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-SLOTS = 12  # bits of a context table
-BANDS = 8
+BLOCK = 2048
+SLOTS = 11  # bits of a context table: as many entries as a block has ids
+BANDS = 4
+PAUSE = 32  # steps from one look at the counts' limit to the next
 #: Fixed values of the format.
 EVIDENCE = np.array([4.0, 60, 160, 320, 520, 760, 1000, 1300, 1600, 1900, 2200, 2500, 2800, 3000, 3200, 3400])
 STEP, LIMIT = 24.0, 16_384.0
@@ -45,7 +46,12 @@ class Table:
         before = np.concatenate([[0], self.ends])
         self.base, self.weight = before[cuts[:-1]].astype(float), np.diff(before[cuts]).astype(float)
         self.start = (self.ends - self.counts).astype(float) - self.base[self.band]
-        self.freq = self.counts.astype(float)
+        self.places = self.ends.astype(float)
+        # a symbol's own table: hits, of no band, have one entry of weight 1 behind all ranks
+        self.start, self.freq = np.append(self.start, 0.0), np.append(self.counts.astype(float), 1.0)
+        self.weights, self.bases = np.concatenate([[1.0, 1.0], self.weight]), np.concatenate([[total, total], self.base]).astype(float)
+        self.most = 2 if self.weight.max(initial=1.0) > CARRY else 1  # words that may leave for one id of a band
+        self.symbol = (self.band + 2).astype(np.int64)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Table, np.ndarray]:
@@ -91,7 +97,7 @@ class Model:
         self.counts = np.repeat(np.concatenate([[16.0, 16.0], shares])[:, None], n, axis=1)
         self.flat_counts = self.counts.ravel()
         self.total = self.counts.sum(axis=0)
-        self.prev, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.prev, self.before, self.step = np.zeros(n, np.uint32), np.zeros(n, np.uint32), 0
         self.ends = np.zeros((BANDS + 3, n))
         self.flat_ends = self.ends.ravel()
 
@@ -117,7 +123,8 @@ class Model:
         self.one[self.at1] = np.where(hit1, np.minimum(self.e1 + self.unit, most), fresh)
         self.two[self.at2] = np.where(hit2, np.minimum(self.e2 + self.unit, most), fresh)
         self.before, self.prev = self.prev, ranks
-        if self.total.max() > LIMIT:
+        self.step += 1
+        if self.step % PAUSE == 0 and self.total.max() > LIMIT:
             over = np.flatnonzero(self.total > LIMIT)
             half = np.floor(self.counts[:, over] / 2) + 1
             self.counts[:, over] = half
@@ -131,11 +138,12 @@ class _Out:
         self.low, self.rng = np.zeros(n), np.full(n, float((1 << 48) - 1))
         self.words, self.used = np.zeros((n, 3 * steps + 8), np.int32), np.zeros(n, np.int64)
 
-    def put(self, total: np.ndarray, start: np.ndarray, width: np.ndarray, who=slice(None)) -> None:
-        unit = np.floor(self.rng[who] / total)
-        self.low[who] += unit * start
-        self.rng[who] = unit * width
-        while len(short := np.flatnonzero(self.rng < LOW)):
+    def put(self, total: np.ndarray, start: np.ndarray, width: np.ndarray, most: int = 1) -> None:
+        unit = np.floor(self.rng / total)
+        self.low += unit * start
+        np.multiply(unit, width, out=self.rng)
+        for _ in range(most):
+            short = np.flatnonzero(self.rng < LOW)
             at, have = self.used[short], self.low[short]
             top = np.floor(have / LOW)
             self.words[short, at] = top
@@ -169,17 +177,15 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     model, out = Model(n, table), _Out(n, steps)
     for row in grid:
         total = model.predict()
-        symbol = table.band.take(row) + 2
+        symbol = table.symbol.take(row)
         hit1, hit2 = row == model.q1, row == model.q2
         np.copyto(symbol, 1, where=hit1)
         np.copyto(symbol, 0, where=hit2)
         flat = symbol * n + model.lane
         start = model.flat_ends.take(flat)
         out.put(total, start, model.flat_ends.take(flat + n) - start)
-        rest = np.flatnonzero(symbol > 1)
-        if len(rest):
-            mine = row[rest]
-            out.put(table.weight.take(symbol[rest] - 2), table.start.take(mine), table.freq.take(mine), rest)
+        mine = np.where(symbol > 1, row, len(table.ids))
+        out.put(table.weights.take(symbol), table.start.take(mine), table.freq.take(mine), table.most)
         model.update(flat, row, hit1, hit2)
     return [table.pack(), *out.finish()]
 
@@ -199,8 +205,9 @@ def decode(blocks: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarra
     grid = np.empty((steps, n), np.uint32)
     value, over, symbol = np.empty(n), np.empty((BANDS + 1, n), bool), np.empty(n, np.int64)
 
-    def renew() -> None:
-        while len(short := np.flatnonzero(rng < LOW)):
+    def renew(most: int = 1) -> None:
+        for _ in range(most):
+            short = np.flatnonzero(rng < LOW)
             at = used[short]
             code[short] = code[short] * CARRY + words[short, np.minimum(at, last)]
             used[short] = at + 1
@@ -217,19 +224,16 @@ def decode(blocks: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarra
         code -= unit * start
         rng[:] = unit * (model.flat_ends.take(flat + n) - start)
         renew()
+        weight = table.weights.take(symbol)
+        unit = np.floor(rng / weight)
+        at = np.minimum(np.floor(code / unit), weight - 1)
+        mine = np.searchsorted(table.places, table.bases.take(symbol) + at, side="right")
+        code -= unit * table.start.take(mine)
+        np.multiply(unit, table.freq.take(mine), out=rng)
+        renew(table.most)
+        row[:] = mine
         np.copyto(row, model.q1, where=symbol == 1, casting="unsafe")
         np.copyto(row, model.q2, where=symbol == 0, casting="unsafe")
-        rest = np.flatnonzero(symbol > 1)
-        if len(rest):
-            band = symbol[rest] - 2
-            weight = table.weight.take(band)
-            unit = np.floor(rng[rest] / weight)
-            at = np.clip(np.floor(code[rest] / unit), 0, weight - 1)
-            mine = np.minimum(np.searchsorted(table.ends, table.base.take(band) + at, side="right"), len(table.ids) - 1)
-            row[rest] = mine
-            code[rest] -= unit * table.start.take(mine)
-            rng[rest] = unit * table.freq.take(mine)
-            renew()
         model.update(flat, row, row == model.q1, row == model.q2)
     full = np.zeros((n, block), np.uint32)
     full[:, :steps] = table.ids.take(np.minimum(grid, len(table.ids) - 1)).T

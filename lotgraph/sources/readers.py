@@ -59,3 +59,20 @@ def tables(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFr
 def row_hash(df: DataFrame) -> DataFrame:
     """_row_hash: 12 hex digits of the row's values."""
     return df.withColumn("_row_hash", F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])), 1, 12))
+
+
+def dispatch(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
+    """Files of one kind, told by the first one's suffix: CSV as text, sheets saved as CSV, JSON or Parquet."""
+    kind = paths[0].rsplit(".", 1)[-1].lower()
+    if kind in ("csv", "txt"):
+        return csv_text(spark, paths, sep)
+    if kind == "json":
+        return spark.read.option("multiLine", True).json(paths)
+    if kind == "parquet":
+        return spark.read.parquet(*paths)
+    raise ValueError(f"no reader for .{kind} files; save the sheets of a workbook as CSV")
+
+
+def sheets(spark: SparkSession, paths: dict[str, str], sep: str = ",") -> DataFrame:
+    """The sheets of a workbook, saved as CSV, one under the other by column name, with _source_sheet."""
+    return union_all([csv_text(spark, path, sep).withColumn("_source_sheet", F.lit(name)) for name, path in paths.items()])

@@ -2,9 +2,12 @@
 
 from datetime import datetime, timedelta
 
-from lotgraph.operators import builders
+import pytest
+
+from lotgraph.operators import builders, dashboard, forward
 from lotgraph.plans import canonical
 from lotgraph.schemas import CANONICAL
+from lotgraph.sources import readers, writers
 
 
 def put(root, name, header, rows, sep=",", bom=""):
@@ -87,3 +90,39 @@ def test_builders_take_frames_that_lack_columns(spark):
     assert builders.events(bare).columns == CANONICAL["lot_event"].names
     assert builders.qc_results(None, bare).count() == 1
     assert builders.shipments(bare).count() == builders.orders(bare).count() == 0
+
+
+def test_sheets_formats_and_reports(spark, tmp_path):
+    put(tmp_path, "Data.csv", ["a", "b"], [(1, 2)])
+    put(tmp_path, "Day_9.csv", ["b", "c"], [(3, 4)])
+    got = readers.sheets(spark, {"Data": str(tmp_path / "Data.csv"), "Day_9": str(tmp_path / "Day_9.csv")}).select("_source_sheet", "a", "b", "c").collect()
+    assert sorted(map(tuple, got)) == [("Data", "1", "2", None), ("Day_9", None, "3", "4")]
+    assert readers.dispatch(spark, [str(tmp_path / "Data.csv")]).count() == 1
+    with pytest.raises(ValueError):
+        readers.dispatch(spark, ["book.xlsx"])
+    impacts = spark.createDataFrame([(1, 8.0), (2, 1.0)], "incident_id int, hours double")
+    linked = spark.createDataFrame([(1, "JT-1", "confirmed", 28.8), (1, "JT-2", "inferred", 0.0)], "incident_id int, jt_id string, link string, short double")
+    writers.reports(str(tmp_path / "r"), impacts, linked, spark.createDataFrame([("x", "y")], "column string, rule string"), impacts, "2026-10-01")
+    read = lambda name: [r.asDict() for r in spark.read.option("header", True).csv(str(tmp_path / "r" / name)).collect()]
+    assert sorted((r["incident_id"], r["jt_id"] or "", r["data_kind"]) for r in read("incidents")) == [("1", "JT-1", "pilot"), ("1", "JT-2", "inferred"), ("2", "", "not linked")]
+    assert [(r["jt_id"], r["short"], r["data_kind"]) for r in read("orders_at_risk")] == [("JT-1", "29.0", "forecast/pilot")]
+    writers.markdown(impacts.withColumnRenamed("incident_id", "case_id"), str(tmp_path / "md"))
+    assert "| hours | 8.0 |" in [r.value for r in spark.read.text(str(tmp_path / "md")).collect()]
+    causes = spark.createDataFrame([(1, 2, "BATCH", "B", 0.5), (1, 1, "MACHINE", "M", 0.6)], "case_id int, rank int, kind string, candidate string, score double")
+    writers.dashboard_export(impacts.withColumnRenamed("incident_id", "case_id"), causes, str(tmp_path / "json"))
+    assert [[c.candidate for c in r.causes or []] for r in spark.read.json(str(tmp_path / "json")).orderBy("case_id").collect()] == [["M", "B"], []]
+
+
+def test_lookups_and_formats(spark):
+    allocation = spark.createDataFrame([("J1", "L1"), ("J1", "L2"), ("J2", "L3")], "jt_id string, lot_id string")
+    events = spark.createDataFrame([("S1", "L1"), ("S2", "L3")], "station_id string, lot_id string")
+    assert sorted(r.lot_id for r in dashboard.lots_of_order(allocation, ["J1"]).collect()) == ["L1", "L2"]
+    assert [r.jt_id for r in dashboard.orders_of_station(events, allocation, "S2").collect()] == ["J2"]
+    shown = dashboard.formatted(spark.createDataFrame([(1234.56, datetime(2026, 9, 29, 6, 5))], "n double, t timestamp_ntz"), {"n": 1}, ["t"]).first()
+    assert (shown.n, shown.t) == ("1,234.6", "29/09/2026 06:05")
+
+
+def test_netting_summary_and_drift_of_the_stock(spark):
+    net = spark.createDataFrame([("P", d, 0.0, x, x < 0) for d, x in enumerate([5.0, -2.0, 1.0, -3.5])] + [("Q", 0, 0.0, 1.0, False)], "product string, day_idx int, baseline double, incident double, is_short boolean")
+    got = {r["product"]: (r.first_short_day, r.n_short_days, r.shortage) for r in forward.netting_summary(net).collect()}
+    assert got == {"P": (1, 2, 5.5), "Q": (None, 0, 0.0)}

@@ -164,13 +164,19 @@ def test_csv_scan_and_sinks(spark, tmp_path):
 @pytest.mark.parametrize("kind", ["counts", "sessions"])
 def test_streaming_equals_batch(spark, tmp_path, kind):
     t = dt.datetime(2026, 1, 1)
-    data = [(1, t + dt.timedelta(minutes=m), "view", 1.0) for m in (0, 5, 90)]
     schema = "user_id int, ts timestamp, event_type string, value double"
-    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "in"))
+
+    def arrive(*minutes):
+        spark.createDataFrame([(1, t + dt.timedelta(minutes=m), "view", 1.0) for m in minutes], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    arrive(0, 5, 90)
     op = streaming.windowed_counts if kind == "counts" else streaming.sessions
     stream = op(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.outputMode("complete" if kind == "counts" else "append").format("memory").queryName(f"out_{kind}").start()
     q.processAllAvailable()
+    arrive(900)  # moves the watermark, which closes the sessions before
+    q.processAllAvailable()
     q.stop()
-    got = sorted(r.n for r in spark.table(f"out_{kind}").collect())
-    assert got == ([1, 2] if kind == "counts" else []) or got == [2]  # append waits for the watermark
+    got = sorted((r.start - t, r.n) for r in spark.table(f"out_{kind}").collect())
+    hours = lambda h: dt.timedelta(hours=h)
+    assert got == ([(hours(0), 2), (hours(1), 1), (hours(15), 1)] if kind == "counts" else [(hours(0), 2), (hours(1.5), 1)])

@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; a stage's result is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of ``documents``.
+
+Defined cases, for every stage: null and empty texts are neither toxic nor near copies nor leaks, and stay, but for
+exact dedup, which takes null for empty and keeps one of them; a null doc_id is kept like any other and comes last where
+the smallest one stays; rows that repeat a doc_id and its text are one to exact dedup and share their fate elsewhere;
+ties go to the smallest doc_id; texts of any length are taken whole; an empty table gives an empty one; columns besides
+those of ``documents``, whatever their names, come back as they were; labels or benchmark items that are not there
+reject nothing.
 """
 
 from __future__ import annotations

@@ -214,7 +214,32 @@ def containment(spark, sf):
     return backward.containment(best, touched, _inputs(own)[1]).withColumn("reduction", F.round("reduction", 4))
 
 
-@query()
+_IMPACT = f""", {_AFFECTED}, sz AS (SELECT case_id, count(*) AS n FROM aff GROUP BY 1), mk AS (SELECT case_id, (user_id % 4)::VARCHAR AS product, count(*) AS k FROM aff JOIN events ON event_id = lot_id GROUP BY 1, 2),
+mj AS (SELECT case_id, arg_min(product, row(-k, product)) AS product FROM mk GROUP BY 1),
+dp AS (SELECT product, round(avg(q), 1) AS daily FROM (SELECT (user_id % 4)::VARCHAR AS product, ts::DATE AS d, sum(event_id % 90) AS q FROM events WHERE event_type <> 'error' GROUP BY 1, 2) GROUP BY 1),
+own AS (SELECT inc.*, coalesce(sz.n, 0) AS n_affected, coalesce(mj.product, 'PROD-P3') AS product, round(hours * 92.0, 1)::DOUBLE AS loss FROM inc LEFT JOIN sz USING (case_id) LEFT JOIN mj USING (case_id)),
+ow AS (SELECT own.*, coalesce(daily, 900.0)::DOUBLE AS daily, greatest(0.0, coalesce(daily, 900.0) - loss)::DOUBLE AS made0 FROM own LEFT JOIN dp USING (product)),
+od AS (SELECT (o_custkey % 4)::VARCHAR AS product, o_orderkey AS jt_id, 20 + o_orderkey % 50 AS qty, o_orderdate + INTERVAL 28 YEAR AS due, o_orderstatus = 'F' AS done FROM orders),
+du AS (SELECT case_id, jt_id, qty, date_diff('day', start_ts::DATE, due::DATE) AS d, done, start_ts, hours, daily, made0 FROM ow JOIN od USING (product) WHERE date_diff('day', start_ts::DATE, due::DATE) BETWEEN 0 AND 14),
+nd AS (SELECT case_id, d, 20 + sum(CASE WHEN d = 0 THEN made0 ELSE daily END - q) OVER (PARTITION BY case_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS stock FROM (SELECT ow.case_id, ow.daily, ow.made0, t.d, coalesce(w.q, 0) AS q FROM ow, range(0, 14) t(d) LEFT JOIN (SELECT case_id, d, sum(qty) AS q FROM du GROUP BY 1, 2) w ON w.case_id = ow.case_id AND w.d = t.d)),
+ns AS (SELECT case_id, round(sum(CASE WHEN stock < 0 THEN -stock ELSE 0 END), 1)::DOUBLE AS net_short FROM nd GROUP BY 1),
+sq AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY d, jt_id) AS i FROM du),
+wf AS (SELECT case_id, 0::BIGINT AS i, NULL::BIGINT AS jt_id, 0.0::DOUBLE AS short, 20.0::DOUBLE AS rest, -1::BIGINT AS day FROM (SELECT DISTINCT case_id FROM sq)
+  UNION ALL SELECT case_id, i, jt_id, short, (CASE WHEN done THEN have - qty WHEN short > 0 THEN 0 ELSE have - qty END)::DOUBLE, greatest(day, d) FROM (
+    SELECT wf.case_id, sq.i, sq.jt_id, sq.qty, sq.done, sq.d, wf.day, wf.rest + m AS have, (CASE WHEN sq.done THEN 0.0 ELSE greatest(0.0, sq.qty - greatest(wf.rest + m, 0)) END)::DOUBLE AS short
+    FROM (SELECT * FROM wf) wf JOIN sq ON sq.case_id = wf.case_id AND sq.i = wf.i + 1, LATERAL (SELECT (CASE WHEN sq.d > wf.day THEN sq.daily * (sq.d - greatest(wf.day, 0)) + CASE WHEN wf.day < 0 THEN sq.made0 ELSE 0 END ELSE 0 END)::DOUBLE AS m))),
+tr AS (SELECT l_orderkey AS jt_id, min(l_shipdate + INTERVAL 28 YEAR) AS truck FROM lineitem GROUP BY 1),
+st AS (SELECT du.case_id, du.jt_id, NOT done AND truck IS NOT NULL AND start_ts <= truck AND start_ts + to_minutes(floor((hours + 80 / 92.0::DOUBLE) * 60)::INT) > truck AS late FROM du LEFT JOIN tr USING (jt_id)),
+lt AS (SELECT wf.case_id, count(*) FILTER (round(short, 4) > 0 OR late) AS n_late, count(*) FILTER (round(short, 4) > 0) AS n_qty, count(*) FILTER (late) AS n_time, sum(round(short, 4)) AS shortfall FROM wf JOIN st ON st.case_id = wf.case_id AND st.jt_id = wf.jt_id GROUP BY 1),
+al AS (SELECT ow.*, coalesce(n_late, 0) AS n_late, coalesce(n_qty, 0) AS n_qty, coalesce(n_time, 0) AS n_time, coalesce(shortfall, 0)::DOUBLE AS shortfall, coalesce(net_short, 0) AS net_short FROM ow LEFT JOIN lt USING (case_id) LEFT JOIN ns USING (case_id)),
+hv AS (SELECT 'C' || (l_suppkey % 2) AS component, floor(sum(l_quantity) / 1000) AS a FROM lineitem GROUP BY 1),
+mt AS (SELECT case_id, bool_and((CASE WHEN net_short > 0 THEN net_short ELSE loss END) * (1 + k) * (CASE WHEN k = 0 THEN 1.002 ELSE 1.01 END)::DOUBLE <= coalesce(a, 0)) AS enough FROM al, range(0, 3) t(k) LEFT JOIN hv ON component = 'C' || k WHERE product IN ('0', '1', '2', '3') GROUP BY 1),
+bs AS (SELECT al.*, CASE WHEN enough IS NULL THEN 'no_bom' WHEN enough THEN 'ok' ELSE 'shortage' END AS material, CASE WHEN shortfall > 0 THEN shortfall WHEN net_short > 0 THEN net_short WHEN n_time > 0 THEN loss ELSE 0.0 END AS base FROM al LEFT JOIN mt USING (case_id)),
+pr AS (SELECT *, {_P} AS p FROM bs)"""
+
+
+@query(sql("inc", f"""{_IMPACT} SELECT case_id, loss, round(80 / 92.0::DOUBLE, 6) AS hours_to_starve, n_affected, product, n_late, n_qty, n_time, round(shortfall, 4) AS shortfall, net_short, material, round(base, 4) AS base, round(base * (3.25 / 3)::DOUBLE, 4) AS expected,
+  round(base * (1.5 - sqrt(0.1875)), 4) AS p50, round(base * (1.5 - sqrt(0.0375)), 4) AS p90, round(p, 5)::DOUBLE AS p_late, CASE WHEN p < 0.1 AND shortfall < 50 THEN 'no_action_needed' WHEN p < 0.5 THEN 'monitor' WHEN p < 0.9 THEN 'resequencing' ELSE 'resequencing + OT2' END AS action FROM pr""", recursive=True))
 def forward_predict(spark, sf):
     e = _events(spark, sf)
     own = e.select("lot_id", (F.col("station_id") % 4).cast("string").alias("product"), (F.col("lot_id") % 90).alias("qty"), F.col("ts").alias("created"))
@@ -222,7 +247,8 @@ def forward_predict(spark, sf):
     ships = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("jt_id"), F.timestamp_add("YEAR", F.lit(28), F.col("l_shipdate")).alias("truck_time"))
     bom = spark.createDataFrame([(str(k), f"C{c}", 1.0 + c, None if c == 0 else 1.01) for k in range(4) for c in range(3)], "product string, component string, per_unit double, scrap double")
     have = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("C"), F.col("l_suppkey") % 2).alias("component")).agg(F.floor(F.sum("l_quantity") / 1000).cast("double").alias("available"))
-    return forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
+    out = forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
+    return out.withColumns({c: F.round(c, d) for c, d in {"hours_to_starve": 6, "p_late": 5}.items()})
 
 
 _SIGNAL = ", sv AS (SELECT station::VARCHAR AS candidate, least(1.0, count(*) FILTER (abs(qty - m) > 2 * s) / 20.0) AS sig FROM (SELECT *, avg(qty) OVER v AS m, stddev_samp(qty) OVER v AS s FROM lots WINDOW v AS (PARTITION BY station)) GROUP BY station)"

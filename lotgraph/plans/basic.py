@@ -130,9 +130,9 @@ def dq_uniqueness(spark, sf):
     return quality.uniqueness(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (d.doc_id IS NOT NULL) AS n_found, round(count(*) FILTER (d.doc_id IS NOT NULL) / count(*), 6) AS score FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 10 <> 3) d USING (doc_id)")
+@query("SELECT count(*) AS n, count(*) FILTER (l.doc_id IS NOT NULL) AS n_found, round(count(*) FILTER (l.doc_id IS NOT NULL) / count(*), 6) AS score FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE d.doc_id IS NOT NULL")
 def dq_fk(spark, sf):
-    return quality.referential(table(spark, sf, "labels"), "doc_id", table(spark, sf, "documents").where("doc_id % 10 != 3"), "doc_id").withColumn("score", F.round("score", 6))
+    return quality.referential(table(spark, sf, "documents"), "doc_id", table(spark, sf, "labels"), "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query("WITH r AS (SELECT unnest([o_custkey, o_custkey + 100000]) AS k FROM orders) SELECT count(*) AS n, count(c_custkey) AS n_found, round(count(c_custkey) / count(*), 6) AS score FROM r LEFT JOIN customer ON k = c_custkey")
@@ -181,16 +181,18 @@ def duplicate_incidents(spark, sf):
     return quality.duplicates(i, ["station_id", "day"], "row_id")
 
 
-@query("SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment FROM (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey, 'new' AS c_name, CASE WHEN c_custkey % 4 = 0 THEN 'X' END AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0) n ON o.c_custkey = n.c_custkey")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS price FROM orders), n AS (SELECT l_orderkey AS k, max(l_linestatus) AS status FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY 1)
+SELECT coalesce(o.k, n.k) AS k, coalesce(n.status, o.status) AS status, o.price AS price FROM o FULL JOIN n ON o.k = n.k""")
 def upsert_merge(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("c_name"), F.when(F.col("c_custkey") % 4 == 0, "X").alias("c_mktsegment"))
-    return mapping.upsert(c.where("c_custkey % 3 != 0"), new, "c_custkey")
+    """All orders, whose status their line items know better; orders without line items keep theirs."""
+    old = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    new = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("status"))
+    return mapping.upsert(old, new, "k")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'n_1')")
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '#00000001')")
 def text_filter(spark, sf):
-    return dashboard.text_filter(table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), "N_1").toDF("n_nationkey", "n_name")
+    return dashboard.text_filter(table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), "#00000001").toDF("c_custkey", "c_name")
 
 
 @query("SELECT 'both' AS op, k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'only', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")
@@ -211,9 +213,9 @@ def page(spark, sf):
     return dashboard.page(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], 2, 50).select("o_orderkey")
 
 
-@query("SELECT r_regionkey, substr(md5(r_regionkey || '|' || r_name), 1, 12) AS row_hash FROM region")
+@query("SELECT o_orderkey, substr(md5(o_orderkey || '|' || o_custkey || '|' || coalesce(o_orderpriority, '')), 1, 12) AS row_hash FROM orders")
 def row_hash(spark, sf):
-    return readers.row_hash(table(spark, sf, "region").select("r_regionkey", "r_name")).select("r_regionkey", F.col("_row_hash").alias("row_hash"))
+    return readers.row_hash(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select("o_orderkey", F.col("_row_hash").alias("row_hash"))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")

@@ -27,11 +27,22 @@ def options(spark: SparkSession, alternative_line: bool = True) -> DataFrame:
     return spark.createDataFrame(rows, "option string, action string, effect double, overtime_h double, changeovers int, trucks int")
 
 
-def cost(p_late: Column, delay_h: Column, overtime: float | Column = COSTS["overtime_rate"], changeover: float | Column = COSTS["changeover"]) -> Column:
+# A cost's section and key in a configuration file.
+CONFIG_KEYS = {"overtime_rate": "labor.operator_hourly_rate", "overtime_factor": "overtime.hourly_multiplier", "energy_h": "overtime.energy_cost_per_hour", "changeover": "changeover.fixed_cost", "truck": "shipping.normal_cost_per_truck", "expedite_factor": "shipping.expedite_multiplier", "penalty_h": "shipping.late_penalty_per_hour"}
+
+
+def costs_from(config: dict[str, str]) -> dict[str, float]:
+    """COSTS with what a flat configuration (``readers.config``) states."""
+    return COSTS | {name: float(config[key]) for name, key in CONFIG_KEYS.items() if key in config}
+
+
+def cost(p_late: Column, delay_h: Column, overtime: float | Column | None = None, changeover: float | Column | None = None, costs: dict[str, float] = COSTS) -> Column:
     """Overtime, changeovers, expedited trucks if the order may be late, and a penalty by the hour if it is likely late."""
-    hours = F.col("overtime_h") * (F.lit(1.0) * overtime * COSTS["overtime_factor"] * COSTS["crew"] + COSTS["energy_h"])
-    trucks = F.when(p_late > 0, F.col("trucks") * COSTS["truck"] * COSTS["expedite_factor"]).otherwise(0.0)
-    penalty = F.when(p_late >= 0.5, delay_h * COSTS["penalty_h"]).otherwise(0.0)
+    overtime = costs["overtime_rate"] if overtime is None else overtime
+    changeover = costs["changeover"] if changeover is None else changeover
+    hours = F.col("overtime_h") * (F.lit(1.0) * overtime * costs["overtime_factor"] * costs["crew"] + costs["energy_h"])
+    trucks = F.when(p_late > 0, F.col("trucks") * costs["truck"] * costs["expedite_factor"]).otherwise(0.0)
+    penalty = F.when(p_late >= 0.5, delay_h * costs["penalty_h"]).otherwise(0.0)
     return hours + F.col("changeovers") * changeover + trucks + penalty
 
 
@@ -44,8 +55,20 @@ def simulate(cases: DataFrame, opts: DataFrame, rate: float = RATE) -> DataFrame
     return out.withColumns({"shortfall": mean, "delay_h": F.round(mean / rate, 2), "completion_h": F.col("hours") + F.col("recovered") / rate})
 
 
-def scored(simulated: DataFrame) -> DataFrame:
-    return simulated.withColumn("cost", cost(F.col("p_late"), F.col("delay_h")))
+def scored(simulated: DataFrame, costs: dict[str, float] = COSTS) -> DataFrame:
+    return simulated.withColumn("cost", cost(F.col("p_late"), F.col("delay_h"), costs=costs))
+
+
+def ranks(rows: DataFrame) -> DataFrame:
+    """rows with rank_by_cost and rank_by_risk of each case's options; the first option on ties."""
+    case = Window.partitionBy("case_id")
+    place = lambda *order: F.row_number().over(case.orderBy(*order, "option")).cast("long")
+    return rows.withColumns({"rank_by_cost": place("cost"), "rank_by_risk": place("p_late", "cost")})
+
+
+def what_if(cases: DataFrame, impacts: DataFrame, opts: DataFrame, costs: dict[str, float] = COSTS) -> DataFrame:
+    """All options of every case on its forward impact's base, with their ranks; cases: case_id, hours; impacts: case_id, base."""
+    return ranks(scored(simulate(cases.select("case_id", "hours").join(impacts.select("case_id", "base"), "case_id"), opts), costs))
 
 
 def choose(rows: DataFrame, keys: list[str], p_max: Column | float = 0.05) -> DataFrame:

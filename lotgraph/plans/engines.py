@@ -241,14 +241,17 @@ pr AS (SELECT *, {_P} AS p FROM bs)"""
 @query(sql("inc", f"""{_IMPACT} SELECT case_id, loss, round(80 / 92.0::DOUBLE, 6) AS hours_to_starve, n_affected, product, n_late, n_qty, n_time, round(shortfall, 4) AS shortfall, net_short, material, round(base, 4) AS base, round(base * (3.25 / 3)::DOUBLE, 4) AS expected,
   round(base * (1.5 - sqrt(0.1875)), 4) AS p50, round(base * (1.5 - sqrt(0.0375)), 4) AS p90, round(p, 5)::DOUBLE AS p_late, CASE WHEN p < 0.1 AND shortfall < 50 THEN 'no_action_needed' WHEN p < 0.5 THEN 'monitor' WHEN p < 0.9 THEN 'resequencing' ELSE 'resequencing + OT2' END AS action FROM pr""", recursive=True))
 def forward_predict(spark, sf):
+    return _impact(spark, sf).withColumns({c: F.round(c, d) for c, d in {"hours_to_starve": 6, "p_late": 5}.items()})
+
+
+def _impact(spark, sf):
     e = _events(spark, sf)
     own = e.select("lot_id", (F.col("station_id") % 4).cast("string").alias("product"), (F.col("lot_id") % 90).alias("qty"), F.col("ts").alias("created"))
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("string").alias("product"), F.col("o_orderkey").alias("jt_id"), (20 + F.col("o_orderkey") % 50).alias("qty"), F.timestamp_add("YEAR", F.lit(28), F.col("o_orderdate")).alias("due"), (F.col("o_orderstatus") == "F").alias("fulfilled"))
     ships = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("jt_id"), F.timestamp_add("YEAR", F.lit(28), F.col("l_shipdate")).alias("truck_time"))
     bom = spark.createDataFrame([(str(k), f"C{c}", 1.0 + c, None if c == 0 else 1.01) for k in range(4) for c in range(3)], "product string, component string, per_unit double, scrap double")
     have = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("C"), F.col("l_suppkey") % 2).alias("component")).agg(F.floor(F.sum("l_quantity") / 1000).cast("double").alias("available"))
-    out = forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
-    return out.withColumns({c: F.round(c, d) for c, d in {"hours_to_starve": 6, "p_late": 5}.items()})
+    return forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
 
 
 _SIGNAL = ", sv AS (SELECT station::VARCHAR AS candidate, least(1.0, count(*) FILTER (abs(qty - m) > 2 * s) / 20.0) AS sig FROM (SELECT *, avg(qty) OVER v AS m, stddev_samp(qty) OVER v AS s FROM lots WINDOW v AS (PARTITION BY station)) GROUP BY station)"
@@ -297,6 +300,16 @@ def whatif_scored(spark, sf):
     return _scored(spark, sf).select("case_id", "option", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
+_ON_IMPACT = _IMPACT + _SIM.replace(_CASES, "c AS (SELECT case_id, round(base, 4) AS base, hours FROM bs)")
+
+
+@query(sql("inc", f"{_ON_IMPACT} SELECT case_id, option, round(base, 4)::DOUBLE AS base, round(p_late, 6)::DOUBLE AS p_late, round(cost, 2)::DOUBLE AS cost, row_number() OVER (PARTITION BY case_id ORDER BY round(cost, 2), option) AS rank_by_cost FROM w", recursive=True))
+def whatif_on_impact(spark, sf):
+    """The options of every case on what the forward engine finds for it."""
+    out = action.what_if(incidents(spark, sf), _impact(spark, sf), action.options(spark))
+    return out.select("case_id", "option", F.round("base", 4).alias("base"), F.round("p_late", 6).alias("p_late"), F.round("cost", 2).alias("cost"), "rank_by_cost")
+
+
 @query(sql("inc", f"{_SIM}, z AS (SELECT *, {_PICK.format(keys='case_id', p=0.05)} AS k FROM w) SELECT case_id, option, round(cost, 2)::DOUBLE AS cost, p_late <= 0.05 AS feasible FROM z WHERE k = 1"))
 def whatif_optimal(spark, sf):
     return action.choose(_scored(spark, sf), ["case_id"]).select("case_id", "option", F.round("cost", 2).alias("cost"), "feasible")

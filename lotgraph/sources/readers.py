@@ -76,3 +76,18 @@ def dispatch(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame
 def sheets(spark: SparkSession, paths: dict[str, str], sep: str = ",") -> DataFrame:
     """The sheets of a workbook, saved as CSV, one under the other by column name, with _source_sheet."""
     return union_all([csv_text(spark, path, sep).withColumn("_source_sheet", F.lit(name)) for name, path in paths.items()])
+
+
+def config(spark: SparkSession, path: str) -> dict[str, str]:
+    """A small configuration file of sections and keys (``section:``, then indented ``key: value``) as section.key."""
+    out, section = {}, ""
+    for row in spark.read.text(path).collect():  # a file of settings
+        line = row.value.split("#")[0].rstrip()
+        key, mark, value = line.strip().partition(":")
+        if not mark:
+            continue
+        if not line[0].isspace():
+            section = "" if value.strip() else key + "."
+        if value.strip():
+            out[(section if line[0].isspace() else "") + key] = value.strip()
+    return out

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from lotgraph.operators import builders, dashboard, forward
+from lotgraph.operators import action, builders, dashboard, forward
 from lotgraph.plans import canonical
 from lotgraph.schemas import CANONICAL
 from lotgraph.sources import readers, writers
@@ -126,3 +126,16 @@ def test_netting_summary_and_drift_of_the_stock(spark):
     net = spark.createDataFrame([("P", d, 0.0, x, x < 0) for d, x in enumerate([5.0, -2.0, 1.0, -3.5])] + [("Q", 0, 0.0, 1.0, False)], "product string, day_idx int, baseline double, incident double, is_short boolean")
     got = {r["product"]: (r.first_short_day, r.n_short_days, r.shortage) for r in forward.netting_summary(net).collect()}
     assert got == {"P": (1, 2, 5.5), "Q": (None, 0, 0.0)}
+
+
+def test_costs_come_from_a_configuration_file(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("# costs\nlabor:\n  operator_hourly_rate: 90000   # by the hour\nshipping:\n  expedite_multiplier: 2.0\ncurrency: VND\n")
+    found = readers.config(spark, str(tmp_path / "c.yaml"))
+    assert found == {"labor.operator_hourly_rate": "90000", "shipping.expedite_multiplier": "2.0", "currency": "VND"}
+    costs = action.costs_from(found)
+    assert (costs["overtime_rate"], costs["expedite_factor"], costs["truck"]) == (90_000, 2, action.COSTS["truck"])
+    cases = spark.createDataFrame([(1, 8)], "case_id int, hours int")
+    impacts = spark.createDataFrame([(1, 28.8)], "case_id int, base double")
+    rows = {r.option: r for r in action.what_if(cases, impacts, action.options(spark), costs).collect()}
+    assert rows["B"].cost == 2 * (90_000 * 1.5 * 5 + 500_000) and rows["G"].cost >= 5_000_000 * 2
+    assert sorted(r.rank_by_cost for r in rows.values()) == sorted(r.rank_by_risk for r in rows.values()) == list(range(1, 8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotgraph.operators import builders, dashboard, graph, quality
+from lotgraph.operators import builders, dashboard, evaluation, graph, quality
 from lotgraph.plans.binding import incidents, lots, orders, sql, table
 
 Q, SQL = {}, {}
@@ -228,3 +228,19 @@ def typed_coercion(spark, sf):
     k = F.col("p_partkey") % 4
     raw = F.when(k == 0, F.col("p_size").cast("string")).when(k == 1, F.lit("2026-09-29T06:00:00")).when(k == 2, F.when(F.col("p_size") % 2 == 0, "TRUE").otherwise("false")).otherwise(F.concat(F.lit("x"), F.col("p_name")))
     return dashboard.coerced(table(spark, sf, "part").select("p_partkey", raw.alias("raw")), "raw").select("p_partkey", "kind", "number", "flag")
+
+
+_REPORTED = """WITH r AS (SELECT o_custkey, coalesce(list(DISTINCT o_orderkey) FILTER (o_orderkey % 3 = 0), []) AS e, coalesce(list(DISTINCT o_orderkey) FILTER (o_orderkey % 2 = 0), []) AS p, (sum(o_orderkey % 40))::DOUBLE AS es, (sum(o_orderkey % 41))::DOUBLE AS ps, max((o_orderkey % 3 = 0)::INT) AS y, avg(o_orderkey % 7 / 7.0) AS q FROM orders GROUP BY 1),
+m AS (SELECT sum(len(list_intersect(e, p)))::DOUBLE AS tp, sum(len(p))::DOUBLE AS np, sum(len(e))::DOUBLE AS ne, avg((list_sort(e) = list_sort(p))::INT) AS ex, avg((len(list_intersect(e, p)) > 0 OR (len(e) = 0 AND len(p) = 0))::INT) AS hit, avg(abs(ps - es) / es) FILTER (es > 0) AS mape, avg((q - y) * (q - y)) AS brier, avg(((q >= 0.5)::INT = y)::INT) AS acc FROM r),
+c AS (SELECT avg((g[1] = w)::INT) AS t1, avg(list_contains(g[1:3], w)::INT) AS t3 FROM (SELECT o_orderkey % 5 AS w, [o_orderkey % 3, 1, 2, 4] AS g FROM orders)),
+v AS (SELECT 'forward_f1' AS metric, 2 * tp / (np + ne) AS value, 0.85 AS target, true AS up FROM m UNION ALL SELECT 'late_set_accuracy', ex, NULL, false FROM m UNION ALL SELECT 'late_hit_rate', hit, NULL, false FROM m UNION ALL SELECT 'shortfall_mape', mape, 0.10, false FROM m UNION ALL SELECT 'late_brier', brier, 0.15, false FROM m UNION ALL SELECT 'late_accuracy', acc, NULL, false FROM m
+UNION ALL SELECT 'cause_top1', t1, NULL, false FROM c UNION ALL SELECT 'cause_top3', t3, 0.75, true FROM c)
+SELECT metric, round(value, 6)::DOUBLE AS value, target::DOUBLE AS target, CASE WHEN up THEN value >= target ELSE value <= target END AS passed FROM v"""
+
+
+@query(_REPORTED)
+def benchmark_report(spark, sf):
+    k, o = F.col("o_orderkey"), table(spark, sf, "orders")
+    forward = o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_set(F.when(k % 3 == 0, k)).alias("expected_late"), F.collect_set(F.when(k % 2 == 0, k)).alias("predicted_late"), F.sum(k % 40).cast("double").alias("expected_short"), F.sum(k % 41).cast("double").alias("predicted_short"), F.max((k % 3 == 0).cast("int")).alias("is_late"), F.avg(k % 7 / 7.0).alias("p_late"))
+    causes = o.select(k.alias("case_id"), (k % 5).alias("expected"), F.array(k % 3, *[F.lit(x).cast("long") for x in (1, 2, 4)]).alias("ranked"))
+    return evaluation.benchmark(forward, causes).withColumn("value", F.round("value", 6))

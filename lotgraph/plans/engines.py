@@ -184,6 +184,14 @@ def fisher_lift(spark, sf):
     return tests.select("kind", "candidate", F.round("p", 5).alias("p"), F.round("lift", 5).alias("lift"))
 
 
+@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER} SELECT kind, candidate, CASE WHEN l >= 2 AND q < 0.05 THEN 'strong' WHEN l >= 2 THEN 'high, not significant' WHEN l >= 1.5 THEN 'raised' WHEN l >= 1 THEN 'slight' ELSE 'none' END AS conclusion, a, b, c, d FROM (SELECT *, round(lift, 9) AS l, round(p, 6) AS q FROM fi)"))
+def cause_cards(spark, sf):
+    edges, events, used, own = _inputs(_lots(spark, sf))
+    tests = backward.tested(backward.contingency(backward.members(edges, events, used, own), own))
+    cards = tests.withColumns({"lift": F.round("lift", 9), "p": F.round("p", 6), "score": F.lit(0.0)}).withColumn("card", backward.evidence_card())
+    return cards.select("kind", "candidate", "card.conclusion", "card.table.*")
+
+
 def _scored_sql(signal: str) -> str:
     """Candidates with their score in the case; signal: their third part, from 0 to 1, before scaling."""
     scaled = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-9 THEN 0.5 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
@@ -254,6 +262,12 @@ def _impact(spark, sf):
     return forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
 
 
+@query(sql("inc", f"{_IMPACT} SELECT case_id, loss AS qty_loss, round(80 / 92.0::DOUBLE, 6) AS hours_to_starve, round(shortfall, 4) AS shortfall, CASE WHEN p < 0.1 AND shortfall < 50 THEN 'no_action_needed' WHEN p < 0.5 THEN 'monitor' WHEN p < 0.9 THEN 'resequencing' ELSE 'resequencing + OT2' END AS action, CASE WHEN p >= 0.9 THEN 'A' WHEN p >= 0.5 THEN 'B' ELSE 'C' END AS grade FROM pr", recursive=True))
+def impact_cards(spark, sf):
+    card = forward.evidence_card(F.col("loss"), F.round("hours_to_starve", 6), F.col("shortfall"), F.col("p_late"))
+    return _impact(spark, sf).select("case_id", card.alias("card")).select("case_id", "card.*").drop("p_late")
+
+
 _SIGNAL = ", sv AS (SELECT station::VARCHAR AS candidate, least(1.0, count(*) FILTER (abs(qty - m) > 2 * s) / 20.0) AS sig FROM (SELECT *, avg(qty) OVER v AS m, stddev_samp(qty) OVER v AS s FROM lots WINDOW v AS (PARTITION BY station)) GROUP BY station)"
 
 

@@ -243,7 +243,11 @@ class _Join:
         room = _reaches(F.least(col("x.n") - col("x.at"), col("y.n") - col("y.at")), col("x.n"), col("y.n"), num, den)
         apart = col("distance") - col("x.d") - col("y.d") <= self.gap + 1e-9
         bound = _reaches(_most("x.counts", "y.counts"), col("x.n"), col("y.n"), num, den)
-        both = close.join(x, col("ca") == col("x.c")).join(y, (col("cb") == col("y.c")) & (col("x.h") == col("y.h")) & (col("x.short") | col("y.short")) & _sized(col("x.n"), col("y.n"), num, den) & room & apart & bound)
+        # a pair of blocks is opened from the side with fewer cells, whose columns then ask the other side
+        cells = mine.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
+        sized = close.join(cells.select(col("c").alias("ca"), col("k").alias("ka")), "ca").join(cells.select(col("c").alias("cb"), col("k").alias("kb")), "cb")
+        sized = sized.select("distance", F.when(col("ka") <= col("kb"), col("ca")).otherwise(col("cb")).alias("few"), F.when(col("ka") <= col("kb"), col("cb")).otherwise(col("ca")).alias("many"))
+        both = sized.join(x, col("few") == col("x.c")).join(y, (col("many") == col("y.c")) & (col("x.h") == col("y.h")) & (col("x.short") | col("y.short")) & _sized(col("x.n"), col("y.n"), num, den) & room & apart & bound)
         return both.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 

@@ -46,7 +46,6 @@ class Table:
         before = np.concatenate([[0], self.ends])
         self.base, self.weight = before[cuts[:-1]].astype(float), np.diff(before[cuts]).astype(float)
         self.start = (self.ends - self.counts).astype(float) - self.base[self.band]
-        self.places = self.ends.astype(float)
         # a symbol's own table: hits, of no band, have one entry of weight 1 behind all ranks
         self.start, self.freq = np.append(self.start, 0.0), np.append(self.counts.astype(float), 1.0)
         self.weights, self.bases = np.concatenate([[1.0, 1.0], self.weight]), np.concatenate([[total, total], self.base]).astype(float)
@@ -196,6 +195,7 @@ def decode(blocks: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarra
     if n < 1:
         return np.empty(0, np.uint32)
     table, steps = Table.unpack(blocks[0]), min(block, total_ids)
+    lookup = np.append(np.repeat(np.arange(len(table.ids), dtype=np.int32), table.counts), np.int32(len(table.ids)))  # place in the stream's weight → rank
     words = np.zeros((n, max(map(len, blocks[1:])) // 2 + 4), np.int64)
     for k, b in enumerate(blocks[1:]):
         words[k, : len(b) // 2] = np.frombuffer(b, "<u2", len(b) // 2)
@@ -227,7 +227,7 @@ def decode(blocks: list[bytes], total_ids: int, block: int = BLOCK) -> np.ndarra
         weight = table.weights.take(symbol)
         unit = np.floor(rng / weight)
         at = np.minimum(np.floor(code / unit), weight - 1)
-        mine = np.searchsorted(table.places, table.bases.take(symbol) + at, side="right")
+        mine = lookup.take((table.bases.take(symbol) + at).astype(np.int64))
         code -= unit * table.start.take(mine)
         np.multiply(unit, table.freq.take(mine), out=rng)
         renew(table.most)

@@ -179,7 +179,7 @@ def parse(pieces: Iterator[bytes]) -> Iterator[dict]:
     while True:
         while stream.has(2) and stream.held[:2] == b"\r\n":
             del stream.held[:2]
-        if not stream.has(1) or bytes(stream.held) in (b"\n", b"\r"):  # a file's last line feed
+        if not stream.has(2) and stream.held[:1] in (b"", b"\n", b"\r"):  # the end, or a file's last line feed
             break
         end = stream.find(b"\r\n\r\n") if stream.has(5) and stream.held[:5] == b"WARC/" else -1
         lines = stream.held[: max(0, end)].decode("utf-8", "replace").split("\r\n")

@@ -55,18 +55,30 @@ def combinations(hist: np.ndarray, window: int = WINDOW, seed: int = 0) -> tuple
     if not len(present):
         return np.empty((0, 3), np.int64), np.empty((0, 3), np.int64)
     pairs = present[(present <= window // 2) & (hist[window - present] > 0)]
-    rows = [np.stack([pairs, window - pairs, 0 * pairs, 0 * pairs + 1, 0 * pairs + 1, 0 * pairs], axis=1)]
+
+    def rows(a, b, c, i: int, j: int, k: int) -> np.ndarray:
+        """Lengths and times side by side, two bytes each."""
+        out = np.empty((len(a), 6), np.int16)
+        for column, value in enumerate((a, b, c, i, j, k)):
+            out[:, column] = value
+        return out
+
+    made = [rows(pairs, window - pairs, 0, 1, 1, 0)]
     fillers = rng.choice(present, (len(present), FILLERS), p=hist[present] / hist[present].sum())
-    c, a = np.repeat(present, FILLERS), fillers.ravel()
+    c, a = np.repeat(present, FILLERS).astype(np.int32), fillers.ravel().astype(np.int32)
     for i in range(1, REPEATS + 1):
         left = window - c - i * a
-        on = (left >= 0) & (hist[a] >= i)
-        rows.append(np.stack([a, c, 0 * a, 0 * a + i, 0 * a + 1, 0 * a], axis=1)[on & (left == 0)])
+        on = np.flatnonzero((left >= 0) & (hist[a] >= i))
+        ci, ai, li = c[on], a[on], left[on]
+        full = li == 0
+        made.append(rows(ai[full], ci[full], 0, i, 1, 0))
         for j in range(1, REPEATS + 1):
-            b = np.maximum(left, 0) // j
-            fits = on & (left > 0) & (b * j == left) & (hist[b] >= j)
-            rows.append(np.stack([a, b, c, 0 * a + i, 0 * a + j, 0 * a + 1], axis=1)[fits])
-    found = np.concatenate(rows)
+            bi = li // j
+            fits = np.flatnonzero((li > 0) & (bi * j == li) & (hist[bi] >= j))
+            made.append(rows(ai[fits], bi[fits], ci[fits], i, j, 1))
+    found = np.concatenate(made)
+    if len(found) > 4 * KEPT:
+        found = found[np.unique(rng.integers(0, len(found), 4 * KEPT))]
     # one length once, the smaller lengths first
     found[:, 3] += np.where(found[:, 0] == found[:, 1], found[:, 4], 0)
     found[:, 4] = np.where(found[:, 0] == found[:, 1], 0, found[:, 4])
@@ -74,14 +86,14 @@ def combinations(hist: np.ndarray, window: int = WINDOW, seed: int = 0) -> tuple
         same = (found[:, k] == found[:, 2]) & (found[:, 3 + k] > 0) & (found[:, 5] > 0)
         found[:, 3 + k] += np.where(same, found[:, 5], 0)
         found[:, 5] = np.where(same, 0, found[:, 5])
-    lengths = np.where(found[:, 3:] > 0, found[:, :3], window)
+    lengths = np.where(found[:, 3:] > 0, found[:, :3], np.int16(window))
     order = np.argsort(lengths, axis=1, kind="stable")
     lengths, times = np.take_along_axis(lengths, order, axis=1), np.take_along_axis(found[:, 3:], order, axis=1)
     have = ((hist[lengths] >= times) | (times == 0)).all(axis=1)
     both = np.unique(np.concatenate([lengths, times], axis=1)[have], axis=0)
     if len(both) > KEPT:
         both = both[np.sort(rng.choice(len(both), KEPT, replace=False))]
-    return np.where(both[:, 3:] > 0, both[:, :3], 0), both[:, 3:]
+    return np.where(both[:, 3:] > 0, both[:, :3], 0).astype(np.int64), both[:, 3:].astype(np.int64)
 
 
 def repeat_counts(hist: np.ndarray, combos: tuple[np.ndarray, np.ndarray], sweeps: int = SWEEPS) -> np.ndarray:

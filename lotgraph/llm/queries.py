@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import decontaminate, exact_dedup, idfiles, line_dedup, ngram_join, packing, quotes, secrets, toxicity, warc
+from lotgraph.llm import decontaminate, exact_dedup, hard_negatives, idfiles, line_dedup, ngram_join, packing, quotes, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_id_files": op8_id_files,
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES = {
@@ -70,4 +75,5 @@ ORACLES = {
     "op5_warc": warc.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op9_secret_scan": secrets.oracle(),
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }

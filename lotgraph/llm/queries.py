@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import decontaminate, exact_dedup, hard_negatives, idfiles, line_dedup, ngram_join, packing, quotes, secrets, toxicity, warc
+from lotgraph.llm import decontaminate, exact_dedup, hard_negatives, idfiles, line_dedup, ngram_join, packing, quotes, runs, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -67,6 +71,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_ngram_join": op10_ngram_join,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotgraph.llm import decontaminate, exact_dedup, hard_negatives, idfiles, line_dedup, ngram_join, packing, quotes, runs, secrets, toxicity, warc
+from lotgraph.llm import decontaminate, exact_dedup, hard_negatives, idfiles, line_dedup, ngram_join, odd_sketches, packing, quotes, runs, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(table(spark, sf_dir, "documents"))
 
 
+def op13_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketches.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -72,6 +76,7 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_odd_sketches": op13_odd_sketches,
 }
 
 ORACLES = {

@@ -71,6 +71,19 @@ def what_if(cases: DataFrame, impacts: DataFrame, opts: DataFrame, costs: dict[s
     return ranks(scored(simulate(cases.select("case_id", "hours").join(impacts.select("case_id", "base"), "case_id"), opts), costs))
 
 
+def late_base(impacts: DataFrame, late: DataFrame) -> DataFrame:
+    """case_id, base, base_p, jt_id: what the options of a case start from.
+
+    It is the shortfall and probability of the case's first late order; without one the case's total shortage, with a
+    probability of 0.5 above 100 pieces and 0.1 up to there.  impacts: case_id, shortfall; late: case_id, jt_id, shortfall,
+    p_late, place.
+    """
+    first = late.where("place = 1").select("case_id", "jt_id", F.col("shortfall").alias("_first"), "p_late")
+    total = F.coalesce("shortfall", F.lit(0.0))
+    out = impacts.select("case_id", "shortfall").join(first, "case_id", "left")
+    return out.select("case_id", F.coalesce("_first", total).alias("base"), F.coalesce("p_late", F.when(total > 100, 0.5).otherwise(0.1)).alias("base_p"), "jt_id")
+
+
 def choose(rows: DataFrame, keys: list[str], p_max: Column | float = 0.05) -> DataFrame:
     """The cheapest option within p_max, or the least risky if there is none; the first on ties."""
     ok = F.col("p_late") <= p_max

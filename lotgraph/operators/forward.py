@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgraph.functions import stats
 from lotgraph.functions.values import seconds
+from lotgraph.operators import graph
+from lotgraph.operators.running import running
 
 RATE = 92.0  # fixed value: units an hour
 HORIZON = 14
@@ -178,8 +181,147 @@ def case_product(station: Column, majority: Column) -> Column:
     return F.when(station.startswith("STN-"), fixed).otherwise(F.coalesce(majority, fixed))
 
 
-def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, bom: DataFrame | None = None, available: DataFrame | None = None, faithful: bool = False) -> DataFrame:
-    """The whole cascade, a row for every case.
+def with_fulfilled(orders: DataFrame, shipments: DataFrame) -> DataFrame:
+    """orders with fulfilled: a shipment of the order has departed; shipments: jt_id, status."""
+    gone = shipments.where(F.upper(F.trim("status")) == "DEPARTED").select("jt_id", F.lit(True).alias("fulfilled")).distinct()
+    return orders.drop("fulfilled").join(gone, "jt_id", "left").withColumn("fulfilled", F.coalesce("fulfilled", F.lit(False)))
+
+
+def affected_orders(cases: DataFrame, hit: DataFrame, edges: DataFrame, allocation: DataFrame, orders: DataFrame, first: int = 5) -> DataFrame:
+    """case_id, jt_id, source, place: the orders that a case reaches through the genealogy, in due order.
+
+    The case's lots and all their descendants lead to the orders they are allocated to.  Of these the ones of the case's
+    product count (source product); where it has none, all of them (any); where nothing is allocated, the first orders by
+    id stand in (first).  Orders without a due date come last.
+
+    cases: case_id, product; hit: case_id, lot_id; edges: parent, child; allocation: lot_id, jt_id; orders: jt_id,
+    product, due.
+    """
+    down = graph.reach(edges, hit.select(F.col("lot_id").alias("seed")).distinct(), down=True, max_depth=None, include_seed=True)
+    lots = hit.join(down, F.col("lot_id") == F.col("seed")).select("case_id", F.col("node").alias("lot_id")).distinct()
+    reached = lots.join(allocation.select("lot_id", "jt_id").distinct(), "lot_id").select("case_id", "jt_id").distinct()
+    known = reached.join(orders.select("jt_id", F.col("product").alias("made"), "due"), "jt_id").join(cases.select("case_id", "product"), "case_id").withColumn("own", F.coalesce(F.col("made") == F.col("product"), F.lit(False)))
+    counts = known.groupBy("case_id").agg(F.count_if("own").alias("n_own"))
+    chosen = known.join(counts, "case_id").where(F.col("own") | (F.col("n_own") == 0)).select("case_id", "jt_id", "due", F.when(F.col("own"), "product").otherwise("any").alias("source"))
+    few = orders.select("jt_id", "due").orderBy("jt_id").limit(first)  # a fixed number of rows
+    left = cases.select("case_id").distinct().join(counts.select("case_id"), "case_id", "left_anti")
+    stand_in = left.join(F.broadcast(few), F.lit(True)).select("case_id", "jt_id", "due", F.lit("first").alias("source"))
+    order = Window.partitionBy("case_id").orderBy(F.asc_nulls_last("due"), "jt_id")
+    return chosen.unionByName(stand_in).withColumn("place", F.row_number().over(order).cast("long")).select("case_id", "jt_id", "source", "place")
+
+
+class Cascade(NamedTuple):
+    """What all answers of the forward engine share; see cascade()."""
+
+    cases: DataFrame
+    queue: DataFrame
+    missed: DataFrame
+
+
+def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float | DataFrame = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, checked: DataFrame | None = None) -> Cascade:
+    """Cases of one product and day have one queue of orders and the same production, but for the first day's loss.
+
+    So the waterfall is solved once for each product and day, for any stock s at the start (opening and the first day's
+    production).  What an order finds is ``a + max(s, m)``: a is what is made until its day less what earlier orders ask
+    for, and m comes from the last earlier order that left nothing.  It is short by ``hi - max(s, lo)`` where that is
+    above zero, with ``hi = qty - a`` and ``lo = max(m, -a)``.
+
+    cases: the cases with product, daily, loss, n_affected, day0, s; queue: product, day0, due_idx, jt_id, qty, due, open,
+    lo, hi (null if it can't be short); missed: case_id, jt_id of open orders whose first truck leaves in the outage, or
+    of checked ones (case_id, jt_id), if given.  opening: a number, or product, opening.
+    """
+    hit = affected_lots(cases, events)
+    size = hit.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_affected"))
+    major = majority_product(hit, lots).withColumnRenamed("product", "majority")
+    own = cases.join(size, "case_id", "left").join(major, "case_id", "left").withColumns({"n_affected": F.coalesce("n_affected", F.lit(0)), "product": case_product(F.col("station_id"), F.col("majority"))})
+    own = own.join(daily_production(lots, fallback), "product", "left").withColumns({"daily": F.coalesce("daily", F.lit(fallback)), "loss": qty_loss(F.col("hours")), "day0": F.to_date("start_ts")})
+    own = own.join(opening.select("product", F.col("opening").cast("double").alias("opening")), "product", "left").fillna(20.0, ["opening"]) if isinstance(opening, DataFrame) else own.withColumn("opening", F.lit(float(opening)))
+    own = own.withColumn("s", F.round(F.col("opening") + F.greatest(F.lit(0.0), F.col("daily") - F.col("loss")), 4))
+
+    days = own.select("product", "day0", "daily").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(day0, due_idx)"))
+    queue = days.join(orders.select("product", "jt_id", F.col("qty").cast("double").alias("qty"), "due", (~F.coalesce("fulfilled", F.lit(False))).alias("open"), F.to_date("due").alias("day")), ["product", "day"])
+    keys, order = ["product", "day0"], [F.col("due_idx"), F.col("jt_id")]
+    queue = running(queue, keys, F.col("due_idx"), order, {"asked": ("sum", F.col("qty"))}, exclusive=True)
+    made = F.col("daily") * F.col("due_idx")
+    queue = running(queue, keys, F.col("due_idx"), order, {"least": ("min", F.when(F.col("open"), made - F.col("asked") - F.col("qty")))}, exclusive=True)
+    a = made - F.col("asked")
+    queue = queue.withColumns({"hi": F.round(F.col("qty") - a, 4), "lo": F.round(F.greatest(-F.col("least"), -a), 4)})
+    able = F.col("open") & (F.col("lo") < F.col("hi"))
+    queue = queue.select("product", "day0", "daily", "due_idx", "jt_id", "qty", "due", "open", F.when(able, F.col("lo")).alias("lo"), F.when(able, F.col("hi")).alias("hi"))
+
+    if shipments is None:
+        missed = own.select("case_id").withColumn("jt_id", F.lit(None).cast(orders.schema["jt_id"].dataType)).where(F.lit(False))
+        return Cascade(own, queue, missed)
+    first = shipments.groupBy("jt_id").agg(F.min("truck_time").alias("truck_time"))
+    done = F.timestamp_add("MINUTE", ((F.col("hours") + 80 / RATE) * 60).cast("int"), F.col("start_ts"))
+    if checked is not None:
+        missed = own.select("case_id", "start_ts", done.alias("done")).join(checked.select("case_id", "jt_id"), "case_id").join(first, "jt_id")
+    else:
+        # trucks and outages meet by product, day and time bucket
+        width = 6 * 3600
+        bucket = lambda ts: F.floor(seconds(ts) / width)
+        spans = own.select("case_id", "product", "day0", "start_ts", done.alias("done")).withColumn("_w", F.explode(F.sequence(bucket(F.col("start_ts")), bucket(F.col("done")))))
+        trucks = queue.where("open").join(first, "jt_id").select("product", "day0", "jt_id", "truck_time", bucket(F.col("truck_time")).alias("_w"))
+        missed = spans.join(trucks, ["product", "day0", "_w"])
+    missed = missed.where((F.col("truck_time") >= F.col("start_ts")) & (F.col("truck_time") < F.col("done"))).select("case_id", "jt_id")
+    return Cascade(own, queue, missed)
+
+
+def short_of(s: Column) -> Column:
+    """What an order of the queue lacks at stock s; 0 if nothing."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.round(F.col("hi") - F.greatest(s, F.col("lo")), 4)), F.lit(0.0))
+
+
+def short_totals(c: Cascade) -> DataFrame:
+    """case_id, n_qty, shortfall of the cases' short orders.
+
+    Each order that can be short is two bounds, lo and hi, on the line of stocks, each case a point on it: one sweep by
+    product and day counts and sums the bounds above each point, so cases and orders are not paired.
+    """
+    bound = lambda name, sign: c.queue.where(F.col(name).isNotNull()).select("product", "day0", F.lit(None).cast(c.cases.schema["case_id"].dataType).alias("case_id"), F.col(name).alias("at"), F.lit(sign).alias("sign"))
+    points = c.cases.select("product", "day0", "case_id", F.col("s").alias("at"), F.lit(0).alias("sign"))
+    line = bound("hi", 1).unionByName(bound("lo", -1)).unionByName(points).withColumns({"_down": -F.col("at"), "_kind": F.abs("sign")})
+    # from the top; at one value the points come first, so a bound at the point itself does not count
+    swept = running(line, ["product", "day0"], F.floor(F.col("_down") / 4096), [F.col("_down"), F.col("_kind")], {"n_hi": ("sum", F.when(F.col("sign") == 1, 1).otherwise(0)), "n": ("sum", F.col("sign")), "total": ("sum", F.col("sign") * F.col("at"))})
+    return swept.where("sign = 0").select("case_id", F.col("n_hi").alias("n_qty"), (F.col("total") - F.col("at") * F.col("n")).alias("shortfall"))
+
+
+def net_shorts(c: Cascade) -> DataFrame:
+    """case_id, net_short: what the days of the horizon end below zero, netted by day; solved once by product and day."""
+    asked = c.queue.groupBy("product", "day0", "due_idx").agg(F.sum("qty").alias("qty"))
+    asked = asked.groupBy("product", "day0").agg(F.collect_list(F.struct("due_idx", "qty")).alias("asked"))  # a row a day
+    total = lambda d: F.aggregate(F.filter("asked", lambda x: x["due_idx"] <= d), F.lit(0.0), lambda t, x: t + x["qty"])
+    groups = c.cases.select("product", "day0", "daily").distinct().join(asked, ["product", "day0"], "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<struct<due_idx:int,qty:double>>")))
+    rest = F.transform(F.sequence(F.lit(0), F.lit(HORIZON - 1)), lambda d: F.col("daily") * d - total(d))
+    rows = c.cases.select("case_id", "product", "day0", "s").join(groups.select("product", "day0", rest.alias("rest")), ["product", "day0"])
+    return rows.select("case_id", F.round(F.aggregate("rest", F.lit(0.0), lambda t, w: t + F.greatest(F.lit(0.0), -(F.col("s") + w))), 1).alias("net_short"))
+
+
+def late_list(c: Cascade, faithful: bool = False) -> DataFrame:
+    """case_id, jt_id, due, late_by, short, shortfall, p_late, place: the late orders of every case, in the engine's order.
+
+    An order is late by what it lacks, by its truck, or both.  As in the reference, what a short order shows is not its own
+    lack but the expected one of all the case's short orders, and their probability; an order that only misses its truck
+    shows those of the netted shortage, or of the loss.  Orders without a lack come after those with one; faithful=True
+    truncates the expected numbers as the reference does.
+    """
+    at = c.cases.select("case_id", "product", "day0", "s", "loss")
+    short = at.join(c.queue.where("hi is not null"), ["product", "day0"]).withColumn("short", short_of(F.col("s"))).where("short > 0").select("case_id", "jt_id", "short")
+    missed = c.missed.select("case_id", "jt_id", F.lit(True).alias("missed")).distinct()
+    rows = short.join(missed, ["case_id", "jt_id"], "full").withColumns({"short": F.coalesce("short", F.lit(0.0)), "missed": F.coalesce("missed", F.lit(False))})
+    totals = rows.groupBy("case_id").agg(F.sum("short").alias("total"))
+    rows = rows.join(totals, "case_id").join(net_shorts(c), "case_id").join(at.select("case_id", "loss"), "case_id")
+    due = c.queue.select("jt_id", "due").distinct()
+    rows = rows.join(due, "jt_id", "left")
+    base = F.when(F.col("short") > 0, F.col("total")).when(F.col("net_short") > 0, F.col("net_short")).otherwise(F.col("loss"))
+    expected = F.round(base * stats.triangular_excess(F.lit(0.0)), 1)
+    order = Window.partitionBy("case_id").orderBy(F.col("short") == 0, F.asc_nulls_last("due"), "jt_id")
+    rows = rows.withColumns({"late_by": F.when((F.col("short") > 0) & F.col("missed"), "qty+time").when(F.col("short") > 0, "qty").otherwise("time"), "shortfall": F.floor(expected).cast("double") if faithful else expected, "p_late": late_probability(base, F.lit(0.0)), "place": F.row_number().over(order).cast("long")})
+    return rows.select("case_id", "jt_id", "due", "late_by", "short", "shortfall", "p_late", "place")
+
+
+def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float | DataFrame = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, bom: DataFrame | None = None, available: DataFrame | None = None, faithful: bool = False, solved: Cascade | None = None) -> DataFrame:
+    """The whole cascade, a row for every case; solved: the cascade() of the same frames, if there is one already.
 
     The product of a case comes from its station or affected lots, of which there may be none; its orders within the
     horizon meet the product's daily production, less the loss on the first day, once netted by day (net_short) and
@@ -191,31 +333,11 @@ def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFra
     cases: case_id, station_id, start_ts, hours; lots: lot_id, product, qty, created; orders: product, jt_id, qty, due,
     fulfilled; shipments: jt_id, truck_time; bom: product, component, per_unit, scrap; available: component, available.
     """
-    hit = affected_lots(cases, events)
-    size = hit.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_affected"))
-    major = majority_product(hit, lots).withColumnRenamed("product", "majority")
-    own = cases.join(size, "case_id", "left").join(major, "case_id", "left").withColumns({"n_affected": F.coalesce("n_affected", F.lit(0)), "product": case_product(F.col("station_id"), F.col("majority"))})
-    own = own.join(daily_production(lots, fallback), "product", "left").withColumns({"daily": F.coalesce("daily", F.lit(fallback)), "loss": qty_loss(F.col("hours"))})
-    first = F.greatest(F.lit(0.0), F.col("daily") - F.col("loss"))
-    supply = own.select("case_id", F.lit(opening).alias("opening"), F.concat(F.array(first), F.array_repeat(F.col("daily"), HORIZON)).alias("made"))
-    # orders by product and day bucket of the horizon, so a product's other orders are not paired
-    spans = own.select("case_id", "product", "start_ts", "hours", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(to_date(start_ts), due_idx)"))
-    due = spans.join(orders.withColumn("day", F.to_date("due")), ["product", "day"]).select("case_id", "jt_id", "qty", "due_idx", "fulfilled", "start_ts", "hours")
-    # netting goes by case: a case is what its product is there
-    wanted = due.groupBy("case_id", F.col("due_idx").alias("day_idx")).agg(F.sum("qty").alias("qty"))
-    days = spans.where(F.col("due_idx") < HORIZON).select("case_id", F.col("due_idx").alias("day_idx")).join(wanted, ["case_id", "day_idx"], "left").select(F.col("case_id").alias("product"), "day_idx", F.coalesce("qty", F.lit(0)).alias("qty"))
-    stock = own.select(F.col("case_id").alias("product"), F.lit(opening).alias("opening"), "loss")
-    net = netting(days, stock, own.select(F.col("case_id").alias("product"), "daily"), F.col("loss"))
-    net = net.groupBy(F.col("product").alias("case_id")).agg(F.round(F.sum(F.when(F.col("is_short"), -F.col("incident")).otherwise(0.0)), 1).alias("net_short"))
-    status = atp_waterfall(due, supply).select("case_id", "jt_id", "short")
-    if shipments is None:
-        status = status.withColumn("status", F.lit("no_shipment"))
-    else:
-        trucks = cutoff(due.where(~F.coalesce("fulfilled", F.lit(False))).select("case_id", F.col("jt_id").cast("string").alias("jt_id"), "start_ts", "hours"), shipments.select(F.col("jt_id").cast("string").alias("jt_id"), "truck_time"), 80 / RATE)
-        status = status.join(trucks, ["case_id", "jt_id"], "left")
-    by = late_by(F.col("short"), F.coalesce("status", F.lit("PASS")))
-    late = status.withColumn("by", by).groupBy("case_id").agg(F.count("by").alias("n_late"), F.count_if(F.col("by").startswith("qty")).alias("n_qty"), F.count_if(F.col("by").endswith("time")).alias("n_time"), F.sum("short").alias("shortfall"))
-    out = own.join(late, "case_id", "left").join(net, "case_id", "left").fillna(0, ["n_late", "n_qty", "n_time", "shortfall", "net_short"])
+    c = solved or cascade(cases, lots, events, orders, opening, fallback, shipments)
+    missed = c.missed.join(c.cases.select("case_id", "product", "day0", "s"), "case_id").join(c.queue.select("product", "day0", "jt_id", "lo", "hi"), ["product", "day0", "jt_id"], "left")
+    times = missed.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_time"), F.count_if(short_of(F.col("s")) > 0).alias("n_both"))
+    out = c.cases.join(short_totals(c), "case_id", "left").join(times, "case_id", "left").join(net_shorts(c), "case_id", "left").fillna(0, ["n_qty", "n_time", "n_both", "shortfall", "net_short"])
+    out = out.withColumn("n_late", F.col("n_qty") + F.col("n_time") - F.col("n_both"))
     if bom is None:
         out = out.withColumn("material", F.lit("no_bom"))
     else:
@@ -227,7 +349,7 @@ def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFra
     out = out.withColumn("base", F.when(F.col("shortfall") > 0, F.col("shortfall")).when(F.col("net_short") > 0, F.col("net_short")).when(hurt, F.col("loss")).otherwise(0.0))
     p = late_probability(F.col("base"), F.lit(0.0))
     monte = {"expected": stats.triangular_excess(F.lit(0.0)), "p50": stats.triangular_quantile(F.lit(0.5)), "p90": stats.triangular_quantile(F.lit(0.9))}
-    return out.select("case_id", "loss", time_to_starve(F.lit(80)).alias("hours_to_starve"), "n_affected", "product", "n_late", "n_qty", "n_time", F.round("shortfall", 4).alias("shortfall"), "net_short", "material", F.round("base", 4).alias("base"), *[F.round(F.col("base") * c, 4).alias(k) for k, c in monte.items()], F.round(p, 6).alias("p_late"), recommendation(p, F.col("shortfall")).alias("action"))
+    return out.select("case_id", "loss", time_to_starve(F.lit(80)).alias("hours_to_starve"), "n_affected", "product", "n_late", "n_qty", "n_time", F.round("shortfall", 4).alias("shortfall"), "net_short", "material", F.round("base", 4).alias("base"), *[F.round(F.col("base") * k, 4).alias(name) for name, k in monte.items()], F.round(p, 6).alias("p_late"), recommendation(p, F.col("shortfall")).alias("action"))
 
 
 def predict(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float = 20.0) -> DataFrame:

@@ -252,14 +252,19 @@ def forward_predict(spark, sf):
     return _impact(spark, sf).withColumns({c: F.round(c, d) for c, d in {"hours_to_starve": 6, "p_late": 5}.items()})
 
 
-def _impact(spark, sf):
+def _impact_frames(spark, sf):
     e = _events(spark, sf)
     own = e.select("lot_id", (F.col("station_id") % 4).cast("string").alias("product"), (F.col("lot_id") % 90).alias("qty"), F.col("ts").alias("created"))
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("string").alias("product"), F.col("o_orderkey").alias("jt_id"), (20 + F.col("o_orderkey") % 50).alias("qty"), F.timestamp_add("YEAR", F.lit(28), F.col("o_orderdate")).alias("due"), (F.col("o_orderstatus") == "F").alias("fulfilled"))
     ships = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("jt_id"), F.timestamp_add("YEAR", F.lit(28), F.col("l_shipdate")).alias("truck_time"))
+    return e, own, o, ships
+
+
+def _impact(spark, sf, solved=None):
+    e, own, o, ships = _impact_frames(spark, sf)
     bom = spark.createDataFrame([(str(k), f"C{c}", 1.0 + c, None if c == 0 else 1.01) for k in range(4) for c in range(3)], "product string, component string, per_unit double, scrap double")
     have = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("C"), F.col("l_suppkey") % 2).alias("component")).agg(F.floor(F.sum("l_quantity") / 1000).cast("double").alias("available"))
-    return forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have)
+    return forward.impact(incidents(spark, sf), own, e, o, shipments=ships, bom=bom, available=have, solved=solved)
 
 
 @query(sql("inc", f"{_IMPACT} SELECT case_id, loss AS qty_loss, round(80 / 92.0::DOUBLE, 6) AS hours_to_starve, round(shortfall, 4) AS shortfall, CASE WHEN p < 0.1 AND shortfall < 50 THEN 'no_action_needed' WHEN p < 0.5 THEN 'monitor' WHEN p < 0.9 THEN 'resequencing' ELSE 'resequencing + OT2' END AS action, CASE WHEN p >= 0.9 THEN 'A' WHEN p >= 0.5 THEN 'B' ELSE 'C' END AS grade FROM pr", recursive=True))
@@ -470,3 +475,68 @@ def propagation_graph(spark, sf):
 @query(sql("lots", "SELECT product, station, strftime(created, '%Y-%m') AS month, count(*) AS n_lots, sum(qty)::BIGINT AS qty, count(*) FILTER (is_ng) AS n_ng FROM lots GROUP BY 1, 2, 3"))
 def mart_production(spark, sf):
     return lots(spark, sf).groupBy("product", "station", F.date_format("created", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_lots"), F.sum("qty").alias("qty"), F.count_if("is_ng").alias("n_ng"))
+
+
+# orders that a case reaches, and its late ones
+
+
+_FLOW = """, od AS (SELECT (o_custkey % 4)::VARCHAR AS product, o_orderkey AS jt_id, o_orderdate + INTERVAL 28 YEAR AS due FROM orders), al AS (SELECT o_orderkey % 9973 AS lot_id, o_orderkey AS jt_id FROM orders),
+sz AS (SELECT case_id, arg_min(product, row(-k, product)) AS product FROM (SELECT case_id, (user_id % 4)::VARCHAR AS product, count(*) AS k FROM aff JOIN events ON event_id = lot_id GROUP BY 1, 2) GROUP BY 1),
+cs AS (SELECT inc.case_id, coalesce(product, 'PROD-P3') AS product FROM inc LEFT JOIN sz USING (case_id)),
+ed AS (SELECT event_id AS parent, event_id + 1 AS child FROM events WHERE event_id % 4 <> 0),
+dn AS (SELECT case_id, lot_id FROM aff UNION SELECT case_id, child FROM dn JOIN ed ON parent = lot_id),
+rc AS (SELECT DISTINCT case_id, product, jt_id FROM dn JOIN al USING (lot_id) JOIN cs USING (case_id)),
+kn AS (SELECT rc.case_id, jt_id, due, coalesce(od.product = rc.product, false) AS own FROM rc JOIN od USING (jt_id)),
+ch AS (SELECT case_id, jt_id, due, CASE WHEN own THEN 'product' ELSE 'any' END AS source FROM (SELECT *, bool_or(own) OVER (PARTITION BY case_id) AS any_own FROM kn) WHERE own OR NOT any_own
+  UNION ALL SELECT case_id, jt_id, due, 'first' FROM cs, (SELECT * FROM od ORDER BY jt_id LIMIT 5) WHERE case_id NOT IN (SELECT case_id FROM kn)),
+ao AS (SELECT case_id, jt_id, source, row_number() OVER (PARTITION BY case_id ORDER BY due NULLS LAST, jt_id) AS place FROM ch)"""
+
+
+def _reached(spark, sf):
+    e, cases = _events(spark, sf), incidents(spark, sf)
+    hit = forward.affected_lots(cases, e)
+    own = e.select("lot_id", (F.col("station_id") % 4).cast("string").alias("product"))
+    major = forward.majority_product(hit, own)
+    named = cases.select("case_id", "station_id").join(major, "case_id", "left").select("case_id", forward.case_product(F.col("station_id"), F.col("product")).alias("product"))
+    edges = table(spark, sf, "events").where("event_id % 4 != 0").select(F.col("event_id").alias("parent"), (F.col("event_id") + 1).alias("child"))
+    o = table(spark, sf, "orders")
+    allocation = o.select((F.col("o_orderkey") % 9973).alias("lot_id"), F.col("o_orderkey").alias("jt_id"))
+    due = o.select(F.col("o_orderkey").alias("jt_id"), (F.col("o_custkey") % 4).cast("string").alias("product"), F.timestamp_add("YEAR", F.lit(28), F.col("o_orderdate")).alias("due"))
+    return forward.affected_orders(named, hit, edges, allocation, due)
+
+
+@query(sql("inc", f", {_AFFECTED}{_FLOW} SELECT * FROM ao", recursive=True))
+def affected_orders(spark, sf):
+    """Orders of the cases' lots and their descendants, with the fallbacks of cases that reach none of their product."""
+    return _reached(spark, sf)
+
+
+_LATE = f"""{_IMPACT}, ll AS (SELECT wf.case_id, wf.jt_id, round(short, 4) AS short, late FROM wf JOIN st ON st.case_id = wf.case_id AND st.jt_id = wf.jt_id WHERE round(short, 4) > 0 OR late),
+lb AS (SELECT ll.*, CASE WHEN short > 0 AND late THEN 'qty+time' WHEN short > 0 THEN 'qty' ELSE 'time' END AS late_by, CASE WHEN short > 0 THEN sum(short) OVER (PARTITION BY case_id) WHEN net_short > 0 THEN net_short ELSE loss END AS base, o_orderdate AS due
+  FROM ll JOIN ns USING (case_id) JOIN (SELECT case_id, loss FROM own) USING (case_id) JOIN orders ON o_orderkey = jt_id),
+lo AS (SELECT case_id, jt_id, late_by, short, round(base * (3.25 / 3)::DOUBLE, 1) AS shortfall, {_P} AS p_late, row_number() OVER (PARTITION BY case_id ORDER BY short = 0, due, jt_id) AS place FROM lb)"""
+
+
+def _cascade(spark, sf):
+    e, own, o, ships = _impact_frames(spark, sf)
+    return forward.cascade(incidents(spark, sf), own, e, o, shipments=ships)
+
+
+@query(sql("inc", f"{_LATE} SELECT case_id, jt_id, late_by, round(short, 4)::DOUBLE AS short, shortfall::DOUBLE AS shortfall, round(p_late, 5)::DOUBLE AS p_late, place FROM lo", recursive=True))
+def late_order_list(spark, sf):
+    """Every case's late orders; what they lack is overwritten by the expectation of the case's total."""
+    out = forward.late_list(_cascade(spark, sf))
+    return out.select("case_id", "jt_id", "late_by", "short", "shortfall", F.round("p_late", 5).alias("p_late"), "place")
+
+
+_BASE = """, wb AS (SELECT al.case_id, coalesce(lo.shortfall, al.shortfall) AS base, coalesce(p_late, CASE WHEN al.shortfall > 100 THEN 0.5 ELSE 0.1 END)::DOUBLE AS base_p, jt_id, hours FROM al LEFT JOIN lo ON lo.case_id = al.case_id AND place = 1)"""
+
+
+@query(sql("inc", f"""{_LATE}{_BASE}{_SIM.replace(_CASES, "c AS (SELECT case_id, base, base_p, jt_id, hours FROM wb)").replace("SELECT case_id, base, hours, v.*", "SELECT case_id, base, base_p, jt_id, hours, v.*")}, z AS (SELECT *, {_PICK.format(keys='case_id', p=0.05)} AS k FROM w)
+SELECT case_id, jt_id, round(base, 4)::DOUBLE AS base, round(base_p, 5)::DOUBLE AS base_p, option, round(p_late, 5)::DOUBLE AS p_late, round(cost, 2)::DOUBLE AS cost, p_late <= 0.05 AS feasible FROM z WHERE k = 1""", recursive=True))
+def whatif_first_late(spark, sf):
+    """The best option of every case on its first late order, or on its total shortage where no order is late."""
+    found = _cascade(spark, sf)
+    base = action.late_base(_impact(spark, sf, found), forward.late_list(found))
+    rows = action.scored(action.simulate(incidents(spark, sf).select("case_id", "hours").join(base, "case_id"), action.options(spark)))
+    return action.choose(rows, ["case_id"]).select("case_id", "jt_id", F.round("base", 4).alias("base"), F.round("base_p", 5).alias("base_p"), "option", F.round("p_late", 5).alias("p_late"), F.round("cost", 2).alias("cost"), "feasible")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotgraph.operators.running import running
+
+STRETCH = 65_536  # pieces of running quantity that are swept at once
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in a stated total order."""
@@ -15,20 +19,22 @@ def fifo(orders: DataFrame, lots: DataFrame) -> DataFrame:
     """product, jt_id, lot_id, take: supply by created order meets demand by due order, lots and orders split freely.
 
     orders: product, jt_id, qty, due; lots: product, lot_id, qty, created.  Both sides become running quantities; the
-    boundaries of both are swept in one window per product (no pairs are formed), and the piece between neighbouring
-    boundaries belongs to the next order and the next lot.  Rows without quantity take no part.
+    boundaries of both are swept together (no pairs are formed), and the piece between neighbouring boundaries belongs to
+    the next order and the next lot.  Rows without quantity take no part.  Sums and sweeps go by ranges of days and of
+    quantity, so a product may hold most of the rows.
     """
-    def ends(df: DataFrame, order: list[str]) -> DataFrame:
-        w = Window.partitionBy("product").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.where("product is not null and qty > 0").withColumn("hi", F.sum("qty").over(w))
+    def ends(df: DataFrame, time: str, key: str) -> DataFrame:
+        day = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
+        return running(df.where("product is not null and qty > 0"), ["product"], day, [F.col(time), F.col(key)], {"hi": ("sum", F.col("qty"))})
 
     none = F.lit(None)
-    o = ends(orders, ["due", "jt_id"]).select("product", "hi", "jt_id", none.cast("string").alias("lot_id"))
-    s = ends(lots, ["created", "lot_id"]).select("product", "hi", none.cast(orders.schema["jt_id"].dataType).alias("jt_id"), F.col("lot_id").cast("string").alias("lot_id"))
+    o = ends(orders, "due", "jt_id").select("product", "hi", "jt_id", none.cast("string").alias("lot_id"))
+    s = ends(lots, "created", "lot_id").select("product", "hi", none.cast(orders.schema["jt_id"].dataType).alias("jt_id"), F.col("lot_id").cast("string").alias("lot_id"))
     points = o.unionByName(s).groupBy("product", "hi").agg(F.max("jt_id").alias("jt_id"), F.max("lot_id").alias("lot_id"))
-    back = Window.partitionBy("product").orderBy(F.desc("hi")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lead = Window.partitionBy("product").orderBy(F.desc("hi"))
-    swept = points.select("product", F.last("jt_id", True).over(back).alias("jt_id"), F.last("lot_id", True).over(back).alias("lot_id"), (F.col("hi") - F.coalesce(F.lead("hi").over(lead), F.lit(0))).alias("take"))
+    at = F.floor(F.col("hi") / STRETCH)
+    low = running(points, ["product"], at, [F.col("hi")], {"low": ("max", F.col("hi"))}, exclusive=True)
+    swept = running(low.withColumnsRenamed({"jt_id": "j", "lot_id": "l"}), ["product"], -at, [F.desc("hi")], {"jt_id": ("last", F.col("j")), "lot_id": ("last", F.col("l"))})
+    swept = swept.select("product", "jt_id", "lot_id", (F.col("hi") - F.coalesce("low", F.lit(0))).alias("take"))
     return swept.where("jt_id is not null and lot_id is not null and take > 0")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotgraph.functions.ids import digits_key
 from lotgraph.functions.values import seconds
+from lotgraph.operators.running import running
 
 
 def canonical_pool(spark, lots: int = 410, special: tuple[str, ...] = ()) -> DataFrame:
@@ -20,23 +21,45 @@ def alias_sample(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "alias").agg(F.min_by("ts", "row_id").alias("ts"), F.count(F.lit(1)).alias("n_records"))
 
 
+def nearest(probes: DataFrame, sightings: DataFrame, most: int, span: int = 3600) -> DataFrame:
+    """source, alias, canonical, gap: the nearest sighting of another source within most seconds, the least id on ties.
+
+    Probes and sightings are sorted together by time and swept once forwards and once backwards.  What a sweep carries on
+    is the last sighting, and the last one of a source other than its source: that is the sighting before the present
+    stretch of one source.  Ranges of span seconds are swept by themselves, so no rows meet by time alone.
+
+    probes: source, alias, ts; sightings: source, canonical, ts.
+    """
+    seen = sightings.where("ts is not null").groupBy("source", seconds(F.col("ts")).alias("at")).agg(F.min("canonical").alias("canonical"))
+    asked = probes.where("ts is not null").select("source", "alias", seconds(F.col("ts")).alias("at"), F.lit(1).alias("kind"))
+    rows = seen.withColumn("kind", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    mark = F.when(F.col("kind") == 0, F.struct("source", "canonical", "at"))
+
+    def one_way(sign: int) -> DataFrame:
+        # sightings come before probes of their time, and of one time the least id comes last
+        order = [sign * F.col("at"), F.col("kind"), F.desc("canonical"), F.desc("source")]
+        ranges = sign * F.floor(F.col("at") / span)
+        before = running(rows, [], ranges, order, {"before": ("last", mark)}, exclusive=True)
+        begins = F.when((F.col("kind") == 0) & (F.col("before.source") != F.col("source")), F.col("before"))
+        swept = running(before, [], ranges, order, {"last": ("last", mark), "other": ("last", begins)}).where("kind = 1")
+        found = F.when(F.col("last.source") != F.col("source"), F.col("last")).otherwise(F.col("other"))
+        return swept.select("source", "alias", F.abs(found["at"] - F.col("at")).alias("gap"), found["canonical"].alias("canonical")).where(F.col("gap") <= most)
+
+    return one_way(1).unionByName(one_way(-1)).groupBy("source", "alias").agg(F.min(F.struct("gap", "canonical")).alias("m")).select("source", "alias", "m.canonical", "m.gap")
+
+
 def resolve(aliases: DataFrame, pool: DataFrame, sightings: DataFrame | None = None, window_seconds: int = 300, review: float = 0.75) -> DataFrame:
     """source, alias, canonical, confidence, method, needs_review.
 
     aliases: source, alias, ts; pool: canonical; sightings: source, canonical, ts of lots already known, for the
-    temporal tier, which takes the nearest sighting of another source within the window, found by time buckets.
+    temporal tier, which takes the nearest sighting of another source within the window (nearest()).
     """
     exact = pool.select(F.col("canonical").alias("alias"), F.col("canonical").alias("c1"))
     suffixes = pool.where(F.col("canonical").rlike(r"\d{3,4}")).groupBy(digits_key(F.col("canonical")).alias("suffix")).agg(F.first("canonical").alias("c2"), F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
     out = aliases.withColumn("suffix", F.when(F.col("alias").rlike(r"\d{3,4}"), digits_key(F.col("alias")))).join(exact, "alias", "left").join(suffixes, "suffix", "left")
     c3, near = F.lit(None).cast("string"), F.lit(None).cast("double")
     if sightings is not None:
-        w = F.explode(F.array(*[F.floor(seconds(F.col("ts")) / window_seconds) + k for k in (-1, 0, 1)]))
-        probe = aliases.where("ts is not null").select("source", "alias", "ts", w.alias("_w"))
-        seen = sightings.select(F.col("source").alias("s2"), F.col("canonical").alias("c3"), F.col("ts").alias("t2"), F.floor(seconds(F.col("ts")) / window_seconds).alias("_w"))
-        gap = F.abs(seconds(F.col("t2")) - seconds(F.col("ts")))
-        hits = probe.join(seen, "_w").where("source != s2").withColumn("gap", gap).where(F.col("gap") <= window_seconds)
-        best = hits.groupBy("source", "alias").agg(F.min(F.struct("gap", "c3")).alias("m"))
+        best = nearest(aliases, sightings, window_seconds).select("source", "alias", F.struct("gap", F.col("canonical").alias("c3")).alias("m"))
         out = out.join(best, ["source", "alias"], "left")
         c3, near = F.col("m.c3"), F.greatest(F.lit(0.5), F.least(F.lit(0.95), 0.85 * (1 - F.col("m.gap") / window_seconds)))
     method = F.when(F.col("c1").isNotNull(), "exact").when(F.col("c2").isNotNull(), "suffix").when(c3.isNotNull(), "temporal").otherwise("no_match")

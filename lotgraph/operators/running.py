@@ -28,14 +28,10 @@ def running(df: DataFrame, keys: list[str], ranges: Column, order: list[Column],
     within = Window.partitionBy(*keys, "_range").orderBy(*order)
     span = within.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda name: F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.struct(*order_values(order))))
     own = rows.withColumns({f"_o_{n}": _TAKEN[how](f"_v_{n}").over(span) for n, (how, _) in wanted.items()})
-    totals = rows.groupBy(*keys, "_range").agg(*[(last(n) if how == "last" else _TAKEN[how](f"_v_{n}")).alias(f"_t_{n}") for n, (how, _) in wanted.items()])
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = own.withColumns({f"_t_{n}": F.last(f"_v_{n}", True).over(whole) for n, (how, _) in wanted.items() if how == "last"})
+    totals = own.groupBy(*keys, "_range").agg(*[(F.first(f"_t_{n}") if how == "last" else _TAKEN[how](f"_v_{n}")).alias(f"_t_{n}") for n, (how, _) in wanted.items()])
     offsets = totals.select(*keys, "_range", *[_TAKEN[how](f"_t_{n}").over(before).alias(f"_b_{n}") for n, (how, _) in wanted.items()])
     out = own.join(offsets, [*keys, "_range"]).withColumns({n: _JOINED[how](F.col(f"_o_{n}"), F.col(f"_b_{n}")) for n, (how, _) in wanted.items()})
     return out.select(*df.columns, *wanted)
-
-
-def order_values(order: list[Column]) -> list[Column]:
-    """The order's columns as values that rise along it; only ascending orders can be compared so."""
-    return [c if isinstance(c, Column) else F.col(c) for c in order]

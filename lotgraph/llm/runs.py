@@ -191,8 +191,9 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
         whole = F.sequence(F.lit(0), n - 1)
         return F.array_join(F.transform(whole, lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))), " ")
 
-    chosen = F.coalesce(F.pmod(hashed, F.lit(10)) == 0, F.lit(False)) & F.coalesce(F.size(words) > 0, F.lit(False))
-    return docs.withColumn("text", F.when(chosen, periodic(words)).otherwise(F.col("text")))
+    chosen = F.coalesce((F.pmod(hashed, F.lit(10)) == 0) & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    once = F.get(F.transform(F.array(words), periodic), F.lit(0))  # the words are bound once, not made for every word
+    return docs.withColumn("text", F.when(chosen, once).otherwise(F.col("text")))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lotgraph.functions.values import seconds
 from lotgraph.operators import graph
 
 BAD = ("NG", "FAIL", "NOT OK")
+BROADCAST_ROWS = 1_000_000  # of five numbers each
 KINDS = ("MACHINE", "MATERIAL", "BATCH", "SHIFT")
 
 
@@ -60,10 +61,13 @@ def contingency(related: DataFrame, lots: DataFrame) -> DataFrame:
 
 
 def tested(tables: DataFrame) -> DataFrame:
-    """tables with p, odds, lift and n_sufficient."""
+    """tables with p, odds, lift and n_sufficient.  Many candidates have one table, which is tested once."""
     cells = [F.col(c) for c in "abcd"]
+    once = tables.select(*"abcd").distinct().withColumn("p", stats.fisher_exact(*cells)).checkpoint()
+    once = F.broadcast(once) if once.count() <= BROADCAST_ROWS else once
     enough = (F.least(*cells) >= 2) | (sum(cells[1:], cells[0]) >= 20)
-    return tables.withColumns({"p": stats.fisher_exact(*cells), "odds": stats.odds_ratio(*cells), "lift": stats.lift(*cells), "n_sufficient": enough})
+    out = tables.join(once, list("abcd")).select(*tables.columns, "p")
+    return out.withColumns({"odds": stats.odds_ratio(*cells), "lift": stats.lift(*cells), "n_sufficient": enough})
 
 
 def lift_text(lift: Column, p: Column) -> Column:
@@ -88,7 +92,7 @@ def insufficient(best: DataFrame) -> DataFrame:
 
 
 def containment(best: DataFrame, touched: DataFrame, events: DataFrame) -> DataFrame:
-    """case_id, candidate, n_isolated, n_baseline, reduction.
+    """case_id, kind, candidate, n_isolated, n_baseline, reduction.
 
     A machine isolates its lots within 12 hours of the bad lot's first event (found by half-day windows), other kinds
     all lots they touched, which are counted once per candidate; the bad lot itself always counts.  The baseline is all
@@ -101,14 +105,14 @@ def containment(best: DataFrame, touched: DataFrame, events: DataFrame) -> DataF
     seen = events.select(F.col("station_id").cast("string").alias("candidate"), F.col("lot_id").alias("l"), "ts", F.floor(seconds(F.col("ts")) / half).alias("_w"))
     near = probe.join(seen, ["candidate", "_w"]).where(F.abs(seconds(F.col("ts")) - seconds(F.col("t0"))) <= half).select("case_id", "candidate", "l")
     near = near.union(base.where("kind = 'MACHINE'").select("case_id", "candidate", "lot_id")).distinct()
-    machine = near.groupBy("case_id", "candidate").agg(F.count(F.lit(1)).alias("n_isolated"))
+    machine = near.groupBy("case_id", "candidate").agg(F.count(F.lit(1)).alias("n_isolated")).select("case_id", F.lit("MACHINE").alias("kind"), "candidate", "n_isolated")
     sizes = touched.groupBy("kind", "candidate").agg(F.count(F.lit(1)).alias("k"))
     inside = touched.withColumn("inside", F.lit(1))
     other = base.where("kind != 'MACHINE'").join(sizes, ["kind", "candidate"]).join(inside, ["kind", "candidate", "lot_id"], "left")
-    other = other.select("case_id", "candidate", (F.col("k") + 1 - F.coalesce("inside", F.lit(0))).alias("n_isolated"))
+    other = other.select("case_id", "kind", "candidate", (F.col("k") + 1 - F.coalesce("inside", F.lit(0))).alias("n_isolated"))
     per_day = events.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("lot_id").alias("n_baseline"))
-    out = base.select("case_id", "candidate", F.to_date("t0").alias("day")).distinct().join(per_day, "day").join(machine.union(other), ["case_id", "candidate"])
-    return out.select("case_id", "candidate", "n_isolated", "n_baseline", (1 - F.col("n_isolated") / F.col("n_baseline")).alias("reduction"))
+    out = base.select("case_id", "kind", "candidate", F.to_date("t0").alias("day")).distinct().join(per_day, "day").join(machine.union(other), ["case_id", "kind", "candidate"])
+    return out.select("case_id", "kind", "candidate", "n_isolated", "n_baseline", (1 - F.col("n_isolated") / F.col("n_baseline")).alias("reduction"))
 
 
 def signals(machine: DataFrame, decline: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def diagnose(cases: DataFrame, edges: DataFrame, events: DataFrame, consumption:
         tests = tests.join(signal.select(F.lit("MACHINE").alias("kind"), "candidate", "signal"), ["kind", "candidate"], "left")
     best = ranked(tests, signal="signal" if signal is not None else None, top=top).checkpoint()
     kept = containment(best.select("case_id", "kind", "candidate").join(cases, "case_id"), touched, events)
-    return best.join(kept, ["case_id", "candidate"], "left").join(insufficient(best), "case_id", "left")
+    return best.join(kept, ["case_id", "kind", "candidate"], "left").join(insufficient(best), "case_id", "left")
 
 
 def accuracy(rows: DataFrame, expected: str, ranked_list: str) -> DataFrame:

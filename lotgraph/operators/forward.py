@@ -16,6 +16,7 @@ from lotgraph.operators.running import running
 RATE = 92.0  # fixed value: units an hour
 HORIZON = 14
 SHORT_LIMIT = 10.0
+_TOP = 1e9  # above any stock
 
 
 def qty_loss(hours: Column, rate: Column | float = RATE) -> Column:
@@ -218,7 +219,7 @@ class Cascade(NamedTuple):
     missed: DataFrame
 
 
-def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float | DataFrame = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, checked: DataFrame | None = None) -> Cascade:
+def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float | DataFrame = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, checked: DataFrame | None = None, due_day: bool = True) -> Cascade:
     """Cases of one product and day have one queue of orders and the same production, but for the first day's loss.
 
     So the waterfall is solved once for each product and day, for any stock s at the start (opening and the first day's
@@ -228,7 +229,8 @@ def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFr
 
     cases: the cases with product, daily, loss, n_affected, day0, s; queue: product, day0, due_idx, jt_id, qty, due, open,
     lo, hi (null if it can't be short); missed: case_id, jt_id of open orders whose first truck leaves in the outage, or
-    of checked ones (case_id, jt_id), if given.  opening: a number, or product, opening.
+    of checked ones (case_id, jt_id), if given.  opening: a number, or product, opening.  due_day=False: what is made on the
+    day an order is due does not count for it, as in the reference; orders of the first day then see the opening stock.
     """
     hit = affected_lots(cases, events)
     size = hit.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_affected"))
@@ -236,16 +238,24 @@ def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFr
     own = cases.join(size, "case_id", "left").join(major, "case_id", "left").withColumns({"n_affected": F.coalesce("n_affected", F.lit(0)), "product": case_product(F.col("station_id"), F.col("majority"))})
     own = own.join(daily_production(lots, fallback), "product", "left").withColumns({"daily": F.coalesce("daily", F.lit(fallback)), "loss": qty_loss(F.col("hours")), "day0": F.to_date("start_ts")})
     own = own.join(opening.select("product", F.col("opening").cast("double").alias("opening")), "product", "left").fillna(20.0, ["opening"]) if isinstance(opening, DataFrame) else own.withColumn("opening", F.lit(float(opening)))
-    own = own.withColumn("s", F.round(F.col("opening") + F.greatest(F.lit(0.0), F.col("daily") - F.col("loss")), 4))
+    own = own.withColumn("first", F.round(F.greatest(F.lit(0.0), F.col("daily") - F.col("loss")), 4))
+    own = own.withColumns({"s": F.col("opening") + F.col("first"), "net": F.col("opening") + F.col("first")})
 
-    days = own.select("product", "day0", "daily").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(day0, due_idx)"))
+    days = own.select("product", "day0", "daily", "opening").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(day0, due_idx)"))
     queue = days.join(orders.select("product", "jt_id", F.col("qty").cast("double").alias("qty"), "due", (~F.coalesce("fulfilled", F.lit(False))).alias("open"), F.to_date("due").alias("day")), ["product", "day"])
-    keys, order = ["product", "day0"], [F.col("due_idx"), F.col("jt_id")]
+    # orders that see the opening stock only are a queue of their own, the same one for all cases
+    queue = queue.withColumns({"early": F.lit(not due_day) & (F.col("due_idx") == 0), "made": F.col("daily") * F.greatest(F.lit(0), F.col("due_idx") - (0 if due_day else 1))})
+    keys, order = ["product", "day0", "early"], [F.col("due_idx"), F.col("jt_id")]
     queue = running(queue, keys, F.col("due_idx"), order, {"asked": ("sum", F.col("qty"))}, exclusive=True)
-    made = F.col("daily") * F.col("due_idx")
-    queue = running(queue, keys, F.col("due_idx"), order, {"least": ("min", F.when(F.col("open"), made - F.col("asked") - F.col("qty")))}, exclusive=True)
-    a = made - F.col("asked")
+    queue = running(queue, keys, F.col("due_idx"), order, {"least": ("min", F.when(F.col("open"), F.col("made") - F.col("asked") - F.col("qty")))}, exclusive=True)
+    a = F.col("made") - F.col("asked")
     queue = queue.withColumns({"hi": F.round(F.col("qty") - a, 4), "lo": F.round(F.greatest(-F.col("least"), -a), 4)})
+    if not due_day:
+        early = queue.where("early").groupBy("product", "day0").agg(F.max("opening").alias("o"), F.sum("qty").alias("taken"), F.max(F.when(F.col("open"), F.col("asked") + F.col("qty"))).alias("most"))
+        own = own.join(early, ["product", "day0"], "left").withColumn("s", F.coalesce(F.greatest("o", "most") - F.col("taken"), F.col("opening")) + F.col("first")).drop("o", "taken", "most")
+        fixed = F.round(F.col("hi") - F.greatest("opening", "lo"), 4)  # a lack that no case changes: at the top of the line
+        queue = queue.withColumns({"hi": F.when(F.col("early"), F.lit(_TOP) + fixed).otherwise(F.col("hi")), "lo": F.when(F.col("early"), F.lit(_TOP)).otherwise(F.col("lo"))})
+    own = own.withColumns({"s": F.round("s", 4), "net": F.round("net", 4)})
     able = F.col("open") & (F.col("lo") < F.col("hi"))
     queue = queue.select("product", "day0", "daily", "due_idx", "jt_id", "qty", "due", "open", F.when(able, F.col("lo")).alias("lo"), F.when(able, F.col("hi")).alias("hi"))
 
@@ -293,8 +303,8 @@ def net_shorts(c: Cascade) -> DataFrame:
     total = lambda d: F.aggregate(F.filter("asked", lambda x: x["due_idx"] <= d), F.lit(0.0), lambda t, x: t + x["qty"])
     groups = c.cases.select("product", "day0", "daily").distinct().join(asked, ["product", "day0"], "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<struct<due_idx:int,qty:double>>")))
     rest = F.transform(F.sequence(F.lit(0), F.lit(HORIZON - 1)), lambda d: F.col("daily") * d - total(d))
-    rows = c.cases.select("case_id", "product", "day0", "s").join(groups.select("product", "day0", rest.alias("rest")), ["product", "day0"])
-    return rows.select("case_id", F.round(F.aggregate("rest", F.lit(0.0), lambda t, w: t + F.greatest(F.lit(0.0), -(F.col("s") + w))), 1).alias("net_short"))
+    rows = c.cases.select("case_id", "product", "day0", "net").join(groups.select("product", "day0", rest.alias("rest")), ["product", "day0"])
+    return rows.select("case_id", F.round(F.aggregate("rest", F.lit(0.0), lambda t, w: t + F.greatest(F.lit(0.0), -(F.col("net") + w))), 1).alias("net_short"))
 
 
 def late_list(c: Cascade, faithful: bool = False) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotgraph.functions import stats
-from lotgraph.operators import action, backward, dashboard, forward, graph
-from lotgraph.plans.binding import incidents, lots, orders, sql, table
+from lotgraph.operators import action, backward, dashboard, forward, graph, spc
+from lotgraph.plans import signals
+from lotgraph.plans.binding import PARTS, incidents, lots, orders, sql, table
 
 Q, SQL = {}, {}
 
@@ -159,10 +159,11 @@ _TABLE = """, tot AS (SELECT count(*) FILTER (is_ng) AS ng, count(*) AS n FROM l
 tab AS (SELECT kind, candidate, count(*) FILTER (is_ng) AS a, count(*) FILTER (NOT is_ng) AS b FROM mem JOIN lots USING (lot_id) GROUP BY ALL),
 t AS (SELECT tab.*, ng - a AS c, n - ng - b AS d FROM tab, tot)
 """
-_FISHER = """, k AS (SELECT t.*, unnest(range(greatest(0, (a + c) - (c + d)), least(a + b, a + c) + 1)) AS k FROM t),
+_FISHER = """, dt AS (SELECT DISTINCT a, b, c, d FROM t), k AS (SELECT dt.*, unnest(range(greatest(0, (a + c) - (c + d)), least(a + b, a + c) + 1)) AS k FROM dt),
 pm AS (SELECT *, exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1)) AS p,
   exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1)) AS p0 FROM k),
-fi AS (SELECT kind, candidate, a, b, c, d, least(1.0, sum(p) FILTER (p <= p0 * (1 + 1e-7))) AS p, (a / (a + b)) / ((a + c) / (a + b + c + d)) AS lift FROM pm GROUP BY ALL)
+ft AS (SELECT a, b, c, d, least(1.0, sum(p) FILTER (p <= p0 * (1 + 1e-7))) AS p FROM pm GROUP BY ALL),
+fi AS (SELECT kind, candidate, a, b, c, d, p, (a / (a + b)) / ((a + c) / (a + b + c + d)) AS lift FROM t JOIN ft USING (a, b, c, d))
 """
 
 
@@ -184,14 +185,6 @@ def fisher_lift(spark, sf):
     return tests.select("kind", "candidate", F.round("p", 5).alias("p"), F.round("lift", 5).alias("lift"))
 
 
-@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER} SELECT kind, candidate, CASE WHEN l >= 2 AND q < 0.05 THEN 'strong' WHEN l >= 2 THEN 'high, not significant' WHEN l >= 1.5 THEN 'raised' WHEN l >= 1 THEN 'slight' ELSE 'none' END AS conclusion, a, b, c, d FROM (SELECT *, round(lift, 9) AS l, round(p, 6) AS q FROM fi)"))
-def cause_cards(spark, sf):
-    edges, events, used, own = _inputs(_lots(spark, sf))
-    tests = backward.tested(backward.contingency(backward.members(edges, events, used, own), own))
-    cards = tests.withColumns({"lift": F.round("lift", 9), "p": F.round("p", 6), "score": F.lit(0.0)}).withColumn("card", backward.evidence_card())
-    return cards.select("kind", "candidate", "card.conclusion", "card.table.*")
-
-
 def _scored_sql(signal: str) -> str:
     """Candidates with their score in the case; signal: their third part, from 0 to 1, before scaling."""
     scaled = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-9 THEN 0.5 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
@@ -200,18 +193,29 @@ sc AS (SELECT *, round(0.5 * {scaled('l')} + 0.3 * {scaled('lift')} + 0.2 * {sca
 rk AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, list_position(['MACHINE', 'MATERIAL', 'BATCH', 'SHIFT'], kind), candidate) AS rank FROM sc)"""
 
 
-@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER}{_scored_sql('0.0')} SELECT case_id, rank, kind, candidate, round(score, 4) AS score FROM rk WHERE rank <= 3"))
-def score_topk(spark, sf):
+def _ranked(spark, sf):
     own = _lots(spark, sf)
     found, touched = _candidates(own)
     tests = found.join(backward.tested(backward.contingency(touched, _inputs(own)[3])), ["kind", "candidate"]).withColumn("p", F.round("p", 6))
-    return backward.ranked(tests).select("case_id", F.col("rank").cast("long").alias("rank"), "kind", "candidate", F.round("score", 4).alias("score"))
+    return backward.ranked(tests).withColumns({"rank": F.col("rank").cast("long"), "lift": F.round("lift", 9)})
+
+
+@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER}{_scored_sql('0.0')} SELECT case_id, rank, kind, candidate, round(score, 4) AS score FROM rk WHERE rank <= 3"))
+def score_topk(spark, sf):
+    return _ranked(spark, sf).select("case_id", "rank", "kind", "candidate", F.round("score", 4).alias("score"))
+
+
+@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER}{_scored_sql('0.0')} SELECT case_id, rank, kind, candidate, CASE WHEN up >= 2 AND pr < 0.05 THEN 'strong' WHEN up >= 2 THEN 'high, not significant' WHEN up >= 1.5 THEN 'raised' WHEN up >= 1 THEN 'slight' ELSE 'none' END AS conclusion, a, b, c, d, round(score, 4) AS score FROM (SELECT *, round(lift, 9) AS up, round(p, 6) AS pr FROM rk WHERE rank <= 3)"))
+def cause_cards(spark, sf):
+    """The cards of every case's first causes."""
+    cards = _ranked(spark, sf).withColumn("card", backward.evidence_card())
+    return cards.select("case_id", "rank", "kind", "candidate", "card.conclusion", "card.table.*", F.round("card.score", 4).alias("score"))
 
 
 _CONTAIN = """, f AS (SELECT bad.*, station, created AS t0 FROM bad JOIN lots USING (lot_id)), b AS (SELECT created::DATE AS day, count(*) AS n FROM lots GROUP BY 1),
-near AS (SELECT f.case_id, f.station::VARCHAR AS candidate, count(DISTINCT r.lot_id) AS n_isolated FROM f JOIN lots r ON r.station = f.station AND abs(floor(epoch(r.created)) - floor(epoch(f.t0))) <= 43200 GROUP BY 1, 2
-  UNION ALL SELECT case_id, candidate, n FROM cand JOIN (SELECT kind, candidate, count(*) AS n FROM mem GROUP BY 1, 2) USING (kind, candidate) WHERE kind <> 'MACHINE'),
-cn AS (SELECT near.case_id, candidate, n_isolated, b.n AS n_baseline, round(1 - n_isolated / b.n, 4) AS reduction FROM near JOIN f ON f.case_id = near.case_id JOIN b ON b.day = f.t0::DATE)"""
+near AS (SELECT f.case_id, 'MACHINE' AS kind, f.station::VARCHAR AS candidate, count(DISTINCT r.lot_id) AS n_isolated FROM f JOIN lots r ON r.station = f.station AND abs(floor(epoch(r.created)) - floor(epoch(f.t0))) <= 43200 GROUP BY 1, 2, 3
+  UNION ALL SELECT case_id, kind, candidate, n FROM cand JOIN (SELECT kind, candidate, count(*) AS n FROM mem GROUP BY 1, 2) USING (kind, candidate) WHERE kind <> 'MACHINE'),
+cn AS (SELECT near.case_id, kind, candidate, n_isolated, b.n AS n_baseline, round(1 - n_isolated / b.n, 4) AS reduction FROM near JOIN f ON f.case_id = near.case_id JOIN b ON b.day = f.t0::DATE)"""
 
 
 @query(sql("lots", f"{_CAND}{_CONTAIN} SELECT * FROM cn"))
@@ -273,18 +277,24 @@ def impact_cards(spark, sf):
     return _impact(spark, sf).select("case_id", card.alias("card")).select("case_id", "card.*").drop("p_late")
 
 
-_SIGNAL = ", sv AS (SELECT station::VARCHAR AS candidate, least(1.0, count(*) FILTER (abs(qty - m) > 2 * s) / 20.0) AS sig FROM (SELECT *, avg(qty) OVER v AS m, stddev_samp(qty) OVER v AS s FROM lots WINDOW v AS (PARTITION BY station)) GROUP BY station)"
+_STATIONS = "ser AS (SELECT station AS series, created AS ts, lot_id AS event_id, qty::DOUBLE AS value FROM lots)"
+_SIGNAL = f"""{signals.FIRED}{signals.capability_sql(5, 45).replace(", c AS", ", cc AS").replace("FROM c)", "FROM cc)").replace("k AS (SELECT series", "ck AS (SELECT series").replace("FROM k)", "FROM ck)").replace("t AS (SELECT *, CASE", "ct AS (SELECT *, CASE").replace(chr(10) + "c AS", chr(10) + "cc AS")},
+sv AS (SELECT series::VARCHAR AS candidate, max(strength) AS sig FROM ({signals.SIGNAL} UNION ALL {signals.DECLINE.replace("FROM t ", "FROM ct ")}) GROUP BY 1)"""
+_DIAGNOSED = _scored_sql("coalesce(sig, 0.0)").replace("FROM cand JOIN fi USING (kind, candidate)", "FROM cand JOIN fi USING (kind, candidate) LEFT JOIN (SELECT candidate, sig AS s0, 'MACHINE' AS kind FROM sv) v USING (kind, candidate)").replace("coalesce(sig, 0.0) AS sig", "coalesce(s0, 0.0) AS sig")
 
 
-@query(sql("lots", f"{_CAND}{_TABLE}{_FISHER}{_SIGNAL}{_scored_sql('CASE WHEN kind = $$MACHINE$$ THEN coalesce((SELECT sig FROM sv WHERE sv.candidate = fi.candidate), 0.0) ELSE 0.0 END')}{_CONTAIN}," + """
-sg AS (SELECT *, round(p, 6) < 0.05 AND lift >= 1.5 AS significant FROM rk WHERE rank <= 3), iq AS (SELECT case_id, NOT significant AND score < 0.3 AS insufficient FROM sg WHERE rank = 1)
-SELECT sg.case_id, rank, kind, sg.candidate, a, b, c, d, round(p, 6) AS p, round(lift, 5) AS lift, round(score, 4) AS score, significant, n_isolated, n_baseline, reduction, insufficient FROM sg JOIN iq USING (case_id) LEFT JOIN cn ON cn.case_id = sg.case_id AND cn.candidate = sg.candidate"""))
+@query(sql("lots", f", {_STATIONS}, {PARTS['base']}{_SIGNAL}{_CAND}{_TABLE}{_FISHER}{_DIAGNOSED}" + """,
+sg AS (SELECT *, round(p, 6) < 0.05 AND lift >= 1.5 AS significant FROM rk WHERE rank <= 3), iq AS (SELECT case_id, NOT significant AND score < 0.3 AS insufficient FROM sg WHERE rank = 1),
+f AS (SELECT bad.case_id, created AS t0 FROM bad JOIN lots USING (lot_id)), bd AS (SELECT created::DATE AS day, count(*) AS n FROM lots GROUP BY 1), mn AS (SELECT kind, candidate, count(*) AS n FROM mem GROUP BY 1, 2),
+mc AS (SELECT sg.case_id, sg.candidate, count(DISTINCT r.lot_id) AS n FROM sg JOIN f USING (case_id) JOIN lots r ON r.station::VARCHAR = sg.candidate AND r.created BETWEEN t0 - INTERVAL 13 HOUR AND t0 + INTERVAL 13 HOUR AND abs(floor(epoch(r.created)) - floor(epoch(t0))) <= 43200 WHERE sg.kind = 'MACHINE' GROUP BY 1, 2),
+cn AS (SELECT sg.case_id, sg.kind, sg.candidate, CASE WHEN sg.kind = 'MACHINE' THEN mc.n ELSE mn.n END AS n_isolated, bd.n AS n_baseline FROM sg JOIN f USING (case_id) JOIN bd ON bd.day = t0::DATE LEFT JOIN mc ON mc.case_id = sg.case_id AND mc.candidate = sg.candidate LEFT JOIN mn ON mn.kind = sg.kind AND mn.candidate = sg.candidate)
+SELECT sg.case_id, rank, sg.kind, sg.candidate, a, b, c, d, round(p, 6) AS p, round(lift, 5) AS lift, round(score, 4) AS score, significant, n_isolated, n_baseline, round(1 - n_isolated / n_baseline, 4) AS reduction, insufficient FROM sg JOIN iq USING (case_id) JOIN cn ON cn.case_id = sg.case_id AND cn.kind = sg.kind AND cn.candidate = sg.candidate"""))
 def backward_diagnose(spark, sf):
+    """Candidates, tests, control-chart and capability signals of the machines, scores and containment of every case."""
     own = _lots(spark, sf)
     edges, events, used, flags = _inputs(own)
-    spread = Window.partitionBy("station")
-    far = F.abs(F.col("qty") - F.avg("qty").over(spread)) > 2 * F.stddev_samp("qty").over(spread)
-    signal = own.select("station", far.alias("far")).groupBy(F.col("station").cast("string").alias("candidate")).agg(F.least(F.lit(1.0), F.count_if("far") / 20).alias("signal"))
+    points = own.select(F.col("station").alias("series"), F.struct("created", "lot_id").alias("ord"), F.col("qty").cast("double").alias("value"), F.lit(5.0).alias("lsl"), F.lit(45.0).alias("usl"))
+    signal = backward.signals(spc.machine_signal(points), spc.decline_signal(points))
     out = backward.diagnose(_bad_cases(own), edges, events, used, flags, signal=signal, digits=6)
     return out.select("case_id", F.col("rank").cast("long").alias("rank"), "kind", "candidate", "a", "b", "c", "d", "p", F.round("lift", 5).alias("lift"), F.round("score", 4).alias("score"), "significant", "n_isolated", "n_baseline", F.round("reduction", 4).alias("reduction"), "insufficient")
 

@@ -48,26 +48,36 @@ def spc_nelson5(spark, sf):
     return spc.nelson5(series(spark, sf))
 
 
-_FIRED = ", fired AS (" + " UNION ALL ".join(f"SELECT series, '{k}' AS rule FROM ({q})" for k, q in _RULES.items()) + ")"
+FIRED = ", fired AS (" + " UNION ALL ".join(f"SELECT series, '{k}' AS rule FROM ({q})" for k, q in _RULES.items()) + ")"
 
 
-@query(sql("ser base", f"{_FIRED} SELECT b.series, b.n, round(b.m, 4) AS mean, round(b.s, 4) AS std, coalesce(r.rules, '') AS rules FROM (SELECT DISTINCT series, n, m, s FROM base WHERE n >= 3) b LEFT JOIN (SELECT series, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM fired GROUP BY series) r USING (series)"))
+@query(sql("ser base", f"{FIRED} SELECT b.series, b.n, round(b.m, 4) AS mean, round(b.s, 4) AS std, coalesce(r.rules, '') AS rules FROM (SELECT DISTINCT series, n, m, s FROM base WHERE n >= 3) b LEFT JOIN (SELECT series, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM fired GROUP BY series) r USING (series)"))
 def spc_summary(spark, sf):
     return spc.summary(series(spark, sf)).withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
-@query(sql("ser base", f"{_FIRED} SELECT series, least(1.0, count(fired.rule) / 20.0)::DOUBLE AS strength FROM (SELECT series FROM base GROUP BY series HAVING count(*) >= 5) LEFT JOIN fired USING (series) GROUP BY series"))
+SIGNAL = "SELECT series, least(1.0, count(fired.rule) / 20.0)::DOUBLE AS strength FROM (SELECT series FROM base GROUP BY series HAVING count(*) >= 5) LEFT JOIN fired USING (series) GROUP BY series"
+DECLINE = "SELECT series, least(1.0, (1.33 - cpk) / 0.5) AS strength FROM t WHERE n >= 10 AND trend = 'DECLINING' AND coalesce(cpk, 2.0) < 1.33"
+
+
+@query(sql("ser base", f"{FIRED} {SIGNAL}"))
 def spc_machine_signal(spark, sf):
     return spc.machine_signal(series(spark, sf))
 
 
-_CAP = """, h AS (SELECT *, i + 1 <= n // 2 AS first FROM base),
+def capability_sql(lsl: int, usl: int) -> str:
+    """t: the capability of every series of base."""
+    cpk = lambda m: f"least(({usl} - {m}) / (3 * s), ({m} - {lsl}) / (3 * s))"
+    return f""", h AS (SELECT *, i + 1 <= n // 2 AS first FROM base),
 c AS (SELECT series, count(*) AS n, avg(value) AS m, stddev_samp(value) AS s, avg(value) FILTER (first) AS m1, avg(value) FILTER (NOT first) AS m2 FROM h GROUP BY series),
-k AS (SELECT series, n, s, 120.0 / (6 * s) AS cp, least((120 - m) / (3 * s), m / (3 * s)) AS cpk, least((120 - m2) / (3 * s), m2 / (3 * s)) - least((120 - m1) / (3 * s), m1 / (3 * s)) AS delta FROM c),
+k AS (SELECT series, n, s, {usl - lsl}.0 / (6 * s) AS cp, {cpk('m')} AS cpk, {cpk('m2')} - {cpk('m1')} AS delta FROM c),
 t AS (SELECT *, CASE WHEN n < 5 THEN 'INSUFFICIENT_DATA' WHEN s = 0 THEN 'ZERO_VARIANCE' WHEN delta > 0.1 THEN 'IMPROVING' WHEN delta < -0.1 THEN 'DECLINING' ELSE 'STABLE' END AS trend FROM k)
 """
 
 
+_CAP = capability_sql(0, 120)
+
+
 def _limited(spark, sf):
     return series(spark, sf).withColumns({"lsl": F.lit(0.0), "usl": F.lit(120.0)})
 

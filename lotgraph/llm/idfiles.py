@@ -4,13 +4,14 @@ Documents are range-partitioned and sorted by doc_id (and, where many rows repea
 row's number, so no doc_id has to fit one task); each task encodes its texts with the tokenizers library, appends the end
 id, and packs files of at most about ``file_ids`` ids (``idcoder.pack_file``: document table, id table and
 independently reset, checksummed blocks).  Spark's text writer stores each file's bytes in the shared folder, one file per row; its
-closing line feed lies behind the last block and is not read.  Reading decodes each file in a task of its own, checks
+closing line feed lies behind the last block and is not read.  A manifest beside the folder names every file and its length, so a
+file that is lost, cut or emptied is noticed.  Reading decodes each file in a task of its own, checks
 every block, and adds the ids of all files before it, known from the files' heads, to each document's start.
 
 Defined cases: null and empty texts have only the end id; null doc_ids come first; rows that repeat a doc_id lie next
 to each other in the order of their texts' hashes; a document is never cut, so a file has at most ``file_ids`` ids more
-than its last document; an empty table gives an empty result, and a task without documents an empty file; any other file
-that is cut or damaged raises an error; extra columns play no part.
+than its last document; an empty table gives an empty result, and a task without documents an empty file; a file that is
+missing, cut or damaged raises an error; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -67,6 +68,21 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     order = ["doc_id", "hash", "row"]
     files = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_files(tokenizer or tokenizer_path(), end_id, file_ids), "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    _listed(docs.sparkSession, path).write.mode("overwrite").parquet(f"{path}-manifest")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """file, length of the files under path; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+
+
+def _check(spark: SparkSession, path: str) -> None:
+    """Raise if a file that the manifest names is gone, has another length, or is not named there."""
+    stated = spark.read.parquet(f"{path}-manifest").withColumnRenamed("length", "stated")
+    wrong = stated.join(_listed(spark, path), "file", "full").where("not (length <=> stated)").orderBy("file").limit(3).collect()
+    if wrong:
+        raise ValueError("files differ from the manifest: " + ", ".join(f"{r.file} has {r.length} of {r.stated} bytes" for r in wrong))
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +102,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files under path."""
+    _check(spark, path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     found = stored(files.mapInArrow(_documents, "shard long, part long, doc_id long, start long, n_tokens long, ids_crc32 long"), "ids")
     # ids of the files before: by shard, then of the shards before, of which there are as many as tasks wrote files

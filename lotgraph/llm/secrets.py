@@ -13,7 +13,7 @@ candidates too.
 
 Defined cases: null text counts as empty and has no spans; a null doc_id keeps its row; repeated rows each give a row;
 spans of one start go by the kinds' order; a text of any length is scanned whole, its offsets summed in chunks of
-``CHUNK`` matches, so many matches cost no square; an empty table gives an empty result; extra columns come back as they
+``CHUNK`` matches, so what grows with the square of many matches is only a copy of one number for each chunk; an empty table gives an empty result; extra columns come back as they
 were, and where a caller has a column ``__spans``, the added one gets one more underscore.  Offsets are code points, ends
 exclusive.
 """
@@ -183,8 +183,9 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         return F.transform(chunks, lambda c: F.aggregate(c, first, step))
 
     def moved(parts: Column) -> Column:
-        before = lambda k: F.aggregate(F.slice(parts, F.lit(1), k), zero, lambda s, x: s + x["pos"])
-        bases = F.zip_with(parts, F.transform(parts, lambda x, k: before(k)), lambda x, base: F.struct(x["out"].alias("out"), base.alias("base")))
+        # one fold carries the positions before the chunks; what grows with their square is a copy of numbers, a 64th of the matches
+        before = F.aggregate(parts, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["pos"])))
+        bases = F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda x, base: F.struct(x["out"].alias("out"), base.alias("base")))
         move = lambda s, base: F.struct((s["start"] + base).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + base).alias("end"))
         return F.flatten(F.transform(bases, lambda x: F.transform(x["out"], lambda s: move(s, x["base"]))))
 

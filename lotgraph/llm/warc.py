@@ -109,7 +109,10 @@ def write(pages: DataFrame, path: str, least: int = LEAST, per_file: int = PER_F
     limit = max(256, (firsts.agg(F.sum("k")).first()[0] or 0) // HOT_KEYS)
     hot = F.broadcast(firsts.where(F.col("k") > limit).select("digest", F.col("first").alias("hot"), F.lit(True).alias("is_hot")))
     marked = rows.join(hot, "digest", "left")
-    rest = marked.where("is_hot is null").join(firsts.where(F.col("k") <= limit).select("digest", "first"), "digest", "left")
+    # short payloads belong to no group: each has a key of its own, so that all empty pages do not meet in one task
+    key = F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(F.concat(F.lit("short "), F.col("seq")))
+    groups = firsts.where(F.col("k") <= limit).select(F.col("digest").alias("key"), "first")
+    rest = marked.where("is_hot is null").withColumn("key", key).join(groups, "key", "left").drop("key")
     known = marked.where("is_hot").withColumn("first", F.col("hot")).unionByName(rest)
     known = known.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     out = known.select("page_id", "url", "payload", "digest", "seq", "first").mapInArrow(_written, "record binary")
@@ -248,7 +251,8 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """id, kind, refers, digest, payload, problem: a row per reassembled record."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_parsed, FIELDS)
+    # the records are stored, as both kinds of them are read below and an archive is inflated and parsed once
+    rows = stored(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_parsed, FIELDS), "parsed")
     part = F.struct("segment", "block")
     alone = rows.where("segment is null").select("id", "kind", "refers", "digest", "total", F.array(part).alias("parts"), "problem")
     origin = F.coalesce("origin", "id")

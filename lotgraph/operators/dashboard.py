@@ -156,6 +156,18 @@ def kpis(incidents: DataFrame, lots: DataFrame, rate: float) -> DataFrame:
     return lost.crossJoin(lots.agg(F.count(F.lit(1)).alias("n_lots"), F.try_divide(F.count_if("is_ng"), F.count(F.lit(1))).alias("ng_share")))  # one row each
 
 
+def order_kpis(incidents: DataFrame, linked: DataFrame, lots: DataFrame) -> DataFrame:
+    """kpi, value: incidents by status, the sum of shortfalls, orders at risk and lots, each counted once.
+
+    incidents: incident_id, status; linked: incident_id, jt_id, short; lots: incident_id, lot_id.
+    """
+    status = incidents.groupBy("status").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.concat(F.lit("incidents_"), F.replace(F.coalesce("status", F.lit("unknown")), F.lit(" "), F.lit("_"))).alias("kpi"), "value")
+    worst = linked.groupBy("jt_id").agg(F.max("short").alias("short"))  # an order counts once, with its largest shortfall
+    orders = worst.agg(F.sum("short").cast("double").alias("shortfall"), F.count_if(F.col("short") > 0).cast("double").alias("orders_at_risk"), F.count(F.lit(1)).cast("double").alias("orders_linked")).unpivot([], ["shortfall", "orders_at_risk", "orders_linked"], "kpi", "value")
+    hit = lots.agg(F.count_distinct("lot_id").cast("double").alias("value")).select(F.lit("lots_affected").alias("kpi"), "value")
+    return status.unionByName(orders).unionByName(hit)
+
+
 def coerced(df: DataFrame, column: str) -> DataFrame:
     """kind (null, number, date, bool, text) of a raw text, and its value as number, moment or flag."""
     text = F.trim(F.col(column))

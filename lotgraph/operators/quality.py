@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotgraph.operators import align
 
 def completeness(df: DataFrame, required: list[str]) -> DataFrame:
     """n_cells, n_missing, score over the required columns; an empty text is missing."""
@@ -125,3 +126,57 @@ def error_signs(scans: DataFrame, events: DataFrame, labels: DataFrame, values:
     comma = n(values.where(F.col("value").contains(",")), "n").select(F.lit("D05").alias("code"), (F.col("n") > 0).alias("found"), "n")
     tens = stock.agg(F.count_if(F.col("qty") % 10 == 0).alias("n"), F.count("qty").alias("m")).select(F.lit("D06").alias("code"), ((F.col("n") > 0) & (F.col("n") == F.col("m"))).alias("found"), "n")
     return lost.unionByName(shared).unionByName(comma).unionByName(tens)
+
+
+def header_drift(rows: DataFrame, aliases: dict[str, tuple[str, ...]], sheet: str = "_source_sheet") -> DataFrame:
+    """sheet, target, column, n, state: under which names the sheets of a source hold their values.
+
+    known is a target's first name, drifted a later one, missing a target without any value in the sheet, unknown a column
+    with values that is no target's.  rows: the sheets one under the other by column name.
+    """
+    columns = [c for c in rows.columns if c != sheet and not c.startswith("_")]
+    counts = rows.groupBy(sheet).agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).unpivot([sheet], [F.col(f"`{c}`") for c in columns], "column", "n").where("n > 0")
+    names = rows.sparkSession.createDataFrame([(t, c, k) for t, known in aliases.items() for k, c in enumerate(known)], "target string, column string, place int")  # the registry
+    held = counts.join(F.broadcast(names), "column", "left")
+    state = F.when(F.col("target").isNull(), "unknown").when(F.col("place") == 0, "known").otherwise("drifted")
+    here = held.select(F.col(sheet).alias("sheet"), "target", "column", "n", state.alias("state"))
+    every = rows.select(F.col(sheet).alias("sheet")).distinct().join(F.broadcast(names.select("target").distinct()), F.lit(True))
+    gone = every.join(here.where("target is not null").select("sheet", "target").distinct(), ["sheet", "target"], "left_anti")
+    return here.unionByName(gone.select("sheet", "target", F.lit(None).cast("string").alias("column"), F.lit(0).cast("long").alias("n"), F.lit("missing").alias("state")))
+
+
+def clock_residuals(pairs: DataFrame, key: str, day: str, tolerance: float = 60.0) -> DataFrame:
+    """key, offset, slope, found: how far a source's clock is off, and whether that is more than the tolerance or drifts.
+
+    pairs: key, day (a number), diff (seconds) of anchors.
+    """
+    line = align.drift(pairs, key, day).select(key, "slope", "significant")
+    out = align.robust_offset(pairs, key).select(key, "offset").join(line, key, "left")
+    return out.select(key, "offset", "slope", ((F.abs("offset") > tolerance) | F.coalesce("significant", F.lit(False))).alias("found"))
+
+
+def drift_signs(residuals: DataFrame, headers: DataFrame) -> DataFrame:
+    """code, found, n: clocks that are off (D01) and columns under a drifted name or missing (D04)."""
+    sign = lambda df, code: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), (F.col("n") > 0).alias("found"), "n")
+    return sign(residuals.where("found"), "D01").unionByName(sign(headers.where("state in ('drifted', 'missing')"), "D04"))
+
+
+def split_counts(edges: DataFrame, stated: DataFrame) -> DataFrame:
+    """parent, n_children, stated: splits whose number of children is not the stated one; edges: parent, child, edge_type."""
+    made = edges.where("edge_type = 'SPLIT'").groupBy("parent").agg(F.count_distinct("child").alias("n_children"))
+    return stated.join(made, "parent", "left").select("parent", F.coalesce("n_children", F.lit(0)).alias("n_children"), "stated").where("n_children != stated")
+
+
+def stock_differs(snapshots: DataFrame, stated: DataFrame, at: Column) -> DataFrame:
+    """item, qty, stated: the items whose stock in the snapshots of a moment is not the stated one, or is not there."""
+    seen = snapshots.where(at).select("item", "qty").distinct()
+    return stated.join(seen, "item", "left").where(~F.col("qty").eqNullSafe(F.col("stated"))).select("item", "qty", "stated")
+
+
+def ingest_summary(sources: dict[str, DataFrame]) -> DataFrame:
+    """source, n_rows, n_columns, n_files of every raw source."""
+    out = None
+    for name, df in sources.items():
+        row = df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n_rows"), F.lit(len([c for c in df.columns if not c.startswith("_")])).cast("long").alias("n_columns"), F.count_distinct("_source_file").alias("n_files"))
+        out = row if out is None else out.unionByName(row)
+    return out

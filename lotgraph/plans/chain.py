@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotgraph.operators import builders, dashboard, evaluation, graph, quality
+from lotgraph.operators import builders, dashboard, evaluation, forward, graph, imports, quality
+from lotgraph.plans import engines
 from lotgraph.plans.binding import incidents, lots, orders, sql, table
 
 Q, SQL = {}, {}
@@ -170,15 +171,25 @@ def volume_check(spark, sf):
     return quality.volume({"lot": table(spark, sf, "lineitem"), "event": table(spark, sf, "events")}, {"lot": 50_000, "event": 10_000})
 
 
-@query("""WITH e AS (SELECT user_id, event_type, ts, value FROM events), b AS (SELECT count(*) AS n FROM e WHERE event_type <> 'signup')
+@query("""WITH e AS (SELECT event_id, user_id, event_type, ts, value FROM events), b AS (SELECT count(*) AS n FROM e WHERE event_type <> 'signup'),
+cl AS (SELECT user_id % 10 AS k, median(CASE WHEN user_id % 10 = 3 THEN 240 ELSE event_id % 7 END) AS m, count(*) AS n FROM e GROUP BY 1)
 SELECT 'D02' AS code, (SELECT count(*) FROM e WHERE event_type = 'error') >= 0 AND 1 - (SELECT n FROM b) / (SELECT count(*) FROM e) >= 0.015 AS found, ((SELECT count(*) FROM e) - (SELECT n FROM b))::BIGINT AS n
 UNION ALL SELECT 'D03', count(*) > 0, count(*) FROM (SELECT user_id, ts::DATE AS d FROM e GROUP BY ALL HAVING count(DISTINCT event_type) > 3)
+UNION ALL SELECT 'D01', count(*) > 0, count(*) FROM cl WHERE n >= 5 AND abs(m) > 60
+UNION ALL SELECT 'D04', count(*) > 0, count(*) FROM (SELECT event_type, 'value' FROM e WHERE event_type = 'signup' AND value IS NOT NULL GROUP BY 1 UNION ALL SELECT event_type, 'moment' FROM e GROUP BY 1 HAVING event_type = 'error')
 UNION ALL SELECT 'D05', count(*) > 0, count(*) FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'D06', count(*) > 0 AND count(*) = (SELECT count(*) FROM part), count(*) FROM part WHERE p_size % 10 = 0""")
 def injected_errors(spark, sf):
     e, p = table(spark, sf, "events"), table(spark, sf, "part")
     labels = e.select(F.to_date("ts").alias("key_day"), F.col("user_id").alias("key"), F.col("event_type").alias("label"))
     number = F.when(F.col("p_partkey") % 4 == 0, F.format_string("%d,%d", F.col("p_size"), F.col("p_size"))).otherwise(F.col("p_size").cast("string"))
-    return quality.error_signs(scans=e.where("event_type != 'signup'"), events=e, labels=labels, values=p.select(number.alias("value")), stock=p.select(F.col("p_size").cast("long").alias("qty")), most_labels=3)
+    signs = quality.error_signs(scans=e.where("event_type != 'signup'"), events=e, labels=labels, values=p.select(number.alias("value")), stock=p.select(F.col("p_size").cast("long").alias("qty")), most_labels=3)
+    # a clock that is four minutes off; sheets by kind of event, one with another name for its values, one without times
+    off = F.when(F.col("user_id") % 10 == 3, 240).otherwise(F.col("event_id") % 7)
+    anchors = e.select((F.col("user_id") % 10).alias("key"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), off.cast("double").alias("diff"))
+    late = F.col("event_type") == "signup"
+    sheets = e.select(F.col("event_type").alias("_source_sheet"), F.when(~late, F.col("value").cast("string")).alias("value_raw"), F.when(late, F.col("value").cast("string")).alias("Giá trị"), F.when(F.col("event_type") != "error", F.col("ts").cast("string")).alias("moment"))
+    headers = quality.header_drift(sheets, {"value": ("value_raw", "Giá trị"), "moment": ("moment",)})
+    return signs.unionByName(quality.drift_signs(quality.clock_residuals(anchors, "key", "day"), headers))
 
 
 # evidence, filters, indicators
@@ -244,3 +255,74 @@ def benchmark_report(spark, sf):
     forward = o.groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_set(F.when(k % 3 == 0, k)).alias("expected_late"), F.collect_set(F.when(k % 2 == 0, k)).alias("predicted_late"), F.sum(k % 40).cast("double").alias("expected_short"), F.sum(k % 41).cast("double").alias("predicted_short"), F.max((k % 3 == 0).cast("int")).alias("is_late"), F.avg(k % 7 / 7.0).alias("p_late"))
     causes = o.select(k.alias("case_id"), (k % 5).alias("expected"), F.array(k % 3, *[F.lit(x).cast("long") for x in (1, 2, 4)]).alias("ranked"))
     return evaluation.benchmark(forward, causes).withColumn("value", F.round("value", 6))
+
+
+# import
+
+
+_ORDERS = imports.Group({"jt_id": ("order no", "Mã đơn"), "customer": ("khách hàng",), "qty": ("Số lượng",), "due": ("due date", "Hạn giao"), "status": ("Trạng thái",)}, ("jt_id", "customer", "due"), ("jt_id",), dates=("due",), numbers=("qty",), enums={"status": ("O", "F", "P")}, foreign={"customer": "customer"})
+_RAW = """raw AS (SELECT 2 * o_orderkey AS r, CASE WHEN o_orderkey % 110 = 7 THEN NULL ELSE o_orderkey END AS jt_id, CASE WHEN o_orderkey % 90 = 5 THEN -1 ELSE o_custkey END AS customer, o_orderkey % 70 = 3 AS bad_qty, (20 + o_orderkey % 50)::DOUBLE AS qty, o_orderkey % 50 = 1 AS bad_due,
+  strftime(o_orderdate, '%Y-%m-%d') AS due, CASE WHEN o_orderkey % 130 = 2 THEN 'X' ELSE o_orderstatus END AS status FROM orders
+  UNION ALL SELECT 2 * o_orderkey + 1, o_orderkey, o_custkey, false, 1.0, false, strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus FROM orders WHERE o_orderkey % 33 = 4),
+iss AS (SELECT r, 'jt_id' AS "column", 'incomplete' AS kind FROM raw WHERE jt_id IS NULL UNION ALL SELECT r, 'qty', 'invalid' FROM raw WHERE bad_qty UNION ALL SELECT r, 'due', 'invalid' FROM raw WHERE bad_due UNION ALL SELECT r, 'status', 'invalid' FROM raw WHERE status = 'X'
+  UNION ALL SELECT r, 'customer', 'reference' FROM raw WHERE customer NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT r, 'jt_id', 'repeated' FROM raw WHERE jt_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY jt_id ORDER BY r) > 1)"""
+
+
+def _staged(spark, sf):
+    o = table(spark, sf, "orders")
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    text = lambda c: c.cast("string")
+    first = o.select((2 * k).alias("_raw_row_id"), F.when(k % 110 == 7, " ").otherwise(text(k)).alias("Order No."), F.when(k % 90 == 5, "-1").otherwise(text(F.col("o_custkey"))).alias("KHÁCH HÀNG"), F.when(k % 70 == 3, "abc").otherwise(text(20 + k % 50)).alias("so luong"), F.when(k % 50 == 1, "31/13/2026").otherwise(day).alias("Due_Date"), F.when(k % 130 == 2, "X").otherwise(F.col("o_orderstatus")).alias("Trạng thái"), F.lit("x").alias("note"))
+    again = o.where(k % 33 == 4).select((2 * k + 1).alias("_raw_row_id"), text(k).alias("Order No."), text(F.col("o_custkey")).alias("KHÁCH HÀNG"), F.lit("1").alias("so luong"), day.alias("Due_Date"), F.col("o_orderstatus").alias("Trạng thái"), F.lit("y").alias("note"))
+    customers = table(spark, sf, "customer").select("c_custkey")
+    return imports.stage(first.unionByName(again), {"jt_order": _ORDERS, "other": imports.Group({"a": ("a",), "b": ("b",)}, ("a",), ("a",))}, {"customer": customers})
+
+
+@query(f"WITH {_RAW} SELECT r AS row_id, \"column\", kind FROM iss")
+def import_issues(spark, sf):
+    """Every order as a raw row under drifted headers, some with errors, some twice: what is wrong with which."""
+    return _staged(spark, sf).issues.withColumnRenamed("_row", "row_id")
+
+
+@query(f"""WITH {_RAW}, v AS (SELECT * FROM raw WHERE r NOT IN (SELECT r FROM iss)), old AS (SELECT o_orderkey AS k, 'old' AS origin FROM orders WHERE o_orderstatus = 'F')
+SELECT coalesce(v.jt_id, old.k)::VARCHAR AS jt_id, v.customer::VARCHAR AS customer, v.qty AS qty, v.due AS due, CASE WHEN v.r IS NULL THEN 'old' ELSE v.status END AS status, origin FROM old FULL JOIN v ON v.jt_id = k""")
+def import_merged(spark, sf):
+    """The valid rows of the import in a table that had the filled orders."""
+    k = F.col("o_orderkey").cast("string")
+    old = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(k.alias("jt_id"), F.lit(None).cast("string").alias("customer"), F.lit(None).cast("double").alias("qty"), F.lit(None).cast("timestamp_ntz").alias("due"), F.lit("old").alias("status"), F.lit("old").alias("origin"))
+    return imports.merged(old, _staged(spark, sf), _ORDERS.key).withColumn("due", F.date_format("due", "yyyy-MM-dd"))
+
+
+@query(sql("inc lots", f"""{{linked}}, w AS (SELECT jt_id, max(jt_id % 40) AS short FROM l GROUP BY 1)
+SELECT 'incidents_' || CASE WHEN case_id % 50 = 0 THEN 'closed_by_hand' WHEN start_ts + to_hours(hours::INT) > TIMESTAMP '2024-01-20 12:00:00' THEN 'open' ELSE 'closed' END AS kpi, count(*)::DOUBLE AS value FROM inc GROUP BY 1
+UNION ALL SELECT 'shortfall', sum(short)::DOUBLE FROM w UNION ALL SELECT 'orders_at_risk', (count(*) FILTER (short > 0))::DOUBLE FROM w UNION ALL SELECT 'orders_linked', count(*)::DOUBLE FROM w
+UNION ALL SELECT 'lots_affected', count(DISTINCT event_id)::DOUBLE FROM inc JOIN events ON station_id = user_id AND event_type <> 'error' AND ts >= start_ts AND ts <= start_ts + to_hours(hours::INT)""".replace("{linked}", ", " + engines._LINK)))
+def kpis_orders(spark, sf):
+    """Incidents by status, orders at risk and lots, over all incidents."""
+    inc = incidents(spark, sf)
+    end = F.timestamp_add("HOUR", F.col("hours").cast("int"), F.col("start_ts"))
+    named = inc.select(F.col("case_id").alias("incident_id"), dashboard.incident_status(end, F.when(F.col("case_id") % 50 == 0, "closed by hand"), "2024-01-20 12:00:00").alias("status"))
+    linked = engines._links(spark, sf).select("incident_id", "jt_id", (F.col("jt_id") % 40).alias("short"))
+    hit = forward.affected_lots(inc, engines._events(spark, sf)).withColumnRenamed("case_id", "incident_id")
+    return dashboard.order_kpis(named, linked, hit)
+
+
+@query(sql("inc", "SELECT station_id, strftime(start_ts, '%Y-%m-%d %H:%M') AS start, row_id, n_same FROM (SELECT station_id, date_trunc('hour', start_ts) AS start_ts, case_id AS row_id, count(*) OVER (PARTITION BY station_id, date_trunc('hour', start_ts)) AS n_same FROM inc) WHERE n_same > 1"))
+def same_start_incidents(spark, sf):
+    """Incidents of one station that start at the same time, to the hour that reports state."""
+    i = incidents(spark, sf).select("station_id", F.date_format(F.date_trunc("hour", "start_ts"), "yyyy-MM-dd HH:mm").alias("start"), F.col("case_id").alias("row_id"))
+    return quality.duplicates(i, ["station_id", "start"], "row_id")
+
+
+@query(sql("lots", """, g AS (SELECT 'BATCH-' || jt_id AS parent, lot_id AS child, 'SPLIT' AS t FROM lots), st AS (SELECT 'BATCH-' || o_orderkey AS parent, 1 + o_orderkey % 7 AS stated FROM orders)
+SELECT parent, coalesce(n, 0) AS n_children, stated FROM st LEFT JOIN (SELECT parent, count(DISTINCT child) AS n FROM g GROUP BY 1) USING (parent) WHERE coalesce(n, 0) <> stated"""))
+def split_counts(spark, sf):
+    edges = lots(spark, sf).select(F.concat(F.lit("BATCH-"), F.col("jt_id")).alias("parent"), F.col("lot_id").alias("child"), F.lit("SPLIT").alias("edge_type"))
+    stated = table(spark, sf, "orders").select(F.concat(F.lit("BATCH-"), F.col("o_orderkey")).alias("parent"), (1 + F.col("o_orderkey") % 7).alias("stated"))
+    return quality.split_counts(edges, stated)
+
+
+@query("SELECT p_partkey AS item, p_size::BIGINT AS qty, (p_partkey % 50)::BIGINT AS stated FROM part WHERE p_size <> p_partkey % 50")
+def stock_differs(spark, sf):
+    p = table(spark, sf, "part")
+    return quality.stock_differs(p.select(F.col("p_partkey").alias("item"), F.col("p_size").cast("long").alias("qty")), p.select(F.col("p_partkey").alias("item"), (F.col("p_partkey") % 50).cast("long").alias("stated")), F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotgraph.functions import stats
 from lotgraph.operators import action, backward, dashboard, forward, graph, spc
-from lotgraph.plans import signals
+from lotgraph.plans import runners, signals
 from lotgraph.plans.binding import PARTS, incidents, lots, orders, sql, table
 
 Q, SQL = {}, {}
@@ -550,3 +550,26 @@ def whatif_first_late(spark, sf):
     base = action.late_base(_impact(spark, sf, found), forward.late_list(found))
     rows = action.scored(action.simulate(incidents(spark, sf).select("case_id", "hours").join(base, "case_id"), action.options(spark)))
     return action.choose(rows, ["case_id"]).select("case_id", "jt_id", F.round("base", 4).alias("base"), F.round("base_p", 5).alias("base_p"), "option", F.round("p_late", 5).alias("p_late"), F.round("cost", 2).alias("cost"), "feasible")
+
+
+# the engines' answers against what is expected
+
+
+@query(sql("inc lots", f"""{_LATE}{_CAND}{_TABLE}{_FISHER}{_scored_sql('0.0')},
+ex AS (SELECT inc.case_id, coalesce(list(jt_id) FILTER (jt_id IS NOT NULL), []) AS late, any_value(loss) AS short FROM own inc LEFT JOIN (SELECT case_id, jt_id FROM du WHERE d = 0 AND NOT done) o USING (case_id) GROUP BY 1),
+pl AS (SELECT case_id, list(jt_id) AS late, max(p_late) AS p FROM lo GROUP BY 1),
+m0 AS (SELECT ex.late AS e, coalesce(pl.late, []) AS g, ex.short AS es, round(al.shortfall) AS gs, (len(ex.late) > 0)::INT AS y, coalesce(p, 0) AS p FROM ex JOIN al USING (case_id) LEFT JOIN pl USING (case_id)),
+m AS (SELECT sum(len(list_intersect(e, g)))::DOUBLE AS tp, sum(len(g))::DOUBLE AS np, sum(len(e))::DOUBLE AS ne, avg((list_sort(e) = list_sort(g))::INT) AS ex, avg((len(list_intersect(e, g)) > 0 OR (len(e) = 0 AND len(g) = 0))::INT) AS hit, avg(abs(gs - es) / es) FILTER (es > 0) AS mape, avg((p - y) * (p - y)) AS brier, avg(((p >= 0.5)::INT = y)::INT) AS acc FROM m0),
+c AS (SELECT avg((g[1] = w)::INT) AS t1, avg(list_contains(g, w)::INT) AS t3 FROM (SELECT case_id, any_value(station)::VARCHAR AS w, list(candidate ORDER BY rank) AS g FROM rk JOIN (SELECT bad.case_id, station FROM bad JOIN lots USING (lot_id)) USING (case_id) WHERE rank <= 3 GROUP BY 1)),
+v AS (SELECT 'forward_f1' AS metric, CASE WHEN np + ne > 0 THEN 2 * tp / (np + ne) ELSE 0 END AS value, 0.85 AS target, true AS up FROM m UNION ALL SELECT 'late_set_accuracy', ex, NULL, false FROM m UNION ALL SELECT 'late_hit_rate', hit, NULL, false FROM m UNION ALL SELECT 'shortfall_mape', mape, 0.10, false FROM m UNION ALL SELECT 'late_brier', brier, 0.15, false FROM m UNION ALL SELECT 'late_accuracy', acc, NULL, false FROM m
+UNION ALL SELECT 'cause_top1', t1, NULL, false FROM c UNION ALL SELECT 'cause_top3', t3, 0.75, true FROM c)
+SELECT metric, round(value, 5)::DOUBLE AS value, target::DOUBLE AS target, CASE WHEN up THEN value >= target ELSE value <= target END AS passed FROM v""", recursive=True))
+def run_report(spark, sf):
+    """All incidents and bad lots as cases; expected are the open orders of an incident's day and the bad lot's machine."""
+    solved = _cascade(spark, sf)
+    run = runners.Forward(_impact(spark, sf, solved), forward.late_list(solved), None)
+    due = solved.queue.where("due_idx = 0 and open").select("product", "day0", "jt_id")
+    expected = solved.cases.select("case_id", "product", "day0", "loss").join(due, ["product", "day0"], "left").groupBy("case_id").agg(F.collect_list("jt_id").alias("late"), F.first("loss").alias("short"))
+    own = _lots(spark, sf)
+    causes = _bad_cases(own).join(own.select("lot_id", F.col("station").alias("cause")), "lot_id").select("case_id", "cause")
+    return runners.report(run, _ranked(spark, sf).select("case_id", "rank", "candidate"), expected, causes).withColumn("value", F.round("value", 5))

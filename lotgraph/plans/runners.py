@@ -38,9 +38,11 @@ def run_forward(cases: DataFrame, t: dict[str, DataFrame], opening: DataFrame |
     known = forward.with_fulfilled(orders, ships)
     named = forward.cascade(cases, lots, events, known, opening).cases.select("case_id", "product")
     edges = t["lot_edge"].select(F.col("parent_lot_id").alias("parent"), F.col("child_lot_id").alias("child"))
-    reached = forward.affected_orders(named, forward.affected_lots(cases, events), edges, t["jt_allocation"].select("lot_id", "jt_id"), orders, first)
+    reached = forward.affected_orders(named, forward.affected_lots(cases, events), edges, t["jt_allocation"].select("lot_id", "jt_id"), orders, first).checkpoint()
     solved = forward.cascade(cases, lots, events, known, opening, shipments=ships.where("truck_time is not null"), checked=reached.where(F.col("place") <= first), due_day=False)
-    return Forward(forward.impact(cases, lots, events, known, bom=bom, available=available, faithful=True, solved=solved), forward.late_list(solved, faithful=True), reached)
+    solved = forward.Cascade(*[df.checkpoint() for df in solved])  # several answers come from it
+    impact = forward.impact(cases, lots, events, known, bom=bom, available=available, faithful=True, solved=solved)
+    return Forward(impact.checkpoint(), forward.late_list(solved, faithful=True).checkpoint(), reached)
 
 
 def run_backward(cases: DataFrame, t: dict[str, DataFrame], top: int = 3) -> DataFrame:
@@ -52,7 +54,7 @@ def run_backward(cases: DataFrame, t: dict[str, DataFrame], top: int = 3) -> Dat
     points = t["qc_result"].where("value is not null and station_id is not null and measured_ts is not null").select(F.col("station_id").alias("series"), F.struct("measured_ts", "qc_id").alias("ord"), "value", "lsl", "usl")
     signal = backward.signals(spc.machine_signal(points), spc.decline_signal(points))
     used = t["material_consumption"].select("lot_id", F.col("mat_lot_id").alias("mat_lot"))
-    return backward.diagnose(cases, edges, events, used, lots, top=top, signal=signal)
+    return backward.diagnose(cases, edges, events, used, lots, top=top, signal=signal).checkpoint()
 
 
 def run_what_if(cases: DataFrame, run: Forward, p_max: float = 0.05, costs: dict[str, float] = action.COSTS) -> DataFrame:

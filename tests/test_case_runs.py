@@ -65,7 +65,7 @@ def test_saved_cases_from_raw_files(spark, tables):
     assert (batch.p, batch.lift) == (pytest.approx(0.0001186873, abs=1e-9), pytest.approx(82.2))
     assert (batch.n_isolated, batch.n_baseline, round(batch.reduction, 4)) == (5, 34, 0.8529)
 
-    options = runners.run_what_if(cases, run)
+    options = runners.run_what_if(cases, run).checkpoint()
     got = {r.option: (round(r.p_late, 4), r.cost) for r in options.collect()}
     assert got["E"][1] == 3_700_000 and got["E"][0] <= 0.05
     card = runners.action_cards(options).first()

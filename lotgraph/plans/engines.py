@@ -473,13 +473,15 @@ def cause_evidence(spark, sf):
 
 @query(sql("lots", """, a AS (SELECT * FROM lots) SELECT DISTINCT 'I' || jt_id AS src, station::VARCHAR AS dst, 'station' AS kind, 'direct' AS link FROM a
 UNION ALL SELECT DISTINCT station::VARCHAR, lot_id, 'lot', 'direct' FROM a UNION ALL SELECT DISTINCT lot_id, mat_lot::VARCHAR, 'material', 'direct' FROM a
+UNION ALL SELECT DISTINCT jt_id || '-1', lot_id, 'child', 'direct' FROM a WHERE lot_id <> jt_id || '-1' AND jt_id || '-1' IN (SELECT lot_id FROM a)
 UNION ALL SELECT DISTINCT lot_id, jt_id::VARCHAR, 'order', 'inferred' FROM a UNION ALL SELECT DISTINCT jt_id::VARCHAR, 'S' || jt_id, 'shipment', 'unverified' FROM a"""))
 def propagation_graph(spark, sf):
     own = lots(spark, sf)
     hit = own.select(F.concat(F.lit("I"), F.col("jt_id")).alias("incident_id"), F.col("station").alias("station_id"), "lot_id")
-    none = own.select(F.concat(F.lit("B"), F.col("jt_id")).alias("parent"), F.col("lot_id").alias("child"))
+    first = F.concat(F.col("jt_id").cast("string"), F.lit("-1"))
+    split = own.where(F.col("lot_id") != first).select(first.alias("parent"), F.col("lot_id").alias("child"))
     ships = table(spark, sf, "orders").select(F.col("o_orderkey").alias("jt_id"), F.concat(F.lit("S"), F.col("o_orderkey")).alias("shipment_id"))
-    return graph.propagation(hit, none, own.select("lot_id", "mat_lot"), own.select("lot_id", "jt_id"), ships)
+    return graph.propagation(hit, split, own.select("lot_id", "mat_lot"), own.select("lot_id", "jt_id"), ships)
 
 
 @query(sql("lots", "SELECT product, station, strftime(created, '%Y-%m') AS month, count(*) AS n_lots, sum(qty)::BIGINT AS qty, count(*) FILTER (is_ng) AS n_ng FROM lots GROUP BY 1, 2, 3"))

@@ -285,7 +285,9 @@ class Index:
         self.rows = stored(rows.mapInArrow(_packed(self.width), "id long, label long, v binary"), "vectors")
         self.k = keep
         thin = thinned(self.rows, keep + 1)
-        sample = self.rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()  # bounded
+        # rows with a small hash, twice as many as needed in expectation, so tasks together send no more to the driver
+        place = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
+        sample = self.rows.where(place < int(min(1.0, 2 * SAMPLE / max(1, self.n)) * (1 << 31))).orderBy(place, "id").limit(SAMPLE).select("v").collect()
         x = np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.int32).reshape(-1, self.width).astype(np.float64)
         levels = 0
         while (1 << levels) < LEAVES and (LEAF_ROWS << levels) < self.n:

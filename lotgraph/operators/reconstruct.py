@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotgraph.operators.running import running
+from lotgraph.operators.running import ranges_of, running
 
 STRETCH = 65_536  # pieces of running quantity that are swept at once
 
@@ -24,8 +24,7 @@ def fifo(orders: DataFrame, lots: DataFrame) -> DataFrame:
     quantity, so a product may hold most of the rows.
     """
     def ends(df: DataFrame, time: str, key: str) -> DataFrame:
-        day = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date"))
-        return running(df.where("product is not null and qty > 0"), ["product"], day, [F.col(time), F.col(key)], {"hi": ("sum", F.col("qty"))})
+        return running(df.where("product is not null and qty > 0"), ["product"], ranges_of(df, time), [F.col(time), F.col(key)], {"hi": ("sum", F.col("qty"))})
 
     none = F.lit(None)
     o = ends(orders, "due", "jt_id").select("product", "hi", "jt_id", none.cast("string").alias("lot_id"))

@@ -9,12 +9,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
 _JOINED = {"sum": lambda own, before: F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0)), "min": F.least, "max": F.greatest, "last": lambda own, before: F.coalesce(own, before)}
 _TAKEN = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, True)}
 _LOW = -(2**62)
 
 
+def ranges_of(df: DataFrame, column: str) -> Column:
+    """Ranges that follow a column: days of a time, thousands of a number; of a struct its first field; else one range."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, StructType):
+        c, kind = c[kind.fields[0].name], kind.fields[0].dataType
+    if isinstance(kind, TimestampType | TimestampNTZType | DateType):
+        return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
+    return F.floor(c / 4096) if isinstance(kind, NumericType) else F.lit(0)
+
+
 def running(df: DataFrame, keys: list[str], ranges: Column, order: list[Column], wanted: dict[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
     """df with a column for each of wanted: the sum, min, max or last known value of all rows up to this one, or before it.
 

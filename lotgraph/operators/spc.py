@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
-from lotgraph.operators.running import running
+from lotgraph.operators.running import ranges_of, running
 
 
 BLOCK = 8192  # points of a series that are looked at together
 REACH = 8  # points that a rule looks ahead
 
 
-def _ranges(df: DataFrame) -> Column:
-    """Ranges that follow ord: days of a time, thousands of a number; of a struct its first field."""
-    field, c = df.schema["ord"].dataType, F.col("ord")
-    if isinstance(field, StructType):
-        c, field = c[field.fields[0].name], field.fields[0].dataType
-    if isinstance(field, TimestampType | TimestampNTZType | DateType):
-        return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
-    return F.floor(c / 4096) if isinstance(field, NumericType) else F.lit(0)
-
-
 def _base(df: DataFrame) -> DataFrame:
     """series, value, mean, std, n, i (the point's place from 0) of series of three points and more."""
     rows = df.where("value is not null and not isnan(value)").select("series", "ord", "value")
     spread = rows.groupBy("series").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n")).where("n >= 3")
-    placed = running(rows, ["series"], _ranges(df), [F.col("ord")], {"i": ("sum", F.lit(1))})
+    placed = running(rows, ["series"], ranges_of(df, "ord"), [F.col("ord")], {"i": ("sum", F.lit(1))})
     return placed.withColumn("i", F.col("i") - 1).join(spread, "series").select("series", "value", "mean", "std", "n", "i")
 
 
@@ -94,7 +83,7 @@ def summary(df: DataFrame) -> DataFrame:
 def capability(df: DataFrame) -> DataFrame:
     """series, n, cp, cpk, delta, trend; df has lsl and usl too.  The halves use the whole series' sigma."""
     size = df.where("value is not null").groupBy("series").agg(F.count("value").alias("n"))
-    rows = running(df.where("value is not null"), ["series"], _ranges(df), [F.col("ord")], {"i": ("sum", F.lit(1))}).join(size, "series")
+    rows = running(df.where("value is not null"), ["series"], ranges_of(df, "ord"), [F.col("ord")], {"i": ("sum", F.lit(1))}).join(size, "series")
     half = F.col("i") <= F.floor(F.col("n") / 2)
     out = rows.groupBy("series").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.avg(F.when(half, F.col("value"))).alias("m1"), F.avg(F.when(~half, F.col("value"))).alias("m2"), F.min("lsl").alias("lsl"), F.min("usl").alias("usl"))
     cpk = lambda m: F.least(F.try_divide(F.col("usl") - m, 3 * F.col("s")), F.try_divide(m - F.col("lsl"), 3 * F.col("s")))

@@ -19,8 +19,8 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-SLOTS = 11  # bits of a context table: as many entries as a block has ids
+BLOCK = 512
+SLOTS = 9  # bits of a context table: as many entries as a block has ids
 BANDS = 4
 PAUSE = 32  # steps from one look at the counts' limit to the next
 #: Fixed values of the format.

@@ -70,3 +70,9 @@ def test_mapping_takes_each_rows_first_value(spark):
     assert mapping.mapping_audit(df.columns, names) == {"renamed": ["t"], "missing": ["missing"], "unmapped": ["other"]}
     assert mapping.auto_map(["MÃ LÔ", "q"], {"lot": ("Mã lô",)}) == {"MÃ LÔ": "lot"}
     assert mapping.detect_group(["a", "b"], {"g": ({"a": (), "b": ()}, 1), "h": ({"z": ()}, 0)}) == "g"
+
+
+def test_rounds_as_the_sql_does(spark):
+    values = [0.72625, 0.66075, 0.73235, 0.5, 0.00005, -0.72625, -2.5, 1e300, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(stats.rounded("x", 4)).collect()] == [0.7262, 0.6607, 0.7323, 0.5, 0.0001, -0.7262, -2.5, 1e300, None]

@@ -12,10 +12,10 @@ Documents with one set of word shingles fall into one class first.  The rest:
 * A group of near copies is not expanded into its pairs.  In each of up to STARS rounds every key names one pivot, and a
   row takes the pivot that most of its keys name: a pair a row, checked by the sketches, then on the full sets.  Linked
   rows become components.
-* What is open are keys that rows of several components still share.  There the rows meet in tiles of TILE rows, and a
-  pair comes out only if it belongs to different components, its sizes and sketches leave a link possible and no earlier
-  key is shared.  These pairs are checked on the full sets.  A key of more than REFINE rows is split by the rows' other
-  keys first: linked rows share a second one with much the same probability.
+* What is open are keys that rows of several components still share.  There the rows outside the key's largest component
+  meet all its rows, in tiles, and a pair comes out only if it belongs to different components, its sizes and sketches
+  leave a link possible and no earlier key is shared.  These pairs are checked on the full sets.  No key is too large for
+  that; tiles of large keys are wider, so that a row is repeated less often.
 
 A link of different texts is so lost only where no key is shared, or a sketch above level 0 is off by more than MARGIN
 standard deviations.  In the worst case, many rows barely too different in one key, the tiles compare all of them, bit by
@@ -43,7 +43,7 @@ from lotgraph.llm.spread import HOT_KEYS, components, spread_join
 
 BANDS, ROWS = 24, 5
 BITS, SAMPLES, MARGIN = 1024, 512, 5
-STARS, TILE, REFINE = 2, 256, 4096
+STARS, TILE, REFINE, WIDE = 2, 256, 4096, 8  # tiles of keys of more than REFINE rows are WIDE times as wide
 WORDS = BITS // 64
 _RNG = np.random.default_rng(13)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,28 +132,24 @@ def starred(join: _Join, pairs: DataFrame) -> DataFrame:
 def open_pairs(join: _Join, cells: DataFrame) -> DataFrame:
     """a, b: rows of different components that share a key and whose sizes and sketches leave a link possible.
 
-    cells: h, row, label of keys with several components.
+    cells: h, row, label of keys with several components.  A key's largest component is not compared with itself: the
+    rows of its other components, in tiles, meet all its rows, in tiles.
     """
-    sizes = stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "open_keys")
+    parts = cells.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h")
+    sizes = stored(parts.agg(F.sum("k").alias("rows"), F.max(F.struct("k", "label")).alias("main")).select("h", "rows", F.col("main.k").alias("most"), F.col("main.label").alias("main")), "open_keys")
     known = stored(spread_join(cells, sizes, "h"), "open_cells")
-    split = known.where(F.col("rows") > REFINE)
-    if split.limit(1).count():
-        bands = join.found.select("row", F.explode("bands").alias("other"))
-        second = split.join(bands, "row").where("h != other").select(F.xxhash64("h", "other").alias("h"), "row", "label", F.lit(True).alias("second"))
-        again = second.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        second = spread_join(stored(second, "second"), stored(again, "second_keys"), "h")
-        known = stored(known.where(F.col("rows") <= REFINE).withColumn("second", F.lit(False)).unionByName(second), "open_cells")
-    else:
-        known = known.withColumn("second", F.lit(False))
-    tiles = F.ceil(F.col("rows") / TILE).cast("int")
-    dealt = known.join(_sketched(join.found, "bands"), "row").withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("row"), tiles).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    dealt = stored(dealt.drop("tiles", "other", "rows"), "tiles")
-    x, y, col = dealt.alias("x"), dealt.alias("y"), F.col
-    # rows of one tile meet under (i, i), those of two tiles under (i, j) from the lower one's side
-    side = F.when(col("x.i") == col("x.j"), col("x.row") < col("y.row")).otherwise((col("x.tile") == col("x.i")) & (col("y.tile") == col("y.j")))
-    first = col("x.second") | (F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == col("x.h"))
-    met = x.join(y, (col("x.h") == col("y.h")) & (col("x.i") == col("y.i")) & (col("x.j") == col("y.j")) & (col("x.under") == col("y.under")) & side & (col("x.label") != col("y.label")) & _possible("x", "y", join.num, join.den) & first)
+    side = F.when(F.col("rows") > REFINE, WIDE * TILE).otherwise(TILE)
+    tiles = {"few": F.ceil((F.col("rows") - F.col("most")) / side).cast("int"), "every": F.ceil(F.col("rows") / side).cast("int")}
+    dealt = stored(known.withColumns(tiles).drop("rows", "most").join(_sketched(join.found, "bands"), "row"), "tiles")
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = dealt.where("label != main").withColumn("i", own("few")).withColumn("j", each("every")).alias("x")
+    y = dealt.withColumn("j", own("every")).withColumn("i", each("few")).alias("y")
+    col = F.col
+    # of two rows outside the largest component each is on both sides
+    once = (col("y.label") == col("y.main")) | (col("x.row") < col("y.row"))
+    first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == col("x.h")
+    met = x.join(y, (col("x.h") == col("y.h")) & (col("x.i") == col("y.i")) & (col("x.j") == col("y.j")) & (col("x.under") == col("y.under")) & (col("x.label") != col("y.label")) & once & _possible("x", "y", join.num, join.den) & first)
     return met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
 

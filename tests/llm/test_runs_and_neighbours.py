@@ -202,6 +202,17 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, refine):
     assert odd_sketches.report(docs.limit(0)).count() == 0
 
 
+def test_rows_of_a_large_key_meet_without_a_second_one(spark, monkeypatch):
+    monkeypatch.setattr(odd_sketches, "REFINE", 2)
+    monkeypatch.setattr(odd_sketches, "TILE", 1)
+    rows = [(k, k, 40, bytes([k]), [0] * 4, [7, 100 + k], 0, [0] * odd_sketches.WORDS, None) for k in range(20)]
+    found = spark.createDataFrame(rows, odd_sketches.FOUND)
+    cells = spark.createDataFrame([(7, k, 0 if k < 15 else k // 17) for k in range(20)], "h long, row long, label long")
+    got = odd_sketches.open_pairs(odd_sketches._Join(None, found, 3, 85, 100), cells).collect()
+    label = [0 if k < 15 else k // 17 for k in range(20)]
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(20) for b in range(a + 1, 20) if label[a] != label[b]]
+
+
 def test_sketches_never_reject_linked_sets():
     """At level 0 for certain, above it by the margin; and tell sets apart that are well below the threshold."""
     rng = np.random.default_rng(2)

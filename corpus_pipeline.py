@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lotgraph.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
-from lotgraph.llm.scratch import stored
+from lotgraph.llm.scratch import small_batches, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    small_batches(spark)
     return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,16 +32,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    small_batches(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the sequences that hold the documents left."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotgraph.llm.scratch import stored
+from lotgraph.llm.scratch import only, stored
 from lotgraph.llm.spread import HOT_KEYS, components, spread_join
 
 BUCKETS = 128
@@ -102,6 +102,7 @@ def _features(n: int, num: int, den: int, part: int):
     bound = np.uint64((1 << 64) // part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lotgraph.llm.ngram_join")
         for batch in _slices(batches):
             sets = [shingles(text.as_py(), n) for text in batch.column("text")]
             firsts = [int(np.searchsorted(s, bound)) for s in sets]

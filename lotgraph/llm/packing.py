@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotgraph.llm.scratch import stored
+from lotgraph.llm.scratch import only, stored
 from lotgraph.llm.tokens import encoder, tokenizer_path
 
 WINDOW = 4096
@@ -188,6 +188,7 @@ def _encoded(path: str, end_id: int, window: int):
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lotgraph.llm.tokens")
         encode, task = encoder(path), TaskContext.get().partitionId()
         ranks, windows = np.zeros(window, np.int64), 0
         for batch in batches:

@@ -1,7 +1,9 @@
-"""Tables that cut lineage: written once to the folder that all executors share, then read back."""
+"""Tables that cut lineage: written once to the folder that all executors share, then read back; memory of workers."""
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -42,3 +44,23 @@ def cleanup(spark: SparkSession) -> None:
     """Delete what this application wrote; results that are still lazy must have been written before."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
         drop_path(spark, path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python by so many rows at most: a batch is held some times over, beside what earlier steps left."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def only(module: str) -> None:
+    """A Python worker goes from step to step: it forgets what the operators other than this one have cached."""
+    held = 0
+    for name, other in list(sys.modules.items()):
+        if name.startswith("lotgraph.llm.") and name != module:
+            for f in vars(other).values():
+                if hasattr(f, "cache_clear") and f.__module__ == name and f.cache_info().currsize:
+                    held += 1
+                    f.cache_clear()
+    if held:
+        gc.collect()

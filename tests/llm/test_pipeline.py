@@ -50,3 +50,27 @@ def test_nothing(spark, tmp_path):
     kept, pieces = staged(spark, sf)
     assert kept == [[]] * 4 and pieces == []
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    sf = str(tmp_path)
+    tables(spark, sf, [(k, f"a{k} b{k}") for k in range(3000)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        corpus_pipeline.pack(spark, docs, sf)
+        sizes = docs.select("doc_id").mapInPandas(lambda frames: (f.head(1).assign(n=len(f))[["n"]] for f in frames), "n long").collect()
+        assert max(r.n for r in sizes) <= 1000 and sum(r.n for r in sizes) == 3000
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_workers_forget_other_operators():
+    from lotgraph.llm import ngram_join, scratch, toxicity
+
+    toxicity.features("some words here")
+    ngram_join.shingles("some words here", 3)
+    scratch.only("lotgraph.llm.ngram_join")
+    assert toxicity.word_hashes.cache_info().currsize == 0 and ngram_join._hashes.cache_info().currsize == 1

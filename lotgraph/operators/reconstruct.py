@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotgraph.operators.cuts import cut
 from lotgraph.operators.running import ranges_of, running
 
 STRETCH = 65_536  # pieces of running quantity that are swept at once
@@ -29,10 +30,17 @@ def fifo(orders: DataFrame, lots: DataFrame) -> DataFrame:
     none = F.lit(None)
     o = ends(orders, "due", "jt_id").select("product", "hi", "jt_id", none.cast("string").alias("lot_id"))
     s = ends(lots, "created", "lot_id").select("product", "hi", none.cast(orders.schema["jt_id"].dataType).alias("jt_id"), F.col("lot_id").cast("string").alias("lot_id"))
-    points = o.unionByName(s).groupBy("product", "hi").agg(F.max("jt_id").alias("jt_id"), F.max("lot_id").alias("lot_id"))
-    at = F.floor(F.col("hi") / STRETCH)
-    low = running(points, ["product"], at, [F.col("hi")], {"low": ("max", F.col("hi"))}, exclusive=True)
-    swept = running(low.withColumnsRenamed({"jt_id": "j", "lot_id": "l"}), ["product"], -at, [F.desc("hi")], {"jt_id": ("last", F.col("j")), "lot_id": ("last", F.col("l"))})
+    points = o.unionByName(s).withColumn("at", F.floor(F.col("hi") / STRETCH)).repartition("product", "at")
+    points = cut(points.groupBy("product", "at", "hi").agg(F.max("jt_id").alias("jt_id"), F.max("lot_id").alias("lot_id")))
+    # a stretch is swept by itself, both ways after one exchange; what lies beside it comes from the stretches' totals
+    stretch, every = Window.partitionBy("product", "at"), Window.partitionBy("product")
+    sides = [Window.unboundedPreceding, -1]
+    least = {c: F.min(F.when(F.col(c).isNotNull(), F.struct("hi", c)))[c] for c in ("jt_id", "lot_id")}
+    totals = points.groupBy("product", "at").agg(F.max("hi").alias("_hi"), *[x.alias(f"_{c}") for c, x in least.items()])
+    beside = totals.select("product", "at", F.max("_hi").over(every.orderBy("at").rowsBetween(*sides)).alias("_low"), *[F.last(f"_{c}", True).over(every.orderBy(F.desc("at")).rowsBetween(*sides)).alias(f"_{c}") for c in least])
+    low = points.withColumn("low", F.max("hi").over(stretch.orderBy("hi").rowsBetween(*sides)))
+    swept = low.withColumns({c: F.last(c, True).over(stretch.orderBy(F.desc("hi")).rowsBetween(Window.unboundedPreceding, 0)) for c in least}).join(beside, ["product", "at"])
+    swept = swept.withColumns({"low": F.coalesce("low", "_low"), **{c: F.coalesce(c, f"_{c}") for c in least}})
     swept = swept.select("product", "jt_id", "lot_id", (F.col("hi") - F.coalesce("low", F.lit(0))).alias("take"))
     return swept.where("jt_id is not null and lot_id is not null and take > 0")
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgraph.llm.scratch import only, stored
-from lotgraph.llm.spread import HOT_KEYS, components, spread_join
+from lotgraph.llm.spread import FEW, HOT_KEYS, components, spread_join
 
 BUCKETS = 128
 ROUNDS, PIVOTS = 6, 4  # most star rounds, and pairs of a row in each but the first; what they leave open is settled exactly
@@ -137,6 +137,11 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _keys(rows: DataFrame) -> DataFrame:
+    """rows of a stored table as keys of a semi join: sent to all tasks as they are, or, if there are many, once each."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.distinct()
+
+
 def _reaches(overlap: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return overlap.cast("long") * (den + num) >= (a.cast("long") + b.cast("long")) * num
 
@@ -156,25 +161,27 @@ class _Join:
     def __init__(self, docs: DataFrame, found: DataFrame, n: int, num: int, den: int):
         self.docs, self.found, self.n, self.num, self.den = docs, found, n, num, den
         self.gap = 1 - num / den  # largest distance of a link
+        self.parts = max(16, found.count() // 10_000)  # files of tables with a row or a few per row of the matrix
 
     def whole(self, rows: DataFrame) -> DataFrame:
-        """row, n, set of the rows asked for (row): their whole sets, made again from their texts."""
-        names = stored(self.found.select("row", "id", "digest", "n").join(_few(stored(rows.distinct(), "asked")), "row", "left_semi"), "names")
+        """row, n, set of the rows asked for (row, of a stored table): their whole sets, made again from their texts."""
+        names = stored(self.found.select("row", "id", "digest", "n").join(_keys(rows), "row", "left_semi"), "names", self.parts)
         texts = self.docs.select("doc_id", "text")
-        own = texts.join(_few(names.where("id is not null").select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        own = texts.join(_keys(names.where("id is not null").select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
         if names.where("id is null").limit(1).count():
             own = own.unionByName(texts.where("doc_id is null"))
-        made = own.select("text").mapInArrow(_sets(self.n), "digest binary, set array<long>").join(_few(names.select("digest").distinct()), "digest", "left_semi")
-        return stored(names.join(made.dropDuplicates(["digest"]), "digest").select("row", "n", "set"), "sets")
+        made = own.select("text").mapInArrow(_sets(self.n), "digest binary, set array<long>").join(_keys(names.select("digest")), "digest", "left_semi")
+        return stored(made.dropDuplicates(["digest"]).join(_few(names.select("row", "n", "digest")), "digest").select("row", "n", "set"), "sets", self.parts)
 
     def overlaps(self, pairs: DataFrame, floor: Column | None = None) -> DataFrame:
         """a, b, distance of pairs (a, b) that the bucket counts leave possible; floor: least similarity asked for.
 
         The rows of b come to those of a, in parts if b has many pairs.
         """
-        pairs = stored(pairs.withColumn("floor", F.lit(self.num / self.den) if floor is None else floor), "pairs")
-        degree = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")), "degrees")
-        keyed = spread_join(pairs, degree, "b").select("a", "b", "floor", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("s"))
+        pairs = stored(pairs.withColumn("floor", F.lit(self.num / self.den) if floor is None else floor), "pairs", self.parts)
+        degree = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("parts")), "degrees", self.parts)
+        keyed = pairs.join(F.broadcast(degree), "b") if degree.count() <= FEW else spread_join(pairs, degree, "b")
+        keyed = keyed.select("a", "b", "floor", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("s"))
 
         def meet(keyed: DataFrame, rows: DataFrame, column: str) -> DataFrame:
             keys = degree.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
@@ -184,15 +191,16 @@ class _Join:
 
         total = (F.col("na") + F.col("nb")).cast("double")
         enough = F.col("floor") / (1 + F.col("floor")) * total - 1e-6
-        left = stored(meet(stored(keyed, "pairs"), self.found, "counts").where(_most("xa", "xb") >= enough).select("a", "b", "floor", "s"), "pairs")
+        left = stored(meet(keyed, self.found, "counts").where(_most("xa", "xb") >= enough).select("a", "b", "floor", "s"), "pairs", self.parts)
         sets = self.whole(left.select(F.col("a").alias("row")).union(left.select("b")))
         both = F.size(F.array_intersect("xa", "xb"))
-        return stored(meet(left, sets, "set").select("a", "b", (1 - both / (total - both)).alias("distance"), _reaches(both.cast("long"), F.col("na"), F.col("nb"), self.num, self.den).alias("linked")), "overlaps")
+        return stored(meet(left, sets, "set").select("a", "b", (1 - both / (total - both)).alias("distance"), _reaches(both.cast("long"), F.col("na"), F.col("nb"), self.num, self.den).alias("linked")), "overlaps", self.parts)
 
     def labelled(self, cells: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
             return cells.withColumn("label", F.col("row"))
-        return cells.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        known = labels.withColumnRenamed("node", "row")
+        return cells.join(F.broadcast(known) if labels.count() <= FEW else known, "row", "left").withColumn("label", F.coalesce("label", "row"))
 
     def mixed(self, cells: DataFrame) -> DataFrame:
         """h of columns with several labels and with a cell of a shorter row's prefix."""
@@ -206,7 +214,7 @@ class _Join:
         pivots = [F.min(F.struct(r.alias("rank"), "row", "n", "at", "label")).alias(f"p{k}") for k, r in enumerate(ranks)]
         named = known.groupBy("h").agg(*pivots, F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_or("short").alias("short")).where("lo != hi and short")
         named = named.select("h", F.array_distinct(F.array(*[f"p{k}" for k in range(len(ranks))])).alias("ps"))
-        votes = spread_join(known, named, "h").select("row", "n", "at", "label", F.explode("ps").alias("p")).where("label != p.label")
+        votes = spread_join(known, named, "h", most=FEW // 10).select("row", "n", "at", "label", F.explode("ps").alias("p")).where("label != p.label")
         votes = votes.where(_sized(F.col("n"), F.col("p.n"), self.num, self.den) & _reaches(F.least(F.col("n") - F.col("at"), F.col("p.n") - F.col("p.at")), F.col("n"), F.col("p.n"), self.num, self.den))
         counted = votes.groupBy("row", F.col("p.row").alias("pivot")).agg(F.count(F.lit(1)).alias("k"))
         best = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), F.xxhash64("pivot").alias("tie"), "pivot")))  # at most PIVOTS for each cell of a row
@@ -237,7 +245,7 @@ class _Join:
     def rows_between(self, open_cells: DataFrame, close: DataFrame) -> DataFrame:
         """a, b: pairs of rows inside close pairs of blocks, under all bounds."""
         num, den, col = self.num, self.den, F.col
-        ends = stored(close.select(col("ca").alias("c")).union(close.select("cb")).distinct(), "ends")
+        ends = stored(close.select(col("ca").alias("c")).union(close.select("cb")).distinct(), "ends", self.parts)
         mine = open_cells.join(ends, "c", "left_semi").join(self.found.select("row", "counts"), "row")
         mine = stored(mine.select("h", "row", "n", "at", "d", "c", "short", "counts"), "rows")
         x, y = mine.alias("x"), mine.alias("y")
@@ -263,7 +271,7 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     join, links, labels = _Join(docs, found, n, num, den), None, None
     kept = prefixes(join, reps)
     for turn in range(ROUNDS):
-        pairs = stored(join.stars(kept, labels, turn), "stars")
+        pairs = stored(join.stars(kept, labels, turn), "stars", join.parts)
         got = join.overlaps(pairs).where("linked").select("a", "b", "distance")
         linked = got.count()
         if linked:
@@ -285,17 +293,17 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, part: in
     floor = F.greatest(F.lit(0.0), F.lit(num / den) - F.col("ra") - F.col("rb") - 1e-9)
     met = join.overlaps(near.select("a", "b", floor.alias("floor")), F.col("floor")).join(near, ["a", "b"])
     more = met.where("linked").select("a", "b", "distance")
-    close = stored(met.where(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("distance") <= join.gap + F.col("ra") + F.col("rb") + 1e-9)).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "distance"), "close")
+    close = stored(met.where(~F.col("linked") & (F.col("ra") + F.col("rb") > 0) & (F.col("distance") <= join.gap + F.col("ra") + F.col("rb") + 1e-9)).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "distance"), "close", join.parts)
     if close.limit(1).count():
         pairs = join.rows_between(open_cells, close)
         more = more.unionByName(join.overlaps(pairs).where("linked").select("a", "b", "distance"))
-    more = stored(more, "edges")
+    more = stored(more, "edges", join.parts)
     if more.limit(1).count():
         labels = components(more if links is None else links.unionByName(more))
 
-    own = stored(join.labelled(reps, labels), "members")
+    own = stored(join.labelled(reps, labels), "members", join.parts)
     ids = own.groupBy("label").agg(F.min("id").alias("component_id"))
-    return base, stored(spread_join(own, ids, "label").select("digest", "component_id"), "components")
+    return base, stored(spread_join(own, ids, "label", parts=join.parts).select("digest", "component_id"), "components", join.parts)
 
 
 def prefixes(join: _Join, reps: DataFrame) -> DataFrame:
@@ -307,7 +315,7 @@ def prefixes(join: _Join, reps: DataFrame) -> DataFrame:
     """
     found, num, den = join.found, join.num, join.den
     others = found.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti")
-    mine = found.where("n > 0").select("row", "n", "first", "columns").join(_few(others), "row", "left_anti")
+    mine = found.where("n > 0").select("row", "n", "first", "columns").join(_few(stored(others, "others", join.parts)), "row", "left_anti")
     length = F.col("n") - F.ceil(F.col("n").cast("long") * num / F.lit(den)) + 1
     short = F.col("n") - F.ceil(F.col("n").cast("long") * (2 * num) / F.lit(den + num)) + 1
 
@@ -316,7 +324,9 @@ def prefixes(join: _Join, reps: DataFrame) -> DataFrame:
         return stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
 
     def joined(cells: DataFrame, often: DataFrame, hot_df: int) -> DataFrame:
-        """cells with df; hot columns are settled where the cells are made."""
+        """cells with df; columns, if there are few, or else the hot ones are settled where the cells are made."""
+        if often.count() <= FEW:
+            return cells.join(F.broadcast(often), "h")
         marked = cells.join(F.broadcast(often.where(F.col("df") > hot_df)), "h", "left")
         return marked.where("df is not null").unionByName(marked.where("df is null").drop("df").join(often.where(F.col("df") <= hot_df), "h"))
 
@@ -325,16 +335,19 @@ def prefixes(join: _Join, reps: DataFrame) -> DataFrame:
     early = mine.select("row", "n", "first", F.explode(F.slice("columns", F.lit(1), F.col("first"))).alias("h"))
     often = frequent(early)
     hot_df = limit(often)
-    hot = early.select("row", "h").join(F.broadcast(often.where(F.col("df") > hot_df).select("h")), "h", "left_semi")
-    hot = stored(hot.groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("hot")), "hot")
     behind = lambda column: F.explode(F.slice(column, F.col("first") + 1, F.greatest(F.col("n") - F.col("first"), F.lit(0)))).alias("h")
     rest = mine.where(F.col("first") < length).select("row", "n", "first", behind("columns"))
-    needy = found.select("row", "n", "first").join(hot, "row").where((F.col("first") >= length) & (F.col("first") - F.col("hot") < length)).select("row", "first")
-    sets = join.whole(needy.select("row")).join(needy, "row")
-    rest = stored(rest.unionByName(sets.select("row", "n", "first", behind("set"))), "rest")
+    early = joined(early, often, hot_df)
+    if often.where(F.col("df") > hot_df).limit(1).count():
+        early = stored(early, "early")  # read twice: for the rows' hot columns, and for their prefixes
+        needy = early.where(F.col("df") > hot_df).groupBy("row", "n", "first").agg(F.count(F.lit(1)).alias("hot"))
+        needy = stored(needy.where((F.col("first") >= length) & (F.col("first") - F.col("hot") < length)).select("row", "first"), "needy", join.parts)
+        sets = join.whole(needy.select("row")).join(needy, "row")
+        rest = rest.unionByName(sets.select("row", "n", "first", behind("set")))
+    rest = stored(rest, "rest")
     later = frequent(rest)
     tier = F.when(F.col("df") > hot_df, 2).otherwise(0)
-    shared = joined(early, often, hot_df).withColumn("tier", tier).unionByName(joined(rest, later, limit(later)).withColumn("tier", F.lit(1)))
+    shared = early.withColumn("tier", tier).unionByName(joined(rest, later, limit(later)).withColumn("tier", F.lit(1)))
     whole, within = Window.partitionBy("row"), Window.partitionBy("row", "tier")
     count = F.count(F.lit(1))
     placed = shared.withColumns({"rank": -count.over(whole) / F.col("n"), "hot": F.sum(F.when(F.col("tier") == 2, 1).otherwise(0)).over(whole).cast("int")})

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lotgraph.llm.ngram_join import BUCKETS, _Join, _sized, _slices, shingles
 from lotgraph.llm.scratch import stored
-from lotgraph.llm.spread import HOT_KEYS, components, spread_join
+from lotgraph.llm.spread import HOT_KEYS, components, hot_keys, spread_join
 
 BANDS, ROWS = 24, 5
 BITS, SAMPLES, MARGIN = 1024, 512, 5
@@ -126,7 +126,7 @@ def starred(join: _Join, pairs: DataFrame) -> DataFrame:
     one = lambda name, row: own.select(F.col("row").alias(row), "under", F.struct(*own.columns).alias(name))
     first = stored(pairs.join(one("x", "a"), "a").withColumn("pivot", F.xxhash64("b", "under")).drop("under"), "sketched")
     second = one("y", "b").select(F.xxhash64("b", "under").alias("pivot"), "y")
-    return spread_join(first, second, "pivot").where("b = y.row").where(_possible("x", "y", join.num, join.den)).select("a", "b")
+    return spread_join(first, second, "pivot", hot=hot_keys(first, "pivot")).where("b = y.row").where(_possible("x", "y", join.num, join.den)).select("a", "b")
 
 
 def open_pairs(join: _Join, cells: DataFrame) -> DataFrame:

@@ -28,10 +28,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and return the written table."""
+def stored(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, in so many parts at most, and return the written table."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ row fall into one class first.  Of the product of the matrix with its transpose
 threshold t are formed:
 
 * Columns come in one global order: a fixed share of the hash space first (``1 / part``), by document frequency in it,
-  then the rest, and last the hot columns of the share.  If two rows reach the threshold, the first ``n - ceil(t * n) + 1`` columns of the longer one and the
+  then the rest, piece by piece of the hash space, and last the hot columns of the share.  If two rows reach the threshold, the first ``n - ceil(t * n) + 1`` columns of the longer one and the
   first ``n - ceil(2 t / (1 + t) * n) + 1`` of the shorter one share one, so only these are multiplied, and frequent
   n-grams fall out of them.
 * A pair needs sizes within the threshold, enough columns left behind the shared one, and enough in the sum of the
@@ -42,11 +42,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotgraph.llm.scratch import only, stored
-from lotgraph.llm.spread import FEW, HOT_KEYS, components, spread_join
+from lotgraph.llm.spread import FEW, HOT_KEYS, LEAST, PARTS, components, spread_join
 
 BUCKETS = 128
 ROUNDS, PIVOTS = 6, 4  # most star rounds, and pairs of a row in each but the first; what they leave open is settled exactly
 TILE = 256
+PIECES = 16  # of the hash space, a power of two; they follow the share one by one
+SAMPLE = 16  # one of so many rows tells busy columns
 BROADCAST_ROWS = 2_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -311,7 +313,7 @@ def prefixes(join: _Join, reps: DataFrame) -> DataFrame:
 
     at: the column's place in its row; short: it lies in the prefix that the row has as the shorter one of a pair; rank:
     rows most of whose columns others have too come first.  Only rows whose prefix is not filled by the share of the hash
-    space, its hot columns aside, send their other columns.
+    space, its hot columns aside, send other columns: the next pieces of the hash space, as many as fill it.
     """
     found, num, den = join.found, join.num, join.den
     others = found.where("n > 0").select("row").join(reps.select("row"), "row", "left_anti")
@@ -319,43 +321,59 @@ def prefixes(join: _Join, reps: DataFrame) -> DataFrame:
     length = F.col("n") - F.ceil(F.col("n").cast("long") * num / F.lit(den)) + 1
     short = F.col("n") - F.ceil(F.col("n").cast("long") * (2 * num) / F.lit(den + num)) + 1
 
-    def frequent(cells: DataFrame) -> DataFrame:
-        """h, df of columns that several rows have, combined before the shuffle; a column of one row can't meet another."""
-        return stored(cells.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
-
-    def joined(cells: DataFrame, often: DataFrame, hot_df: int) -> DataFrame:
-        """cells with df; columns, if there are few, or else the hot ones are settled where the cells are made."""
-        if often.count() <= FEW:
-            return cells.join(F.broadcast(often), "h")
-        marked = cells.join(F.broadcast(often.where(F.col("df") > hot_df)), "h", "left")
-        return marked.where("df is not null").unionByName(marked.where("df is null").drop("df").join(often.where(F.col("df") <= hot_df), "h"))
-
+    early = counted(mine.select("row", F.explode(F.slice("columns", F.lit(1), F.col("first"))).alias("h")), found.agg(F.sum("first")).first()[0] or 0, "early")
     # a column with more than a HOT_KEYS-th of the cells is hot, so there are fewer than HOT_KEYS
-    limit = lambda often: max(256, (often.agg(F.sum("df")).first()[0] or 0) // HOT_KEYS)
-    early = mine.select("row", "n", "first", F.explode(F.slice("columns", F.lit(1), F.col("first"))).alias("h"))
-    often = frequent(early)
-    hot_df = limit(often)
-    behind = lambda column: F.explode(F.slice(column, F.col("first") + 1, F.greatest(F.col("n") - F.col("first"), F.lit(0)))).alias("h")
-    rest = mine.where(F.col("first") < length).select("row", "n", "first", behind("columns"))
-    early = joined(early, often, hot_df)
-    if often.where(F.col("df") > hot_df).limit(1).count():
-        early = stored(early, "early")  # read twice: for the rows' hot columns, and for their prefixes
-        needy = early.where(F.col("df") > hot_df).groupBy("row", "n", "first").agg(F.count(F.lit(1)).alias("hot"))
-        needy = stored(needy.where((F.col("first") >= length) & (F.col("first") - F.col("hot") < length)).select("row", "first"), "needy", join.parts)
-        sets = join.whole(needy.select("row")).join(needy, "row")
-        rest = rest.unionByName(sets.select("row", "n", "first", behind("set")))
-    rest = stored(rest, "rest")
-    later = frequent(rest)
-    tier = F.when(F.col("df") > hot_df, 2).otherwise(0)
-    shared = early.withColumn("tier", tier).unionByName(joined(rest, later, limit(later)).withColumn("tier", F.lit(1)))
+    hot_df = max(256, early.count() // HOT_KEYS)
+    hots = stored(early.where(F.col("df") > hot_df).groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("hot")), "hot_cells", join.parts)
+    needy = mine.join(_few(hots), "row", "left").withColumn("need", length - F.col("first") + F.coalesce("hot", F.lit(0))).where("need > 0 and first < n")
+    needy = stored(needy.select("row", "first", "need", F.when(F.col("first") < length, F.col("columns")).alias("columns")), "needy", join.parts)
+    full = needy.where("columns is not null").select("row", F.size("columns").alias("n"), "first", "need", F.col("columns").alias("set"))
+    few = needy.where("columns is null").select("row", "first", "need")
+    if few.limit(1).count():
+        full = full.unionByName(join.whole(few.select("row")).join(few, "row").select("row", "n", "first", "need", "set"))
+    rest = stored(pieces(full), "rest")
+    later = counted(rest, rest.count(), "later")
+    tier = F.when(F.col("df") > hot_df, PIECES + 1).otherwise(0)
+    shared = early.select("row", "h", "df", tier.alias("tier"), F.lit(None).cast("int").alias("end")).unionByName(later.select("row", "h", "df", (_piece(F.col("h")) + 1).alias("tier"), "end"))
     whole, within = Window.partitionBy("row"), Window.partitionBy("row", "tier")
-    count = F.count(F.lit(1))
-    placed = shared.withColumns({"rank": -count.over(whole) / F.col("n"), "hot": F.sum(F.when(F.col("tier") == 2, 1).otherwise(0)).over(whole).cast("int")})
-    placed = placed.withColumns({"own": count.over(within), "place": F.row_number().over(within.orderBy("df", "h")) - 1})
+    number = lambda those: F.sum(F.when(those, 1).otherwise(0)).over(whole).cast("int")
+    placed = shared.withColumns({"hot": number(F.col("tier") > PIECES), "known": number(F.col("end").isNull())})  # by row first: one shuffle serves both
+    placed = placed.withColumns({"own": F.count(F.lit(1)).over(within), "place": F.row_number().over(within.orderBy("df", "h")) - 1})
+    placed = placed.join(_few(found.select("row", "n", "first")), "row")
     # columns that nobody else has come before the shared ones of their tier
-    at = F.when(F.col("tier") == 0, F.col("first") - F.col("hot") - F.col("own")).when(F.col("tier") == 1, F.col("n") - F.col("hot") - F.col("own")).otherwise(F.col("n") - F.col("hot"))
-    cells = placed.withColumn("at", (at + F.col("place")).cast("int")).where(F.col("at") < length)
-    return stored(cells.select("h", "row", "n", "at", (F.col("at") < short).alias("short"), "rank"), "prefixes")
+    before = F.when(F.col("tier") == 0, F.col("first") - F.col("hot")).when(F.col("tier") > PIECES, F.col("n")).otherwise(F.col("end") - F.col("hot"))
+    cells = placed.withColumn("at", (before - F.col("own") + F.col("place")).cast("int")).where(F.col("at") < length)
+    return stored(cells.select("h", "row", "n", "at", (F.col("at") < short).alias("short"), (-F.col("known") / F.greatest("first", F.lit(1))).alias("rank")), "prefixes")
+
+
+def counted(cells: DataFrame, total: int, name: str) -> DataFrame:
+    """The about total cells (h, row, ...) of columns that several rows have, with df, the number of these rows.
+
+    Cells meet once, under their column; busy columns, found by one in SAMPLE of the rows, are counted before the shuffle and
+    settled where their cells are made.  Which columns are taken for busy changes no df.
+    """
+    sample = cells.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    busy = stored(sample.where(F.col("df") > max(LEAST, total // HOT_KEYS) // SAMPLE).select("h"), "busy", PARTS)
+    busy = stored(cells.join(F.broadcast(busy), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df")), "busy", PARTS)
+    often = cells.join(F.broadcast(busy), "h")
+    other = cells.join(F.broadcast(busy.select("h")), "h", "left_anti").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    return stored(often.unionByName(other).where("df > 1"), name)
+
+
+def _piece(h: Column) -> Column:
+    """Which of the PIECES equal pieces of the hash space h lies in."""
+    return F.shiftrightunsigned(h, 64 - (PIECES - 1).bit_length()).cast("int")
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """row, h, end: of rows (row, n, first, need, set) the columns behind the first ones, by whole pieces of the hash space, until there
+    are need of them or no more; end: the row's columns up to the end of the piece.
+    """
+    last = F.element_at("set", F.least(F.col("first") + F.col("need"), F.col("n")).cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.size(F.filter("set", lambda h: _piece(h) <= k)))
+    behind = F.filter(F.slice("set", F.col("first") + 1, F.col("n") - F.col("first")), lambda h: _piece(h) <= F.col("last"))
+    sent = rows.withColumns({"last": _piece(last), "ends": ends}).select("row", "ends", F.explode(behind).alias("h"))
+    return sent.select("row", "h", F.element_at("ends", _piece(F.col("h")) + 1).alias("end"))
 
 
 def report(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:

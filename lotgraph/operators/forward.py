@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lotgraph.functions import stats
 from lotgraph.functions.values import seconds
 from lotgraph.operators import graph
+from lotgraph.operators.cuts import cut
 from lotgraph.operators.running import running
 
 RATE = 92.0  # fixed value: units an hour
@@ -216,10 +217,15 @@ class Cascade(NamedTuple):
 
     cases: DataFrame
     queue: DataFrame
-    missed: DataFrame
+    trucks: DataFrame
 
+    @property
+    def missed(self) -> DataFrame:
+        """case_id, jt_id of trucks."""
+        return self.trucks.select("case_id", "jt_id")
 
-def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float | DataFrame = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, checked: DataFrame | None = None, due_day: bool = True) -> Cascade:
+
+def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float | DataFrame = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, checked: DataFrame | None = None, due_day: bool = True, written: bool = False) -> Cascade:
     """Cases of one product and day have one queue of orders and the same production, but for the first day's loss.
 
     So the waterfall is solved once for each product and day, for any stock s at the start (opening and the first day's
@@ -228,8 +234,9 @@ def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFr
     above zero, with ``hi = qty - a`` and ``lo = max(m, -a)``.
 
     cases: the cases with product, daily, loss, n_affected, day0, s; queue: product, day0, due_idx, jt_id, qty, due, open,
-    lo, hi (null if it can't be short); missed: case_id, jt_id of open orders whose first truck leaves in the outage, or
-    of checked ones (case_id, jt_id), if given.  opening: a number, or product, opening.  due_day=False: what is made on the
+    lo, hi (null if it can't be short); trucks: case_id, s, jt_id, due_idx, lo, hi of open orders whose first truck leaves in
+    the outage, or of checked ones (case_id, jt_id), if given.  written: cases and queue are cut, as several branches of a
+    plan start from them.  opening: a number, or product, opening.  due_day=False: what is made on the
     day an order is due does not count for it, as in the reference; orders of the first day then see the opening stock.
     """
     hit = affected_lots(cases, events)
@@ -241,6 +248,7 @@ def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFr
     own = own.withColumn("first", F.round(F.greatest(F.lit(0.0), F.col("daily") - F.col("loss")), 4))
     own = own.withColumns({"s": F.col("opening") + F.col("first"), "net": F.col("opening") + F.col("first")})
 
+    own = cut(own) if written and due_day else own
     days = own.select("product", "day0", "daily", "opening").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(HORIZON))).alias("due_idx")).withColumn("day", F.expr("date_add(day0, due_idx)"))
     queue = days.join(orders.select("product", "jt_id", F.col("qty").cast("double").alias("qty"), "due", (~F.coalesce("fulfilled", F.lit(False))).alias("open"), F.to_date("due").alias("day")), ["product", "day"])
     # orders that see the opening stock only are a queue of their own, the same one for all cases
@@ -258,22 +266,24 @@ def cascade(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFr
     own = own.withColumns({"s": F.round("s", 4), "net": F.round("net", 4)})
     able = F.col("open") & (F.col("lo") < F.col("hi"))
     queue = queue.select("product", "day0", "daily", "due_idx", "jt_id", "qty", "due", "open", F.when(able, F.col("lo")).alias("lo"), F.when(able, F.col("hi")).alias("hi"))
+    queue = cut(queue) if written else queue
 
     if shipments is None:
-        missed = own.select("case_id").withColumn("jt_id", F.lit(None).cast(orders.schema["jt_id"].dataType)).where(F.lit(False))
-        return Cascade(own, queue, missed)
+        none = {c: F.lit(None).cast(queue.schema[c].dataType) for c in ("jt_id", "due_idx", "lo", "hi")}
+        return Cascade(own, queue, own.select("case_id", "s").withColumns(none).where(F.lit(False)))
     first = shipments.groupBy("jt_id").agg(F.min("truck_time").alias("truck_time"))
     done = F.timestamp_add("MINUTE", ((F.col("hours") + 80 / RATE) * 60).cast("int"), F.col("start_ts"))
     if checked is not None:
-        missed = own.select("case_id", "start_ts", done.alias("done")).join(checked.select("case_id", "jt_id"), "case_id").join(first, "jt_id")
+        missed = own.select("case_id", "product", "day0", "s", "start_ts", done.alias("done")).join(checked.select("case_id", "jt_id"), "case_id").join(first, "jt_id")
+        missed = missed.join(queue.select("product", "day0", "jt_id", "due_idx", "lo", "hi"), ["product", "day0", "jt_id"], "left")
     else:
         # trucks and outages meet by product, day and time bucket
         width = 6 * 3600
         bucket = lambda ts: F.floor(seconds(ts) / width)
-        spans = own.select("case_id", "product", "day0", "start_ts", done.alias("done")).withColumn("_w", F.explode(F.sequence(bucket(F.col("start_ts")), bucket(F.col("done")))))
-        trucks = queue.where("open").join(first, "jt_id").select("product", "day0", "jt_id", "truck_time", bucket(F.col("truck_time")).alias("_w"))
+        spans = own.select("case_id", "product", "day0", "s", "start_ts", done.alias("done")).withColumn("_w", F.explode(F.sequence(bucket(F.col("start_ts")), bucket(F.col("done")))))
+        trucks = queue.where("open").join(first, "jt_id").select("product", "day0", "jt_id", "due_idx", "lo", "hi", "truck_time", bucket(F.col("truck_time")).alias("_w"))
         missed = spans.join(trucks, ["product", "day0", "_w"])
-    missed = missed.where((F.col("truck_time") >= F.col("start_ts")) & (F.col("truck_time") < F.col("done"))).select("case_id", "jt_id")
+    missed = missed.where((F.col("truck_time") >= F.col("start_ts")) & (F.col("truck_time") < F.col("done"))).select("case_id", "s", "jt_id", "due_idx", "lo", "hi")
     return Cascade(own, queue, missed)
 
 
@@ -283,17 +293,17 @@ def short_of(s: Column) -> Column:
 
 
 def short_totals(c: Cascade) -> DataFrame:
-    """case_id, n_qty, shortfall of the cases' short orders.
+    """case_id, n_qty, n_today (due on the case's day), shortfall of the cases' short orders.
 
     Each order that can be short is two bounds, lo and hi, on the line of stocks, each case a point on it: one sweep by
     product and day counts and sums the bounds above each point, so cases and orders are not paired.
     """
-    bound = lambda name, sign: c.queue.where(F.col(name).isNotNull()).select("product", "day0", F.lit(None).cast(c.cases.schema["case_id"].dataType).alias("case_id"), F.col(name).alias("at"), F.lit(sign).alias("sign"))
-    points = c.cases.select("product", "day0", "case_id", F.col("s").alias("at"), F.lit(0).alias("sign"))
+    bound = lambda name, sign: c.queue.where(F.col(name).isNotNull()).select("product", "day0", F.lit(None).cast(c.cases.schema["case_id"].dataType).alias("case_id"), F.col(name).alias("at"), F.lit(sign).alias("sign"), (F.col("due_idx") == 0).alias("today"))
+    points = c.cases.select("product", "day0", "case_id", F.col("s").alias("at"), F.lit(0).alias("sign"), F.lit(False).alias("today"))
     line = bound("hi", 1).unionByName(bound("lo", -1)).unionByName(points).withColumns({"_down": -F.col("at"), "_kind": F.abs("sign")})
     # from the top; at one value the points come first, so a bound at the point itself does not count
-    swept = running(line, ["product", "day0"], F.floor(F.col("_down") / 4096), [F.col("_down"), F.col("_kind")], {"n_hi": ("sum", F.when(F.col("sign") == 1, 1).otherwise(0)), "n": ("sum", F.col("sign")), "total": ("sum", F.col("sign") * F.col("at"))})
-    return swept.where("sign = 0").select("case_id", F.col("n_hi").alias("n_qty"), (F.col("total") - F.col("at") * F.col("n")).alias("shortfall"))
+    swept = running(line, ["product", "day0"], F.floor(F.col("_down") / 4096), [F.col("_down"), F.col("_kind")], {"n_hi": ("sum", F.when(F.col("sign") == 1, 1).otherwise(0)), "n_today": ("sum", F.when((F.col("sign") == 1) & F.col("today"), 1).otherwise(0)), "n": ("sum", F.col("sign")), "total": ("sum", F.col("sign") * F.col("at"))})
+    return swept.where("sign = 0").select("case_id", F.col("n_hi").alias("n_qty"), "n_today", (F.col("total") - F.col("at") * F.col("n")).alias("shortfall"))
 
 
 def net_shorts(c: Cascade) -> DataFrame:
@@ -330,6 +340,21 @@ def late_list(c: Cascade, faithful: bool = False) -> DataFrame:
     return rows.select("case_id", "jt_id", "due", "late_by", "short", "shortfall", "p_late", "place")
 
 
+def late_counts(c: Cascade) -> DataFrame:
+    """case_id, product, day0, loss, n_late, n_today (due on the case's day), shortfall, p_late (null if none is late).
+
+    The rows of late_list(), counted without being made: p_late is that of a case's likeliest late order.  The orders that
+    are short come from the sweep, those that miss their truck are counted where they meet the case.
+    """
+    lacks = short_of(F.col("s")) > 0
+    times = c.trucks.groupBy("case_id").agg(F.count_if(~lacks).alias("n_time"), F.count_if(~lacks & (F.col("due_idx") == 0)).alias("_today"))
+    out = c.cases.select("case_id", "product", "day0", "loss").join(short_totals(c), "case_id", "left").join(times, "case_id", "left").join(net_shorts(c), "case_id", "left").fillna(0, ["n_qty", "n_today", "n_time", "_today", "shortfall", "net_short"])
+    p = lambda base: late_probability(base, F.lit(0.0))
+    # of those with a lack the same, of the others too
+    likeliest = F.greatest(F.when(F.col("n_qty") > 0, p(F.col("shortfall"))), F.when(F.col("n_time") > 0, p(F.when(F.col("net_short") > 0, F.col("net_short")).otherwise(F.col("loss")))))
+    return out.select("case_id", "product", "day0", "loss", (F.col("n_qty") + F.col("n_time")).alias("n_late"), (F.col("n_today") + F.col("_today")).alias("n_today"), F.round("shortfall", 4).alias("shortfall"), likeliest.alias("p_late"))
+
+
 def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFrame, opening: float | DataFrame = 20.0, fallback: float = 900.0, shipments: DataFrame | None = None, bom: DataFrame | None = None, available: DataFrame | None = None, faithful: bool = False, solved: Cascade | None = None) -> DataFrame:
     """The whole cascade, a row for every case; solved: the cascade() of the same frames, if there is one already.
 
@@ -344,8 +369,7 @@ def impact(cases: DataFrame, lots: DataFrame, events: DataFrame, orders: DataFra
     fulfilled; shipments: jt_id, truck_time; bom: product, component, per_unit, scrap; available: component, available.
     """
     c = solved or cascade(cases, lots, events, orders, opening, fallback, shipments)
-    missed = c.missed.join(c.cases.select("case_id", "product", "day0", "s"), "case_id").join(c.queue.select("product", "day0", "jt_id", "lo", "hi"), ["product", "day0", "jt_id"], "left")
-    times = missed.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_time"), F.count_if(short_of(F.col("s")) > 0).alias("n_both"))
+    times = c.trucks.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_time"), F.count_if(short_of(F.col("s")) > 0).alias("n_both"))
     out = c.cases.join(short_totals(c), "case_id", "left").join(times, "case_id", "left").join(net_shorts(c), "case_id", "left").fillna(0, ["n_qty", "n_time", "n_both", "shortfall", "net_short"])
     out = out.withColumn("n_late", F.col("n_qty") + F.col("n_time") - F.col("n_both"))
     if bom is None:
